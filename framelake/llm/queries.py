@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, secrets, url_rules
+from . import decontam, html_extract, licenses, packing, quality, secrets, url_rules
 from .common import table
 
 #: The rules that op4 applies: host, path, verdict.
@@ -19,6 +19,18 @@ URL_RULES = [
 ]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(quality.measure(table(spark, sf_dir, "documents")))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -37,6 +49,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op6_secret_scans": op6_secret_scans,
     "op7_license_scans": op7_license_scans,

@@ -69,6 +69,20 @@ def licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def quality(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    seen, hit = {}, set()
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            hit |= {j + k for j in at for k in range(3)}
+    failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed
+
+
 #: Rows that any operator must stand: nulls, empty and odd texts, repeated rows.
 ODD_TEXTS = [
     None, "", " ", "\n\n", "one", "one two three four", "İstanbul ÉÈ Éa éa K x", "a  b\tc\x0bd\x0ce\r\nf", "a b c d e f g h i j " * 200,

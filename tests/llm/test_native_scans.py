@@ -4,18 +4,9 @@ from framelake.llm import decontam, licenses, queries, secrets, url_rules
 
 from . import brute
 
-DOCS = "doc_id long, text string, n_words int, items string"
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
-    """Real documents, odd ones, repeated rows and a null id, with extra columns whose names clash with the results'."""
-    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows = real + [(10_000 + k, t) for k, t in enumerate(brute.ODD_TEXTS)] + real[:3] + [(None, "null id")]
-    return rows, spark.createDataFrame([(i, t, -1, "x") for i, t in rows], DOCS).repartition(5)
-
-
 def same(rows, expected):
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(rows, key=key) == sorted(expected, key=key)
@@ -41,8 +32,8 @@ def test_url_rules_nested_and_empty(spark):
 
 
 @pytest.mark.parametrize("max_set", [decontam.MAX_SET, 3])
-def test_decontamination(spark, docs, max_set):
-    rows, df = docs
+def test_decontamination(spark, rows, docs, max_set):
+    df = docs
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(901, "One"), (902, "e f g"), (903, None), (904, "..."), (905, "a b c d e f g h i j")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     if max_set == 3:  # the other way judges rows that repeat a document alike
@@ -62,12 +53,12 @@ def test_decontamination(spark, docs, max_set):
 
 def test_decontamination_of_nothing(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
-    assert not any(r.contaminated for r in decontam.report(decontam.with_hits(docs[1], empty)).collect())
-    assert decontam.report(decontam.with_hits(docs[1].limit(0), empty)).count() == 0
+    assert not any(r.contaminated for r in decontam.report(decontam.with_hits(docs, empty)).collect())
+    assert decontam.report(decontam.with_hits(docs.limit(0), empty)).count() == 0
 
 
-def test_secrets(docs):
-    rows, df = docs
+def test_secrets(rows, docs):
+    df = docs
     got = secrets.scan_secrets(df).collect()
     same([tuple(r)[:5] for r in got], [(i, *brute.secrets(t)[0]) for i, t in rows])
     by_id = {r.doc_id: r.spans for r in got}
@@ -83,8 +74,8 @@ def test_entropy_spans(spark):
     assert got == {0: f"entropy_base64:4:{4 + len(key)}", 1: "", 2: "", 3: "", 4: "", 5: ""}
 
 
-def test_licenses(docs):
-    rows, df = docs
+def test_licenses(rows, docs):
+    df = docs
     got = licenses.scan_licenses(df).collect()
     same([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got], [(i, *brute.licenses(t)) for i, t in rows])
     for r in got:
@@ -92,10 +83,10 @@ def test_licenses(docs):
     assert {r.labels for r in got if r.doc_id == 10_011} == {"cc-by-nc,mit"}
 
 
-def test_license_join_is_exact(docs):
+def test_license_join_is_exact(rows, docs):
     """The filters lose no block that reaches the threshold."""
     templates = {"the of and a": "x", "en de la que en el": "y", "released under the mit license": "mit"}
-    rows, df = docs
+    df = docs
     for threshold in (0.5, 0.8, 1.0):
         got = {(r.doc_id, r.labels, round(r.score, 6)) for r in licenses.scan_licenses(df, phrases={"zzz": "z"}, templates=templates, threshold=threshold).collect()}
         want = set()
