@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html_extract, licenses, packing, quality, secrets, url_rules
+from . import decontam, html_extract, licenses, packing, quality, secrets, substring, url_rules
 from .common import table
 
 #: The rules that op4 applies: host, path, verdict.
@@ -44,6 +45,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.with_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -55,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op6_secret_scans": op6_secret_scans,
     "op7_license_scans": op7_license_scans,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }

@@ -83,6 +83,24 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed
 
 
+def substrings(rows, n=20):
+    """For each row, its words and which of them go."""
+    split = [(float("inf") if i is None else i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in split:
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            first[key] = min(first.get(key, (i, k)), (i, k))
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < (i, k):
+                gone[k : k + n] = [True] * n
+        out.append((w, gone))
+    return out
+
+
 #: Rows that any operator must stand: nulls, empty and odd texts, repeated rows.
 ODD_TEXTS = [
     None, "", " ", "\n\n", "one", "one two three four", "İstanbul ÉÈ Éa éa K x", "a  b\tc\x0bd\x0ce\r\nf", "a b c d e f g h i j " * 200,
