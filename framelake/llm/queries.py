@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, licenses, packing, quality, secrets, substring, url_rules
+from . import decontam, html_extract, jaccard_join, licenses, packing, quality, secrets, substring, url_rules
 from .common import table
 
 #: The rules that op4 applies: host, path, verdict.
@@ -37,6 +37,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_secret_scans": op6_secret_scans,
     "op7_license_scans": op7_license_scans,
     "op8_substring_dedup": op8_substring_dedup,

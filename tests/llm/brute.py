@@ -101,6 +101,31 @@ def substrings(rows, n=20):
     return out
 
 
+def jaccard(rows, n=5, num=3, den=4):
+    """For each row, the size of its shingle set and the least id that it reaches."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)]
+
+
 #: Rows that any operator must stand: nulls, empty and odd texts, repeated rows.
 ODD_TEXTS = [
     None, "", " ", "\n\n", "one", "one two three four", "İstanbul ÉÈ Éa éa K x", "a  b\tc\x0bd\x0ce\r\nf", "a b c d e f g h i j " * 200,

@@ -1,8 +1,9 @@
+import random
 from collections import Counter
 
 import pytest
 
-from framelake.llm import substring
+from framelake.llm import components, jaccard_join, substring
 
 from . import brute
 
@@ -18,3 +19,49 @@ def test_substrings(spark, rows, docs, window):
 
 def test_no_substrings(docs):
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def near_copies(seed, n=120):
+    """Families of texts that differ by a few words, some near the threshold, over shared passages."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    passage = [rng.choice(words) for _ in range(40)]
+    out = []
+    for family in range(6):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 30, 80]))] + (passage if family % 2 else [])
+        for _ in range(n // 6):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 25))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("long_list", [jaccard_join.LONG_LIST, 3])
+def test_jaccard(spark, rows, docs, long_list):
+    more = [(30_000 + k, t) for k, t in enumerate(near_copies(long_list))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(3))
+    got = Counter(map(tuple, jaccard_join.link(df, long_list=long_list).collect()))
+    assert got == Counter(brute.jaccard(rows + more))
+
+
+def test_jaccard_of_nothing(docs):
+    assert jaccard_join.link(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(500, 500), (7, 7), (300, 301), (301, 300)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    alone = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
+    assert got == {(x, find(x)) for x in parent if x not in alone}
