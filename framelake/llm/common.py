@@ -29,6 +29,11 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NON_WORD), "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often the body names it: Spark evaluates a plain column inside a lambda for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

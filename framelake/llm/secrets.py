@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 
 #: Kinds in their order, pattern, least length, and whether the length is that of the second group.
@@ -24,7 +26,11 @@ BASE_KINDS = [
     ("hex", r"([0-9a-f]+)", 32),
 ]
 #: What a text must hold for a kind to be looked for at all: cheap, and never false where the kind matches.
-_GUARDS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
+_GUARDS = {
+    "assign": lambda text, low: (low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key")) & (text.contains("=") | text.contains(":")),
+    "access": lambda text, low: text.contains("AKIA"),
+    "hex": lambda text, low: text.rlike("[0-9a-f]{32}"),
+}
 
 #: Character classes of candidate strings: name, pattern of a maximal run, its alphabet, window, least entropy in bits.
 CLASSES = [
@@ -40,22 +46,26 @@ ALLOW_LIST = (
     r"(?i)example|sample|placeholder|changeme|xxxx|lorem|abcdef0123456789|0123456789abcdef",
     r"^(.)\1+$",
 )
-_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """start, end and string of each match of a pattern in a text without marks, left to right."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
-    # parts: text between, match, between, match, ..., between
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(F.get(parts, i))).alias("at"),
-            F.when(i % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(F.get(parts, i))).alias("end"), F.get(parts, i).alias("s"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    # Split at the marks: text between, match, between, match, ..., between.
+    span = "array<struct<start:int,end:int,s:string>>"
+
+    def placed(pieces: Column) -> Column:
+        return F.aggregate(
+            pieces,
+            F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(span).alias("out")),
+            lambda a, piece: F.struct(
+                (a["at"] + F.length(piece)).alias("at"),
+                (~a["inside"]).alias("inside"),
+                F.when(a["inside"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(piece)).alias("end"), piece.alias("s"))))).otherwise(a["out"]).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    return placed(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]"))
 
 
 def _spans(matches: Column, rank: int, kind: str) -> Column:
@@ -65,20 +75,22 @@ def _spans(matches: Column, rank: int, kind: str) -> Column:
 def _most_entropy(s: Column, alphabet: str, window: int) -> Column:
     """The largest Shannon entropy of the windows of a string, by incremental counts; null if it is shorter than a window."""
     f = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    chars = F.transform(F.split(s, ""), lambda c: F.position(c, F.lit(alphabet)))
     size = len(alphabet)
 
-    def step(a: Column, i: Column) -> Column:
-        enters, leaves = F.get(chars, i), F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(0))
-        up = F.get(a["counts"], enters - 1)
-        down = F.when(leaves > 0, F.get(a["counts"], leaves - 1) + F.when(leaves == enters, 1).otherwise(0)).otherwise(F.lit(0))
-        total = a["sum"] + f(up + 1) - f(up) + F.when(leaves > 0, f(down - 1) - f(down)).otherwise(F.lit(0.0))
-        counts = F.transform(a["counts"], lambda c, k: c + F.when(k == enters - 1, 1).otherwise(0) - F.when(k == leaves - 1, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= window - 1, F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
+    def slide(chars: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            enters, leaves = F.get(chars, i), F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(0))
+            up = F.get(a["counts"], enters - 1)
+            down = F.when(leaves > 0, F.get(a["counts"], leaves - 1) + F.when(leaves == enters, 1).otherwise(0)).otherwise(F.lit(0))
+            total = a["sum"] + f(up + 1) - f(up) + F.when(leaves > 0, f(down - 1) - f(down)).otherwise(F.lit(0.0))
+            counts = F.transform(a["counts"], lambda c, k: c + F.when(k == enters - 1, 1).otherwise(0) - F.when(k == leaves - 1, 1).otherwise(0))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= window - 1, F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
+
+        start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda a: a["least"])
 
-    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
-    least = F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), start, step, lambda a: a["least"])
-    return F.when(F.length(s) >= window, F.lit(math.log2(window)) - least / window)
+    places = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.position(F.substring(s, i, F.lit(1)), F.lit(alphabet)))
+    return F.when(F.length(s) >= window, F.lit(math.log2(window)) - let(places, slide) / window)
 
 
 def scan_secrets(docs: DataFrame, classes: Sequence[tuple] = CLASSES, allow_list: Sequence[str] = ALLOW_LIST) -> DataFrame:
@@ -95,7 +107,7 @@ def scan_secrets(docs: DataFrame, classes: Sequence[tuple] = CLASSES, allow_list
 
     def base_spans(rank: int, kind: str, pattern: str, least: int) -> Column:
         found = F.filter(_matches(F.col("text"), pattern), lambda m: F.length(F.regexp_extract(m["s"], pattern, 1)) >= least)
-        return _spans(F.when(F.col("text").rlike(_GUARDS[kind]), found).otherwise(none), rank, kind)
+        return _spans(F.when(_GUARDS[kind](F.col("text"), F.lower("text")), found).otherwise(none), rank, kind)
 
     for rank, (kind, pattern, least) in enumerate(BASE_KINDS):
         base = base.withColumn(kind, base_spans(rank, kind, pattern, least))
