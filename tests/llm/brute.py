@@ -126,6 +126,46 @@ def jaccard(rows, n=5, num=3, den=4):
     return [(i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near(a, b, k):
+    """edit_distance(a, b) <= k, without the table where ends alone decide."""
+    if abs(len(a) - len(b)) > k:
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return edit_distance(a, b) <= k
+
+
+def lines(rows, edits, min_chars):
+    """For each row, its number of lines and those that go."""
+    every = []
+    for r, (i, t) in enumerate(rows):
+        for k, x in enumerate((t or "").split("\n") if t is not None else []):
+            x = x.strip(" \t\r\x0b\x0c")
+            if len(x) >= min_chars:
+                every.append((float("inf") if i is None else i, k, x, r))
+    first = {}
+    for i, k, x, _ in every:
+        first[x] = min(first.get(x, (i, k)), (i, k))
+    texts = sorted(first)
+    behind = {x for x in texts for y in texts if x != y and first[y] < first[x] and near(x, y, edits)}
+    gone = [set() for _ in rows]
+    for i, k, x, r in every:
+        if x in behind or first[x] < (i, k):
+            gone[r].add(k)
+    return [(i, 0 if t is None else len(t.split("\n")), len(g), ",".join(map(str, sorted(g)))) for (i, t), g in zip(rows, gone)]
+
+
 #: Rows that any operator must stand: nulls, empty and odd texts, repeated rows.
 ODD_TEXTS = [
     None, "", " ", "\n\n", "one", "one two three four", "İstanbul ÉÈ Éa éa K x", "a  b\tc\x0bd\x0ce\r\nf", "a b c d e f g h i j " * 200,

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from framelake.llm import components, jaccard_join, substring
+from framelake.llm import components, jaccard_join, line_dedup, substring
 
 from . import brute
 
@@ -65,3 +65,49 @@ def test_components(spark):
     got = {tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     alone = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
     assert got == {(x, find(x)) for x in parent if x not in alone}
+
+
+def edited_lines(seed, edits):
+    rng = random.Random(seed)
+    letters = "abcdé ü"
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(12, 40))) for _ in range(12)]
+    out = []
+    for _ in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, edits + 1)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1, 1])] = [rng.choice(letters)] * rng.choice([0, 1, 1])
+        out.append("".join(t))
+    return ["\n".join(rng.sample(out, 3)) for _ in range(60)]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines(spark, rows, docs, edits):
+    more = [(40_000 + k, t) for k, t in enumerate(edited_lines(edits, edits))]
+    some = rows[:60] + rows[-20:] + more
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in some], "doc_id long, text string, line string, mark int").repartition(3)
+    got = line_dedup.dedup_lines(df, edits=edits, min_chars=10).drop("mark").collect()
+    assert Counter(map(tuple, got)) == Counter(brute.lines(some, edits, 10))
+    if edits == 1:
+        gone = Counter(brute.lines(some, edits, 10))
+        left = line_dedup.without_lines(df, edits=edits, min_chars=10).collect()
+        assert len(left) == len(some) and left[0].asDict().keys() == {"doc_id", "text", "line", "mark"}
+        texts = {(i, t): {int(x) for x in d.split(",") if x} for (i, t), (_, _, _, d) in zip(some, brute.lines(some, edits, 10))}
+        want = Counter((i, t if not g else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g)) for (i, t), g in ((key, texts[key]) for key in some))
+        assert Counter((r.doc_id, r.text) for r in left) == want and sum(gone.values()) == len(some)
+
+
+def test_lines_of_nothing(docs):
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_band(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abü") for _ in range(n))
+    pairs = [(a, b) for _ in range(400) for a in [word(rng.randint(0, 14))] for b in [word(rng.randint(0, 14)) if rng.random() < 0.4 else a[: rng.randint(0, 14)] + word(rng.randint(0, 2)) + a[rng.randint(0, 14) :]]]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for edits in (1, 2, 4):
+        got = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
+        assert all(r.w == (brute.edit_distance(r.a, r.b) <= edits) for r in got)
