@@ -74,18 +74,18 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> Data
         spans = spans.unionByName(more)
     hits = spans.join(windows, ["size", "window"]).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.collect_set(F.struct("start", "size", "items"))).alias("hits"))
     same_text = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
-    return docs.join(hits, same_text, "left").select("doc_id", "text", "words", F.coalesce("hits", F.array().cast(_NO_HITS)).alias("hits"))
+    return docs.join(hits, same_text, "left").select("row", "doc_id", "text", "words", F.coalesce("hits", F.array().cast(_NO_HITS)).alias("hits"))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
-    """doc_id, text, words (lower-cased, in order) and hits (start, size, items of each place where a window of the benchmark occurs) of each row of docs.
+    """doc_id, text, words (lower-cased, in order) and hits (start, size, items of each place where a window of the benchmark occurs) of each row of docs, beside the row.
 
     A window is `window` consecutive words of an item; an item of fewer words, but some, is one window. Null and wordless texts have no words and no hits;
     an empty benchmark gives no hits. Rows that repeat are judged one by one.
     """
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, window)
-    base = docs.select("doc_id", "text", alnum_words(ascii_lower(F.col("text"))).alias("words"))
+    base = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", alnum_words(ascii_lower(F.col("text"))).alias("words"))
     rows = windows.limit(max_set + 1).collect()  # bounded: a larger benchmark isn't collected
     if not rows:
         return base.withColumn("hits", F.array().cast(_NO_HITS))
@@ -123,7 +123,8 @@ def clean_text(hits: DataFrame) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, max_set: int = MAX_SET) -> DataFrame:
-    """doc_id and the cleaned text: hit words are cut out; documents with more than drop_share of their words hit are gone. Others are as they were."""
+    """docs with hit words cut out of text; documents with more than drop_share of their words hit are gone. Other rows, and all other columns, are as they were."""
     hits = with_hits(docs, benchmark, window, max_set)
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1)))))
-    return hits.where((F.size("hits") == 0) | (n_hit <= drop_share * F.size("words"))).select("doc_id", clean_text(hits).alias("text"))
+    kept = hits.where((F.size("hits") == 0) | (n_hit <= drop_share * F.size("words")))
+    return kept.select(*[clean_text(hits).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

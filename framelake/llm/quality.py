@@ -15,6 +15,8 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_WORDS = 50
 #: Words whose cuts a worker keeps, at about 200 bytes each.
@@ -194,10 +196,25 @@ def measure(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> DataF
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _measure(batches, lambda: _Cuts(*paths)), _SCHEMA.format(id=kind))
 
 
+def good_documents(docs: DataFrame, paths: tuple[str, str, str] | None = None, bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    paths = paths or _default_paths()
+    schema = T._parse_datatype_string(_SCHEMA.split(", ", 1)[1])
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = _Cuts(*paths)
+        for b in batches:
+            if b.num_rows:
+                own = pa.Table.from_batches(_measure(iter([b]), lambda: cuts)).drop_columns(["doc_id"]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*b.columns, *(c.chunk(0) for c in own.columns)], [*b.schema.names, *(f"measured {n}" for n in own.column_names)])
+
+    held = docs.mapInArrow(beside, T.StructType([*docs.schema.fields, *(T.StructField(f"measured {f.name}", f.dataType) for f in schema.fields)]))
+    row = held.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`measured {f.name}`").alias(f.name) for f in schema.fields])
+    return judge(row, bands).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def judge(measured: DataFrame, bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS) -> DataFrame:
     """base_failed and kept beside the statistics: kept if the base rules hold and every fertility lies in the band of the text's script."""
-    from pyspark.sql import functions as F
-
     fits = F.lit(True)
     for script, own in bands.items():
         inside = F.lit(True)
