@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import detection, tables, tracking
+
+QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL

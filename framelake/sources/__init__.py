@@ -1 +1 @@
-"""Spark-native analytics for annotation, prediction and tracking tables."""
+"""Readers and writers of annotation and prediction documents."""

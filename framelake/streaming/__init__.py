@@ -1 +1 @@
-"""Spark-native analytics for annotation, prediction and tracking tables."""
+"""Stateful streams over frames of keyed objects."""
