@@ -7,7 +7,7 @@ T = ceil(t * n) of them. So:
    with fewer than T shared shingles links with nothing but its equals, and leaves: most do.
 2. The others order their shared shingles from the rarest on. The inverted lists of the last ones that are long (at most T - 1 of them) are set aside; the rest are
    merged. A set's equals are one class throughout, and each class is one node.
-3. First links, linear in the length of all lists: in each list every node meets the list's least node, and meetings add up to a lower bound of the overlap.
+3. First links, linear in the length of all lists: in each list every node meets a few hubs of the list, and meetings add up to a lower bound of the overlap.
    Groups of near copies fall into components here.
 4. Merging: in each merged list, pairs of nodes from different components meet; counts over all lists that reach the required overlap are links.
 5. Probing: where the count alone falls short but could reach it in the long lists, the two sets are compared by binary search.
@@ -82,7 +82,6 @@ def _rows_of(begin: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 _STATE = "doc_id {id}, n long, node long, merged binary, far binary"
-_POSTING = "bucket int, hashes binary, nodes binary, sizes binary, extra binary"
 
 
 def _searched(docs: DataFrame, words: int, t: Fraction, long_list: int) -> DataFrame:
@@ -157,112 +156,172 @@ def _searched(docs: DataFrame, words: int, t: Fraction, long_list: int) -> DataF
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(search, _STATE.format(id=id_type))
 
 
-def _postings(nodes: DataFrame, columns: list[str], n_buckets: int, extra: str | None = None) -> DataFrame:
-    """Inverted lists by ranges of hashes: for each batch of nodes(node, n, <blobs>), and bucket, (hash, node, n[, extra]) as planes."""
+_POSTING = "bucket int, hashes binary, who binary, nodes binary, sizes binary, asides binary, components binary"
+_MEETING = "bucket int, a binary, b binary, size_a binary, size_b binary, aside binary, shared binary"
+#: Numbers that order nodes anew for each hub of a list.
+_HUBS = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Meetings that a task holds before it adds them up.
+_HELD = 4_000_000
+
+
+def _coded(columns: dict[str, list]) -> dict:
+    return {k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in columns.items()}
+
+
+def _postings(nodes: DataFrame, columns: list[str], n_buckets: int) -> DataFrame:
+    """Inverted lists of nodes(node, n, aside, component, <blobs of hashes>) by ranges of hashes: for each batch and bucket its hashes, and who holds each, as a
+    number among the batch's nodes, which stand beside them."""
 
     def post(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             blobs = [[from_planes(x, np.uint64) for x in b.column(c).to_pylist()] for c in columns]
             per_row = [np.concatenate(x) for x in zip(*blobs, strict=True)]
-            if not per_row:
-                continue
-            counts = np.array([len(x) for x in per_row])
-            hashes = np.concatenate(per_row)
-            spread = lambda name, kind: np.repeat(b.column(name).to_numpy(zero_copy_only=False).astype(kind), counts)
-            arrays = [hashes, spread("node", np.int64), spread("n", np.int32), spread(extra, np.int64) if extra else np.zeros(len(hashes), np.int8)]
-            order = np.argsort(hashes, kind="stable")
-            arrays = [a[order] for a in arrays]
-            cuts = parts.bucket_cuts(arrays[0], n_buckets, 64)
-            own = [k for k in range(n_buckets) if cuts[k] < cuts[k + 1]]
-            code = [sorted_planes, planes, planes, planes]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), *(pa.array([c(a[cuts[k] : cuts[k + 1]]) for k in own], pa.binary()) for c, a in zip(code, arrays, strict=True))],
-                ["bucket", "hashes", "nodes", "sizes", "extra"],
-            )
+            hashes, who = np.concatenate(per_row), np.repeat(np.arange(len(per_row), dtype=np.uint32), [len(x) for x in per_row])
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            about = [b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "aside", "component")]
+            rows: dict[str, list] = {name.split()[0]: [] for name in _POSTING.split(", ")}
+            for k in np.flatnonzero(np.diff(cuts)):
+                own = order[cuts[k] : cuts[k + 1]]
+                here, local = np.unique(who[own], return_inverse=True)
+                data = (hashes[own], local.astype(np.uint32), *(x[here] for x in about))
+                for name, value in zip(rows, (int(k), *map(planes, data)), strict=True):
+                    rows[name].append(value)
+            yield pa.RecordBatch.from_pydict(_coded(rows))
 
     return nodes.mapInArrow(post, _POSTING)
 
 
-def _lists(p: pa.Table, extra: bool = False):
-    """All postings of a bucket by (hash, node), each once."""
-    h = np.concatenate([from_sorted_planes(x) for x in p.column("hashes").to_pylist()])
-    node = np.concatenate([from_planes(x, np.int64) for x in p.column("nodes").to_pylist()])
-    n = np.concatenate([from_planes(x, np.int32) for x in p.column("sizes").to_pylist()])
-    e = np.concatenate([from_planes(x, np.int64) for x in p.column("extra").to_pylist()]) if extra else np.zeros(len(h), np.int64)
-    order = np.lexsort((node, h))
-    h, node, n, e = h[order], node[order], n[order], e[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
-    return h[new], node[new], n[new], e[new]
-
-
-def _summed(a, b, size_a, size_b) -> pa.Table:
-    """Pairs with how often they stand in the arrays."""
-    order = np.lexsort((b, a))
-    a, b, size_a, size_b = a[order], b[order], size_a[order], size_b[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    times = np.diff(np.concatenate([first, [len(a)]]))
-    return pa.table({"a": a[first], "b": b[first], "size_a": pa.array(size_a[first], pa.int32()), "size_b": pa.array(size_b[first], pa.int32()), "shared": pa.array(times, pa.int32())})
-
-
-_MEET = "a long, b long, size_a int, size_b int, shared int"
-#: Pairs that a task holds before it adds them up.
-_HELD = 4_000_000
+def _lists(p: pa.Table):
+    """The lists of a bucket: hashes and their nodes' numbers, each pair once, by (hash, number); and of each number: node, n, aside and component."""
+    kinds = (("hashes", np.uint64), ("who", np.uint32), ("nodes", np.int64), ("sizes", np.int32), ("asides", np.int32), ("components", np.int64))
+    h, who, *about = ([from_planes(x, kind) for x in p.column(name).to_pylist()] for name, kind in kinds)
+    before = np.cumsum([0, *map(len, about[0])])
+    who = np.concatenate([w.astype(np.int64) + k for w, k in zip(who, before, strict=False)])
+    node, *about = (np.concatenate(x) for x in about)
+    _, first, number = np.unique(node, return_index=True, return_inverse=True)  # parts may each have sent a class
+    h, who = np.concatenate(h), number[who]
+    order = np.lexsort((who, h))
+    h, who = h[order], who[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])
+    return h[new], who[new], (node[first], *(x[first] for x in about))
+
+
+class _Meetings:
+    """Pairs of numbers, added up now and then, and sent by a hash of the pair."""
+
+    def __init__(self, n: int):
+        self.n, self.held, self.waiting = n, [], 0
+        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.held.append(np.minimum(i, j) * self.n + np.maximum(i, j))
+        self.waiting += len(i)
+        if self.waiting > _HELD:
+            self.sum()
+
+    def sum(self) -> None:
+        if not self.held:
+            return
+        keys, times = np.unique(np.concatenate(self.held), return_counts=True)
+        keys, times = np.concatenate([self.keys, keys]), np.concatenate([self.times, times])
+        order = np.argsort(keys, kind="stable")
+        first, _ = parts.groups(keys[order])
+        self.keys, self.times = keys[order][first], np.add.reduceat(times[order], first) if len(first) else times
+        self.held, self.waiting = [], 0
+
+    def sent(self, about: tuple, n_buckets: int) -> pa.Table:
+        self.sum()
+        i, j = self.keys // self.n, self.keys % self.n
+        node, size, aside, _ = about
+        a, b = node[i], node[j]
+        bucket = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        columns = (a, b, size[i], size[j], np.maximum(aside[i], aside[j]), self.times.astype(np.int32))
+        rows: dict[str, list] = {name.split()[0]: [] for name in _MEETING.split(", ")}
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[k] : cuts[k + 1]]
+            for name, value in zip(rows, (int(k), *(planes(x[own]) for x in columns)), strict=True):
+                rows[name].append(value)
+        return pa.table(_coded(rows))
+
+
+def _meet_hubs(n_buckets: int):
+    """In each list, every node with the list's hubs: its first node in each of a few orders."""
 
+    def meet(p: pa.Table) -> pa.Table:
+        h, who, about = _lists(p)
+        first, size = parts.groups(h)
+        more = np.repeat(size > 1, size)
+        h, who = h[more], who[more]
+        met = _Meetings(len(about[0]))
+        if len(h):
+            first, size = parts.groups(h)
+            hubs: list[np.ndarray] = []
+            place = np.arange(len(h))
+            for turn in _HUBS:
+                rank = mix(about[0].view(np.uint64) + turn)[who]
+                order = np.lexsort((rank, h))
+                hub = np.repeat(order[first], size)
+                new = hub != place
+                for before in hubs:  # each pair once in a list
+                    new &= (hub != before) & (before != place)
+                hubs.append(hub)
+                at = np.flatnonzero(new)
+                met.add(who[hub[at]], who[at])
+        return met.sent(about, n_buckets)
 
-def _meet_least(p: pa.Table) -> pa.Table:
-    """In each list, every node with the least one."""
-    h, node, n, _ = _lists(p)
-    first, size = parts.groups(h)
-    head = np.repeat(first, size)
-    other = np.flatnonzero(head != np.arange(len(h)))
-    return _summed(node[head[other]], node[other], n[head[other]], n[other])
+    return meet
 
 
-def _meet_across(t: Fraction):
+def _meet_across(t: Fraction, n_buckets: int):
     """In each list, the pairs of nodes of different components whose sizes allow the threshold."""
 
     def meet(p: pa.Table) -> pa.Table:
-        h, node, n, component = _lists(p, extra=True)
-        order = np.lexsort((n, h))  # by size within a list: what a node may meet is a run
-        h, node, n, component = h[order], node[order], n[order], component[order]
+        h, who, about = _lists(p)
+        _, n, _, component = about
+        order = np.lexsort((n[who], h))  # by size within a list: what a node may meet is a run
+        h, who = h[order], who[order]
+        met = _Meetings(len(n))
         first, size = parts.groups(h)
+        of = component[who]
+        mixed = np.repeat(np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first), size)
         end = np.repeat(first + size, size)
-        mixed = np.repeat(np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first), size) if len(h) else np.zeros(0, bool)
-        found: list[pa.Table] = []
-        held: list[tuple] = []
-        waiting = 0
-
-        def put(flush: bool) -> None:
-            nonlocal waiting
-            if held and (flush or waiting > _HELD):
-                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-                swap = node[i] > node[j]
-                a, b = np.where(swap, j, i), np.where(swap, i, j)
-                found.append(_summed(node[a], node[b], n[a], n[b]))
-                held.clear()
-                waiting = 0
-
-        step = 0
-        live = np.flatnonzero(mixed & (np.arange(len(h)) + 1 < end))
+        live, step = np.flatnonzero(mixed), 0
         while len(live):
             step += 1
             live = live[live + step < end[live]]
-            live = live[n[live] * t.denominator >= n[live + step] * t.numerator]
-            across = live[component[live] != component[live + step]]
-            if len(across):
-                held.append((across, across + step))
-                waiting += len(across)
-                put(False)
-        put(True)
-        return pa.concat_tables(found) if found else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "size_a": pa.array([], pa.int32()), "size_b": pa.array([], pa.int32()), "shared": pa.array([], pa.int32())})
+            live = live[n[who[live]].astype(np.int64) * t.denominator >= n[who[live + step]].astype(np.int64) * t.numerator]
+            across = live[of[live] != of[live + step]]
+            met.add(who[across], who[across + step])
+        return met.sent(about, n_buckets)
 
     return meet
 
 
-def _needed(t: Fraction):
-    """The overlap that a pair needs, in exact integers: ceil(t * (a + b) / (1 + t))."""
-    p, q = t.numerator, t.numerator + t.denominator
-    return F.expr(f"cast(((cast(size_a as bigint) + size_b) * {p} + {q - 1}) div {q} as int)")
+def _decided(t: Fraction):
+    """Sums of meetings: pairs whose sum reaches the overlap that they need (sure), and those that could with the lists that were set aside."""
+
+    def decide(p: pa.Table) -> pa.Table:
+        kinds = (("a", np.int64), ("b", np.int64), ("size_a", np.int32), ("size_b", np.int32), ("aside", np.int32), ("shared", np.int32))
+        a, b, size_a, size_b, aside, shared = (np.concatenate([from_planes(x, kind) for x in p.column(name).to_pylist()]) for name, kind in kinds)
+        order = np.lexsort((b, a))
+        a, b, size_a, size_b, aside, shared = (x[order] for x in (a, b, size_a, size_b, aside, shared))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        total = np.add.reduceat(shared.astype(np.int64), first)
+        need = -(-(size_a[first].astype(np.int64) + size_b[first]) * t.numerator // (t.numerator + t.denominator))
+        sure = total >= need
+        kept = sure | (total + aside[first] >= need)
+        return pa.table({"a": a[first][kept], "b": b[first][kept], "size_a": size_a[first][kept], "size_b": size_b[first][kept], "sure": sure[kept]})
+
+    return decide
+
+
+_DECIDED = "a long, b long, size_a int, size_b int, sure boolean"
 
 
 def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, long_list: int = LONG_LIST) -> DataFrame:
@@ -274,25 +333,16 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     spark = docs.sparkSession
     n_buckets = parts.buckets(spark)
     state = written(_searched(docs, words, threshold, long_list), "shingle-state")
-    nodes = state.where("merged is not null").select("node", F.col("n").cast("int").alias("n"), "merged", "far")
-
-    meetings = _postings(nodes, ["merged", "far"], n_buckets).groupBy("bucket").applyInArrow(_meet_least, _MEET)
-    total = meetings.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
-    first_links = written(total.where(F.col("shared") >= _needed(threshold)).select("a", "b"), "first-links")
-
-    near = components(first_links)
-    placed = nodes.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    across = _postings(placed, ["merged"], n_buckets, "component").groupBy("bucket").applyInArrow(_meet_across(threshold), _MEET)
-    total = across.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
-    aside = nodes.groupBy("node").agg(F.max(F.octet_length("far") / 8).cast("int").alias("aside"))
-    met = written(total, "met")
-    sure = met.where(F.col("shared") >= _needed(threshold)).select("a", "b")
-    open_ = met.where(F.col("shared") < _needed(threshold))
-    for side in ("a", "b"):
-        open_ = open_.join(aside.select(F.col("node").alias(side), F.col("aside").alias(f"aside_{side}")), side)
-    open_ = open_.where(F.col("shared") + F.greatest("aside_a", "aside_b") >= _needed(threshold))
-    probed = _probe(open_, nodes, threshold)
-    links = first_links.unionByName(sure).unionByName(probed)
+    nodes = state.where("merged is not null").select("node", F.col("n").cast("int").alias("n"), (F.octet_length("far") / 8).cast("int").alias("aside"), "merged", "far")
+
+    hubs = _postings(nodes.withColumn("component", F.col("node")), ["merged", "far"], n_buckets).groupBy("bucket").applyInArrow(_meet_hubs(n_buckets), _MEETING)
+    first_links = written(hubs.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED).where("sure").select("a", "b"), "first-links")
+
+    placed = nodes.join(components(first_links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    across = _postings(placed, ["merged"], n_buckets).groupBy("bucket").applyInArrow(_meet_across(threshold, n_buckets), _MEETING)
+    met = written(across.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED), "met")
+    probed = _probe(met.where("not sure"), nodes, threshold)
+    links = first_links.unionByName(met.where("sure").select("a", "b")).unionByName(probed)
 
     classes = components(links)
     member = state.select("doc_id", "n", "node").join(classes, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
@@ -320,7 +370,11 @@ def _probe(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return held.select("a", "b", "size_a", "size_b", "s_a", "s_b").mapInArrow(search, "a long, b long")
 
 
+#: Ids, of 8 bytes each, that are broadcast to drop their documents; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 2_000_000
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The doc_ids to keep: the least of each component. Rows that repeat a doc_id share its fate."""
-    linked = link(docs, **how)
-    return linked.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
+    """docs without those that link to a document of smaller doc_id, near or through others. Rows that repeat a doc_id share its fate; rows without an id stay."""
+    gone = written(link(docs, **how).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone, "doc_id", "left_anti")
