@@ -22,10 +22,10 @@ MIN_WORDS = 50
 #: Words whose cuts a worker keeps, at about 200 bytes each.
 CACHED_WORDS = 400_000
 
-#: Rejection bands by script: (least, most) characters per token of the piece vocabulary and of the byte vocabulary, share of fallback bytes, and
-#: token entropy in bits. A text is rejected outside any of them. They are wide: prose of any topic and length from MIN_WORDS on lies inside.
+#: Rejection bands by script: (least, most) characters per token of the piece vocabulary and of the byte vocabulary, share of fallback bytes,
+#: token entropy in bits, and, where words stand apart, tokens per word. A text is rejected outside any of them. They are wide: prose of any topic and length from MIN_WORDS on lies inside.
 BANDS: dict[str, dict[str, tuple[float, float]]] = {
-    "latin": {"piece_chars": (1.4, 7.0), "byte_chars": (1.3, 8.0), "byte_share": (0.0, 0.10), "entropy": (5.0, 16.0)},
+    "latin": {"piece_chars": (1.4, 7.0), "byte_chars": (1.3, 8.0), "byte_share": (0.0, 0.10), "entropy": (5.0, 16.0), "fertility": (1.0, 3.5)},
     "cyrillic": {"piece_chars": (1.2, 6.0), "byte_chars": (0.6, 4.0), "byte_share": (0.0, 0.15), "entropy": (4.0, 16.0)},
     "greek": {"piece_chars": (0.7, 5.0), "byte_chars": (0.4, 3.0), "byte_share": (0.0, 0.60), "entropy": (3.5, 16.0)},
     "han": {"piece_chars": (0.3, 3.0), "byte_chars": (0.2, 2.0), "byte_share": (0.0, 0.85), "entropy": (4.0, 16.0)},
@@ -43,7 +43,7 @@ SCRIPTS = [
 _SPACE = " \t\n\x0b\x0c\r"
 _SCHEMA = (
     "doc_id {id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, piece_chars double,"
-    " byte_chars double, byte_share double, entropy double"
+    " byte_chars double, byte_share double, entropy double, fertility double"
 )
 
 
@@ -179,6 +179,7 @@ def _measured(doc_ids: pa.Array, texts: list[str], cuts: _Cuts) -> pa.RecordBatc
         "byte_chars": word_chars / np.maximum(byte_tokens, 1),
         "byte_share": fallback / some,
         "entropy": np.where(tokens > 0, np.log2(some) - sum_c / some, 0.0),
+        "fertility": tokens / np.maximum(n_words, 1),
     }
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
