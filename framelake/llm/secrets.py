@@ -22,14 +22,14 @@ _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 #: Kinds in their order, pattern, least length, and whether the length is that of the second group.
 BASE_KINDS = [
     ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
-    ("access", r"(AKIA[A-Z0-9]+)", 16),
-    ("hex", r"([0-9a-f]+)", 32),
+    ("access", r"(AKIA[A-Z0-9]{12,})", 16),  # a run of the class is one match, so the length may stand in the pattern
+    ("hex", r"([0-9a-f]{32,})", 32),
 ]
 #: What a text must hold for a kind to be looked for at all: cheap, and never false where the kind matches.
 _GUARDS = {
-    "assign": lambda text, low: (low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key")) & (text.contains("=") | text.contains(":")),
-    "access": lambda text, low: text.contains("AKIA"),
-    "hex": lambda text, low: text.rlike("[0-9a-f]{32}"),
+    "assign": lambda text: (text.contains("=") | text.contains(":")) & let(F.lower(text), lambda low: low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key")),
+    "access": lambda text: text.contains("AKIA"),
+    "hex": lambda text: text.rlike("[0-9a-f]{32}"),
 }
 
 #: Character classes of candidate strings: name, pattern of a maximal run, its alphabet, window, least entropy in bits.
@@ -101,13 +101,13 @@ def scan_secrets(docs: DataFrame, classes: Sequence[tuple] = CLASSES, allow_list
     start, then kind, joined by commas. Rows that repeat are judged one by one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = text.rlike(f"[{_OPEN}{_CLOSE}]")
+    marked = text.contains(_OPEN) | text.contains(_CLOSE)
     base = docs.select("doc_id", F.when(marked, F.translate(text, _OPEN + _CLOSE, _OTHER * 2)).otherwise(text).alias("text"))
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
 
     def base_spans(rank: int, kind: str, pattern: str, least: int) -> Column:
         found = F.filter(_matches(F.col("text"), pattern), lambda m: F.length(F.regexp_extract(m["s"], pattern, 1)) >= least)
-        return _spans(F.when(_GUARDS[kind](F.col("text"), F.lower("text")), found).otherwise(none), rank, kind)
+        return _spans(F.when(_GUARDS[kind](F.col("text")), found).otherwise(none), rank, kind)
 
     for rank, (kind, pattern, least) in enumerate(BASE_KINDS):
         base = base.withColumn(kind, base_spans(rank, kind, pattern, least))
