@@ -134,3 +134,73 @@ def mask_box(counts: pd.Series, h: pd.Series) -> pd.Series:
 def mask_area(counts):
     """Native: every second run."""
     return F.aggregate(F.filter(counts, lambda _, i: i % 2 == 1), F.lit(0).cast("long"), lambda a, c: a + c)
+
+
+def dilated(mask: np.ndarray, size: int) -> np.ndarray:
+    """A square kernel of odd size, one axis after the other."""
+    out = np.asarray(mask, bool)
+    for axis in (0, 1):
+        grown = out.copy()
+        for k in range(1, size // 2 + 1):
+            for sign in (k, -k):
+                moved = np.roll(out, sign, axis)
+                edge = [slice(None)] * 2
+                edge[axis] = slice(0, k) if sign > 0 else slice(-k, None)
+                moved[tuple(edge)] = False
+                grown |= moved
+        out = grown
+    return out
+
+
+def boundary_f(found: np.ndarray, truth: np.ndarray, tolerance: int) -> float:
+    """F measure of boundaries that match within a tolerance in pixels; 1 if both are empty, 0 if one is."""
+    a, b = boundary(found), boundary(truth)
+    if not a.any() or not b.any():
+        return float(a.any() == b.any())
+    near = lambda m: dilated(m, 2 * tolerance + 1)
+    precision, recall = (a & near(b)).sum() / a.sum(), (b & near(a)).sum() / b.sum()
+    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """Labels, from 1 in order of the first pixel, of the 8-connected parts of a mask: least neighbouring labels spread until they stand."""
+    m = np.asarray(mask, bool)
+    big = m.size + 1
+    labels = np.where(m, np.arange(1, m.size + 1).reshape(m.shape), big)
+    while True:
+        padded = np.pad(labels, 1, constant_values=big)
+        least = np.min([padded[i : i + m.shape[0], j : j + m.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        least = np.where(m, least, big)
+        least = np.where(m, np.minimum(least, least.reshape(-1)[np.minimum(least, m.size) - 1]), big)
+        if (least == labels).all():
+            return np.where(m, np.unique(np.where(m, labels, 0), return_inverse=True)[1].reshape(m.shape) + (0 if (~m).any() else 1), 0)
+        labels = least
+
+
+@F.pandas_udf(_RUNS)
+def mask_union(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Of each row's array of masks (runs over one size), the runs of their union."""
+
+    def union(masks) -> list[int]:
+        total = sum(int(x) for x in masks[0])
+        step = np.zeros(total + 1, np.int32)
+        for counts in masks:
+            ends = np.cumsum(counts)
+            np.add.at(step, ends[0::2][: len(ends) // 2], 1)
+            np.add.at(step, ends[1::2], -1)
+        return encode((np.cumsum(step)[:-1] > 0)[None, :])
+
+    for rows in batches:
+        yield rows.map(union)
+
+
+@F.pandas_udf(T.DoubleType())
+def mask_boundary_f(found: pd.Series, truth: pd.Series, h: pd.Series, w: pd.Series, tolerance: pd.Series) -> pd.Series:
+    return pd.Series([boundary_f(decode(a, int(r), int(c)), decode(b, int(r), int(c)), int(t)) for a, b, r, c, t in zip(found, truth, h, w, tolerance, strict=True)])
+
+
+def polygon_area(xs, ys):
+    """Native: half the absolute sum of cross products around arrays of corners."""
+    n = F.size(xs)
+    turn = lambda i: F.get(xs, i) * F.get(ys, (i + 1) % n) - F.get(xs, (i + 1) % n) * F.get(ys, i)
+    return F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), turn), F.lit(0.0), lambda a, v: a + v)) / 2

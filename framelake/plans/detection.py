@@ -168,6 +168,19 @@ def mask_overlap(spark, d):
     return both.select("image_id", "a", "b", "inter", r6(F.col("inter") / F.greatest(union, F.lit(1))).alias("mask_iou"))
 
 
+def polygon_areas(spark, d):
+    """Areas of the pentagons that boxes with a cut corner are."""
+    o = objects(spark, d)
+    x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    return o.select("image_id", "obj", r6(masks.polygon_area(F.array(x, x + w, x + w, x + w / 2, x), F.array(y, y, y + h / 2, y + h, y + h))).alias("area"))
+
+
+def image_semantic_masks(spark, d):
+    """The union of an image's masks: its area."""
+    o = detections(spark, d).withColumn("counts", masks.box_mask(F.floor("x0"), F.floor("y0"), F.floor("x1"), F.floor("y1"), F.lit(HEIGHT), F.lit(WIDTH)))
+    return o.groupBy("image_id").agg(F.collect_list("counts").alias("all")).select("image_id", masks.mask_area(masks.mask_union("all")).alias("area"))
+
+
 _MASKS_SQL = f"""{GT_SQL},
 m AS (SELECT image_id, obj, greatest(floor(x0), 0) AS a0, greatest(floor(y0), 0) AS b0, least(floor(x1), {WIDTH}) AS a1, least(floor(y1), {HEIGHT}) AS b1 FROM dt)"""
 
@@ -192,10 +205,14 @@ QUERIES = {
     "category_average_precision": category_average_precision,
     "mask_table": mask_table,
     "mask_overlap": mask_overlap,
+    "polygon_areas": polygon_areas,
+    "image_semantic_masks": image_semantic_masks,
 }
 
+_POLYGON = "SELECT image_id, obj, round(w * h - (w / 2) * (h / 2) / 2, 6) AS area FROM objs"
 _CLIP = "least(greatest({}, 0), {})"
 ORACLE_SQL = {
+    "polygon_areas": f"WITH {OBJECTS_SQL} {_POLYGON}",
     "category_match_recall": f"""WITH {_PAIRS_SQL}, best AS (SELECT image_id, gt, max(iou) AS best FROM pairs GROUP BY ALL)
         SELECT g.category_id, count(*) AS n_gt, CAST(sum(CASE WHEN round(best * 100, 6) >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_matched
         FROM gt g LEFT JOIN best b ON g.image_id = b.image_id AND g.obj = b.gt GROUP BY g.category_id""",

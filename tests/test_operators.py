@@ -93,6 +93,32 @@ def test_runs_of_masks():
     assert masks.from_string(masks.to_string(long)) == long
 
 
+def test_mask_shapes(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        h, w = (int(x) for x in rng.integers(2, 9, 2))
+        m = rng.random((h, w)) < 0.45
+        labels, seen = masks.components(m), np.zeros((h, w), int)
+        n = 0
+        for i in range(h):
+            for j in range(w):
+                if m[i, j] and not seen[i, j]:
+                    n += 1
+                    stack = [(i, j)]
+                    while stack:
+                        a, b = stack.pop()
+                        if 0 <= a < h and 0 <= b < w and m[a, b] and not seen[a, b]:
+                            seen[a, b] = n
+                            stack += [(a + x, b + y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+        assert (labels == seen).all()
+        grown = masks.dilated(m, 3)
+        assert all(grown[i, j] == m[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2].any() for i in range(h) for j in range(w))
+        assert masks.boundary_f(m, m, 1) == 1.0
+    both = [rng.random((6, 5)) < 0.4 for _ in range(3)]
+    df = spark.createDataFrame([([masks.encode(x) for x in both],)], "all array<array<int>>")
+    assert (masks.decode(df.select(masks.mask_union("all").alias("u")).first().u, 6, 5) == (both[0] | both[1] | both[2])).all()
+
+
 def test_box_identities(spark):
     rng = np.random.default_rng(3)
     rows = [tuple(map(float, v)) for v in rng.integers(0, 30, (200, 8))]
