@@ -67,26 +67,37 @@ def classification_gated_f1(counts: DataFrame) -> DataFrame:
 
 
 ALPHAS = [k / 20 for k in range(1, 20)]
+_CLOSE = 2.220446049250313e-16
 
 
-def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:
-    """HOTA and its parts for each sequence and alpha: gt(seq, t, gt), trk(seq, t, dt), sim(seq, t, gt, dt, iou) of overlapping pairs.
+def _track_sizes(gt: DataFrame, trk: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    return gt.groupBy(*group, "gt").agg(F.count("*").alias("n_gt")), trk.groupBy(*group, "dt").agg(F.count("*").alias("n_dt"))
+
 
-    Tracks are aligned over the whole sequence first: each frame's overlaps, over what they share with others, are added up and divided by the frames of both. In
-    each frame the assignment of the largest alignment * overlap is taken; it counts at an alpha if its overlap reaches it.
+def aligned_matches(sim: DataFrame, n_gt: DataFrame, n_dt: DataFrame, group: Sequence[str]) -> DataFrame:
+    """group, t, gt, dt and iou of each frame's assignment of the largest alignment * overlap: sim(group, t, gt, dt, iou) of overlapping pairs.
+
+    The alignment of two tracks adds up, over all frames of the group, their overlap over what both share with others, divided by the frames of both.
     """
-    frame = ["seq", "t"]
+    frame = [*group, "t"]
     rows = F.sum("iou").over(Window.partitionBy(*frame, "gt"))
     columns = F.sum("iou").over(Window.partitionBy(*frame, "dt"))
     shared = F.when(rows + columns - F.col("iou") > 1e-12, F.col("iou") / (rows + columns - F.col("iou"))).otherwise(0.0)
-    potential = sim.withColumn("p", shared).groupBy("seq", "gt", "dt").agg(F.sum("p").alias("p"))
-    n_gt = gt.groupBy("seq", "gt").agg(F.count("*").alias("n_gt"))
-    n_dt = trk.groupBy("seq", "dt").agg(F.count("*").alias("n_dt"))
-    aligned = potential.join(n_gt, ["seq", "gt"]).join(n_dt, ["seq", "dt"]).withColumn("align", F.col("p") / (F.col("n_gt") + F.col("n_dt") - F.col("p")))
-    scored = sim.join(aligned.select("seq", "gt", "dt", "align"), ["seq", "gt", "dt"]).withColumn("value", F.col("align") * F.col("iou"))
-    matched = optimal(scored, frame, "value").join(sim, [*frame, "gt", "dt"]).select(*frame, "gt", "dt", "iou")
+    potential = sim.withColumn("p", shared).groupBy(*group, "gt", "dt").agg(F.sum("p").alias("p"))
+    aligned = potential.join(n_gt, [*group, "gt"]).join(n_dt, [*group, "dt"]).withColumn("align", F.col("p") / (F.col("n_gt") + F.col("n_dt") - F.col("p")))
+    scored = sim.join(aligned.select(*group, "gt", "dt", "align"), [*group, "gt", "dt"]).withColumn("value", F.col("align") * F.col("iou"))
+    return optimal(scored, frame, "value").join(sim, [*frame, "gt", "dt"]).select(*frame, "gt", "dt", "iou")
+
+
+def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:
+    """HOTA and its parts for each sequence and alpha: gt(seq, t, gt), trk(seq, t, dt), sim(seq, t, gt, dt, iou) of overlapping pairs.
+
+    Matches are those of aligned_matches(); one counts at an alpha if its overlap reaches it.
+    """
+    n_gt, n_dt = _track_sizes(gt, trk, ["seq"])
+    matched = aligned_matches(sim, n_gt, n_dt, ["seq"])
     levels = F.explode(F.array(*map(F.lit, ALPHAS))).alias("alpha")
-    hits = matched.select("*", levels).where(F.col("iou") >= F.col("alpha") - 2.220446049250313e-16)
+    hits = matched.select("*", levels).where(F.col("iou") >= F.col("alpha") - _CLOSE)
     pair = hits.groupBy("seq", "alpha", "gt", "dt").agg(F.count("*").alias("c"), F.sum(F.round("iou", 12)).alias("loc"))
     pair = pair.join(n_gt, ["seq", "gt"]).join(n_dt, ["seq", "dt"])
     c = F.col("c")
@@ -111,6 +122,46 @@ def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:
     return out.withColumn("hota", F.sqrt(F.col("det_a") * F.col("ass_a"))).withColumn("owta", F.sqrt(F.col("det_re") * F.col("ass_a")))
 
 
+def teta(gt: DataFrame, trk: DataFrame, sim: DataFrame, near: float = 0.5) -> DataFrame:
+    """TETA and its parts for each class: gt(seq, t, gt, cls), trk(seq, t, dt, cls), sim(seq, t, gt, dt, iou) of overlapping pairs.
+
+    Each class's ground truth is matched within its sequence to tracks of any class. Localisation counts at alphas 0 to 0.95, where a track is a false positive if it
+    lies near (IoU `near`) ground truth of the class and is not matched; classification counts matches at alphas from 0.5 on, a wrong class being a false positive of
+    the class that was predicted. Association is that of HOTA, weighted by true positives over sequences.
+    """
+    group = ["cls", "seq"]
+    own = sim.join(gt.select("seq", "t", "gt", "cls"), ["seq", "t", "gt"])
+    met = own.select("cls", "seq", "t", "dt").distinct()
+    n_gt, n_dt = _track_sizes(gt, met, group)
+    levels = F.explode(F.array(*[F.lit(k / 20) for k in range(20)])).alias("alpha")
+    predicted = trk.select("seq", "t", "dt", F.col("cls").alias("predicted"))
+    hits = aligned_matches(own, n_gt, n_dt, group).join(predicted, ["seq", "t", "dt"]).select("*", levels).where(F.col("iou") >= F.col("alpha") - _CLOSE)
+    close = own.where(F.col("iou") >= near).select(*group, "t", "dt").distinct().select("*", levels)
+    false = close.join(hits.select(*group, "t", "dt", "alpha"), [*group, "t", "dt", "alpha"], "left_anti").groupBy("cls", "alpha").agg(F.count("*").alias("loc_fp"))
+    right = F.when(F.col("cls") == F.col("predicted"), 1).otherwise(0)
+    pair = hits.groupBy(*group, "alpha", "gt", "dt").agg(F.count("*").alias("c"), F.sum(right).alias("right")).join(n_gt, [*group, "gt"]).join(n_dt, [*group, "dt"])
+    c = F.col("c")
+    per = pair.groupBy("cls", "alpha").agg(
+        F.sum("c").alias("loc_tp"), F.sum("right").alias("cls_tp"),
+        F.sum(c * c / (F.col("n_gt") + F.col("n_dt") - c)).alias("a"), F.sum(c * c / F.col("n_gt")).alias("re"), F.sum(c * c / F.col("n_dt")).alias("pr"),
+    )
+    wrong = hits.where((F.col("cls") != F.col("predicted")) & (F.col("alpha") >= 0.5 - _CLOSE)).groupBy(F.col("predicted").alias("cls"), "alpha").agg(F.count("*").alias("cls_fp"))
+    total = gt.groupBy("cls").agg(F.count("*").alias("n")).select("cls", "n", levels)
+    every = total.join(per, ["cls", "alpha"], "left").join(false, ["cls", "alpha"], "left").join(wrong, ["cls", "alpha"], "left").na.fill(0)
+    tp, fn, fp = F.col("loc_tp"), F.col("n") - F.col("loc_tp"), F.col("loc_fp")
+    one = lambda x: F.greatest(F.lit(1), x)
+    cls_fn = tp - F.col("cls_tp")
+    high = F.col("alpha") >= 0.5 - _CLOSE
+    mean = lambda x: F.avg(x)
+    out = every.groupBy("cls").agg(
+        mean(tp / one(tp + fn + fp)).alias("loc_a"), mean(tp / one(tp + fn)).alias("loc_re"), mean(tp / one(tp + fp)).alias("loc_pr"),
+        mean(F.col("a") / one(tp)).alias("assoc_a"), mean(F.col("re") / one(tp)).alias("assoc_re"), mean(F.col("pr") / one(tp)).alias("assoc_pr"),
+        mean(F.when(high, F.col("cls_tp") / one(F.col("cls_tp") + cls_fn + F.col("cls_fp")))).alias("cls_a"),
+        mean(F.when(high, F.col("cls_tp") / one(F.col("cls_tp") + cls_fn))).alias("cls_re"), mean(F.when(high, F.col("cls_tp") / one(F.col("cls_tp") + F.col("cls_fp")))).alias("cls_pr"),
+    )
+    return out.withColumn("teta", (F.col("loc_a") + F.col("assoc_a") + F.col("cls_a")) / 3)
+
+
 def combine_hota(parts: DataFrame) -> DataFrame:
     """Sequences into one row per alpha: counts are added, association is weighted by true positives, localisation too."""
     tp = F.sum("tp")

@@ -56,6 +56,16 @@ def hota_combined(spark, d):
     return metrics.combine_hota(_hota(spark, d)).select(r6(F.col("alpha")).alias("alpha"), "tp", "fn", "fp", *[r6(F.col(c)).alias(c) for c in ("det_a", "ass_a", "hota", "loc_a")])
 
 
+def teta_by_class(spark, d):
+    """Objects as frames of their video, with the status as class."""
+    side = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("category_id").alias(name), F.col("rf").alias("cls"), BOX.alias("box"), "score", "obj")
+    one = lambda df, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("seq", "t", name).orderBy("obj"))).where("_k = 1").withColumn("obj", F.col(name)).withColumn("iscrowd", F.lit(False))
+    gt, dt = one(side(ground_truth(spark, d), "gt"), "gt"), one(side(detections(spark, d), "dt"), "dt")
+    sim = overlapping(gt, dt, ["seq", "t"]).where("iou > 0").select("seq", "t", "gt", "dt", "iou")
+    out = metrics.teta(gt.select("seq", "t", "gt", "cls"), dt.select("seq", "t", "dt", "cls"), sim)
+    return out.select("cls", *[r6(F.col(c)).alias(c) for c in ("loc_a", "loc_re", "loc_pr", "assoc_a", "assoc_re", "assoc_pr", "cls_a", "cls_re", "cls_pr", "teta")])
+
+
 def count_metric(spark, d):
     gt, dt = ground_truth(spark, d), detections(spark, d)
     side = lambda df, n: df.groupBy("video_id").agg(F.count("*").alias(f"n_{n}"), F.countDistinct("category_id").alias(f"ids_{n}"), F.countDistinct("image_id").alias(f"frames_{n}"))
@@ -107,7 +117,7 @@ def processing_range(spark, d):
     return ahead.unionByName(back)
 
 
-QUERIES = {f.__name__: f for f in (frame_ranks, track_overlap, hota_by_sequence, hota_combined, count_metric, metric_rollup, group_means, consecutive_confirmation, keep_alive, hotstart_removals, nearest_conditions, strided_frames, least_loaded_workers, processing_range)}
+QUERIES = {f.__name__: f for f in (frame_ranks, track_overlap, hota_by_sequence, hota_combined, teta_by_class, count_metric, metric_rollup, group_means, consecutive_confirmation, keep_alive, hotstart_removals, nearest_conditions, strided_frames, least_loaded_workers, processing_range)}
 
 ORACLE_SQL = {
     "frame_ranks": f"WITH {OBJECTS_SQL} SELECT image_id, obj, video_id, CAST(dense_rank() OVER (PARTITION BY video_id ORDER BY day) - 1 AS BIGINT) AS frame FROM objs",

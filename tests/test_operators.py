@@ -57,6 +57,17 @@ def test_hota_by_hand(spark):
     assert (both.tp, both.fn, both.fp) == (4, 1, 0) and both.det_a == pytest.approx(0.8)
 
 
+def test_teta_by_hand(spark):
+    gt = [(0, t, 1, "a") for t in range(4)]
+    trk = [(0, t, 10 if t < 2 else 11, "a" if t < 3 else "b") for t in range(4)] + [(0, 0, 12, "a")]
+    sim = [(0, t, 1, 10 if t < 2 else 11, 1.0) for t in range(4)] + [(0, 0, 1, 12, 0.6)]
+    make = lambda rows, names: spark.createDataFrame(rows, names)
+    r = metrics.teta(make(gt, "seq long, t long, gt long, cls string"), make(trk, "seq long, t long, dt long, cls string"), make(sim, "seq long, t long, gt long, dt long, iou double")).first()
+    assert r.loc_a == pytest.approx(4 / 5) and r.loc_re == 1 and r.loc_pr == pytest.approx(4 / 5)  # track 12 is near, and not matched
+    assert (r.assoc_a, r.assoc_re, r.assoc_pr) == (0.5, 0.5, 1) and r.cls_a == 0.75 and r.cls_pr == 1
+    assert r.teta == pytest.approx((0.8 + 0.5 + 0.75) / 3)
+
+
 def test_suppression_at_the_threshold(spark):
     rows = [(0, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (0, 1, 0.8, 0.0, 0.0, 10.0, 5.0)]  # IoU is exactly 0.5
     df = spark.createDataFrame(rows, "image_id long, obj long, score double, x0 double, y0 double, x1 double, y1 double")
