@@ -9,14 +9,19 @@ from framelake.operators import assign, metrics, suppress
 
 from .views import GT_SQL, HEIGHT, INTER, OBJECTS_SQL, UNION, WIDTH, detections, ground_truth, objects
 
-BOX = boxes.box("x0", "y0", "x1", "y1")
+
+
+def _box():
+    return boxes.box("x0", "y0", "x1", "y1")
+
+
 IMAGE = ["image_id"]
 r6 = lambda c: F.round(c, 6)
 
 
 def _sides(spark, d):
-    gt = ground_truth(spark, d).withColumn("box", BOX)
-    dt = detections(spark, d).withColumn("box", BOX)
+    gt = ground_truth(spark, d).withColumn("box", _box())
+    dt = detections(spark, d).withColumn("box", _box())
     return gt, dt
 
 
@@ -40,21 +45,21 @@ def category_match_recall(spark, d):
 
 def box_formats(spark, d):
     o = objects(spark, d).withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + F.col("h"))
-    c, x = boxes.to_cxcywh(BOX), boxes.to_xywh(BOX)
-    k = boxes.clip(BOX, WIDTH, HEIGHT)
-    return o.select("image_id", "obj", c["cx"].alias("cx"), c["cy"].alias("cy"), x["w"].alias("bw"), x["h"].alias("bh"), boxes.area(BOX).alias("area"), r6(k["x1"] / WIDTH).alias("nx1"), r6(k["y1"] / HEIGHT).alias("ny1"), boxes.is_zero(BOX).alias("zero"))
+    c, x = boxes.to_cxcywh(_box()), boxes.to_xywh(_box())
+    k = boxes.clip(_box(), WIDTH, HEIGHT)
+    return o.select("image_id", "obj", c["cx"].alias("cx"), c["cy"].alias("cy"), x["w"].alias("bw"), x["h"].alias("bh"), boxes.area(_box()).alias("area"), r6(k["x1"] / WIDTH).alias("nx1"), r6(k["y1"] / HEIGHT).alias("ny1"), boxes.is_zero(_box()).alias("zero"))
 
 
 def box_transforms(spark, d):
     o = objects(spark, d).withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + F.col("h"))
-    crop, flip, scale, move = boxes.cropped(BOX, 100, 50, 320, 240), boxes.flipped(BOX, WIDTH), boxes.scaled(BOX, 0.5, 0.25), boxes.shifted(BOX, 8, 4)
-    grow = boxes.clip(boxes.about_centre(BOX, 1.5), WIDTH, HEIGHT)
+    crop, flip, scale, move = boxes.cropped(_box(), 100, 50, 320, 240), boxes.flipped(_box(), WIDTH), boxes.scaled(_box(), 0.5, 0.25), boxes.shifted(_box(), 8, 4)
+    grow = boxes.clip(boxes.about_centre(_box(), 1.5), WIDTH, HEIGHT)
     return o.select("image_id", "obj", *[crop[k].alias(f"crop_{k}") for k in ("x0", "y0", "x1", "y1")], flip["x0"].alias("flip_x0"), flip["x1"].alias("flip_x1"), scale["x1"].alias("scale_x1"), scale["y1"].alias("scale_y1"), move["x0"].alias("pad_x0"), move["y1"].alias("pad_y1"), r6(grow["x0"]).alias("grow_x0"), r6(grow["y1"]).alias("grow_y1"))
 
 
 def box_predicates(spark, d):
     o = objects(spark, d).withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + F.col("h"))
-    return o.select("image_id", "obj", boxes.near_boundary(BOX, WIDTH, HEIGHT).alias("near_boundary"), boxes.inside(BOX, WIDTH, HEIGHT, 10).alias("inside"), ((F.col("w") > 20) & (F.col("h") > 20)).alias("nonempty"))
+    return o.select("image_id", "obj", boxes.near_boundary(_box(), WIDTH, HEIGHT).alias("near_boundary"), boxes.inside(_box(), WIDTH, HEIGHT, 10).alias("inside"), ((F.col("w") > 20) & (F.col("h") > 20)).alias("nonempty"))
 
 
 def pair_overlap(spark, d):

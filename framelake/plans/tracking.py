@@ -11,7 +11,12 @@ from framelake.operators.assign import overlapping
 
 from .views import GT_SQL, INTER, OBJECTS_SQL, UNION, detections, ground_truth, objects, table
 
-BOX = boxes.box("x0", "y0", "x1", "y1")
+
+
+def _box():
+    return boxes.box("x0", "y0", "x1", "y1")
+
+
 r6 = lambda c: F.round(c, 6)
 
 
@@ -32,7 +37,7 @@ def frame_ranks(spark, d):
 def track_overlap(spark, d):
     """Overlap of tracks in a video over the frames in which both stand: sums of intersections over sums of unions."""
     o = ground_truth(spark, d).withColumn("track", F.col("part") % 12).withColumn("day", F.date_trunc("month", "day"))
-    own = o.groupBy("video_id", "track", "day").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]).withColumn("box", BOX)
+    own = o.groupBy("video_id", "track", "day").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]).withColumn("box", _box())
     a = own.select("video_id", "day", F.col("track").alias("a"), F.col("box").alias("ba"))
     b = own.select("video_id", "day", F.col("track").alias("b"), F.col("box").alias("bb"))
     both = a.join(b, ["video_id", "day"]).where("a < b")
@@ -41,7 +46,7 @@ def track_overlap(spark, d):
 
 
 def _hota(spark, d):
-    keyed = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("obj"), F.col("category_id").alias(name), BOX.alias("box"), "score")
+    keyed = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("obj"), F.col("category_id").alias(name), _box().alias("box"), "score")
     one = lambda df, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("seq", "t", name).orderBy("obj"))).where("_k = 1").withColumn("obj", F.col(name)).withColumn("iscrowd", F.lit(False))
     gt, dt = one(keyed(ground_truth(spark, d), "gt"), "gt"), one(keyed(detections(spark, d), "dt"), "dt")
     sim = overlapping(gt, dt, ["seq", "t"]).where("iou > 0").select("seq", "t", "gt", "dt", "iou")
@@ -58,7 +63,7 @@ def hota_combined(spark, d):
 
 def teta_by_class(spark, d):
     """Objects as frames of their video, with the status as class."""
-    side = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("category_id").alias(name), F.col("rf").alias("cls"), BOX.alias("box"), "score", "obj")
+    side = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("category_id").alias(name), F.col("rf").alias("cls"), _box().alias("box"), "score", "obj")
     one = lambda df, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("seq", "t", name).orderBy("obj"))).where("_k = 1").withColumn("obj", F.col(name)).withColumn("iscrowd", F.lit(False))
     gt, dt = one(side(ground_truth(spark, d), "gt"), "gt"), one(side(detections(spark, d), "dt"), "dt")
     sim = overlapping(gt, dt, ["seq", "t"]).where("iou > 0").select("seq", "t", "gt", "dt", "iou")
