@@ -180,3 +180,26 @@ def test_annotation_documents(spark, tmp_path):
     documents.write_predictions(p, str(tmp_path / "p"))
     back = documents.read_predictions(spark, str(tmp_path / "p")).first()
     assert back.bbox[0] == 0.12346 and back.score == 0.98765
+
+
+def test_sessions(spark, tmp_path):
+    import random
+
+    from framelake.streaming.sessions import apply_command, run_sessions
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(4), k, rng.choice(["start", "add", "add", "add", "remove", "propagate", "reset", "close", "other"]), rng.choice("abc")) for k in range(200)]
+    schema = "session long, seq long, command string, object string"
+    out: list = []
+    for part in range(2):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = run_sessions(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: out.extend(df.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+    states: dict = {}
+    want = {}
+    for session, seq, command, name in rows:
+        states[session], ok, number = apply_command(states.get(session), command, name)
+        want[seq] = (session, ok, number, len(states[session][1]) if states[session] else 0)
+    assert {r.seq: (r.session, r.ok, r.number, r.n_objects) for r in out} == want
+    assert any(ok for _, ok, _, _ in want.values()) and not all(ok for _, ok, _, _ in want.values())
