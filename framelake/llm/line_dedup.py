@@ -2,7 +2,8 @@
 
 Lines that lie within `edits` edits of an earlier line go. Of two such lines, the shorter one, cut into edits + 1 segments, has a segment that stands unchanged in
 the longer one, near its own place. Each distinct line is indexed under the hashes of (length, segment number, segment), and probes, for its own and each shorter
-length that is near enough, the substrings that can be such a segment (multi-match-aware positions). Pairs that meet are verified on their texts: what both begin
+length that is near enough, the substrings that can be such a segment (multi-match-aware positions). Lines that meet but differ in too many words, by a parity of
+their words, part again in the join itself. The other pairs are verified on their texts: what both begin
 and end with is cut off, and the rest is compared in a band of 2 * edits + 1 diagonals, held as bits of one integer.
 
 All is DataFrame expressions. Exact copies of a line are one row before lines meet, so a line that many documents share meets nothing more often than any other.
@@ -64,6 +65,12 @@ def _probe_keys(text: Column, edits: int) -> list[Column]:
     return out
 
 
+#: For each word of a line, one of 64 bits is turned. An edit takes away or adds at most three words in all (a space that joins or parts two), so lines within
+#: `edits` edits differ in at most three times as many bits.
+_WORD_PARITY = "aggregate(split(text, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))"
+_BITS_PER_EDIT = 3
+
+
 def _common(a: Column, b: Column, most: Column) -> Column:
     """How many characters both begin with, by halving steps; most: no more than these."""
     steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
@@ -133,12 +140,13 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     occurrences = lines_of(docs, min_chars)
     text = F.col("text")
     n_index, probes = edits + 1, _probe_keys(text, edits)
-    keyed = occurrences.select("order_id", "line_no", "line", *[k.alias(f"k{i}") for i, k in enumerate([*_index_keys(text, edits), *probes])])
+    keyed = occurrences.select("order_id", "line_no", "line", F.expr(_WORD_PARITY).alias("parity"), *[k.alias(f"k{i}") for i, k in enumerate([*_index_keys(text, edits), *probes])])
     keys = [f"k{i}" for i in range(n_index + len(probes))]
-    distinct = written(keyed.groupBy("line", *keys).agg(F.min(F.struct("order_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
+    distinct = written(keyed.groupBy("line", "parity", *keys).agg(F.min(F.struct("order_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
 
-    of = lambda names, as_: distinct.select(F.col("line").alias(as_), F.explode(F.array(*names)).alias("key"))
-    meeting = of(keys[:n_index], "a").join(of(keys, "b"), "key").where("a <> b")
+    of = lambda names, as_: distinct.select(F.col("line").alias(as_), F.col("parity").alias(f"parity_{as_}"), F.explode(F.array(*names)).alias(f"key_{as_}"))
+    meets = (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= _BITS_PER_EDIT * edits)
+    meeting = of(keys[:n_index], "a").join(of(keys, "b"), meets)
     pairs = written(meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
