@@ -28,6 +28,21 @@ def greedy_suppress(df: DataFrame, keys: Sequence[str], threshold: float, strict
     return df.join(survivors, [*keys, tie], "left_semi")
 
 
+def greedy_suppress_pairs(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], score: str, name: str) -> DataFrame:
+    """nodes(keys, name, score) with `kept`: greedy suppression, best score first, where what overlaps too much is listed in pairs(keys, a, b), in either order.
+
+    Suppressed rows stay in the table. A native fold over each group's nodes and their pairs.
+    """
+    either = pairs.select(*keys, F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).alias("p")).unionByName(pairs.select(*keys, F.struct(F.col("b").cast("long").alias("a"), F.col("a").cast("long").alias("b")).alias("p")))
+    beaten_by = either.groupBy(*keys, F.col("p.a").alias(name)).agg(F.collect_set("p.b").alias("by"))
+    own = nodes.select(*keys, F.col(name).cast("long").alias(name), score).join(beaten_by, [*keys, name], "left")
+    row = F.struct((-F.col(score)).alias("neg"), F.col(name).alias("name"), F.coalesce("by", F.array().cast("array<bigint>")).alias("by"))
+    ordered = own.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kept = F.aggregate("rows", F.array().cast("array<bigint>"), lambda kept, r: F.when(F.arrays_overlap(kept, r["by"]), kept).otherwise(F.concat(kept, F.array(r["name"]))))
+    survivors = ordered.select(*keys, F.explode(kept).alias(name)).withColumn("kept", F.lit(True))
+    return nodes.join(survivors, [*keys, name], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFrame:
     """The k first rows of each group; all of `order` together must order a group's rows fully."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")

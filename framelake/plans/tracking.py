@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.functions import boxes
-from framelake.operators import metrics, sequences
+from framelake.operators import metrics, sequences, suppress
 from framelake.operators.assign import overlapping
 
 from .views import GT_SQL, INTER, OBJECTS_SQL, UNION, detections, ground_truth, objects, table
@@ -45,6 +45,22 @@ def track_overlap(spark, d):
     return both.groupBy("video_id", "a", "b").agg(F.count("*").alias("n_frames"), r6(F.sum(i) / F.sum(u)).alias("track_iou")).where("track_iou > 0")
 
 
+def track_suppression(spark, d):
+    """Tracks of a video after greedy suppression at a track IoU of 0.3; what goes stays in the table."""
+    o = ground_truth(spark, d).withColumn("track", F.col("part") % 12)
+    nodes = o.groupBy("video_id", "track").agg(F.round(F.sum(F.round(F.col("score") * 100).cast("long")) / F.count("*") / 100, 6).alias("score"))
+    pairs = track_overlap(spark, d).where("track_iou >= 0.3").select("video_id", "a", "b")
+    return suppress.greedy_suppress_pairs(nodes, pairs, ["video_id"], "score", "track").select("video_id", "track", "score", "kept")
+
+
+def frame_suppression(spark, d):
+    """Boxes of a video's frames after greedy suppression: those that go keep their row, without coordinates."""
+    o = sequences.frame_index(detections(spark, d), ["video_id"], ["day"]).withColumn("id", F.col("image_id") * 100 + F.col("obj"))
+    kept = suppress.greedy_suppress(o, ["video_id", "frame"], 0.3, strict=False, tie="id").select("video_id", "frame", "id").withColumn("kept", F.lit(True))
+    out = o.join(kept, ["video_id", "frame", "id"], "left")
+    return out.select("video_id", "frame", "id", F.when(F.col("kept"), F.col("x0")).alias("x0"), F.when(F.col("kept"), F.col("y0")).alias("y0"))
+
+
 def _hota(spark, d):
     keyed = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("obj"), F.col("category_id").alias(name), _box().alias("box"), "score")
     one = lambda df, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("seq", "t", name).orderBy("obj"))).where("_k = 1").withColumn("obj", F.col(name)).withColumn("iscrowd", F.lit(False))
@@ -122,9 +138,19 @@ def processing_range(spark, d):
     return ahead.unionByName(back)
 
 
-QUERIES = {f.__name__: f for f in (frame_ranks, track_overlap, hota_by_sequence, hota_combined, teta_by_class, count_metric, metric_rollup, group_means, consecutive_confirmation, keep_alive, hotstart_removals, nearest_conditions, strided_frames, least_loaded_workers, processing_range)}
+QUERIES = {f.__name__: f for f in (frame_ranks, track_overlap, track_suppression, frame_suppression, hota_by_sequence, hota_combined, teta_by_class, count_metric, metric_rollup, group_means, consecutive_confirmation, keep_alive, hotstart_removals, nearest_conditions, strided_frames, least_loaded_workers, processing_range)}
 
+_TRACK_PAIRS_SQL = f"""{GT_SQL}, o AS (SELECT video_id, part % 12 AS track, date_trunc('month', day) AS day, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM gt GROUP BY ALL),
+    o2 AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM o), p AS (SELECT a.video_id, a.track AS a, b.track AS b, {INTER} AS i, {UNION} AS u FROM o2 a JOIN o2 b ON a.video_id = b.video_id AND a.day = b.day AND a.track < b.track),
+    s AS (SELECT video_id, a, b FROM p GROUP BY ALL HAVING round(sum(i) / sum(u), 6) >= 0.3)"""
+_WALK_SQL = """walk AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM adj WHERE k = 1 UNION ALL
+    SELECT w.g, w.k + 1, CASE WHEN a.beaten IS NULL OR len(list_intersect(w.kept, a.beaten)) = 0 THEN list_append(w.kept, a.id) ELSE w.kept END FROM walk w JOIN adj a ON a.g = w.g AND a.k = w.k + 1),
+    last AS (SELECT g, max_by(kept, k) AS kept FROM walk GROUP BY g)"""
 ORACLE_SQL = {
+    "track_suppression": f"""WITH RECURSIVE {_TRACK_PAIRS_SQL}, n AS (SELECT video_id AS g, part % 12 AS id, round(sum(CAST(round(score * 100) AS BIGINT)) / count(*) / 100, 6) AS score FROM gt GROUP BY ALL),
+        e AS (SELECT video_id AS g, a AS id, b AS other FROM s UNION ALL SELECT video_id, b, a FROM s),
+        adj AS (SELECT n.g, n.id, n.score, row_number() OVER (PARTITION BY n.g ORDER BY n.score DESC, n.id) AS k, list(e.other) FILTER (WHERE e.other IS NOT NULL) AS beaten FROM n LEFT JOIN e ON n.g = e.g AND n.id = e.id GROUP BY n.g, n.id, n.score),
+        {_WALK_SQL} SELECT a.g AS video_id, a.id AS track, a.score, list_contains(l.kept, a.id) AS kept FROM adj a JOIN last l ON a.g = l.g""",
     "frame_ranks": f"WITH {OBJECTS_SQL} SELECT image_id, obj, video_id, CAST(dense_rank() OVER (PARTITION BY video_id ORDER BY day) - 1 AS BIGINT) AS frame FROM objs",
     "track_overlap": f"""WITH {GT_SQL}, o AS (SELECT video_id, part % 12 AS track, date_trunc('month', day) AS day, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM gt GROUP BY ALL),
         o2 AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM o), p AS (SELECT a.video_id, a.track AS a, b.track AS b, {INTER} AS i, {UNION} AS u FROM o2 a JOIN o2 b ON a.video_id = b.video_id AND a.day = b.day AND a.track < b.track),
