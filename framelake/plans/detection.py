@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import boxes, masks
-from framelake.operators import assign, metrics, suppress
+from framelake.operators import assign, filters, metrics, suppress
 
 from .views import GT_SQL, HEIGHT, INTER, OBJECTS_SQL, UNION, WIDTH, detections, ground_truth, objects
 
@@ -173,6 +173,16 @@ def mask_overlap(spark, d):
     return both.select("image_id", "a", "b", "inter", r6(F.col("inter") / F.greatest(union, F.lit(1))).alias("mask_iou"))
 
 
+def filtered_queries(spark, d):
+    return filters.kept_queries(ground_truth(spark, d), "image_id", "category_id", 1, "iscrowd")
+
+
+def objects_of_kept_queries(spark, d):
+    gt = ground_truth(spark, d)
+    kept = filters.kept_queries(gt, "image_id", "category_id", 1, "iscrowd")
+    return filters.used_objects(gt, kept, ["image_id", "category_id"]).select("image_id", "obj", "category_id")
+
+
 def polygon_areas(spark, d):
     """Areas of the pentagons that boxes with a cut corner are."""
     o = objects(spark, d)
@@ -211,12 +221,18 @@ QUERIES = {
     "mask_table": mask_table,
     "mask_overlap": mask_overlap,
     "polygon_areas": polygon_areas,
+    "filtered_queries": filtered_queries,
+    "objects_of_kept_queries": objects_of_kept_queries,
     "image_semantic_masks": image_semantic_masks,
 }
 
 _POLYGON = "SELECT image_id, obj, round(w * h - (w / 2) * (h / 2) / 2, 6) AS area FROM objs"
 _CLIP = "least(greatest({}, 0), {})"
 ORACLE_SQL = {
+    "filtered_queries": f"""WITH {GT_SQL}, q AS (SELECT image_id, category_id, count(*) AS n_targets FROM gt WHERE NOT iscrowd GROUP BY ALL HAVING count(*) <= 1)
+        SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY category_id) - 1 AS BIGINT) AS local_id FROM q""",
+    "objects_of_kept_queries": f"""WITH {GT_SQL}, q AS (SELECT image_id, category_id FROM gt WHERE NOT iscrowd GROUP BY ALL HAVING count(*) <= 1)
+        SELECT image_id, obj, category_id FROM gt SEMI JOIN q USING (image_id, category_id)""",
     "polygon_areas": f"WITH {OBJECTS_SQL} {_POLYGON}",
     "category_match_recall": f"""WITH {_PAIRS_SQL}, best AS (SELECT image_id, gt, max(iou) AS best FROM pairs GROUP BY ALL)
         SELECT g.category_id, count(*) AS n_gt, CAST(sum(CASE WHEN round(best * 100, 6) >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_matched
