@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, alnum_words, ascii_lower
+from .common import NON_WORD, alnum_words, ascii_lower, let
 
 WINDOW = 10
 #: Windows up to which the benchmark is a literal of the plan, at about 150 bytes each.
@@ -114,17 +114,23 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean_text(hits: DataFrame) -> Column:
+def _without(hits: Column) -> Column:
     """The text of a row of with_hits() without the words inside hits; each goes with what stands between it and the word before."""
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)(?:{NON_WORD})?(?:(?!{NON_WORD}).)+"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("hits", lambda h: (i >= h["start"]) & (i < h["start"] + h["size"])))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(hits, lambda h: (i >= h["start"]) & (i < h["start"] + h["size"])))
     tail = F.regexp_extract("text", rf"(?:{NON_WORD})?\z", 0)
-    return F.when(F.size("hits") == 0, F.col("text")).otherwise(F.ltrim(F.concat(F.array_join(kept, ""), tail)))
+    return F.when(F.size(hits) == 0, F.col("text")).otherwise(F.ltrim(F.concat(F.array_join(kept, ""), tail)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, max_set: int = MAX_SET) -> DataFrame:
     """docs with hit words cut out of text; documents with more than drop_share of their words hit are gone. Other rows, and all other columns, are as they were."""
-    hits = with_hits(docs, benchmark, window, max_set)
-    n_hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1)))))
-    kept = hits.where((F.size("hits") == 0) | (n_hit <= drop_share * F.size("words")))
-    return kept.select(*[clean_text(hits).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    found = with_hits(docs, benchmark, window, max_set)
+
+    def outcome(hits: Column) -> Column:
+        """The new text as the one element of an array, which is empty for a document that goes: a generator, unlike a filter, has the hits computed once."""
+        n_hit = F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1)))))
+        stays = (F.size(hits) == 0) | (n_hit <= drop_share * F.size("words"))
+        return F.when(stays, F.array(F.struct(_without(hits).alias("text")))).otherwise(F.array().cast("array<struct<text:string>>"))
+
+    out = found.select("row", F.explode(let(F.col("hits"), outcome)).alias("out"))
+    return out.select(*[F.col("out.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

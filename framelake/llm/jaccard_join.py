@@ -344,10 +344,13 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     probed = _probe(met.where("not sure"), nodes, threshold)
     links = first_links.unionByName(met.where("sure").select("a", "b")).unionByName(probed)
 
-    classes = components(links)
-    member = state.select("doc_id", "n", "node").join(classes, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
-    least = member.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return member.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Least ids go up from nodes to components and down again, so that copies of one text meet their id in a plain join, which Spark can split.
+    own = state.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = own.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = own.groupBy("component").agg(F.min("least").alias("least"))
+    by_node = own.select("node", "component").join(least, "component").select("node", "least")
+    found = state.select("doc_id", "n", "node").join(by_node, "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _probe(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:

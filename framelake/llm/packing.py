@@ -70,8 +70,6 @@ class _Tokens:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
         joined = "\n".join([c.decode() for c in chunks])
         if _NOT_PLAIN.search(joined):
             odd = [c for c in chunks if _NOT_PLAIN.search(c.decode())]
@@ -90,12 +88,13 @@ class _Tokens:
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [text.encode().split() for text in texts]
-        known = self.known
-        if missing := list({c for chunks in split for c in chunks if c not in known}):
+        met = set(itertools.chain.from_iterable(split))
+        if len(self.known) > CACHED_CHUNKS:
+            self.known.clear()
+        if missing := list(met.difference(self.known)):
             self._learn(missing)
-            if any(c not in known for chunks in split for c in chunks):  # the cache was begun anew
-                self._learn(list({c for chunks in split for c in chunks if c not in known}))
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, chunks)) for chunks in split]
 
 
 _tokens = functools.cache(_Tokens)
