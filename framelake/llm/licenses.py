@@ -60,7 +60,8 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     """n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text).
 
     n_base: all places where a phrase's words stand in a row; first_word and last_word are null without any. labels: those of the phrases found, and of
-    the templates that a line of the text contains to the threshold; both columns are distinct, sorted and joined by commas. score: the largest containment
+    the templates that a line of the text contains to the threshold, but of templates that one another's text would match only the nearest to the line (most of its
+    tokens, then the shorter; equally near ones all count); both columns are distinct, sorted and joined by commas. score: the largest containment
     of a template that reaches the threshold, 1 if a phrase stands in the text, else 0. Null and empty texts: no words, no labels, score 0. Rows that repeat are
     judged one by one; templates without words are ignored.
     """
@@ -75,6 +76,8 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     need = {t: math.ceil(threshold * len(s) - 1e-9) for t, s in sets.items()}
     prefix = {t: s[: len(s) - need[t] + 1] for t, s in ordered.items()}
     first_tokens = sorted({w for p in prefix.values() for w in p})
+    # Templates of another label so alike that the text of one would match the other: a block's label is then that of the nearer one.
+    rivals = {t: [u for u in sets if templates[u] != templates[t] and len({*sets[t]} & {*sets[u]}) >= min(need[t], need[u])] for t in sets}
 
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text"), alnum_words(text).alias("raw")).select("doc_id", "text", F.size("raw").cast("long").alias("n_words"), "raw")
@@ -106,10 +109,17 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
         """The template's largest containment in a block that passes the filters; null if none reaches the threshold."""
         own, size, least = F.array(*map(F.lit, ordered[t])), len(ordered[t]), need[t]
 
+        def held(b: Column, template: str) -> Column:
+            return F.size(F.array_intersect(F.array(*map(F.lit, ordered[template])), b["tokens"]))
+
         def passes(b: Column) -> Column:
             in_template = F.transform(F.filter(b["tokens"], lambda w: w.isin(prefix[t])), lambda w: F.array_position(own, w))
             place = F.array_min(in_template)  # of the block's first token in the template, from 1
-            return (b["size"] >= least) & place.isNotNull() & (size - place + 1 >= least)
+            passed = (b["size"] >= least) & place.isNotNull() & (size - place + 1 >= least)
+            for u in rivals[t]:  # u is nearer: more of its tokens, or as many of a shorter template
+                nearer = held(b, u) > held(b, t) if len(ordered[u]) >= size else held(b, u) >= held(b, t)
+                passed = passed & ~((held(b, u) >= need[u]) & nearer)
+            return passed
 
         shares = F.transform(F.filter("blocks", passes), lambda b: F.size(F.array_intersect(own, b["tokens"])) / F.lit(float(size)))
         return F.array_max(F.filter(shares, lambda s: s >= least / size - 1e-12))
