@@ -14,13 +14,16 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_WORDS = 50
 #: Words whose cuts a worker keeps, at about 200 bytes each.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Text that a worker measures at a time.
+PART_BYTES = 1_000_000
 
 #: Rejection bands by script: (least, most) characters per token of the piece vocabulary and of the byte vocabulary, share of fallback bytes,
 #: token entropy in bits, and, where words stand apart, tokens per word. A text is rejected outside any of them. They are wide: prose of any topic and length from MIN_WORDS on lies inside.
@@ -128,14 +131,12 @@ def _repeat_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch], cuts_of) -> Iterator[pa.RecordBatch]:
     cuts = cuts_of()
     for whole in batches:
-        texts = [t or "" for t in whole.column("text").to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False)
         at = 0
-        while at < len(texts):  # parts of about 4 MB of text, a very long text alone
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 4_000_000):
-                size += len(texts[end])
-                end += 1
-            yield _measured(whole.column("doc_id").slice(at, end - at), texts[at:end], cuts)
+        while at < len(sizes):  # parts of about PART_BYTES of text, a very long text alone
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), PART_BYTES, side="right")))
+            own = whole.slice(at, min(end, len(sizes)) - at)
+            yield _measured(own.column("doc_id"), [t or "" for t in own.column("text").to_pylist()], cuts)
             at = end
 
 
