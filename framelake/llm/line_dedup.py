@@ -1,11 +1,14 @@
 """Line dedup by a segment-partition edit join.
 
-Lines that lie within `edits` edits of an earlier line go. Of two such lines, the shorter one, cut into edits + 1 segments, has a segment that stands unchanged in
+Lines that lie within `edits` edits of an earlier line go, and, if asked for, lines that differ from an earlier one in one word. Of two such lines, the shorter one, cut into edits + 1 segments, has a segment that stands unchanged in
 the longer one, near its own place. Each distinct line is indexed under the hashes of (length, segment number, segment), and probes, for its own and each shorter
 length that is near enough, the substrings that can be such a segment (multi-match-aware positions). Lines that meet but differ in too many words, by a parity of
 their words, part again in the join itself. The other pairs are verified on their texts: what both begin
 and end with is cut off, and the rest is compared in a band of 2 * edits + 1 diagonals, held as bits of one integer.
 
+One word replaced, added or taken away is an edit of words: halves of the word sequence, in the same way, name the lines that can have such a neighbour; those meet
+under the hashes of their words without one of them, where each group's earliest line decides, so no pairs are made.
+
 All is DataFrame expressions. Exact copies of a line are one row before lines meet, so a line that many documents share meets nothing more often than any other.
 """
 
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import let, written
 
 EDITS = 1
-#: Shorter lines are left alone: headings and the like recur without being copies.
+#: Shorter lines have no near copies: headings and the like are alike without being copies.
 MIN_CHARS = 40
+#: A word that differs may take this share of a line's characters, so the edits it may cost grow with the line.
+WORD_SHARE = 0.25
 #: Line ids, of 8 bytes each, that are broadcast to fetch texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 _LAST = 2**63 - 1
@@ -65,6 +70,41 @@ def _probe_keys(text: Column, edits: int) -> list[Column]:
     return out
 
 
+def _words(text: Column) -> Column:
+    return F.split(text, f"[{_BLANK}]+")
+
+
+def _word_keys(text: Column) -> Column:
+    """Keys of the halves of a line's words: its own, and those that a line of one word less has if it lacks one of these."""
+
+    def of(p: Column) -> Column:
+        words, n = p["words"], p["n"]
+        out = []
+        for shorter in (0, 1):
+            for i in (0, 1):
+                start, size = _segment(n - shorter, i, 1)
+                out.append(F.xxhash64(n - shorter, F.lit(i), F.slice(words, start + 1 + shorter * i, size)))
+        return F.array(*out)
+
+    return let(let(_words(text), lambda w: F.struct(w.alias("words"), F.size(w).alias("n"))), of)
+
+
+def _patterns(text: Column, share: float) -> Column:
+    """(key, side): the words without one of them, at its place among as many words (side 0) and as a whole (2), and the words themselves (1)."""
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+
+        def without(i: Column) -> Column:
+            rest = F.xxhash64(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n - i)))
+            return let(rest, lambda h: F.array(F.struct(F.xxhash64(n, i, h).alias("key"), F.lit(0).alias("side")), F.struct(h.alias("key"), F.lit(2).alias("side"))))
+
+        fit = F.filter(F.sequence(F.lit(1), n), lambda i: F.char_length(F.get(words, i - 1)) <= F.char_length(text) * share)
+        return F.concat(F.flatten(F.transform(fit, without)), F.array(F.struct(F.xxhash64(words).alias("key"), F.lit(1).alias("side"))))
+
+    return let(_words(text), of)
+
+
 #: For each word of a line, one of 64 bits is turned. An edit takes away or adds at most three words in all (a space that joins or parts two), so lines within
 #: `edits` edits differ in at most three times as many bits.
 _WORD_PARITY = "aggregate(split(text, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))"
@@ -135,41 +175,65 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(close, let(rest, lambda p: _band(p["x"], p["y"], edits)) <= edits).otherwise(F.lit(False))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _texts(occurrences: DataFrame, ids: DataFrame) -> DataFrame:
+    """line, text and first place of the lines whose hashes are in ids (distinct)."""
+    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    return occurrences.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"), F.min(F.struct("order_id", "line_no")).alias("first"))
+
+
+def _behind_by_a_word(occurrences: DataFrame, distinct: DataFrame, share: float) -> DataFrame:
+    """The lines that differ in one word from an earlier one."""
+    halves = distinct.select("line", F.explode("word_keys").alias("key"))
+    shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("key")
+    ids = written(halves.join(shared, "key", "left_semi").select("line").distinct(), "line-ids")
+    patterns = written(_texts(occurrences, ids).select("line", "first", F.explode(_patterns(F.col("text"), share)).alias("p")).select("line", "first", "p.key", "p.side"), "line-patterns")
+    first = patterns.groupBy("key").agg(*[F.min(F.when(F.col("side") == side, F.col("first"))).alias(f"first_{side}") for side in range(3)], F.count("*").alias("n")).where("n > 1")
+    other = F.when(F.col("side") == 0, F.col("first_0")).when(F.col("side") == 1, F.col("first_2")).otherwise(F.col("first_1"))
+    return patterns.join(first, "key").where(other < F.col("first")).select("line")
+
+
+def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False) -> DataFrame:
     """doc_id, mark and line_nos (from 0, in order) of the documents that lose lines."""
-    occurrences = lines_of(docs, min_chars)
+    every = lines_of(docs, 1 if short_repeats else min_chars)
     text = F.col("text")
+    long = F.char_length(text) >= min_chars
+    occurrences = every.where(long)
     n_index, probes = edits + 1, _probe_keys(text, edits)
-    keyed = occurrences.select("order_id", "line_no", "line", F.expr(_WORD_PARITY).alias("parity"), *[k.alias(f"k{i}") for i, k in enumerate([*_index_keys(text, edits), *probes])])
-    keys = [f"k{i}" for i in range(n_index + len(probes))]
-    distinct = written(keyed.groupBy("line", "parity", *keys).agg(F.min(F.struct("order_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
+    exprs = {"parity": F.expr(_WORD_PARITY)} | {f"k{i}": k for i, k in enumerate([*_index_keys(text, edits), *probes])}
+    keys = [*exprs][1:]
+    if word_share is not None:
+        exprs["word_keys"] = _word_keys(text)
+    keyed = every.select("order_id", "line_no", "line", long.alias("long"), *[e.alias(name) for name, e in exprs.items()])
+    all_lines = written(keyed.groupBy("line", "long", *exprs).agg(F.min(F.struct("order_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
+    distinct = all_lines.where("long")
 
     of = lambda names, as_: distinct.select(F.col("line").alias(as_), F.col("parity").alias(f"parity_{as_}"), F.explode(F.array(*names)).alias(f"key_{as_}"))
     meets = (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= _BITS_PER_EDIT * edits)
     meeting = of(keys[:n_index], "a").join(of(keys, "b"), meets)
     pairs = written(meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    n_ids = ids.count()
-    wanted = F.broadcast(ids) if n_ids <= MAX_BROADCAST_IDS else ids
-    texts = occurrences.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"), F.min(F.struct("order_id", "line_no")).alias("first"))
+    texts = _texts(occurrences, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     side = lambda s: texts.select(F.col("line").alias(s), F.col("text").alias(f"text_{s}"), F.col("first").alias(f"first_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("text_a"), F.col("text_b"), edits))
-    behind = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("line")).distinct().withColumn("near", F.lit(True))
+    behind = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("line"))
+    if word_share is not None:
+        behind = behind.unionByName(_behind_by_a_word(occurrences, distinct, word_share))
+    behind = behind.distinct().withColumn("near", F.lit(True))
 
-    repeated = distinct.join(behind, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occurrences.select("doc_id", "mark", "line", "line_no", "order_id").join(repeated, "line").where(F.col("near") | (F.struct("order_id", "line_no") != F.col("first")))
+    repeated = all_lines.join(behind, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = every.select("doc_id", "mark", "line", "line_no", "order_id").join(repeated, "line").where(F.col("near") | (F.struct("order_id", "line_no") != F.col("first")))
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False) -> DataFrame:
     """doc_id, mark, n_lines, n_dropped and dropped (the numbers of the lines that go, from 0, joined by commas) of each row of docs(doc_id, text).
 
     A line of at least min_chars code points, without white space around it, goes if an earlier one (smaller doc_id, then line number) lies within `edits` edits; whether
-    that one goes itself does not matter. Shorter lines stay. Rows that repeat a document's id and text lose the same lines; of lines at one place neither is earlier.
+    that one goes itself does not matter. With word_share, it also goes if it differs from an earlier one in one word, replaced, added or taken away, that takes at most
+    that share of the characters of each line that has it. Shorter lines stay; with short_repeats, exact repeats of those go too, blank lines aside. Rows that repeat a document's id and text lose the same lines; of lines at one place neither is earlier.
     A null doc_id comes after all others. A null text has no lines and loses none.
     """
-    lost = dropped_lines(docs, edits, min_chars).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "line_nos")
+    lost = dropped_lines(docs, edits, min_chars, word_share, short_repeats).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "line_nos")
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = base.join(lost, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
     nos = F.coalesce("line_nos", F.array().cast("array<int>"))

@@ -58,7 +58,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("mark")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), word_share=line_dedup.WORD_SHARE, short_repeats=True).drop("mark")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
