@@ -2,7 +2,8 @@
 
 Each page is one row, so the work is a map over pages: the text blocks of a page are grouped by their root-to-leaf path of block tags; a path's text length and
 punctuation per block are its two ratios. Both are smoothed along the page, fused by product, and paths above a threshold are content. The content nodes then
-name a root (their `article` or `main`, else their common ancestor), whose blocks are the text. Blocks below boilerplate tags, classes, ids and roles never count.
+name a root (their `article` or `main`, else their common ancestor), whose blocks are the text. Blocks below boilerplate tags, classes, ids and roles never count;
+names that an article's own parts have too only lower the score of their paths inside one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z)))", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，；：！？、·،؛؟।]")
 
 #: Tags that hold no element of their own.
@@ -32,6 +33,11 @@ _NAMES = re.compile(
     r"|comments?|commentlist|replies|reply|disqus|respond|discussion|login|search|pagination|pager|tags?|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Names that parts of an article have too: inside one, their text is judged by its path, at LOWERED of its score.
+_UNSURE = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|legal|related|recommended|share|sharing|social|discussion|replies|reply|search|tags?|skip)(?:$|[\s_-])", re.I)
+_HEADERS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+LOWERED = 0.5
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: A start tag closes an open one of these, up to the nearest scope: what HTML leaves open on purpose.
 _CLOSES = {
@@ -46,24 +52,33 @@ _CLOSES = {
 _NO_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool | None:
+    """Whether an element is boilerplate; None if only its name says so and it stands inside an article, where such names prove nothing."""
     if tag in _DROPPED or tag == "header" and not inside_article:
         return True
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
+    unsure = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(value) and not (inside_article and tag in _HEADINGS):
+            rest = value
+            if inside_article:
+                while rest != (rest := _UNSURE.sub(" ", rest)):
+                    unsure = True
+                rest = _HEADERS.sub(" ", rest)
+            if _NAMES.search(rest):
+                return True
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    return False
+    return None if unsure else False
 
 
 def blocks(page: str) -> list[tuple[tuple, str]]:
-    """The text blocks of a page in order, each with its open elements, as (tag, number) from the root; boilerplate is left out."""
+    """The text blocks of a page in order, each with its open elements, as (tag, number) from the root, the number negative where a name inside an article
+    may be boilerplate; what surely is boilerplate is left out."""
     out: list[tuple[tuple, str]] = []
     stack: list[tuple[str, int]] = []
     dropped: list[str] = []  # open elements from the first boilerplate one on
@@ -105,7 +120,8 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
             if not (closing and any(t == tag for t, _ in stack) and tag not in _INLINE):
                 continue
             dropped.clear()
-        if not closing and _boilerplate(tag, m[3], any(t in ("article", "main") for t, _ in stack)):
+        named = False if closing else _boilerplate(tag, m[3], any(t in ("article", "main") for t, _ in stack))
+        if named:
             if tag not in _INLINE:
                 flush()
             dropped.append(tag)
@@ -134,7 +150,7 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
                 del stack[k:]
                 break
         number += 1
-        stack.append((tag, number))
+        stack.append((tag, -number if named is None else number))
     if not dropped:
         flush()
     return out
@@ -159,7 +175,8 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
     if not found:
         return ""
     sums: dict[tuple, list[float]] = {}
-    paths = [tuple(t for t, _ in at) for at, _ in found]
+    paths = [tuple(t if k > 0 else (t,) for t, k in at) for at, _ in found]  # elements of unsure names make paths of their own
+    unsure = {p for p in paths if any(isinstance(t, tuple) for t in p)}
     for path, (_, text) in zip(paths, found, strict=True):
         of = sums.setdefault(path, [0, 0, 0])
         of[0] += 1
@@ -171,7 +188,7 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
     by_path: dict[tuple, list[float]] = {}
     for path, value in zip(paths, fused, strict=True):
         by_path.setdefault(path, []).append(value)
-    score = {p: sum(v) / len(v) for p, v in by_path.items()}
+    score = {p: sum(v) / len(v) * (LOWERED if p in unsure else 1.0) for p, v in by_path.items()}
     least = share * sum(fused) / len(fused)
     best = max(score, key=score.get)
     content = {p for p, s in score.items() if s >= least} | {best}
@@ -185,7 +202,7 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
                 break
     if weight:
         root = max(weight, key=weight.get)
-        return "\n".join(text for at, text in found if root in at)
+        return "\n".join(text for (at, text), path in zip(found, paths, strict=True) if root in at and (path in content or path not in unsure))
     first, last = chosen[0], chosen[-1]
     while first and paths[first - 1] and paths[first - 1][-1] in ("h1", "h2"):  # a heading right above the content
         first -= 1

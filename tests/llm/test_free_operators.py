@@ -40,6 +40,20 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ("<p>See <a href='/hidden-beaches'>the beaches</a> and <a href='/view?id=legal' data-id='legal'>this</a>.</p>", "See the beaches and this."),
+        ('<p title="a hidden gem">Gem.</p><p hidden>no</p><p aria-hidden="true">no</p><p style="display: none">no</p>', "Gem."),
+        (f"<section id='discussion'><p>{LONG}</p></section>", LONG.strip()),
+        ("<h2 id='side-effects'>Side effects</h2><div class='entry-header'><h1>Title</h1></div>", "Side effects\nTitle"),
+        ("<div class='share'><p>Tweet</p></div><div class='related'><ul><li>More</li></ul></div><div class='sidebar'><p>no</p></div>", ""),
+    ],
+)
+def test_names_and_values_inside_articles(inner, text):
+    assert html_extract.main_text(page(f"<article><p>{LONG}</p>{inner}<p>{LONG}</p></article>")) == "\n".join(x for x in [LONG.strip(), text, LONG.strip()] if x)
+
+
 def test_extract_pages(spark):
     rows = [(k, f"u{k}", h, "x") for k, (h, _) in enumerate(PAGES)] + [(0, "u0", None, "x"), (None, None, "<p>a</p>", "x")]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
