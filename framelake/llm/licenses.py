@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and the license phrases of the contract.
 
-Blocks are the lines of a text. A template matches a block that holds at least `threshold` of the template's distinct tokens. The join is exact: tokens have
+Blocks are the lines of a text or, with `windows`, at each place the run of as many words as the template has, over line breaks. A template matches a block that holds at least `threshold` of the template's distinct tokens. The join is exact: tokens have
 one global order, rarest in the corpus first; a block that reaches the threshold must hold one of a template's first `n - ceil(threshold * n) + 1` tokens (prefix
 filter), must have enough distinct tokens (length filter), and from the place of its first matching token on there must be enough left (positional filter).
 Templates are parameters of the query, bounded by MAX_TEMPLATE_TOKENS, and live in the plan; the corpus is read twice and never shuffled, except for the counts
@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_WORD, UPPER, alnum_words, ascii_lower
+from .common import LOWER, NON_WORD, UPPER, alnum_words, ascii_lower, let
 
 #: Phrases whose places are counted, and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -34,6 +34,8 @@ TEMPLATES = {
     "all rights reserved no part of this publication may be reproduced": "proprietary",
 }
 THRESHOLD = 0.8
+#: Words that tell licenses apart: a window must hold all that its template has, and ends before any other.
+NAMES = frozenset("mit apache bsd gnu gpl lesser lgpl affero agpl mozilla mpl cc nc noncommercial sa sharealike nd noderivatives noderivs".split())
 MAX_TEMPLATE_TOKENS = 5_000
 
 
@@ -56,12 +58,44 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(places, stands)).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _in_windows(text_words: Column, ordered: Mapping[str, list[str]], prefix: Mapping[str, list[str]], need: Mapping[str, int], labels: Mapping[str, str]) -> Column:
+    """(label, share) of each template, share its largest in any of its windows of the words, as far as it has reached the threshold."""
+
+    strings = lambda x: F.array(*map(F.lit, x))
+
+    def best(t: str, words: Column) -> Column:
+        own, names, others = ordered[t], sorted(NAMES & {*ordered[t]}), strings(sorted(NAMES - {*ordered[t]}))
+
+        def held(run: Column) -> Column:
+            count = F.size(F.array_intersect(strings(own), run))
+            return F.when(F.size(F.array_intersect(strings(names), run)) == len(names), count).otherwise(0) if names else count
+
+        def judged(w: Column) -> Column:
+            stop = F.array_min(F.transform(F.array_intersect(w, others), lambda x: F.array_position(w, x)))  # the first other name, from 1
+            return let(F.slice(w, F.lit(1), F.coalesce(stop.cast("int") - 1, F.size(w))), held)
+
+        def share(i: Column) -> Column:
+            return let(F.slice(words, i + 1, F.lit(len(t.split()))), lambda w: F.when(F.arrays_overlap(w, strings(prefix[t])), judged(w)).otherwise(0))
+
+        # A window may begin at one of the template's words, with enough words to come (length filter); texts without a word of the prefix have none.
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(own) & (F.size(words) - i >= need[t]))
+        most = F.when(F.arrays_overlap(words, strings(prefix[t])), F.array_max(F.transform(places, share)))
+        return let(most, lambda n: F.when(n >= need[t], F.struct(F.lit(labels[t]).alias("label"), (n / F.lit(float(len(own)))).alias("share"))))
+
+    def of(words: Column) -> Column:
+        return F.array_compact(F.array(*[best(t, words) for t in ordered]))
+
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    return let(text_words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(none)) if ordered else none
+
+
+def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text).
 
     n_base: all places where a phrase's words stand in a row; first_word and last_word are null without any. labels: those of the phrases found, and of
     the templates that a line of the text contains to the threshold, but of templates that one another's text would match only the nearest to the line (most of its
-    tokens, then the shorter; equally near ones all count); both columns are distinct, sorted and joined by commas. score: the largest containment
+    tokens, then the shorter; equally near ones all count); with windows, instead, those of all templates that some run of at most as many words as the template has,
+    over line breaks too, contains to the threshold, with all of the template's words in NAMES and no others of these; both columns are distinct, sorted and joined by commas. score: the largest containment
     of a template that reaches the threshold, 1 if a phrase stands in the text, else 0. Null and empty texts: no words, no labels, score 0. Rows that repeat are
     judged one by one; templates without words are ignored.
     """
@@ -94,7 +128,7 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     maybe_block = F.lit(False)
     if first_tokens:
         maybe_block = F.lower("text").rlike(rf"(?:^|{NON_WORD})(?:{'|'.join(first_tokens)})(?:$|{NON_WORD})")
-    blocks = F.when(maybe_block, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    blocks = F.when(F.lit(not windows) & maybe_block, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
 
     def block_tokens(line: Column) -> Column:
         return F.array_intersect(F.array(*map(F.lit, order)), alnum_words(ascii_lower(line)))  # in the global order
@@ -126,6 +160,8 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
 
     found = F.array_compact(F.array(*[F.when(containment(t).isNotNull(), F.struct(F.lit(templates[t]).alias("label"), containment(t).alias("share"))) for t in ordered])) if ordered else F.array().cast("array<struct<label:string,share:double>>")
     base = base.withColumn("places", places).withColumn("base_list", base_labels).withColumn("found", F.when(F.size("blocks") > 0, found).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    if windows:
+        base = base.withColumn("found", _in_windows(F.when(maybe_block, alnum_words(ascii_lower(F.col("text")))).otherwise(F.array().cast("array<string>")), ordered, prefix, need, templates))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return base.select(
         "doc_id",

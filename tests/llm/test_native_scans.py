@@ -101,3 +101,22 @@ def test_license_join_is_exact(rows, docs):
                         share[label] = max(share.get(label, 0), c)
             want.add((i, ",".join(sorted(share)), round(max(share.values(), default=0.0), 6)))
         assert got == want
+
+
+def test_license_windows(spark):
+    """Notices over line breaks, and names that tell licenses apart."""
+    cases = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software)": "mit",
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:": "bsd",
+        "Released under the Foo License.": "",
+        "Released under the BSD License.": "",
+        "Released under the MIT\nLicense.": "mit",
+        "Licensed under CC BY 4.0; figures by NC Press, version 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY-NC 4.0. Text licensed under CC BY 4.0.": "cc-by,cc-by-nc",
+        "released yesterday " + "x " * 40 + "under the tree a license": "",
+        "": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(df, phrases={"zzz": "z"}, windows=True).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
