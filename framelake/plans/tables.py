@@ -19,8 +19,8 @@ def category_chunks(spark, d):
     chunks = names.withColumn("chunk", F.floor((n - 1) / 4).cast("long"))
     sizes = table(spark, d, "part").select("p_brand", (F.col("p_size") % 5).cast("long").alias("image_id"))
     have = sizes.groupBy("image_id", "p_brand").agg(F.count("*").alias("n_objects"))
-    images = sizes.select("image_id").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("chunk", F.col("chunk").cast("long"))
-    return images.join(chunks, "chunk").join(have, ["image_id", "p_brand"], "left").na.fill(0, ["n_objects"]).select("image_id", "chunk", F.col("p_brand").alias("category"), "n_objects")
+    images = sizes.select("image_id").distinct()
+    return images.crossJoin(F.broadcast(chunks)).join(have, ["image_id", "p_brand"], "left").na.fill(0, ["n_objects"]).select("image_id", "chunk", F.col("p_brand").alias("category"), "n_objects")
 
 
 def one_based_ids(spark, d):

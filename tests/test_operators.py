@@ -203,3 +203,11 @@ def test_sessions(spark, tmp_path):
         want[seq] = (session, ok, number, len(states[session][1]) if states[session] else 0)
     assert {r.seq: (r.session, r.ok, r.number, r.n_objects) for r in out} == want
     assert any(ok for _, ok, _, _ in want.values()) and not all(ok for _, ok, _, _ in want.values())
+
+
+def test_category_chunks_beyond_the_hundredth(spark, tmp_path):
+    from framelake.plans import tables
+
+    spark.createDataFrame([(f"Brand#{k:03d}", k) for k in range(130)], "p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = tables.category_chunks(spark, str(tmp_path)).collect()
+    assert len(got) == 5 * 130 and {r.chunk for r in got} == set(range(33)) and sum(r.n_objects for r in got) == 130
