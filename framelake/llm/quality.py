@@ -24,9 +24,11 @@ MIN_WORDS = 50
 CACHED_WORDS = 200_000
 #: Text that a worker measures at a time.
 PART_BYTES = 1_000_000
+#: Tokens of one word that count towards tokens per word: a few keys or URLs in a short clean text must not decide.
+WORD_TOKENS = 12
 
 #: Rejection bands by script: (least, most) characters per token of the piece vocabulary and of the byte vocabulary, share of fallback bytes,
-#: token entropy in bits, and, where words stand apart, tokens per word. A text is rejected outside any of them. They are wide: prose of any topic and length from MIN_WORDS on lies inside.
+#: token entropy in bits, and, where words stand apart, tokens per word, of a word WORD_TOKENS at most. A text is rejected outside any of them. They are wide: prose of any topic and length from MIN_WORDS on lies inside.
 BANDS: dict[str, dict[str, tuple[float, float]]] = {
     "latin": {"piece_chars": (1.4, 7.0), "byte_chars": (1.3, 8.0), "byte_share": (0.0, 0.10), "entropy": (5.0, 16.0), "fertility": (1.0, 3.5)},
     "cyrillic": {"piece_chars": (1.2, 6.0), "byte_chars": (0.6, 4.0), "byte_share": (0.0, 0.15), "entropy": (4.0, 16.0)},
@@ -180,7 +182,7 @@ def _measured(doc_ids: pa.Array, texts: list[str], cuts: _Cuts) -> pa.RecordBatc
         "byte_chars": word_chars / np.maximum(byte_tokens, 1),
         "byte_share": fallback / some,
         "entropy": np.where(tokens > 0, np.log2(some) - sum_c / some, 0.0),
-        "fertility": tokens / np.maximum(n_words, 1),
+        "fertility": total(np.minimum(sizes, WORD_TOKENS)) / np.maximum(n_words, 1),
     }
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 

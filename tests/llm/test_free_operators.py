@@ -109,6 +109,18 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert all(got[i] for i, _ in clean) and not got[-1] and not got[-2]
 
 
+def test_quality_keeps_a_short_text_with_keys():
+    """Two long keys in 64 words do not decide; words that are all long do."""
+    import pyarrow as pa
+
+    keys = ["9f3b7c1d5e8a2046b1c9d7e3f5a80264", "0c4e8a6f2b7d9135e7a1c3f9b5d80642"]
+    prose = ("the man went to the house and said that he would come back in the morning with a horse " * 4).split()[:62]
+    texts = [" ".join(prose[:30] + [k * 3 for k in keys] + prose[30:]), " ".join(["z" * 60] * 64)]
+    got = quality._measured(pa.array([0, 1]), texts, quality._Cuts(*quality._default_paths())).to_pylist()
+    most = quality.BANDS["latin"]["fertility"][1]
+    assert got[0]["n_tokens"] / got[0]["n_words"] > most >= got[0]["fertility"] and got[1]["fertility"] > most
+
+
 def test_packing(spark, rows, docs):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
