@@ -10,9 +10,13 @@ T = ceil(t * n) of them. So:
 3. First links, linear in the length of all lists: in each list every node meets a few hubs of the list, and meetings add up to a lower bound of the overlap.
    Groups of near copies fall into components here.
 4. Merging: in each merged list, pairs of nodes from different components meet; counts over all lists that reach the required overlap are links.
-5. Probing: where the count alone falls short but could reach it in the long lists, the two sets are compared by binary search.
+5. Searching: nodes whose counts fall short but could reach it in the long lists gather in groups, and a group's sets in blocks of bounded size. In each pair of
+   blocks every set is a query over the inverted lists of the others: its short lists are merged, the candidates that can still reach the overlap are probed in the
+   long ones by binary search (DivideSkip), and those that reach it are links.
 
-Pairs within a component are never counted: they can't change it. Similarity is decided on 64-bit shingle hashes.
+Pairs within a component are never counted: they can't change it. No row holds a pair of sets: links leave a task as a spanning forest, pairs to be searched as one
+row for each set and task, and each set is sent once for each block of its group. Sets are compared by 64-bit shingle hashes, which decide only between the
+shingles of two sets that are compared; equal sets are told by the 64-bit hash of the set.
 """
 
 from __future__ import annotations
@@ -303,8 +307,38 @@ def _meet_across(t: Fraction, n_buckets: int):
     return meet
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links (a, b) that connect what all of them connect: each joins a root to a smaller one."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    _, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = number[: len(a)], number[len(a) :]
+    root, taken, live = np.arange(number.max() + 1), [], np.arange(len(a))
+    while True:
+        low, high = np.minimum(root[x[live]], root[y[live]]), np.maximum(root[x[live]], root[y[live]])
+        apart = low != high
+        live, low, high = live[apart], low[apart], high[apart]
+        if not len(live):
+            return np.concatenate(taken) if taken else live
+        moved, first = np.unique(high, return_index=True)
+        taken.append(live[first])
+        root[moved] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _need(n_a: np.ndarray, n_b: np.ndarray, t: Fraction) -> np.ndarray:
+    """The least overlap with which sets of these sizes link."""
+    return -(-(n_a.astype(np.int64) + n_b) * t.numerator // (t.numerator + t.denominator))
+
+
+_DECIDED = "kind int, a long, b long, others binary"
+#: Kinds of rows: a link, a link of the graph of pairs to be searched, and what is to be searched for one set.
+_LINK, _GROUP, _SEARCH = range(3)
+
+
 def _decided(t: Fraction):
-    """Sums of meetings: pairs whose sum reaches the overlap that they need (sure), and those that could with the lists that were set aside."""
+    """Sums of meetings: pairs whose sum reaches the overlap that they need, and those that could with the lists that were set aside."""
 
     def decide(p: pa.Table) -> pa.Table:
         kinds = (("a", np.int64), ("b", np.int64), ("size_a", np.int32), ("size_b", np.int32), ("aside", np.int32), ("shared", np.int32))
@@ -312,19 +346,29 @@ def _decided(t: Fraction):
         order = np.lexsort((b, a))
         a, b, size_a, size_b, aside, shared = (x[order] for x in (a, b, size_a, size_b, aside, shared))
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        total = np.add.reduceat(shared.astype(np.int64), first)
-        need = -(-(size_a[first].astype(np.int64) + size_b[first]) * t.numerator // (t.numerator + t.denominator))
+        total, need = np.add.reduceat(shared.astype(np.int64), first), _need(size_a[first], size_b[first], t)
+        a, b = a[first], b[first]
         sure = total >= need
-        kept = sure | (total + aside[first] >= need)
-        return pa.table({"a": a[first][kept], "b": b[first][kept], "size_a": size_a[first][kept], "size_b": size_b[first][kept], "sure": sure[kept]})
+        links = np.flatnonzero(sure)
+        links = links[_spanning(a[links], b[links])]
+        open_ = np.flatnonzero(~sure & (total + aside[first] >= need))
+        groups = open_[_spanning(a[open_], b[open_])]
+        starts, sizes = parts.groups(a[open_])
+        others = [planes(b[open_[k : k + n]]) for k, n in zip(starts, sizes, strict=True)]
+        n_pairs = len(links) + len(groups)
+        return pa.table(
+            {
+                "kind": pa.array(np.repeat([_LINK, _GROUP, _SEARCH], [len(links), len(groups), len(starts)]), pa.int32()),
+                "a": pa.array(np.concatenate([a[links], a[groups], a[open_[starts]]])),
+                "b": pa.array([*b[links].tolist(), *b[groups].tolist(), *[None] * len(starts)], pa.int64()),
+                "others": pa.array([*[None] * n_pairs, *others], pa.binary()),
+            }
+        )
 
     return decide
 
 
-_DECIDED = "a long, b long, size_a int, size_b int, sure boolean"
-
-
-def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, long_list: int = LONG_LIST) -> DataFrame:
+def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, long_list: int = LONG_LIST, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of each row of docs(doc_id, text).
 
     Texts are lower-cased (A-Z); sets with fewer words than a shingle are one shingle, sets without words are empty and link with nothing. Links are Jaccard similarity
@@ -336,13 +380,12 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     nodes = state.where("merged is not null").select("node", F.col("n").cast("int").alias("n"), (F.octet_length("far") / 8).cast("int").alias("aside"), "merged", "far")
 
     hubs = _postings(nodes.withColumn("component", F.col("node")), ["merged", "far"], n_buckets).groupBy("bucket").applyInArrow(_meet_hubs(n_buckets), _MEETING)
-    first_links = written(hubs.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED).where("sure").select("a", "b"), "first-links")
+    first_links = written(hubs.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED).where(F.col("kind") == _LINK).select("a", "b"), "first-links")
 
     placed = nodes.join(components(first_links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = _postings(placed, ["merged"], n_buckets).groupBy("bucket").applyInArrow(_meet_across(threshold, n_buckets), _MEETING)
     met = written(across.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED), "met")
-    probed = _probe(met.where("not sure"), nodes, threshold)
-    links = first_links.unionByName(met.where("sure").select("a", "b")).unionByName(probed)
+    links = first_links.unionByName(met.where(F.col("kind") == _LINK).select("a", "b")).unionByName(_search_blocks(met, nodes, threshold, block_bytes or BLOCK_BYTES))
 
     # Least ids go up from nodes to components and down again, so that copies of one text meet their id in a plain join, which Spark can split.
     own = state.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -353,24 +396,84 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _probe(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Of pairs(a, b, size_a, size_b), those whose sets reach the threshold: the smaller set is looked up in the larger by binary search."""
-    sets = nodes.groupBy("node").agg(F.first(F.struct("merged", "far")).alias("s"))
-    held = pairs.select("a", "b", "size_a", "size_b")
-    for side in ("a", "b"):
-        held = held.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
-
-    def search(batches):
-        for b in batches:
-            keep = []
-            rows = [b.column(c).to_pylist() for c in ("s_a", "s_b", "size_a", "size_b")]
-            for x, y, n_x, n_y in zip(*rows, strict=True):
-                x, y = (np.sort(np.concatenate([from_planes(v["merged"], np.uint64), from_planes(v["far"], np.uint64)])) for v in (x, y))
-                shared = int(parts.member(*((x, y) if len(x) < len(y) else (y, x))).sum())
-                keep.append(shared * t.denominator >= t.numerator * (n_x + n_y - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return held.select("a", "b", "size_a", "size_b", "s_a", "s_b").mapInArrow(search, "a long, b long")
+#: Hashes, in bytes, that a block of sets holds on average; a task has two blocks.
+BLOCK_BYTES = 8 << 20
+#: The share of DivideSkip's cost model that a probe of a long list takes.
+_MU = 0.0085
+
+
+def _divide_skip(own: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], wanted: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of the wanted sets hold as many of the query's hashes as each needs. lists: sorted hashes, where the list of each begins (and the end), and the numbers of
+    the sets in each list, in order."""
+    hashes, begin, who = lists
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    at = at[hashes[at] == own]
+    sizes = begin[at + 1] - begin[at]
+    at = at[np.argsort(sizes, kind="stable")]
+    least = int(need.min())
+    longest = int(begin[at[-1] + 1] - begin[at[-1]]) if len(at) else 1
+    n_long = min(len(at), max(0, least - 1), int(least / (_MU * math.log2(max(longest, 2)) + 1)))
+    short, long = at[: len(at) - n_long], at[len(at) - n_long :]
+    merged = np.sort(np.concatenate([who[begin[k] : begin[k + 1]] for k in short])) if len(short) else np.zeros(0, who.dtype)
+    count = np.searchsorted(merged, wanted, "right") - np.searchsorted(merged, wanted, "left")
+    live = np.flatnonzero(count + n_long >= need)
+    for left, k in zip(range(n_long - 1, -1, -1), long, strict=True):
+        if not len(live):
+            break
+        members = who[begin[k] : begin[k + 1]]
+        count[live] += parts.member(wanted[live], members)
+        live = live[count[live] + left >= need[live]]
+    return live
+
+
+def _search_blocks(met: DataFrame, nodes: DataFrame, t: Fraction, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links among the pairs that met() leaves to be searched, as a spanning forest of each pair of blocks."""
+    groups = components(met.where(F.col("kind") == _GROUP).select("a", "b")).withColumnRenamed("component", "group")
+    sets = nodes.groupBy("node").agg(F.first(F.struct("n", "merged", "far")).alias("s")).select("node", "s.*").join(groups, "node")
+    blocks = sets.groupBy("group").agg(F.ceil(F.sum(F.octet_length("merged") + F.octet_length("far")) / block_bytes).cast("int").alias("n_blocks")).where("n_blocks > 0")
+    own = F.pmod("node", "n_blocks").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    sent = sets.join(blocks, "group").select("group", own.alias("own"), other.alias("other"), "node", "n", "merged", "far")
+    sent = sent.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "merged", "far")
+    asked = met.where(F.col("kind") == _SEARCH).select(F.col("a").alias("node"), "others").join(groups, "node").join(blocks, "group")
+
+    def by_block(batches):
+        for batch in batches:
+            rows: dict[str, list] = {"group": [], "i": [], "j": [], "a": [], "others": []}
+            for group, a, n, others in parts.chunks(batch, ["group", "node", "n_blocks", "others"]):
+                b = from_planes(others, np.int64)
+                block = b % n
+                for k in np.unique(block).tolist():
+                    for name, value in zip(rows, (group, min(k, a % n), max(k, a % n), a, planes(b[block == k])), strict=True):
+                        rows[name].append(value)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"i": pa.int32(), "j": pa.int32(), "others": pa.binary()}.get(k, pa.int64())) for k, v in rows.items()})
+
+    asked = asked.select("group", "node", "n_blocks", "others").mapInArrow(by_block, "group long, i int, j int, a long, others binary")
+
+    def search(held: pa.Table, queries: pa.Table) -> pa.Table:
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if queries.num_rows:
+            node, n = held.column("node").to_numpy(), held.column("n").to_numpy().astype(np.int64)
+            node, first = np.unique(node, return_index=True)
+            n = n[first]
+            blobs = [held.column(c).to_pylist() for c in ("merged", "far")]
+            own = [np.concatenate([from_planes(x[k], np.uint64) for x in blobs]) for k in first]
+            who = np.repeat(np.arange(len(node)), [len(x) for x in own])
+            values = np.concatenate(own)
+            order = np.lexsort((who, values))
+            values, who = values[order], who[order]
+            begin, _ = parts.groups(values)
+            lists = values[begin], np.concatenate([begin, [len(values)]]), who
+            for a, others in parts.chunks(queries, ["a", "others"]):
+                k, wanted = int(np.searchsorted(node, a)), np.sort(np.searchsorted(node, from_planes(others, np.int64)))
+                hit = wanted[_divide_skip(own[k], lists, wanted, _need(n[wanted], n[k], t))]
+                found_a.append(np.full(len(hit), a, np.int64))
+                found_b.append(node[hit])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        some = _spanning(a, b)
+        return pa.table({"a": a[some], "b": b[some]})
+
+    return sent.groupBy("group", "i", "j").cogroup(asked.groupBy("group", "i", "j")).applyInArrow(search, "a long, b long")
 
 
 #: Ids, of 8 bytes each, that are broadcast to drop their documents; more are joined by a shuffle.

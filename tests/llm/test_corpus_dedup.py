@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from framelake.llm import components, jaccard_join, line_dedup, substring
@@ -45,6 +46,40 @@ def test_jaccard(spark, rows, docs, long_list):
     assert got == Counter(brute.jaccard(rows + more))
 
 
+def test_jaccard_of_a_large_near_group(spark):
+    """Most pairs lie just under the threshold, few above it; sets meet in many small blocks."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        t = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 3, 3, 4, 4, 5])):
+            t[at] = rng.choice(["x", "y", f"z{k}"])
+        rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block_bytes in (None, 20_000):
+        got = sorted(map(tuple, jaccard_join.link(df, long_list=20, block_bytes=block_bytes).collect()))
+        assert got == sorted(brute.jaccard(rows))
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 300):
+        a, b = rng.integers(0, 60, (2, n))
+        some = jaccard_join._spanning(a, b)
+        assert len(some) < 60
+
+        def classes(places):
+            of = {x: {x} for x in range(60)}
+            for x, y in zip(a[places].tolist(), b[places].tolist()):
+                both = of[x] | of[y]
+                for z in both:
+                    of[z] = both
+            return {frozenset(x) for x in of.values()}
+
+        assert classes(some) == classes(np.arange(n))
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard_join.link(docs.limit(0)).count() == 0
 
