@@ -38,6 +38,8 @@ WORDS = 5
 THRESHOLD = Fraction(3, 4)
 #: Lists of more documents than this are long: their shingles are probed, not merged, as far as T allows.
 LONG_LIST = 128
+#: A group's sets are cut into blocks of SMALL_BLOCK bytes of hashes up to SMALL_BLOCKS of them, and of BLOCK_BYTES beyond; a task has two blocks.
+SMALL_BLOCK, SMALL_BLOCKS, BLOCK_BYTES = 1 << 18, 16, 8 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +162,14 @@ def _searched(docs: DataFrame, words: int, t: Fraction, long_list: int) -> DataF
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(search, _STATE.format(id=id_type))
 
 
-_POSTING = "bucket int, hashes binary, who binary, nodes binary, sizes binary, asides binary, components binary"
+_POSTING = "bucket int, hashes binary, who binary, nodes binary, sizes binary, asides binary, commons binary, components binary"
 _MEETING = "bucket int, a binary, b binary, size_a binary, size_b binary, aside binary, shared binary"
 #: Numbers that order nodes anew for each hub of a list.
 _HUBS = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Meetings that a task holds before it adds them up.
 _HELD = 4_000_000
+#: Slabs of the partners of a node: hubs have many.
+_SLABS, _HUB_SLABS = 8, 4096
 
 
 def _coded(columns: dict[str, list]) -> dict:
@@ -173,7 +177,7 @@ def _coded(columns: dict[str, list]) -> dict:
 
 
 def _postings(nodes: DataFrame, columns: list[str], n_buckets: int) -> DataFrame:
-    """Inverted lists of nodes(node, n, aside, component, <blobs of hashes>) by ranges of hashes: for each batch and bucket its hashes, and who holds each, as a
+    """Inverted lists of nodes(node, n, aside, common, component, <blobs of hashes>) by ranges of hashes: for each batch and bucket its hashes, and who holds each, as a
     number among the batch's nodes, which stand beside them."""
 
     def post(batches):
@@ -186,7 +190,7 @@ def _postings(nodes: DataFrame, columns: list[str], n_buckets: int) -> DataFrame
             bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            about = [b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "aside", "component")]
+            about = [b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "aside", "common", "component")]
             rows: dict[str, list] = {name.split()[0]: [] for name in _POSTING.split(", ")}
             for k in np.flatnonzero(np.diff(cuts)):
                 own = order[cuts[k] : cuts[k + 1]]
@@ -200,8 +204,8 @@ def _postings(nodes: DataFrame, columns: list[str], n_buckets: int) -> DataFrame
 
 
 def _lists(p: pa.Table):
-    """The lists of a bucket: hashes and their nodes' numbers, each pair once, by (hash, number); and of each number: node, n, aside and component."""
-    kinds = (("hashes", np.uint64), ("who", np.uint32), ("nodes", np.int64), ("sizes", np.int32), ("asides", np.int32), ("components", np.int64))
+    """The lists of a bucket: hashes and their nodes' numbers, each pair once, by (hash, number); and of each number: node, n, aside, common and component."""
+    kinds = (("hashes", np.uint64), ("who", np.uint32), ("nodes", np.int64), ("sizes", np.int32), ("asides", np.int32), ("commons", np.int32), ("components", np.int64))
     h, who, *about = ([from_planes(x, kind) for x in p.column(name).to_pylist()] for name, kind in kinds)
     before = np.cumsum([0, *map(len, about[0])])
     who = np.concatenate([w.astype(np.int64) + k for w, k in zip(who, before, strict=False)])
@@ -215,7 +219,7 @@ def _lists(p: pa.Table):
 
 
 class _Meetings:
-    """Pairs of numbers, added up now and then, and sent by a hash of the pair."""
+    """Pairs of numbers, added up now and then, and sent to where they are summed over all lists."""
 
     def __init__(self, n: int):
         self.n, self.held, self.waiting = n, [], 0
@@ -237,12 +241,14 @@ class _Meetings:
         self.keys, self.times = keys[order][first], np.add.reduceat(times[order], first) if len(first) else times
         self.held, self.waiting = [], 0
 
-    def sent(self, about: tuple, n_buckets: int) -> pa.Table:
+    def sent(self, about: tuple, n_buckets: int, slabs: int) -> pa.Table:
+        """Pairs go by their lesser node and one of so many slabs of the other: what a node is searched for meets in few rows, and no node is one task's work."""
         self.sum()
         i, j = self.keys // self.n, self.keys % self.n
-        node, size, aside, _ = about
+        node, size, aside, *_ = about
         a, b = node[i], node[j]
-        bucket = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        slab = mix(b.view(np.uint64)) % np.uint64(slabs)
+        bucket = (mix(a.view(np.uint64) ^ mix(slab)) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         columns = (a, b, size[i], size[j], np.maximum(aside[i], aside[j]), self.times.astype(np.int32))
@@ -277,7 +283,7 @@ def _meet_hubs(n_buckets: int):
                 hubs.append(hub)
                 at = np.flatnonzero(new)
                 met.add(who[hub[at]], who[at])
-        return met.sent(about, n_buckets)
+        return met.sent(about, n_buckets, _HUB_SLABS)
 
     return meet
 
@@ -287,7 +293,7 @@ def _meet_across(t: Fraction, n_buckets: int):
 
     def meet(p: pa.Table) -> pa.Table:
         h, who, about = _lists(p)
-        _, n, _, component = about
+        _, n, _, common, component = about
         order = np.lexsort((n[who], h))  # by size within a list: what a node may meet is a run
         h, who = h[order], who[order]
         met = _Meetings(len(n))
@@ -301,8 +307,10 @@ def _meet_across(t: Fraction, n_buckets: int):
             live = live[live + step < end[live]]
             live = live[n[who[live]].astype(np.int64) * t.denominator >= n[who[live + step]].astype(np.int64) * t.numerator]
             across = live[of[live] != of[live + step]]
-            met.add(who[across], who[across + step])
-        return met.sent(about, n_buckets)
+            x, y = who[across], who[across + step]
+            fit = np.minimum(common[x], common[y]) >= _need(n[x], n[y], t)  # what no other set holds can't be in the overlap
+            met.add(x[fit], y[fit])
+        return met.sent(about, n_buckets, _SLABS)
 
     return meet
 
@@ -332,9 +340,11 @@ def _need(n_a: np.ndarray, n_b: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-(n_a.astype(np.int64) + n_b) * t.numerator // (t.numerator + t.denominator))
 
 
-_DECIDED = "kind int, a long, b long, others binary"
-#: Kinds of rows: a link, a link of the graph of pairs to be searched, and what is to be searched for one set.
+_DECIDED = "kind int, bucket int, a long, x binary, y binary"
+#: Kinds of rows: links, links of the graph of pairs to be searched, and what is to be searched for one set.
 _LINK, _GROUP, _SEARCH = range(3)
+#: Forests that are merged at a time.
+_MERGED = 16
 
 
 def _decided(t: Fraction):
@@ -349,26 +359,29 @@ def _decided(t: Fraction):
         total, need = np.add.reduceat(shared.astype(np.int64), first), _need(size_a[first], size_b[first], t)
         a, b = a[first], b[first]
         sure = total >= need
-        links = np.flatnonzero(sure)
-        links = links[_spanning(a[links], b[links])]
-        open_ = np.flatnonzero(~sure & (total + aside[first] >= need))
-        groups = open_[_spanning(a[open_], b[open_])]
+        links, open_ = np.flatnonzero(sure), np.flatnonzero(~sure & (total + aside[first] >= need))
+        bucket = p.column("bucket")[0].as_py()
+        rows = [(kind, bucket, None, planes(a[k]), planes(b[k])) for kind, own in ((_LINK, links), (_GROUP, open_)) if len(k := own[_spanning(a[own], b[own])])]
         starts, sizes = parts.groups(a[open_])
-        others = [planes(b[open_[k : k + n]]) for k, n in zip(starts, sizes, strict=True)]
-        n_pairs = len(links) + len(groups)
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat([_LINK, _GROUP, _SEARCH], [len(links), len(groups), len(starts)]), pa.int32()),
-                "a": pa.array(np.concatenate([a[links], a[groups], a[open_[starts]]])),
-                "b": pa.array([*b[links].tolist(), *b[groups].tolist(), *[None] * len(starts)], pa.int64()),
-                "others": pa.array([*[None] * n_pairs, *others], pa.binary()),
-            }
-        )
+        rows += [(_SEARCH, bucket, int(a[open_[k]]), planes(b[open_[k : k + n]]), None) for k, n in zip(starts, sizes, strict=True)]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({c.split()[0]: pa.array([r[k] for r in rows], types[k]) for k, c in enumerate(_DECIDED.split(", "))})
 
     return decide
 
 
-def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, long_list: int = LONG_LIST, block_bytes: int | None = None) -> DataFrame:
+def _forest(met: DataFrame, kind: int) -> DataFrame:
+    """Links(a, b) that connect what those of a kind connect: forests of tasks, merged a few at a time."""
+
+    def merge(p: pa.Table) -> pa.Table:
+        a, b = (np.concatenate([from_planes(x, np.int64) for x in p.column(c).to_pylist()]) for c in ("x", "y"))
+        some = _spanning(a, b)
+        return pa.table({"a": a[some], "b": b[some]})
+
+    return met.where(F.col("kind") == kind).select((F.col("bucket") / _MERGED).cast("int").alias("part"), "x", "y").groupBy("part").applyInArrow(merge, "a long, b long")
+
+
+def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, long_list: int = LONG_LIST, small_block: int = SMALL_BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of each row of docs(doc_id, text).
 
     Texts are lower-cased (A-Z); sets with fewer words than a shingle are one shingle, sets without words are empty and link with nothing. Links are Jaccard similarity
@@ -377,15 +390,15 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     spark = docs.sparkSession
     n_buckets = parts.buckets(spark)
     state = written(_searched(docs, words, threshold, long_list), "shingle-state")
-    nodes = state.where("merged is not null").select("node", F.col("n").cast("int").alias("n"), (F.octet_length("far") / 8).cast("int").alias("aside"), "merged", "far")
+    nodes = state.where("merged is not null").select("node", F.col("n").cast("int").alias("n"), (F.octet_length("far") / 8).cast("int").alias("aside"), ((F.octet_length("merged") + F.octet_length("far")) / 8).cast("int").alias("common"), "merged", "far")
 
     hubs = _postings(nodes.withColumn("component", F.col("node")), ["merged", "far"], n_buckets).groupBy("bucket").applyInArrow(_meet_hubs(n_buckets), _MEETING)
-    first_links = written(hubs.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED).where(F.col("kind") == _LINK).select("a", "b"), "first-links")
+    first_links = written(_forest(hubs.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED), _LINK), "first-links")
 
     placed = nodes.join(components(first_links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = _postings(placed, ["merged"], n_buckets).groupBy("bucket").applyInArrow(_meet_across(threshold, n_buckets), _MEETING)
     met = written(across.groupBy("bucket").applyInArrow(_decided(threshold), _DECIDED), "met")
-    links = first_links.unionByName(met.where(F.col("kind") == _LINK).select("a", "b")).unionByName(_search_blocks(met, nodes, threshold, block_bytes or BLOCK_BYTES))
+    links = first_links.unionByName(_forest(met, _LINK)).unionByName(_search_blocks(met, nodes, threshold, small_block))
 
     # Least ids go up from nodes to components and down again, so that copies of one text meet their id in a plain join, which Spark can split.
     own = state.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -396,46 +409,46 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-#: Hashes, in bytes, that a block of sets holds on average; a task has two blocks.
-BLOCK_BYTES = 8 << 20
 #: The share of DivideSkip's cost model that a probe of a long list takes.
 _MU = 0.0085
+#: Long lists that are probed before candidates are looked at again.
+_PROBED = 16
 
 
-def _divide_skip(own: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], wanted: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which of the wanted sets hold as many of the query's hashes as each needs. lists: sorted hashes, where the list of each begins (and the end), and the numbers of
-    the sets in each list, in order."""
-    hashes, begin, who = lists
+def _divide_skip(own: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], n_sets: int, wanted: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of the wanted sets hold as many of the query's hashes as each needs. lists: sorted hashes, where the list of each begins (and the end), the numbers of
+    the sets in each list, in order, and (list, number) as one sorted key."""
+    hashes, begin, who, keys = lists
     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
     at = at[hashes[at] == own]
     sizes = begin[at + 1] - begin[at]
     at = at[np.argsort(sizes, kind="stable")]
-    least = int(need.min())
-    longest = int(begin[at[-1] + 1] - begin[at[-1]]) if len(at) else 1
+    least, longest = int(need.min()), int(sizes.max(initial=2))
     n_long = min(len(at), max(0, least - 1), int(least / (_MU * math.log2(max(longest, 2)) + 1)))
     short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-    merged = np.sort(np.concatenate([who[begin[k] : begin[k + 1]] for k in short])) if len(short) else np.zeros(0, who.dtype)
-    count = np.searchsorted(merged, wanted, "right") - np.searchsorted(merged, wanted, "left")
+    merged = np.concatenate([who[begin[k] : begin[k + 1]] for k in short]) if len(short) else np.zeros(0, who.dtype)
+    count = np.bincount(merged, minlength=n_sets)[wanted]
     live = np.flatnonzero(count + n_long >= need)
-    for left, k in zip(range(n_long - 1, -1, -1), long, strict=True):
+    for k in range(0, n_long, _PROBED):
         if not len(live):
             break
-        members = who[begin[k] : begin[k + 1]]
-        count[live] += parts.member(wanted[live], members)
-        live = live[count[live] + left >= need[live]]
+        probed = long[k : k + _PROBED]
+        count[live] += parts.member(probed[:, None] * n_sets + wanted[live], keys).sum(axis=0)
+        live = live[count[live] + n_long - k - len(probed) >= need[live]]
     return live
 
 
-def _search_blocks(met: DataFrame, nodes: DataFrame, t: Fraction, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _search_blocks(met: DataFrame, nodes: DataFrame, t: Fraction, small: int = SMALL_BLOCK) -> DataFrame:
     """Links among the pairs that met() leaves to be searched, as a spanning forest of each pair of blocks."""
-    groups = components(met.where(F.col("kind") == _GROUP).select("a", "b")).withColumnRenamed("component", "group")
+    groups = written(components(_forest(met, _GROUP)).withColumnRenamed("component", "group"), "groups")
     sets = nodes.groupBy("node").agg(F.first(F.struct("n", "merged", "far")).alias("s")).select("node", "s.*").join(groups, "node")
-    blocks = sets.groupBy("group").agg(F.ceil(F.sum(F.octet_length("merged") + F.octet_length("far")) / block_bytes).cast("int").alias("n_blocks")).where("n_blocks > 0")
+    blocks = sets.groupBy("group").agg(F.sum(F.octet_length("merged") + F.octet_length("far")).alias("bytes"))
+    blocks = blocks.select("group", F.least(F.ceil(F.col("bytes") / small), F.lit(SMALL_BLOCKS) + F.floor(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
     own = F.pmod("node", "n_blocks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     sent = sets.join(blocks, "group").select("group", own.alias("own"), other.alias("other"), "node", "n", "merged", "far")
     sent = sent.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "merged", "far")
-    asked = met.where(F.col("kind") == _SEARCH).select(F.col("a").alias("node"), "others").join(groups, "node").join(blocks, "group")
+    asked = met.where(F.col("kind") == _SEARCH).select(F.col("a").alias("node"), F.col("x").alias("others")).join(groups, "node").join(blocks, "group")
 
     def by_block(batches):
         for batch in batches:
@@ -462,11 +475,11 @@ def _search_blocks(met: DataFrame, nodes: DataFrame, t: Fraction, block_bytes: i
             values = np.concatenate(own)
             order = np.lexsort((who, values))
             values, who = values[order], who[order]
-            begin, _ = parts.groups(values)
-            lists = values[begin], np.concatenate([begin, [len(values)]]), who
+            begin, sizes = parts.groups(values)
+            lists = values[begin], np.concatenate([begin, [len(values)]]), who, np.repeat(np.arange(len(begin)), sizes) * len(node) + who
             for a, others in parts.chunks(queries, ["a", "others"]):
                 k, wanted = int(np.searchsorted(node, a)), np.sort(np.searchsorted(node, from_planes(others, np.int64)))
-                hit = wanted[_divide_skip(own[k], lists, wanted, _need(n[wanted], n[k], t))]
+                hit = wanted[_divide_skip(own[k], lists, len(node), wanted, _need(n[wanted], n[k], t))]
                 found_a.append(np.full(len(hit), a, np.int64))
                 found_b.append(node[hit])
         a, b = np.concatenate(found_a), np.concatenate(found_b)

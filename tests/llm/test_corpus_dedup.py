@@ -57,8 +57,8 @@ def test_jaccard_of_a_large_near_group(spark):
             t[at] = rng.choice(["x", "y", f"z{k}"])
         rows.append((k, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for block_bytes in (None, 20_000):
-        got = sorted(map(tuple, jaccard_join.link(df, long_list=20, block_bytes=block_bytes).collect()))
+    for block_bytes in (jaccard_join.SMALL_BLOCK, 20_000):
+        got = sorted(map(tuple, jaccard_join.link(df, long_list=20, small_block=block_bytes).collect()))
         assert got == sorted(brute.jaccard(rows))
 
 
