@@ -11,7 +11,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,20 +78,73 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool | None
     return None if unsure else False
 
 
-def blocks(page: str) -> list[tuple[tuple, str]]:
-    """The text blocks of a page in order, each with its open elements, as (tag, number) from the root, the number negative where a name inside an article
-    may be boilerplate; what surely is boilerplate is left out."""
-    out: list[tuple[tuple, str]] = []
-    stack: list[tuple[str, int]] = []
+@dataclass(frozen=True, slots=True)
+class _Open:
+    """An open element: the number of its tag path, whether a name in that path may be boilerplate, and its outermost article or main (0: none). Whatever the depth,
+    a block needs no more than its own element."""
+
+    tag: str
+    path: int
+    unsure: bool
+    root: int
+
+
+_TOP = _Open("", 0, False, 0)
+
+
+class _Stack:
+    """Open elements, and how many there are of each tag, so that nothing is sought in vain."""
+
+    def __init__(self):
+        self.elements: list[_Open] = []
+        self.count: Counter = Counter()
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        self.number = 0
+
+    def top(self) -> _Open:
+        return self.elements[-1] if self.elements else _TOP
+
+    def push(self, tag: str, unsure: bool) -> None:
+        self.number += 1
+        above = self.top()
+        path = self.paths.setdefault((above.path, tag, unsure), len(self.paths) + 1)  # elements of unsure names make paths of their own
+        root = above.root or (self.number if tag in ("article", "main") else 0)
+        self.elements.append(_Open(tag, path, above.unsure or unsure, root))
+        self.count[tag] += 1
+
+    def close(self, tags, scope=()) -> bool:
+        """Ends the innermost of these elements and all inside it, unless one of the scope lies between."""
+        if not any(self.count[t] for t in tags):
+            return False
+        for k in range(len(self.elements) - 1, -1, -1):
+            tag = self.elements[k].tag
+            if tag in tags:
+                for x in self.elements[k:]:
+                    self.count[x.tag] -= 1
+                del self.elements[k:]
+                return True
+            if tag in scope:
+                return False
+        return False
+
+
+_P_SCOPE = frozenset("td th li article section div blockquote".split())
+
+
+def blocks(page: str) -> list[tuple[_Open, str]]:
+    """The text blocks of a page in order, each with the element that it stands in; what surely is boilerplate is left out."""
+    out: list[tuple[_Open, str]] = []
+    stack = _Stack()
     dropped: list[str] = []  # open elements from the first boilerplate one on
+    n_dropped: Counter = Counter()
     text: list[str] = []
-    number = at = 0
+    at = 0
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append((tuple(stack), joined))
+            out.append((stack.top(), joined))
 
     while True:
         m = _TAG.search(page, at)
@@ -114,43 +169,35 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
         if dropped:  # only its own end, or an element around it that ends, opens the text again
             if not closing:
                 dropped.append(tag)
-            elif tag in dropped:
-                del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
+                n_dropped[tag] += 1
+            elif n_dropped[tag]:
+                while n_dropped[tag]:
+                    last = dropped.pop()
+                    n_dropped[last] -= 1
+                    if last == tag:
+                        break
                 continue
-            if not (closing and any(t == tag for t, _ in stack) and tag not in _INLINE):
+            if not (closing and stack.count[tag] and tag not in _INLINE):
                 continue
             dropped.clear()
-        named = False if closing else _boilerplate(tag, m[3], any(t in ("article", "main") for t, _ in stack))
+            n_dropped.clear()
+        named = False if closing else _boilerplate(tag, m[3], bool(stack.top().root))
         if named:
             if tag not in _INLINE:
                 flush()
             dropped.append(tag)
+            n_dropped[tag] += 1
             continue
         if tag in _INLINE:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            stack.close({tag})
             continue
         if tag in _NO_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "li", "article", "section", "div", "blockquote"):
-                    break
-        closes, scope = _CLOSES.get(tag, ((), ()))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in scope:
-                break
-            if stack[k][0] in closes:
-                del stack[k:]
-                break
-        number += 1
-        stack.append((tag, -number if named is None else number))
+            stack.close({"p"}, _P_SCOPE)
+        stack.close(*_CLOSES.get(tag, ((), ())))
+        stack.push(tag, named is None)
     if not dropped:
         flush()
     return out
@@ -174,9 +221,9 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    sums: dict[tuple, list[float]] = {}
-    paths = [tuple(t if k > 0 else (t,) for t, k in at) for at, _ in found]  # elements of unsure names make paths of their own
-    unsure = {p for p in paths if any(isinstance(t, tuple) for t in p)}
+    sums: dict[int, list[float]] = {}
+    paths = [at.path for at, _ in found]
+    unsure = {at.path for at, _ in found if at.unsure}
     for path, (_, text) in zip(paths, found, strict=True):
         of = sums.setdefault(path, [0, 0, 0])
         of[0] += 1
@@ -185,7 +232,7 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
     lengths = _smooth([sums[p][1] / sums[p][0] for p in paths], radius)
     points = _smooth([sums[p][2] / sums[p][0] for p in paths], radius)
     fused = [n * (1.0 + p) for n, p in zip(lengths, points, strict=True)]
-    by_path: dict[tuple, list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for path, value in zip(paths, fused, strict=True):
         by_path.setdefault(path, []).append(value)
     score = {p: sum(v) / len(v) * (LOWERED if p in unsure else 1.0) for p, v in by_path.items()}
@@ -194,17 +241,15 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
     content = {p for p, s in score.items() if s >= least} | {best}
     chosen = [k for k, p in enumerate(paths) if p in content]
     # The root: the article or main with most content; else what all content nodes share.
-    weight: dict[tuple, int] = {}
+    weight: dict[int, int] = {}
     for k in chosen:
-        for node in found[k][0]:
-            if node[0] in ("article", "main"):
-                weight[node] = weight.get(node, 0) + len(found[k][1])
-                break
+        if root := found[k][0].root:
+            weight[root] = weight.get(root, 0) + len(found[k][1])
     if weight:
         root = max(weight, key=weight.get)
-        return "\n".join(text for (at, text), path in zip(found, paths, strict=True) if root in at and (path in content or path not in unsure))
+        return "\n".join(text for at, text in found if at.root == root and (at.path in content or not at.unsure))
     first, last = chosen[0], chosen[-1]
-    while first and paths[first - 1] and paths[first - 1][-1] in ("h1", "h2"):  # a heading right above the content
+    while first and found[first - 1][0].tag in ("h1", "h2"):  # a heading right above the content
         first -= 1
     # Between the first and the last content node, short blocks of any path belong to the text.
     return "\n".join(text for _, text in found[first : last + 1])

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter
 
@@ -170,3 +171,12 @@ def test_plain_chunks_are_cut_as_by_the_library():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|>x a<|startoftext|>b", "It's we'll 'S 'Re"]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokens.library.encode_batch(texts, add_special_tokens=False)]
     assert tokens.of(texts) == want
+
+
+def test_deeply_nested_pages():
+    """Work grows with a page's size, not with its depth: tags without end, ends without a start, and a text at the bottom."""
+    began = time.perf_counter()
+    assert html_extract.main_text("<div>" * 100_000 + "Some text, at last." + "</div>" * 100_000) == "Some text, at last."
+    assert html_extract.main_text("<div>t" * 20_000 + "<li>a</b></q></td>" * 20_000).count("\n") == 39_999
+    assert html_extract.main_text("<article>" + "<p>Some words, here. " * 200_000).count("\n") == 199_999
+    assert time.perf_counter() - began < 60
