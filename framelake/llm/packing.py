@@ -210,7 +210,7 @@ def _evolve(counts: Counter, population: list[Counter], capacity: int, seed: int
     rng = random.Random(seed)
     while len(population) < size:
         one, left = Counter(), Counter(counts)
-        _best_fit(left, one, capacity, rng if population else None)
+        _best_fit(left, one, capacity, rng)  # no greedy packing of its own: crossover makes the good ones
         population.append(one)
     least = -(-sum(s * n for s, n in counts.items()) // capacity)
     for _ in range(generations):

@@ -1,3 +1,4 @@
+import random
 import time
 import zlib
 from collections import Counter
@@ -148,8 +149,6 @@ def test_packing(spark, rows, docs):
 
 
 def test_crossover_keeps_all_documents():
-    import random
-
     rng = random.Random(5)
     counts = Counter(rng.choice([3, 40, 700, 1000, 1024, 1500, 2048]) + rng.randrange(1) for _ in range(500))
     parents = packing._evolve(counts, [], 2048, 1, 6, 4)
@@ -163,6 +162,27 @@ def test_crossover_keeps_all_documents():
         assert used == counts
 
 
+def test_crossover_beats_best_fit():
+    """Triples that fill bins exactly: greedy best fit leaves gaps, crossovers of whole full bins close them."""
+    rng = random.Random(11)
+    counts = Counter()
+    for _ in range(150):
+        a = rng.randrange(500, 900)
+        b = rng.randrange(500, 2048 - a - 400)
+        counts.update([a, b, 2048 - a - b])
+    greedy, left = Counter(), Counter(counts)
+    packing._best_fit(left, greedy, 2048)
+    calls = []
+    crossover = packing._crossover
+    packing._crossover = lambda *a: calls.append(1) or crossover(*a)
+    try:
+        first = packing._evolve(counts, [], 2048, 1, 0, 6)
+        best = packing._evolve(counts, list(first), 2048, 1, 150, 6)
+    finally:
+        packing._crossover = crossover
+    assert calls and packing._bins(best[0]) < packing._bins(greedy) and packing._fitness(best[0], 2048) < packing._fitness(first[0], 2048)
+
+
 def test_plain_chunks_are_cut_as_by_the_library():
     import random
 
