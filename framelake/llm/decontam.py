@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned with the windows of every document.
 
 The windows of the benchmark are a bounded literal of the plan (see `max_set`), tested inside each row: a document's windows are hashed, looked up in the hash
-set, and each hit is verified word by word. Nothing is shuffled, so no group of documents can become hot. A larger benchmark takes the other way,
-`_hits_by_join`, in which windows and benchmark meet in a shuffle join that Spark may split.
+set, and each hit is verified word by word. Nothing is shuffled, so no group of documents can become hot. The hashes of a larger benchmark are broadcast as a table
+(see `_hits_by_join`), and only beyond MAX_BROADCAST windows do hashes meet in a shuffle join that Spark may split.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import NON_WORD, alnum_words, ascii_lower, let
 WINDOW = 10
 #: Windows up to which the benchmark is a literal of the plan, at about 150 bytes each.
 MAX_SET = 50_000
+#: Windows up to which their hashes, of 8 bytes each, are broadcast.
+MAX_BROADCAST = 20_000_000
 _BUCKETS = 1024
 _NO_HITS = "array<struct<start:int,size:int,items:array<string>>>"
 
@@ -60,28 +62,31 @@ def _hits_by_set(words: Column, rows: list, window_sizes: list[int], spark) -> C
     return F.array_sort(found[0] if len(found) == 1 else F.concat(*found))
 
 
-def _hits_by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """docs with hits, by a shuffle join on windows; rows that repeat a (doc_id, text) share their hits."""
-
-
-    def spans_of(n: int) -> DataFrame:
-        windows = F.transform(_starts(F.col("words"), n), lambda i: F.array_join(F.slice("words", i, n), " "))
-        return docs.select("doc_id", "mark", F.posexplode(windows).alias("start", "window")).withColumn("size", F.lit(n))
-
-    parts = [spans_of(n) for n in sizes]
-    spans = parts[0]
-    for more in parts[1:]:
-        spans = spans.unionByName(more)
-    hits = spans.join(windows, ["size", "window"]).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.collect_set(F.struct("start", "size", "items"))).alias("hits"))
+def _hits_by_join(docs: DataFrame, windows: DataFrame, sizes: list[int], max_broadcast: int) -> DataFrame:
+    """docs with hits, by the 8-byte hashes of windows: the benchmark's are broadcast up to max_broadcast of them, so a document's are looked up where they are made; beyond,
+    both sides are shuffled. Only places that hit are compared word by word. Rows that repeat a (doc_id, text) share their hits."""
+    hashed = windows.select("size", "window", "items", F.xxhash64(F.split("window", " ")).alias("h"))
+    small = hashed.count() <= max_broadcast
+    known = hashed.select("size", "h").distinct()
+    found = None
+    for n in sizes:
+        own = known.where(F.col("size") == n).select("h")
+        starts = F.transform(_starts(F.col("words"), n), lambda i: F.xxhash64(F.slice("words", i, n)))
+        places = docs.select("doc_id", "mark", F.posexplode(starts).alias("start", "h")).join(F.broadcast(own) if small else own, "h", "left_semi").withColumn("size", F.lit(n))
+        found = places if found is None else found.unionByName(places)
+    maybe = found.groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.collect_set(F.struct("start", "size")).alias("maybe"))
     same_text = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
-    return docs.join(hits, same_text, "left").select("row", "doc_id", "text", "words", F.coalesce("hits", F.array().cast(_NO_HITS)).alias("hits"))
+    beside = docs.join(maybe, same_text, "left")
+    places = beside.select("of_id", "of_mark", "words", F.explode("maybe").alias("at")).select("of_id", "of_mark", "at.start", "at.size", F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.size")), " ").alias("window"))
+    verified = places.distinct().join(hashed.drop("h"), ["size", "window"]).groupBy("of_id", "of_mark").agg(F.array_sort(F.collect_set(F.struct("start", "size", "items"))).alias("hits"))
+    return docs.join(verified, same_text, "left").select("row", "doc_id", "text", "words", F.coalesce("hits", F.array().cast(_NO_HITS)).alias("hits"))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, text, words (lower-cased, in order) and hits (start, size, items of each place where a window of the benchmark occurs) of each row of docs, beside the row.
 
     A window is `window` consecutive words of an item; an item of fewer words, but some, is one window. Null and wordless texts have no words and no hits;
-    an empty benchmark gives no hits. Rows that repeat are judged one by one.
+    an empty benchmark gives no hits. A null item_id hits, but is counted as no item. Rows that repeat are judged one by one.
     """
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, window)
@@ -92,7 +97,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_s
     sizes = sorted({r["size"] for r in rows} if len(rows) <= max_set else {r["size"] for r in windows.select("size").distinct().collect()})
     if len(rows) <= max_set:
         return base.withColumn("hits", _hits_by_set(F.col("words"), rows, sizes, spark))
-    return _hits_by_join(base.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))), windows, sizes)
+    return _hits_by_join(base.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))), windows, sizes, max_broadcast)
 
 
 def report(hits: DataFrame) -> DataFrame:
@@ -122,9 +127,9 @@ def _without(hits: Column) -> Column:
     return F.when(F.size(hits) == 0, F.col("text")).otherwise(F.ltrim(F.concat(F.array_join(kept, ""), tail)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, max_set: int = MAX_SET) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, max_set: int = MAX_SET, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with hit words cut out of text; documents with more than drop_share of their words hit are gone. Other rows, and all other columns, are as they were."""
-    found = with_hits(docs, benchmark, window, max_set)
+    found = with_hits(docs, benchmark, window, max_set, max_broadcast)
 
     def outcome(hits: Column) -> Column:
         """The new text as the one element of an array, which is empty for a document that goes: a generator, unlike a filter, has the hits computed once."""

@@ -31,19 +31,16 @@ def test_url_rules_nested_and_empty(spark):
     assert url_rules.judge_urls(pages.limit(0), spark.createDataFrame(rules, schema)).count() == 0
 
 
-@pytest.mark.parametrize("max_set", [decontam.MAX_SET, 3])
-def test_decontamination(spark, rows, docs, max_set):
+@pytest.mark.parametrize("max_set, max_broadcast", [(decontam.MAX_SET, decontam.MAX_BROADCAST), (3, decontam.MAX_BROADCAST), (3, 3)])
+def test_decontamination(spark, rows, docs, max_set, max_broadcast):
     df = docs
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(901, "One"), (902, "e f g"), (903, None), (904, "..."), (905, "a b c d e f g h i j")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    if max_set == 3:  # the other way judges rows that repeat a document alike
-        df = df.where("doc_id is not null")
-        rows = [r for r in rows if r[0] is not None]
     windows = brute.benchmark_windows(items)
-    got = decontam.report(decontam.with_hits(df, bench, max_set=max_set))
+    got = decontam.report(decontam.with_hits(df, bench, max_set=max_set, max_broadcast=max_broadcast))
     same([tuple(r) for r in got.collect()], [(i, *brute.leaks(t, windows)) for i, t in rows])
-    if max_set > 3:
-        kept = {r.doc_id: r.text for r in decontam.decontaminate(df, bench).collect()}
+    if max_broadcast > 3:
+        kept = {r.doc_id: r.text for r in decontam.decontaminate(df, bench, max_set=max_set).collect()}
         for i, t in rows:
             if brute.leaks(t, windows)[4]:
                 assert i not in kept or brute.leaks(kept[i], windows)[1] < brute.leaks(t, windows)[1]
@@ -51,6 +48,17 @@ def test_decontamination(spark, rows, docs, max_set):
                 assert kept[i] == t
 
 
+def test_a_large_benchmark_is_broadcast(spark):
+    """200,000 windows, and an item without an id."""
+    bench = spark.range(20_000).selectExpr("if(id = 7, null, id) as item_id", "concat_ws(' ', transform(sequence(0, 18), k -> concat('w', id, 'x', k))) as text")
+    text = " ".join(f"w7x{k}" for k in range(3, 14)) + " and " + " ".join(f"w9x{k}" for k in range(9)) + " or " + " ".join(f"W15X{k}" for k in range(10))
+    df = spark.createDataFrame([(1, text), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    found = decontam.with_hits(df, bench)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.report(found).collect()}
+    assert got == {1: (32, 21, 1, True), 2: (3, 0, 0, False), 3: (0, 0, 0, False)}
+
+
 def test_decontamination_of_nothing(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.report(decontam.with_hits(docs, empty)).collect())
