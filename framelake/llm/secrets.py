@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import let
 
+#: Pieces of a text that are placed at a time; even, so that each block begins outside a match.
+_BLOCK = 512
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 
 #: Kinds in their order, pattern, least length, and whether the length is that of the second group.
@@ -53,10 +55,11 @@ def _matches(text: Column, pattern: str) -> Column:
     # Split at the marks: text between, match, between, match, ..., between.
     span = "array<struct<start:int,end:int,s:string>>"
 
-    def placed(pieces: Column) -> Column:
+    def inside(part: Column, start: Column) -> Column:
+        """The matches of a block of pieces (every second piece is one), the block beginning at a place of the text."""
         return F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(span).alias("out")),
+            part,
+            F.struct(start.alias("at"), F.lit(False).alias("inside"), F.array().cast(span).alias("out")),
             lambda a, piece: F.struct(
                 (a["at"] + F.length(piece)).alias("at"),
                 (~a["inside"]).alias("inside"),
@@ -65,7 +68,15 @@ def _matches(text: Column, pattern: str) -> Column:
             lambda a: a["out"],
         )
 
-    return placed(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]"))
+    def placed(pieces: Column) -> Column:
+        """Blocks of _BLOCK pieces: where each begins, then the matches in it, so that no array grows with all matches of a text."""
+        block = lambda k: F.slice(pieces, k * _BLOCK + 1, F.lit(_BLOCK))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int"))
+        sizes = F.transform(numbers, lambda k: F.aggregate(block(k), F.lit(0), lambda n, piece: n + F.length(piece)))
+        begin = lambda k: let(sizes, lambda own: F.aggregate(F.slice(own, F.lit(1), k), F.lit(0), lambda n, x: n + x))
+        return F.when(F.size(pieces) <= _BLOCK, inside(pieces, F.lit(0))).otherwise(F.flatten(F.transform(numbers, lambda k: let(begin(k), lambda at: inside(block(k), at)))))
+
+    return let(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]"), placed)
 
 
 def _spans(matches: Column, rank: int, kind: str) -> Column:

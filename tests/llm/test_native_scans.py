@@ -75,6 +75,12 @@ def test_secrets(rows, docs):
         assert set(base) <= set(by_id[i].split(",")) or not base
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "".join(f"a{k} token=abcdefgh{k} é\n" for k in range(3000))
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).where("doc_id = 1").first()
+    assert tuple(got)[:5] == (1, *brute.secrets(text)[0]) and got.n_assign == 3000
+
+
 def test_entropy_spans(spark):
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ81kTn"
     texts = [f"key {key} end", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1", "keitlichenlichkeitberheitlicherheit", f"example{key}", "A" * 24 + "9F3b", "12345678-1234-1234-1234-123456789abc"]
