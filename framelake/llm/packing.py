@@ -30,7 +30,7 @@ from .common import shuffle_partitions, written
 CAPACITY = 2048
 SEPARATOR_ID = 0
 #: Chunks of text whose ids a worker keeps, at about 250 bytes each.
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 200_000
 _END = "\x01"
 #: What sends a chunk to the library: control characters, all from modifier letters and combining marks on, a capital whose lower case has two characters, special tokens.
 _NOT_PLAIN = re.compile("[\x00-\x09\x0b-\x1f\x7f-\x9f\u0130\u02b0-\U0010ffff]|<\\|")

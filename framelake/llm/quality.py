@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 MIN_WORDS = 50
 #: Words whose cuts a worker keeps, at about 200 bytes each.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 #: Text that a worker measures at a time.
 PART_BYTES = 1_000_000
 #: Tokens of one word that count towards tokens per word: a few keys or URLs in a short clean text must not decide.
