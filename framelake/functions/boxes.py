@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _number(v) -> Column:
+    return v.cast("double") if isinstance(v, Column) else F.lit(float(v))
+
+
 def box(x0, y0, x1, y1) -> Column:
     as_double = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
     return F.struct(as_double(x0).alias("x0"), as_double(y0).alias("y0"), as_double(x1).alias("x1"), as_double(y1).alias("y1"))
@@ -77,7 +81,7 @@ def iom(a: Column, b: Column) -> Column:
 
 
 def clip(b: Column, w, h) -> Column:
-    inside = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
+    inside = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), _number(most))
     return box(inside(b["x0"], w), inside(b["y0"], h), inside(b["x1"], w), inside(b["y1"], h))
 
 
@@ -94,7 +98,7 @@ def cropped(b: Column, left, top, w, h) -> Column:
 
 
 def flipped(b: Column, w) -> Column:
-    return box(F.lit(float(w)) - b["x1"], b["y0"], F.lit(float(w)) - b["x0"], b["y1"])
+    return box(_number(w) - b["x1"], b["y0"], _number(w) - b["x0"], b["y1"])
 
 
 def about_centre(b: Column, factor) -> Column:

@@ -48,7 +48,7 @@ def running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 
 def sampled_per_group(df: DataFrame, keys: Sequence[str], n: int, seed: int, *by: str, first: str | None = None) -> DataFrame:
-    """At most n rows of each group in the order of a seeded hash of `by`; rows where `first` holds come before the others. The cap is the operator's purpose."""
+    """At most n rows of each group in the order of the MD5 of the seed and `by`, joined by bars; rows where `first` holds come before the others. The cap is the operator's purpose."""
     order = [F.col(first).desc()] if first else []
-    w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(F.lit(seed), *by), *by)
+    w = Window.partitionBy(*keys).orderBy(*order, F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])), *by)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversions, detection, tables, tracking
+from . import augmented, conversions, detection, tables, tracking
 
-QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES | conversions.QUERIES
-ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL | conversions.ORACLE_SQL
+QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES | conversions.QUERIES | augmented.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL | conversions.ORACLE_SQL | augmented.ORACLE_SQL

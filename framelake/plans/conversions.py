@@ -72,6 +72,8 @@ def matching_names(spark, d):
 QUERIES = {f.__name__: f for f in (track_layout_round_trip, track_gaps, track_labels, batch_text_ids, annotator_choice, running_averages, capped_queries, embedded_json, matching_names)}
 
 ORACLE_SQL = {
+    "capped_queries": """SELECT user_id, event_id, event_type = 'purchase' AS positive FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, md5('11|' || event_id), event_id) <= 5""",
     "track_layout_round_trip": f"WITH {_TRACKS_SQL} SELECT video_id, track, frame, score, x0, y0 FROM tracks",
     "track_gaps": f"WITH {_TRACKS_SQL} SELECT video_id, track, 12 - count(*) AS n_missing FROM tracks GROUP BY ALL",
     "track_labels": f"""WITH {_TRACKS_SQL}, v AS (SELECT video_id, track, category_id, count(*) AS n, sum(round(score, 2)) AS s FROM tracks GROUP BY ALL),

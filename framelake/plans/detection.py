@@ -47,7 +47,7 @@ def box_formats(spark, d):
     o = objects(spark, d).withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + F.col("h"))
     c, x = boxes.to_cxcywh(_box()), boxes.to_xywh(_box())
     k = boxes.clip(_box(), WIDTH, HEIGHT)
-    return o.select("image_id", "obj", c["cx"].alias("cx"), c["cy"].alias("cy"), x["w"].alias("bw"), x["h"].alias("bh"), boxes.area(_box()).alias("area"), r6(k["x1"] / WIDTH).alias("nx1"), r6(k["y1"] / HEIGHT).alias("ny1"), boxes.is_zero(_box()).alias("zero"))
+    return o.select("image_id", "obj", c["cx"].alias("cx"), c["cy"].alias("cy"), x["w"].alias("bw"), x["h"].alias("bh"), boxes.area(_box()).alias("area"), F.round(k["x1"] / WIDTH, 9).alias("nx1"), F.round(k["y1"] / HEIGHT, 9).alias("ny1"), boxes.is_zero(_box()).alias("zero"))
 
 
 def box_transforms(spark, d):
@@ -238,7 +238,7 @@ ORACLE_SQL = {
         SELECT g.category_id, count(*) AS n_gt, CAST(sum(CASE WHEN round(best * 100, 6) >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_matched
         FROM gt g LEFT JOIN best b ON g.image_id = b.image_id AND g.obj = b.gt GROUP BY g.category_id""",
     "box_formats": f"""WITH {OBJECTS_SQL} SELECT image_id, obj, (x0 + (x0 + w)) / 2 AS cx, (y0 + (y0 + h)) / 2 AS cy, (x0 + w) - x0 AS bw, (y0 + h) - y0 AS bh, ((x0 + w) - x0) * ((y0 + h) - y0) AS area,
-        round(least(greatest(x0 + w, 0), {WIDTH}) / {WIDTH}, 6) AS nx1, round(least(greatest(y0 + h, 0), {HEIGHT}) / {HEIGHT}, 6) AS ny1, (x0 <= 0 AND y0 <= 0 AND x0 + w <= 0 AND y0 + h <= 0) AS zero FROM objs""",
+        round(least(greatest(x0 + w, 0), {WIDTH}) / {WIDTH}, 9) AS nx1, round(least(greatest(y0 + h, 0), {HEIGHT}) / {HEIGHT}, 9) AS ny1, (x0 <= 0 AND y0 <= 0 AND x0 + w <= 0 AND y0 + h <= 0) AS zero FROM objs""",
     "box_transforms": f"""WITH {OBJECTS_SQL} SELECT image_id, obj, {_CLIP.format("x0 - 100", 320)} AS crop_x0, {_CLIP.format("y0 - 50", 240)} AS crop_y0, {_CLIP.format("x0 + w - 100", 320)} AS crop_x1, {_CLIP.format("y0 + h - 50", 240)} AS crop_y1,
         {WIDTH} - (x0 + w) AS flip_x0, {WIDTH} - x0 AS flip_x1, (x0 + w) * 0.5 AS scale_x1, (y0 + h) * 0.25 AS scale_y1, x0 + 8 AS pad_x0, y0 + h + 4 AS pad_y1,
         round({_CLIP.format("x0 + w / 2 - w * 1.5 / 2", WIDTH)}, 6) AS grow_x0, round({_CLIP.format("y0 + h / 2 + h * 1.5 / 2", HEIGHT)}, 6) AS grow_y1 FROM objs""",

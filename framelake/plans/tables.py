@@ -82,7 +82,7 @@ def merged_results(spark, d):
 
 
 def canonical_phrases(spark, d):
-    t = table(spark, d, "documents").where("text IS NOT NULL")
+    t = table(spark, d, "documents")
     return t.select("doc_id", F.sha2(text.canonical(F.col("text")), 256).alias("canonical_sha"), F.sha2(text.collapsed(F.col("text")), 256).alias("collapsed_sha"))
 
 
@@ -130,7 +130,7 @@ _COLLAPSE = "trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
 ORACLE_SQL = {
     "category_chunks": """WITH c AS (SELECT p_brand, CAST(floor((row_number() OVER (ORDER BY p_brand) - 1) / 4) AS BIGINT) AS chunk FROM (SELECT DISTINCT p_brand FROM part)),
         s AS (SELECT p_brand, CAST(p_size % 5 AS BIGINT) AS image_id FROM part), i AS (SELECT DISTINCT image_id FROM s), h AS (SELECT image_id, p_brand, count(*) AS n FROM s GROUP BY ALL)
-        SELECT i.image_id, c.chunk, c.p_brand AS category, coalesce(h.n, 0) AS n_objects FROM i CROSS JOIN c LEFT JOIN h ON h.image_id = i.image_id AND h.p_brand = c.p_brand WHERE c.chunk <= 24""",
+        SELECT i.image_id, c.chunk, c.p_brand AS category, coalesce(h.n, 0) AS n_objects FROM i CROSS JOIN c LEFT JOIN h ON h.image_id = i.image_id AND h.p_brand = c.p_brand""",
     "one_based_ids": """SELECT CAST(n_nationkey + (SELECT max(CASE WHEN n_nationkey = 0 THEN 1 ELSE 0 END) FROM nation) AS BIGINT) AS id, n_name AS name,
         CAST(n_regionkey + (SELECT max(CASE WHEN r_regionkey = 0 THEN 1 ELSE 0 END) FROM region) AS BIGINT) AS region_id FROM nation""",
     "cascade_filter": """SELECT l_returnflag AS source, count(*) AS n, count(DISTINCT l_orderkey) AS n_videos FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""",
@@ -141,7 +141,7 @@ ORACLE_SQL = {
     "round_robin_chunks": "SELECT p_partkey AS id, CAST(p_partkey % 4 AS BIGINT) AS chunk, CAST(floor(p_partkey / 4) AS BIGINT) AS place FROM part",
     "merged_results": """WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS errors, round(avg(round(value, 2)), 6) AS mean_value FROM events WHERE event_type = 'error' GROUP BY 1)
         SELECT user_id, clicks, errors, mean_value FROM a FULL JOIN b USING (user_id)""",
-    "canonical_phrases": f"""SELECT doc_id, sha256({_COLLAPSE.format(f"lower(translate(replace(text, '_', ' '), '{_PUNCT}', ''))")}) AS canonical_sha, sha256({_COLLAPSE.format("text")}) AS collapsed_sha FROM documents WHERE text IS NOT NULL""",
+    "canonical_phrases": f"""SELECT doc_id, sha256({_COLLAPSE.format(f"lower(translate(replace(text, '_', ' '), '{_PUNCT}', ''))")}) AS canonical_sha, sha256({_COLLAPSE.format("text")}) AS collapsed_sha FROM documents""",
     "decorated_queries": """SELECT p_partkey, CASE WHEN p_name <> 'geometric' AND lower(trim(p_name)) IN ('red widget', 'small ring') THEN 'a photo of ' || p_name || '.' ELSE p_name END AS phrase FROM part""",
     "pruned_messages": """WITH m AS (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, turn, role FROM m WHERE k <= 2 OR turn >= l""",
     "message_counts": """SELECT conv_id, count(*) AS n, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user, CAST(max(length(text)) AS BIGINT) AS longest FROM conversations GROUP BY 1""",

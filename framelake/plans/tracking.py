@@ -61,10 +61,15 @@ def frame_suppression(spark, d):
     return out.select("video_id", "frame", "id", F.when(F.col("kept"), F.col("x0")).alias("x0"), F.when(F.col("kept"), F.col("y0")).alias("y0"))
 
 
+def _tracked(df, name: str, *more: str):
+    """Objects as frames (images) of their video, tracks being parts; what a part has twice in an image goes to a second track, so no object is lost."""
+    again = F.row_number().over(Window.partitionBy("video_id", "image_id", "part").orderBy("obj")) - 1
+    out = df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), (F.col("part") * 8 + again).cast("long").alias(name), *more, _box().alias("box"), "score", F.lit(False).alias("iscrowd"))
+    return out.withColumn("obj", F.col(name))
+
+
 def _hota(spark, d):
-    keyed = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("obj"), F.col("category_id").alias(name), _box().alias("box"), "score")
-    one = lambda df, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("seq", "t", name).orderBy("obj"))).where("_k = 1").withColumn("obj", F.col(name)).withColumn("iscrowd", F.lit(False))
-    gt, dt = one(keyed(ground_truth(spark, d), "gt"), "gt"), one(keyed(detections(spark, d), "dt"), "dt")
+    gt, dt = _tracked(ground_truth(spark, d), "gt"), _tracked(detections(spark, d), "dt")
     sim = overlapping(gt, dt, ["seq", "t"]).where("iou > 0").select("seq", "t", "gt", "dt", "iou")
     return metrics.hota(gt.select("seq", "t", "gt"), dt.select("seq", "t", "dt"), sim)
 
@@ -79,9 +84,8 @@ def hota_combined(spark, d):
 
 def teta_by_class(spark, d):
     """Objects as frames of their video, with the status as class."""
-    side = lambda df, name: df.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), F.col("category_id").alias(name), F.col("rf").alias("cls"), _box().alias("box"), "score", "obj")
-    one = lambda df, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("seq", "t", name).orderBy("obj"))).where("_k = 1").withColumn("obj", F.col(name)).withColumn("iscrowd", F.lit(False))
-    gt, dt = one(side(ground_truth(spark, d), "gt"), "gt"), one(side(detections(spark, d), "dt"), "dt")
+    status = F.col("rf").alias("cls")
+    gt, dt = _tracked(ground_truth(spark, d), "gt", status), _tracked(detections(spark, d), "dt", status)
     sim = overlapping(gt, dt, ["seq", "t"]).where("iou > 0").select("seq", "t", "gt", "dt", "iou")
     out = metrics.teta(gt.select("seq", "t", "gt", "cls"), dt.select("seq", "t", "dt", "cls"), sim)
     return out.select("cls", *[r6(F.col(c)).alias(c) for c in ("loc_a", "loc_re", "loc_pr", "assoc_a", "assoc_re", "assoc_pr", "cls_a", "cls_re", "cls_pr", "teta")])
@@ -97,7 +101,7 @@ def metric_rollup(spark, d):
     """Mean scores by video and category, by category, and over all, from partial sums."""
     o = detections(spark, d)
     out = o.groupingSets([["video_id", "category_id"], ["category_id"], []], "video_id", "category_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 100).cast("long")).alias("s"), F.grouping_id().cast("long").alias("level"))
-    return out.select("video_id", "category_id", "n", r6(F.col("s") / F.col("n") / 100).alias("mean_score"), "level")
+    return out.select("video_id", "category_id", "n", "s", F.round(F.col("s") / F.col("n") / 100, 9).alias("mean_score"), "level")
 
 
 def group_means(spark, d):
@@ -158,7 +162,7 @@ ORACLE_SQL = {
     "count_metric": f"""WITH {GT_SQL}, g AS (SELECT video_id, count(*) AS n_gt, count(DISTINCT category_id) AS ids_gt, count(DISTINCT image_id) AS frames_gt FROM gt GROUP BY 1),
         t AS (SELECT video_id, count(*) AS n_dt, count(DISTINCT category_id) AS ids_dt, count(DISTINCT image_id) AS frames_dt FROM dt GROUP BY 1)
         SELECT video_id, coalesce(n_gt, 0) AS n_gt, coalesce(ids_gt, 0) AS ids_gt, coalesce(frames_gt, 0) AS frames_gt, coalesce(n_dt, 0) AS n_dt, coalesce(ids_dt, 0) AS ids_dt, coalesce(frames_dt, 0) AS frames_dt FROM g FULL JOIN t USING (video_id)""",
-    "metric_rollup": f"""WITH {GT_SQL} SELECT video_id, category_id, count(*) AS n, round(sum(CAST(round(score * 100) AS BIGINT)) / count(*) / 100, 6) AS mean_score, CAST(grouping_id(video_id, category_id) AS BIGINT) AS level
+    "metric_rollup": f"""WITH {GT_SQL} SELECT video_id, category_id, count(*) AS n, CAST(sum(CAST(round(score * 100) AS BIGINT)) AS BIGINT) AS s, round(sum(CAST(round(score * 100) AS BIGINT)) / count(*) / 100, 9) AS mean_score, CAST(grouping_id(video_id, category_id) AS BIGINT) AS level
         FROM dt GROUP BY GROUPING SETS ((video_id, category_id), (category_id), ())""",
     "group_means": f"""WITH {GT_SQL}, m AS (SELECT category_id, avg(round(score, 2)) AS m, sum(round(score, 2)) AS s, count(*) AS n FROM dt GROUP BY 1)
         SELECT round(avg(m), 6) AS mean_of_means, round(sum(s) / sum(n), 6) AS overall_mean, count(*) AS n_groups FROM m""",

@@ -40,7 +40,8 @@ def images_with_annotations(images: DataFrame, annotations: DataFrame) -> DataFr
 
 
 def rounded_predictions(predictions: DataFrame, digits: int = 5) -> DataFrame:
-    return predictions.withColumn("bbox", F.transform("bbox", lambda v: F.round(v, digits))).withColumn("score", F.round("score", digits))
+    """Coordinates and scores with so many digits, halves to even."""
+    return predictions.withColumn("bbox", F.transform("bbox", lambda v: F.bround(v, digits))).withColumn("score", F.bround("score", digits))
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
