@@ -176,7 +176,11 @@ def average_precision(ranked: DataFrame, n_gt: DataFrame, keys: Sequence[str]) -
 
     Detections of equal score count together, so the order of equal ones has no say; what is sorted are the distinct scores.
     """
-    by_score = ranked.groupBy(*keys, "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    return interpolated_precision(ranked.groupBy(*keys, "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")), n_gt, keys)
+
+
+def interpolated_precision(by_score: DataFrame, n_gt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As average_precision(), from by_score(keys, score, tp, n): hits and detections at each score."""
     down = Window.partitionBy(*keys).orderBy(F.desc("score"))
     run = by_score.select(*keys, "score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n")).join(n_gt, list(keys))
     curve = run.withColumn("recall", F.col("tp") / F.col("n_gt")).withColumn("precision", F.col("tp") / F.col("n"))

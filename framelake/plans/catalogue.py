@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import augmented, conversions, detection, records, tables, tracking
+from . import augmented, conversions, detection, evaluation, records, tables, tracking
 
-QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES | conversions.QUERIES | augmented.QUERIES | records.QUERIES
-ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL | conversions.ORACLE_SQL | augmented.ORACLE_SQL | records.ORACLE_SQL
+QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES | conversions.QUERIES | augmented.QUERIES | records.QUERIES | evaluation.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL | conversions.ORACLE_SQL | augmented.ORACLE_SQL | records.ORACLE_SQL | evaluation.ORACLE_SQL
