@@ -199,3 +199,36 @@ ORACLE_SQL = {
     "last_values": "SELECT user_id % 3 AS category, user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "counted_objects": f"WITH {GT_SQL} SELECT image_id, CAST(sum(CASE WHEN (CASE WHEN image_id % 2 = 0 THEN 1.0 ELSE 0.7 END) / (1 + exp(-(score * 4 - 2))) > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_counted FROM dt GROUP BY 1",
 }
+
+# One-to-one assignment: the best total for each set of detections that are taken, ground truth by ground truth.
+_ASSIGNED_SQL = f"""WITH RECURSIVE {GT_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY obj) AS k FROM gt WHERE NOT iscrowd), t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY obj) - 1 AS j FROM dt WHERE score >= 0.3),
+    e AS (SELECT a.image_id, a.k, CAST(1 AS BIGINT) << CAST(b.j AS INT) AS bit, {INTER} / {UNION} AS iou FROM g a JOIN t b ON a.image_id = b.image_id WHERE {INTER} > 0 UNION ALL SELECT image_id, k, 0, 0.0 FROM g),
+    walk AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS mask, CAST(0.0 AS DOUBLE) AS total, CAST([] AS DOUBLE[]) AS ious FROM g
+             UNION ALL
+             SELECT image_id, k, mask, total, ious FROM (SELECT w.image_id, e.k, w.mask | e.bit AS mask, w.total + e.iou AS total, CASE WHEN e.iou > 0 THEN list_append(w.ious, e.iou) ELSE w.ious END AS ious
+                 FROM walk w JOIN e ON e.image_id = w.image_id AND e.k = w.k + 1 AND w.mask & e.bit = 0 QUALIFY row_number() OVER (PARTITION BY w.image_id, e.k, w.mask | e.bit ORDER BY w.total + e.iou DESC) = 1)),
+    m AS (SELECT image_id, ious, total FROM walk QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k DESC, total DESC) = 1),
+    n AS (SELECT image_id, coalesce(a.n, 0) AS num_gt, coalesce(b.n, 0) AS num_dt FROM (SELECT image_id, count(*) AS n FROM g GROUP BY 1) a FULL JOIN (SELECT image_id, count(*) AS n FROM t GROUP BY 1) b USING (image_id)),
+    ic AS (SELECT n.*, thr, len(list_filter(coalesce(m.ious, []), lambda x: round(x * 100, 6) >= thr)) AS tp FROM n CROSS JOIN (SELECT unnest(range(50, 100, 5)) AS thr) LEFT JOIN m USING (image_id))"""
+_F1 = "(2 * {0} * {1} / ({0} + {1} + 1e-4))"
+ORACLE_SQL |= {
+    "category_average_precision": _levels_sql(100).replace("a.iscrowd", "false").replace("WHERE NOT iscrowd AND", "WHERE") + " SELECT category_id, round(ap, 6) AS ap FROM lv WHERE band = 'all' AND thr = 50",
+    "optimal_assignment": f"{_ASSIGNED_SQL} SELECT image_id, len(ious) AS n, round(total, 6) AS total FROM m WHERE len(ious) > 0",
+    "image_match_counts": f"{_ASSIGNED_SQL} SELECT CAST(thr AS INTEGER) AS thr, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(num_dt - tp) AS BIGINT) AS fp, CAST(sum(num_gt - tp) AS BIGINT) AS fn FROM ic GROUP BY thr",
+    "gated_f1": f"""{_ASSIGNED_SQL}, x AS (SELECT *, tp / (num_dt + 1e-4) AS p, tp / (num_gt + 1e-4) AS r FROM ic),
+        s AS (SELECT thr, sum(tp) AS tp, sum(num_dt - tp) AS fp, sum(num_gt - tp) AS fn, sum(CASE WHEN num_gt > 0 THEN num_dt - tp ELSE 0 END) AS pm_fp, sum(CASE WHEN num_gt > 0 THEN {_F1.format("p", "r")} ELSE 0.0 END) AS f1,
+            count(*) FILTER (num_gt > 0 AND num_dt > 0) AS a, count(*) FILTER (num_gt = 0 AND num_dt > 0) AS b, count(*) FILTER (num_gt > 0 AND num_dt = 0) AS c, count(*) FILTER (num_gt = 0 AND num_dt = 0) AS d FROM x GROUP BY thr),
+        l AS (SELECT *, tp / (tp + fp + 1e-4) AS precision, tp / (tp + fn + 1e-4) AS recall, f1 / a AS macro, f1 / (a + c) AS w0dt, (a * d - b * c) / (sqrt(CAST(a + b AS DOUBLE) * (a + c) * (d + b) * (d + c)) + 1e-6) AS mcc FROM s),
+        k AS (SELECT *, {_F1.format("(tp / (tp + pm_fp + 1e-4))", "recall")} AS pm FROM l)
+        SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(pm), 6) AS positive_micro_f1, round(avg(macro), 6) AS positive_macro_f1, round(avg(w0dt), 6) AS positive_w0dt_macro_f1, round(avg(mcc), 6) AS il_mcc,
+            round(avg(pm * mcc), 6) AS cgf1, round(avg(macro * mcc), 6) AS cgf1_macro FROM k""",
+    "frame_suppression": f"""WITH RECURSIVE {GT_SQL}, o AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY day) - 1 AS frame, image_id * 100 + obj AS id FROM dt),
+        r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY score DESC, id) AS k FROM o),
+        adj AS (SELECT b.video_id, b.frame, b.id, b.k, list(a.k) FILTER (WHERE a.k IS NOT NULL) AS beaten FROM r b LEFT JOIN r a ON a.video_id = b.video_id AND a.frame = b.frame AND a.k < b.k AND {INTER} / {UNION} >= 0.3 GROUP BY ALL),
+        walk AS (SELECT video_id, frame, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM r WHERE k = 1
+                 UNION ALL
+                 SELECT w.video_id, w.frame, w.k + 1, CASE WHEN a.beaten IS NULL OR len(list_intersect(w.kept, a.beaten)) = 0 THEN list_append(w.kept, a.k) ELSE w.kept END
+                 FROM walk w JOIN adj a ON a.video_id = w.video_id AND a.frame = w.frame AND a.k = w.k + 1),
+        last AS (SELECT video_id, frame, max_by(kept, k) AS kept FROM walk GROUP BY ALL)
+        SELECT video_id, CAST(frame AS BIGINT) AS frame, id, CASE WHEN list_contains(kept, k) THEN x0 END AS x0, CASE WHEN list_contains(kept, k) THEN y0 END AS y0 FROM r JOIN last USING (video_id, frame)""",
+}
