@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import augmented, conversions, detection, evaluation, records, tables, tracking, training
+from . import augmented, conversions, detection, evaluation, points, records, tables, tracking, training
 
-QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES | conversions.QUERIES | augmented.QUERIES | records.QUERIES | evaluation.QUERIES | training.QUERIES
-ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL | conversions.ORACLE_SQL | augmented.ORACLE_SQL | records.ORACLE_SQL | evaluation.ORACLE_SQL | training.ORACLE_SQL
+QUERIES = detection.QUERIES | tracking.QUERIES | tables.QUERIES | conversions.QUERIES | augmented.QUERIES | records.QUERIES | evaluation.QUERIES | training.QUERIES | points.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | tracking.ORACLE_SQL | tables.ORACLE_SQL | conversions.ORACLE_SQL | augmented.ORACLE_SQL | records.ORACLE_SQL | evaluation.ORACLE_SQL | training.ORACLE_SQL | points.ORACLE_SQL
