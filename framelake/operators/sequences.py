@@ -14,14 +14,18 @@ def frame_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 
 
 def closest_frames(queries: DataFrame, conditions: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """For each query frame, its k nearest condition frames: the last before it, the first at or after it, then by distance; earlier ones first on ties."""
-    q = queries.select(*keys, F.col("frame").alias("query"))
-    both = q.join(conditions.select(*keys, "frame"), list(keys))
-    before, after = F.col("frame") < F.col("query"), F.col("frame") >= F.col("query")
-    w = Window.partitionBy(*keys, "query")
-    marked = both.withColumn("last", F.max(F.when(before, F.col("frame"))).over(w)).withColumn("first", F.min(F.when(after, F.col("frame"))).over(w))
-    group = F.when(F.col("frame") == F.col("last"), 0).when(F.col("frame") == F.col("first"), 1).otherwise(2)
-    ranked = marked.withColumn("rank", F.row_number().over(w.orderBy(group, F.abs(F.col("frame") - F.col("query")), "frame")))
+    """For each query frame, its k nearest condition frames: the last before it, the first at or after it, then by distance; earlier ones first on ties.
+
+    Condition frames are numbered; a query looks up the k numbers on either side of its own place, which hold all that can be nearest.
+    """
+    place = Window.partitionBy(*keys).orderBy("frame")
+    numbered = conditions.select(*keys, "frame").withColumn("_n", F.row_number().over(place))
+    events = conditions.select(*keys, "frame", F.lit(1).alias("_c")).unionByName(queries.select(*keys, "frame", F.lit(0).alias("_c")))
+    counted = events.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("frame", "_c").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_c = 0")
+    ask = counted.select(*keys, F.col("frame").alias("query"), "_before", F.explode(F.sequence(F.col("_before") - k + 1, F.col("_before") + k)).alias("_n"))
+    both = ask.join(numbered, [*keys, "_n"])
+    group = F.when(F.col("_n") == F.col("_before"), 0).when(F.col("_n") == F.col("_before") + 1, 1).otherwise(2)
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "query").orderBy(group, F.abs(F.col("frame") - F.col("query")), "frame")))
     return ranked.where(F.col("rank") <= k).select(*keys, "query", "frame", F.col("rank").cast("long").alias("rank"))
 
 
@@ -43,12 +47,33 @@ def confirmed(df: DataFrame, keys: Sequence[str], matched: str, needed: int) ->
     return out.withColumn("confirmed", F.max(F.when(F.col("run") >= needed, 1).otherwise(0)).over(w) == 1).drop("_misses")
 
 
+#: Frames that are folded at a time.
+FOLDED = 256
+
+
 def kept_alive(df: DataFrame, keys: Sequence[str], matched: str, start: int, most: int, least: int) -> DataFrame:
-    """The keep-alive counter of each object after each frame: one up for a match, one down for a miss, clamped after every step. A native fold over frames."""
-    rows = F.array_sort(F.collect_list(F.struct("frame", F.col(matched).alias("m"))))
-    step = lambda a, r: F.concat(a, F.array(F.struct(r["frame"].alias("frame"), F.least(F.lit(most), F.greatest(F.lit(least), F.when(F.size(a) > 0, F.element_at(a, -1)["alive"]).otherwise(F.lit(start)) + F.when(r["m"], 1).otherwise(-1))).alias("alive"))))
-    folded = df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(F.aggregate("_rows", F.array().cast("array<struct<frame:bigint,alive:int>>"), step)).alias("_s"))
-    return folded.select(*keys, F.col("_s.frame").alias("frame"), F.col("_s.alive").cast("long").alias("alive"))
+    """The keep-alive counter of each object after each frame: one up for a match, one down for a miss, clamped after every step.
+
+    Steps compose: any run of them adds a number and clamps between two bounds. Blocks of FOLDED frames are reduced to those three numbers, the blocks of an object to
+    their values at the start, and only then is each block walked, so no array holds more than a block's frames.
+    """
+    up = F.when(F.col(matched), 1).otherwise(-1)
+    placed = df.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("frame")) - 1) / FOLDED))
+    blocks = placed.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("frame", up.alias("s")))).alias("_rows"))
+    clamp = lambda v, low, high: F.least(high, F.greatest(low, v))
+    low, high = F.lit(least), F.lit(most)
+
+    def compose(a, r):
+        return F.struct((a["add"] + r["s"]).alias("add"), clamp(a["low"] + r["s"], low, high).alias("low"), clamp(a["high"] + r["s"], low, high).alias("high"))
+
+    one = F.struct(F.lit(0).alias("add"), low.alias("low"), high.alias("high"))
+    reduced = blocks.select(*keys, "_block", F.aggregate("_rows", one, compose).alias("f"))
+    every = reduced.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "f"))).alias("_f"))
+    step = lambda a, r: F.concat(a, F.array(clamp(F.element_at(a, -1) + r["f"]["add"], r["f"]["low"], r["f"]["high"])))
+    starts = every.select(*keys, F.posexplode(F.aggregate("_f", F.array(F.lit(start)), step)).alias("_block", "_start")).withColumn("_block", F.col("_block").cast("long"))
+    walk = lambda a, r: F.concat(a, F.array(F.struct(r["frame"].alias("frame"), clamp(F.coalesce(F.try_element_at(a, F.lit(-1))["alive"], F.col("_start")) + r["s"], low, high).alias("alive"))))
+    walked = blocks.join(starts, [*keys, "_block"]).select(*keys, F.explode(F.aggregate("_rows", F.array().cast("array<struct<frame:bigint,alive:int>>"), walk)).alias("_s"))
+    return walked.select(*keys, F.col("_s.frame").alias("frame"), F.col("_s.alive").cast("long").alias("alive"))
 
 
 def hotstart_removed(df: DataFrame, keys: Sequence[str], matched: str, delay: int, misses: int) -> DataFrame:
