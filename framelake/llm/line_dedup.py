@@ -9,6 +9,8 @@ and end with is cut off, and the rest is compared in a band of 2 * edits + 1 dia
 One word replaced, added or taken away is an edit of words: halves of the word sequence, in the same way, name the lines that can have such a neighbour; those meet
 under the hashes of their words without one of them, where each group's earliest line decides, so no pairs are made.
 
+Keys that very many lines share make no pairs: at one edit, their lines are compared by the hashes that they have without one of their characters.
+
 All is DataFrame expressions. Exact copies of a line are one row before lines meet, so a line that many documents share meets nothing more often than any other.
 """
 
@@ -26,6 +28,8 @@ MIN_CHARS = 40
 WORD_SHARE = 0.25
 #: Line ids, of 8 bytes each, that are broadcast to fetch texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+#: Lines that may meet under one segment key; at one edit, those of keys with more are compared by the texts that they have without a character, not in pairs.
+CROWDED_KEY = 512
 _LAST = 2**63 - 1
 _BLANK = " \t\r\x0b\x0c"
 
@@ -181,18 +185,34 @@ def _texts(occurrences: DataFrame, ids: DataFrame) -> DataFrame:
     return occurrences.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"), F.min(F.struct("order_id", "line_no")).alias("first"))
 
 
+def _char_patterns(text: Column) -> Column:
+    """_patterns() of characters instead of words: (key, side) of the text without one of them, at its place (0) and as a whole (2), and of the text (1)."""
+    n = F.char_length(text)
+
+    def without(i: Column) -> Column:
+        rest = F.xxhash64(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
+        return let(rest, lambda h: F.array(F.struct(F.xxhash64(n, i, h).alias("key"), F.lit(0).alias("side")), F.struct(h.alias("key"), F.lit(2).alias("side"))))
+
+    return F.concat(F.flatten(F.transform(F.sequence(F.lit(1), n), without)), F.array(F.struct(F.xxhash64(text).alias("key"), F.lit(1).alias("side"))))
+
+
+def _behind_by_a_pattern(texts: DataFrame, patterns: Column) -> DataFrame:
+    """The lines of texts(line, text, first) that meet an earlier one in a pattern: each key's earliest line decides, so no pairs are made."""
+    made = written(texts.select("line", "first", F.explode(patterns).alias("p")).select("line", "first", "p.key", "p.side"), "line-patterns")
+    first = made.groupBy("key").agg(*[F.min(F.when(F.col("side") == side, F.col("first"))).alias(f"first_{side}") for side in range(3)], F.count("*").alias("n")).where("n > 1")
+    other = F.when(F.col("side") == 0, F.col("first_0")).when(F.col("side") == 1, F.col("first_2")).otherwise(F.col("first_1"))
+    return made.join(first, "key").where(other < F.col("first")).select("line")
+
+
 def _behind_by_a_word(occurrences: DataFrame, distinct: DataFrame, share: float) -> DataFrame:
     """The lines that differ in one word from an earlier one."""
     halves = distinct.select("line", F.explode("word_keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("key")
     ids = written(halves.join(shared, "key", "left_semi").select("line").distinct(), "line-ids")
-    patterns = written(_texts(occurrences, ids).select("line", "first", F.explode(_patterns(F.col("text"), share)).alias("p")).select("line", "first", "p.key", "p.side"), "line-patterns")
-    first = patterns.groupBy("key").agg(*[F.min(F.when(F.col("side") == side, F.col("first"))).alias(f"first_{side}") for side in range(3)], F.count("*").alias("n")).where("n > 1")
-    other = F.when(F.col("side") == 0, F.col("first_0")).when(F.col("side") == 1, F.col("first_2")).otherwise(F.col("first_1"))
-    return patterns.join(first, "key").where(other < F.col("first")).select("line")
+    return _behind_by_a_pattern(_texts(occurrences, ids), _patterns(F.col("text"), share))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False, crowded_key: int = CROWDED_KEY) -> DataFrame:
     """doc_id, mark and line_nos (from 0, in order) of the documents that lose lines."""
     every = lines_of(docs, 1 if short_repeats else min_chars)
     text = F.col("text")
@@ -209,13 +229,26 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
     of = lambda names, as_: distinct.select(F.col("line").alias(as_), F.col("parity").alias(f"parity_{as_}"), F.explode(F.array(*names)).alias(f"key_{as_}"))
     meets = (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= _BITS_PER_EDIT * edits)
-    meeting = of(keys[:n_index], "a").join(of(keys, "b"), meets)
+    # A key that many lines share would meet all of them with all of them. One edit is found without pairs: lines that share a text without one character.
+    crowded = None
+    if edits == 1:
+        probes_of = of(keys, "b").select(F.col("b").alias("line"), F.col("key_b").alias("key"))
+        crowded = written(probes_of.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded_key).select("key"), "crowded-keys")
+        n_crowded = crowded.count()
+        crowded = (F.broadcast(crowded) if n_crowded <= MAX_BROADCAST_IDS else crowded) if n_crowded else None
+    index, probe = of(keys[:n_index], "a"), of(keys, "b")
+    if crowded is not None:
+        index, probe = (side.join(crowded, F.col(f"key_{name}") == F.col("key"), "left_anti") for side, name in ((index, "a"), (probe, "b")))
+    meeting = index.join(probe, meets)
     pairs = written(meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
     texts = _texts(occurrences, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     side = lambda s: texts.select(F.col("line").alias(s), F.col("text").alias(f"text_{s}"), F.col("first").alias(f"first_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("text_a"), F.col("text_b"), edits))
     behind = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("line"))
+    if crowded is not None:
+        ids = written(probes_of.join(crowded, "key", "left_semi").select("line").distinct(), "line-ids")
+        behind = behind.unionByName(_behind_by_a_pattern(_texts(occurrences, ids), _char_patterns(F.col("text"))))
     if word_share is not None:
         behind = behind.unionByName(_behind_by_a_word(occurrences, distinct, word_share))
     behind = behind.distinct().withColumn("near", F.lit(True))
@@ -225,7 +258,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False, crowded_key: int = CROWDED_KEY) -> DataFrame:
     """doc_id, mark, n_lines, n_dropped and dropped (the numbers of the lines that go, from 0, joined by commas) of each row of docs(doc_id, text).
 
     A line of at least min_chars code points, without white space around it, goes if an earlier one (smaller doc_id, then line number) lies within `edits` edits; whether
@@ -233,16 +266,16 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     that share of the characters of each line that has it. Shorter lines stay; with short_repeats, exact repeats of those go too, blank lines aside. Rows that repeat a document's id and text lose the same lines; of lines at one place neither is earlier.
     A null doc_id comes after all others. A null text has no lines and loses none.
     """
-    lost = dropped_lines(docs, edits, min_chars, word_share, short_repeats).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "line_nos")
+    lost = dropped_lines(docs, edits, min_chars, word_share, short_repeats, crowded_key).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "line_nos")
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = base.join(lost, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
     nos = F.coalesce("line_nos", F.array().cast("array<int>"))
     return joined.select("doc_id", "mark", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(nos).cast("long").alias("n_dropped"), F.array_join(nos.cast("array<string>"), ",").alias("dropped"))
 
 
-def without_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of text; all columns and rows stay."""
-    lost = dropped_lines(docs, edits, min_chars).select(F.col("doc_id").alias("_of_id"), F.col("mark").alias("_of_mark"), F.col("line_nos").alias("_line_nos"))
+    lost = dropped_lines(docs, edits, min_chars, short_repeats=short_repeats).select(F.col("doc_id").alias("_of_id"), F.col("mark").alias("_of_mark"), F.col("line_nos").alias("_line_nos"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_line_nos", i)), "\n")
     joined = docs.withColumn("_mark", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_of_id")) & (F.col("_mark") == F.col("_of_mark")), "left")
     return joined.withColumn("text", F.when(F.col("_line_nos").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

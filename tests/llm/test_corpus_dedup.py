@@ -132,6 +132,21 @@ def test_lines(spark, rows, docs, edits):
         assert Counter((r.doc_id, r.text) for r in left) == want and sum(gone.values()) == len(some)
 
 
+def test_lines_that_share_a_half(spark, monkeypatch):
+    """A template with a free half: no pairs are made under its key, and the answer is that of pairs."""
+    rng = random.Random(8)
+    letters = "abcdefgh"
+    rows = [(k, "posted by the same author on " + "".join(rng.choice(letters[:3]) for _ in range(rng.randint(28, 30)))) for k in range(300)]
+    rows += [(1000 + k, t[:40] + rng.choice(letters) + t[40 + rng.randint(0, 1) :]) for k, (_, t) in enumerate(rng.sample(rows, 120))] + [(5000, rows[7][1]), (None, rows[9][1] + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+    write = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda d, name: made.append((name, write(d, name))) or made[-1][1])
+    got = Counter(map(tuple, line_dedup.dedup_lines(df, 1, 40, crowded_key=20).drop("mark").collect()))
+    assert got == Counter(brute.lines(rows, 1, 40)) and sum(n for _, _, n, _ in got) > 50
+    assert dict(made)["line-pairs"].count() < 3 * len(rows)
+
+
 def test_lines_of_nothing(docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
