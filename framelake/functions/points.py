@@ -105,14 +105,15 @@ def bilinear(grid: Column, x: Column, y: Column, h: int, w: int) -> Column:
 def squared_distance(mask: np.ndarray) -> np.ndarray:
     """Squared distance of each pixel of a mask to the nearest one outside it; first down the columns, then along the rows. Without such a pixel, a large number."""
     m = np.asarray(mask, bool)
-    far = float(sum(m.shape) * 2 + 1)
+    far = sum(m.shape) * 2 + 1
     h, w = m.shape
     rows = np.arange(h)[:, None]
     above = np.maximum.accumulate(np.where(m, -far, rows), axis=0)
     below = np.minimum.accumulate(np.where(m, far + h, rows)[::-1], axis=0)[::-1]
     down = np.minimum(np.minimum(rows - above, below - rows), far) ** 2
-    apart = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-    return np.stack([(apart + row[None, :]).min(axis=1) for row in down]) if h else down
+    apart = ((np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2).astype(np.int32)
+    rows_at_once = max(1, (1 << 20) // max(1, w * w))
+    return np.concatenate([(apart[None] + down[k : k + rows_at_once, None, :].astype(np.int32)).min(axis=2) for k in range(0, h, rows_at_once)]) if h else down
 
 
 def _window(mask_counts, h: int, w: int) -> tuple[np.ndarray, int, int] | None:
@@ -121,7 +122,11 @@ def _window(mask_counts, h: int, w: int) -> tuple[np.ndarray, int, int] | None:
     if box is None:
         return None
     x0, y0, x1, y1 = max(0, box[0] - 1), max(0, box[1] - 1), min(w, box[2] + 1), min(h, box[3] + 1)
-    return masks.decode(mask_counts, h, w)[y0:y1, x0:x1], x0, y0
+    step = np.zeros((x1 - x0) * h + 1, np.int32)  # the columns of the part alone
+    ends = np.clip(np.cumsum(mask_counts) - x0 * h, 0, len(step) - 1)
+    np.add.at(step, ends[0::2][: len(ends) // 2], 1)
+    np.add.at(step, ends[1::2], -1)
+    return (np.cumsum(step)[:-1] > 0).reshape(x1 - x0, h).T[y0:y1], x0, y0
 
 
 def _inner(mask_counts, h: int, w: int, n: int) -> list[dict]:
