@@ -282,3 +282,34 @@ def served_results(rows: DataFrame, keys: Sequence[str], score: str, mask: str,
 
 def drawn(values: Sequence, seed: int, *keys: str) -> Column:
     return one_of(list(values), seed, *[F.col(k) for k in keys])
+
+
+# ---- what of a tracker's output is scored
+
+
+def without_unjudged(detections: DataFrame, matched: DataFrame, truth: DataFrame, negative: DataFrame, partial: DataFrame) -> DataFrame:
+    """Detections(image_id, category_id, dt) without those that match nothing and can't be judged: their category is not known to be absent from the image, and the image
+    has no ground truth of it or is not labelled exhaustively for it.
+
+    matched(image_id, dt), truth(image_id, category_id), negative(image_id, category_id) and partial(image_id, category_id) are looked up, each by an equi-join.
+    """
+    pair = ["image_id", "category_id"]
+    mark = lambda df, name, on: df.select(*on).distinct().withColumn(name, F.lit(True))
+    out = detections.join(mark(matched, "_m", ["image_id", "dt"]), ["image_id", "dt"], "left").join(mark(truth, "_t", pair), pair, "left").join(mark(negative, "_n", pair), pair, "left").join(mark(partial, "_p", pair), pair, "left")
+    judged = F.col("_m").isNotNull() | F.col("_n").isNotNull() | (F.col("_t").isNotNull() & F.col("_p").isNull())
+    return out.where(judged).drop("_m", "_t", "_n", "_p")
+
+
+def scored_tracks(near: DataFrame, assigned: DataFrame, tracks: DataFrame, exhaustive: DataFrame | None = None) -> DataFrame:
+    """video_id, category_id and track_id of the tracks that are scored for a category: those near its ground truth, without those that are assigned to ground truth of
+    another one, and, where labels are exhaustive, all tracks of the category itself.
+
+    near(video_id, category_id, track_id) and assigned (the same) name the ground truth's category, tracks the predicted one; exhaustive(video_id, category_id).
+    """
+    key = ["video_id", "track_id"]
+    other = near.select("video_id", "category_id", "track_id").distinct().join(assigned.select(*key, F.col("category_id").alias("_c")).distinct(), key, "left").groupBy("video_id", "category_id", "track_id")
+    kept = other.agg(F.max(F.when(F.col("_c") != F.col("category_id"), 1).otherwise(0)).alias("_other")).where("_other = 0").drop("_other")
+    if exhaustive is None:
+        return kept
+    own = tracks.select("video_id", "category_id", "track_id").distinct().join(exhaustive.select("video_id", "category_id").distinct(), ["video_id", "category_id"], "left_semi")
+    return kept.unionByName(own).distinct()
