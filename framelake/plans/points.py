@@ -107,3 +107,9 @@ ORACLE_SQL = {
         p AS (SELECT s.image_id, s.obj AS o1, t.obj AS o2, greatest(least(s.c, t.c) - greatest(s.a, t.a), 0) * greatest(least(s.e, t.e) - greatest(s.b, t.b), 0) AS i, least((s.c - s.a) * (s.e - s.b), (t.c - t.a) * (t.e - t.b)) AS low FROM m s JOIN m t ON s.image_id = t.image_id AND s.obj < t.obj)
         SELECT image_id, o1, o2, round(i / greatest(low, 1), 6) AS iom, round(i / (low + 1e-8), 6) AS iom_eps FROM p WHERE i > 0""",
 }
+
+_PIXELS = f"image_id, CAST(least(greatest(floor(x0), 0), {WIDTH}) AS BIGINT) AS x0, CAST(least(greatest(floor(y0), 0), {HEIGHT}) AS BIGINT) AS y0, CAST(least(greatest(floor(x1), 0), {WIDTH}) AS BIGINT) AS x1, CAST(least(greatest(floor(y1), 0), {HEIGHT}) AS BIGINT) AS y1"
+ORACLE_SQL["image_semantic_masks"] = f"""WITH {GT_SQL}, k AS (SELECT {_PIXELS} FROM dt),
+    xs AS (SELECT image_id, x, lead(x) OVER (PARTITION BY image_id ORDER BY x) AS nx FROM (SELECT image_id, x0 AS x FROM k UNION SELECT image_id, x1 FROM k)), ys AS (SELECT image_id, y, lead(y) OVER (PARTITION BY image_id ORDER BY y) AS ny FROM (SELECT image_id, y0 AS y FROM k UNION SELECT image_id, y1 FROM k)),
+    c AS (SELECT DISTINCT k.image_id, x, nx, y, ny FROM k JOIN xs ON xs.image_id = k.image_id AND k.x0 <= x AND nx <= k.x1 JOIN ys ON ys.image_id = k.image_id AND k.y0 <= y AND ny <= k.y1), s AS (SELECT image_id, sum((nx - x) * (ny - y)) AS area FROM c GROUP BY 1)
+    SELECT i.image_id, CAST(coalesce(area, 0) AS BIGINT) AS area FROM (SELECT DISTINCT image_id FROM k) i LEFT JOIN s ON s.image_id = i.image_id"""
