@@ -31,17 +31,23 @@ MAX_BROADCAST_IDS = 2_000_000
 #: Lines that may meet under one segment key; at one edit, those of keys with more are compared by the texts that they have without a character, not in pairs.
 CROWDED_KEY = 512
 _LAST = 2**63 - 1
+_WORD_KEYS = ["w0", "w1", "w2", "w3"]
 _BLANK = " \t\r\x0b\x0c"
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, mark (a hash of the whole text), order_id, line_no (from 0), text and line (a hash of the trimmed text) of the lines of at least min_chars code points."""
+    """doc_id, mark (a hash of the whole text), place, line_no (from 0), text and line (a hash of the trimmed text) of the lines of at least min_chars code points.
+
+    place orders lines by doc_id, then line number: one number, since the least of a struct is sought by sorting.
+    """
     text = F.btrim("raw", F.lit(_BLANK))
+    order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    place = order_id.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     return (
         docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
         .select("doc_id", "mark", "line_no", text.alias("text"))
         .where(F.char_length("text") >= min_chars)
-        .select("doc_id", "mark", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("order_id"), "line_no", "text", F.xxhash64("text").alias("line"))
+        .select("doc_id", "mark", place.alias("place"), "line_no", "text", F.xxhash64("text").alias("line"))
     )
 
 
@@ -78,35 +84,34 @@ def _words(text: Column) -> Column:
     return F.split(text, f"[{_BLANK}]+")
 
 
-def _word_keys(text: Column) -> Column:
+def _word_keys(text: Column) -> list[Column]:
     """Keys of the halves of a line's words: its own, and those that a line of one word less has if it lacks one of these."""
-
-    def of(p: Column) -> Column:
-        words, n = p["words"], p["n"]
-        out = []
-        for shorter in (0, 1):
-            for i in (0, 1):
-                start, size = _segment(n - shorter, i, 1)
-                out.append(F.xxhash64(n - shorter, F.lit(i), F.slice(words, start + 1 + shorter * i, size)))
-        return F.array(*out)
-
-    return let(let(_words(text), lambda w: F.struct(w.alias("words"), F.size(w).alias("n"))), of)
+    words = _words(text)
+    n = F.size(words)
+    out = []
+    for shorter in (0, 1):
+        for i in (0, 1):
+            start, size = _segment(n - shorter, i, 1)
+            out.append(F.xxhash64(n - shorter, F.lit(i), F.slice(words, start + 1 + shorter * i, size)))
+    return out
 
 
 def _patterns(text: Column, share: float) -> Column:
     """(key, side): the words without one of them, at its place among as many words (side 0) and as a whole (2), and the words themselves (1)."""
 
-    def of(words: Column) -> Column:
+    def of(p: Column) -> Column:
+        words, joined = p["words"], p["joined"]
         n = F.size(words)
 
         def without(i: Column) -> Column:
-            rest = F.xxhash64(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n - i)))
+            before, after = F.call_function("substring_index", joined, F.lit(" "), i - 1), F.call_function("substring_index", joined, F.lit(" "), i - n)
+            rest = F.xxhash64(F.concat(before, F.when((i > 1) & (i < n), " ").otherwise(""), after))
             return let(rest, lambda h: F.array(F.struct(F.xxhash64(n, i, h).alias("key"), F.lit(0).alias("side")), F.struct(h.alias("key"), F.lit(2).alias("side"))))
 
         fit = F.filter(F.sequence(F.lit(1), n), lambda i: F.char_length(F.get(words, i - 1)) <= F.char_length(text) * share)
-        return F.concat(F.flatten(F.transform(fit, without)), F.array(F.struct(F.xxhash64(words).alias("key"), F.lit(1).alias("side"))))
+        return F.concat(F.flatten(F.transform(fit, without)), F.array(F.struct(F.xxhash64(joined).alias("key"), F.lit(1).alias("side"))))
 
-    return let(_words(text), of)
+    return let(let(_words(text), lambda w: F.struct(w.alias("words"), F.array_join(w, " ").alias("joined"))), of)
 
 
 #: For each word of a line, one of 64 bits is turned. An edit takes away or adds at most three words in all (a space that joins or parts two), so lines within
@@ -182,7 +187,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
 def _texts(occurrences: DataFrame, ids: DataFrame) -> DataFrame:
     """line, text and first place of the lines whose hashes are in ids (distinct)."""
     wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    return occurrences.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"), F.min(F.struct("order_id", "line_no")).alias("first"))
+    return occurrences.join(wanted, "line", "left_semi").groupBy("line", "text").agg(F.min("place").alias("first"))
 
 
 def _char_patterns(text: Column) -> Column:
@@ -206,7 +211,7 @@ def _behind_by_a_pattern(texts: DataFrame, patterns: Column) -> DataFrame:
 
 def _behind_by_a_word(occurrences: DataFrame, distinct: DataFrame, share: float) -> DataFrame:
     """The lines that differ in one word from an earlier one."""
-    halves = distinct.select("line", F.explode("word_keys").alias("key"))
+    halves = distinct.select("line", F.explode(F.array(*_WORD_KEYS)).alias("key"))
     shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("key")
     ids = written(halves.join(shared, "key", "left_semi").select("line").distinct(), "line-ids")
     return _behind_by_a_pattern(_texts(occurrences, ids), _patterns(F.col("text"), share))
@@ -222,9 +227,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     exprs = {"parity": F.expr(_WORD_PARITY)} | {f"k{i}": k for i, k in enumerate([*_index_keys(text, edits), *probes])}
     keys = [*exprs][1:]
     if word_share is not None:
-        exprs["word_keys"] = _word_keys(text)
-    keyed = every.select("order_id", "line_no", "line", long.alias("long"), *[e.alias(name) for name, e in exprs.items()])
-    all_lines = written(keyed.groupBy("line", "long", *exprs).agg(F.min(F.struct("order_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
+        exprs |= zip(_WORD_KEYS, _word_keys(text))
+    keyed = every.select("place", "line", long.alias("long"), *[e.alias(name) for name, e in exprs.items()])
+    all_lines = written(keyed.groupBy("line", "long", *exprs).agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
     distinct = all_lines.where("long")
 
     of = lambda names, as_: distinct.select(F.col("line").alias(as_), F.col("parity").alias(f"parity_{as_}"), F.explode(F.array(*names)).alias(f"key_{as_}"))
@@ -254,7 +259,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     behind = behind.distinct().withColumn("near", F.lit(True))
 
     repeated = all_lines.join(behind, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = every.select("doc_id", "mark", "line", "line_no", "order_id").join(repeated, "line").where(F.col("near") | (F.struct("order_id", "line_no") != F.col("first")))
+    gone = every.select("doc_id", "mark", "line", "line_no", "place").join(repeated, "line").where(F.col("near") | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
 
 
