@@ -16,7 +16,7 @@ All is DataFrame expressions. Exact copies of a line are one row before lines me
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, written
@@ -96,22 +96,23 @@ def _word_keys(text: Column) -> list[Column]:
     return out
 
 
-def _patterns(text: Column, share: float) -> Column:
-    """(key, side): the words without one of them, at its place among as many words (side 0) and as a whole (2), and the words themselves (1)."""
+def _word_patterns(texts: DataFrame, share: float) -> DataFrame:
+    """(line, first, key, side): the words without one of them, at its place among as many words (side 0) and as a whole (2), and the words themselves (1).
 
-    def of(p: Column) -> Column:
-        words, joined = p["words"], p["joined"]
-        n = F.size(words)
-
-        def without(i: Column) -> Column:
-            before, after = F.call_function("substring_index", joined, F.lit(" "), i - 1), F.call_function("substring_index", joined, F.lit(" "), i - n)
-            rest = F.xxhash64(F.concat(before, F.when((i > 1) & (i < n), " ").otherwise(""), after))
-            return let(rest, lambda h: F.array(F.struct(F.xxhash64(n, i, h).alias("key"), F.lit(0).alias("side")), F.struct(h.alias("key"), F.lit(2).alias("side"))))
-
-        fit = F.filter(F.sequence(F.lit(1), n), lambda i: F.char_length(F.get(words, i - 1)) <= F.char_length(text) * share)
-        return F.concat(F.flatten(F.transform(fit, without)), F.array(F.struct(F.xxhash64(joined).alias("key"), F.lit(1).alias("side"))))
-
-    return let(let(_words(text), lambda w: F.struct(w.alias("words"), F.array_join(w, " ").alias("joined"))), of)
+    A sequence's hash is the XOR of the hashes of its words with their places. That of the rest is made of what stands before a word and, one place earlier, behind it, by
+    running XORs, so the work is linear in the words of a line.
+    """
+    split = texts.select("line", "first", F.char_length("text").alias("chars"), F.posexplode(_words(F.col("text"))).alias("i", "word"))
+    own = split.select("line", "first", "i", (F.char_length("word") <= F.col("chars") * share).alias("fits"), F.xxhash64("i", "word").alias("h"), F.xxhash64(F.col("i") - 1, "word").alias("moved"))
+    line = Window.partitionBy("line", "first")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = own.select("*", F.bit_xor("h").over(upto).alias("h_upto"), F.bit_xor("moved").over(upto).alias("moved_upto"), F.bit_xor("h").over(line).alias("h_all"), F.bit_xor("moved").over(line).alias("moved_all"), F.count("*").over(line).alias("n"))
+    rest = F.col("h_upto").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("moved_all")).bitwiseXOR(F.col("moved_upto"))
+    made = runs.select("line", "first", "i", "n", "fits", "h_all", rest.alias("rest"))
+    pattern = lambda key, side: F.struct(key.alias("key"), F.lit(side).alias("side"))
+    without = F.when(F.col("fits"), F.array(pattern(F.xxhash64("n", "i", "rest"), 0), pattern(F.col("rest"), 2))).otherwise(F.array())
+    whole = F.when(F.col("i") == 0, F.array(pattern(F.col("h_all"), 1))).otherwise(F.array())
+    return made.select("line", "first", F.explode(F.concat(without, whole)).alias("p")).select("line", "first", "p.key", "p.side")
 
 
 #: For each word of a line, one of 64 bits is turned. An edit takes away or adds at most three words in all (a space that joins or parts two), so lines within
@@ -185,13 +186,13 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def _texts(occurrences: DataFrame, ids: DataFrame) -> DataFrame:
-    """line, text and first place of the lines whose hashes are in ids (distinct)."""
+    """line, text, by_word and first place of the lines of ids(line, by_word)."""
     wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    return occurrences.join(wanted, "line", "left_semi").groupBy("line", "text").agg(F.min("place").alias("first"))
+    return occurrences.join(wanted, "line").groupBy("line", "text", "by_word").agg(F.min("place").alias("first"))
 
 
 def _char_patterns(text: Column) -> Column:
-    """_patterns() of characters instead of words: (key, side) of the text without one of them, at its place (0) and as a whole (2), and of the text (1)."""
+    """As _word_patterns(), of characters instead of words: (key, side) of the text without one of them, at its place (0) and as a whole (2), and of the text (1)."""
     n = F.char_length(text)
 
     def without(i: Column) -> Column:
@@ -201,20 +202,18 @@ def _char_patterns(text: Column) -> Column:
     return F.concat(F.flatten(F.transform(F.sequence(F.lit(1), n), without)), F.array(F.struct(F.xxhash64(text).alias("key"), F.lit(1).alias("side"))))
 
 
-def _behind_by_a_pattern(texts: DataFrame, patterns: Column) -> DataFrame:
-    """The lines of texts(line, text, first) that meet an earlier one in a pattern: each key's earliest line decides, so no pairs are made."""
-    made = written(texts.select("line", "first", F.explode(patterns).alias("p")).select("line", "first", "p.key", "p.side"), "line-patterns")
+def _behind_by_a_pattern(patterns: DataFrame) -> DataFrame:
+    """The lines of patterns(line, first, key, side) that meet an earlier one in a pattern: each key's earliest line decides, so no pairs are made."""
+    made = written(patterns, "line-patterns")
     first = made.groupBy("key").agg(*[F.min(F.when(F.col("side") == side, F.col("first"))).alias(f"first_{side}") for side in range(3)], F.count("*").alias("n")).where("n > 1")
     other = F.when(F.col("side") == 0, F.col("first_0")).when(F.col("side") == 1, F.col("first_2")).otherwise(F.col("first_1"))
     return made.join(first, "key").where(other < F.col("first")).select("line")
 
 
-def _behind_by_a_word(occurrences: DataFrame, distinct: DataFrame, share: float) -> DataFrame:
-    """The lines that differ in one word from an earlier one."""
-    halves = distinct.select("line", F.explode(F.array(*_WORD_KEYS)).alias("key"))
-    shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("key")
-    ids = written(halves.join(shared, "key", "left_semi").select("line").distinct(), "line-ids")
-    return _behind_by_a_pattern(_texts(occurrences, ids), _patterns(F.col("text"), share))
+def _sharing(keys: DataFrame) -> DataFrame:
+    """The rows of keys(line, key) whose key another line has too, with n, how many rows have it."""
+    shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n")).where("a != b").select("key", "n")
+    return keys.join(shared, "key")
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False, crowded_key: int = CROWDED_KEY) -> DataFrame:
@@ -223,39 +222,40 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     text = F.col("text")
     long = F.char_length(text) >= min_chars
     occurrences = every.where(long)
-    n_index, probes = edits + 1, _probe_keys(text, edits)
-    exprs = {"parity": F.expr(_WORD_PARITY)} | {f"k{i}": k for i, k in enumerate([*_index_keys(text, edits), *probes])}
-    keys = [*exprs][1:]
+    n_index = edits + 1
+    exprs = {f"k{i}": k for i, k in enumerate([*_index_keys(text, edits), *_probe_keys(text, edits)])}
+    keys = [*exprs]
     if word_share is not None:
         exprs |= zip(_WORD_KEYS, _word_keys(text))
     keyed = every.select("place", "line", long.alias("long"), *[e.alias(name) for name, e in exprs.items()])
     all_lines = written(keyed.groupBy("line", "long", *exprs).agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
     distinct = all_lines.where("long")
 
-    of = lambda names, as_: distinct.select(F.col("line").alias(as_), F.col("parity").alias(f"parity_{as_}"), F.explode(F.array(*names)).alias(f"key_{as_}"))
-    meets = (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= _BITS_PER_EDIT * edits)
+    # Texts are fetched once, of the lines that share a key with another.
+    of = lambda names: distinct.select("line", F.posexplode(F.array(*names)).alias("i", "key"))
+    sharing = written(_sharing(of(keys)), "line-keys")
+    ids = sharing.select("line", F.lit(False).alias("by_word"))
+    if word_share is not None:
+        ids = ids.unionByName(_sharing(of(_WORD_KEYS).drop("i")).select("line", F.lit(True).alias("by_word")))
+    ids = written(ids.groupBy("line").agg(F.bool_or("by_word").alias("by_word")), "line-ids")
+    texts = written(_texts(occurrences, ids).withColumn("parity", F.expr(_WORD_PARITY)), "line-texts")
+
     # A key that many lines share would meet all of them with all of them. One edit is found without pairs: lines that share a text without one character.
-    crowded = None
-    if edits == 1:
-        probes_of = of(keys, "b").select(F.col("b").alias("line"), F.col("key_b").alias("key"))
-        crowded = written(probes_of.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded_key).select("key"), "crowded-keys")
-        n_crowded = crowded.count()
-        crowded = (F.broadcast(crowded) if n_crowded <= MAX_BROADCAST_IDS else crowded) if n_crowded else None
-    index, probe = of(keys[:n_index], "a"), of(keys, "b")
-    if crowded is not None:
-        index, probe = (side.join(crowded, F.col(f"key_{name}") == F.col("key"), "left_anti") for side, name in ((index, "a"), (probe, "b")))
-    meeting = index.join(probe, meets)
+    crowded = F.col("n") > crowded_key if edits == 1 else F.lit(False)
+    side = lambda s: texts.select(F.col("line").alias(s), F.col("text").alias(f"text_{s}"), F.col("first").alias(f"first_{s}"))
+    meet = lambda s: sharing.where(~crowded).join(texts.select("line", "parity"), "line").select(F.col("line").alias(s), F.col("i").alias(f"i_{s}"), F.col("key").alias(f"key_{s}"), F.col("parity").alias(f"parity_{s}"))
+    meets = (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= _BITS_PER_EDIT * edits)
+    meeting = meet("a").where(F.col("i_a") < n_index).join(meet("b"), meets)
     pairs = written(meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
 
-    texts = _texts(occurrences, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    side = lambda s: texts.select(F.col("line").alias(s), F.col("text").alias(f"text_{s}"), F.col("first").alias(f"first_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("text_a"), F.col("text_b"), edits))
     behind = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("line"))
-    if crowded is not None:
-        ids = written(probes_of.join(crowded, "key", "left_semi").select("line").distinct(), "line-ids")
-        behind = behind.unionByName(_behind_by_a_pattern(_texts(occurrences, ids), _char_patterns(F.col("text"))))
+    if edits == 1:
+        in_crowds = texts.join(sharing.where(crowded).select("line").distinct(), "line", "left_semi")
+        patterns = in_crowds.select("line", "first", F.explode(_char_patterns(text)).alias("p")).select("line", "first", "p.key", "p.side")
+        behind = behind.unionByName(_behind_by_a_pattern(patterns))
     if word_share is not None:
-        behind = behind.unionByName(_behind_by_a_word(occurrences, distinct, word_share))
+        behind = behind.unionByName(_behind_by_a_pattern(_word_patterns(texts.where("by_word"), word_share)))
     behind = behind.distinct().withColumn("near", F.lit(True))
 
     repeated = all_lines.join(behind, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
