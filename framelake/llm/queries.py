@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring, url_rules
+from . import decontam, divergence, exact_search, filter_audit, html_extract, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring, url_rules
 from .common import table
 
 #: The rules that op4 applies: host, path, verdict.
@@ -61,6 +61,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), word_share=line_dedup.WORD_SHARE, short_repeats=True).drop("mark")
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -72,4 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence_audit": op11_source_divergence_audit,
+    "op12_exact_top_k_search": op12_exact_top_k_search,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }

@@ -1,6 +1,8 @@
 """Plain-Python versions of the operators' contracts, for small fixtures."""
 
 import hashlib
+import itertools
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,3 +175,78 @@ ODD_TEXTS = [
     "MIT License mit license apache  License, GNU General\nPublic License; mit-license mit_license", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.",
     "\U0001f600 token=\U0001f600 secret=abcdefghij\U0001f600", "x" * 30000, "<|endoftext|> hi<|startoftext|>\u00a0there",
 ]
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def sources(rows, min_docs=10, ranks=10):
+    """(lang, source, part, item, value, rank) of rows (text, lang, source), by the definition: every pair over every term."""
+    counts, docs, out = {}, {}, []
+    for text, lang, source in rows:
+        words = TERM.findall(lower(text))
+        own = counts.setdefault(lang or "", {}).setdefault(source or "", {})
+        for w in words:
+            own[w] = own.get(w, 0) + 1
+        for w in set(words):
+            docs[lang or "", w] = docs.get((lang or "", w), 0) + 1
+    f = lambda p, q: (p - q) * (p - q) // (p + q)
+    for lang, groups in counts.items():
+        terms = sorted(w for (of, w), n in docs.items() if of == lang and n >= min_docs)
+
+        def shares(own, terms=terms):
+            total = sum(own.get(w, 0) for w in terms)
+            return {w: 1 + 10**9 * (own.get(w, 0) + 2) // (total + 2 * len(terms)) for w in terms}
+
+        whole = {}
+        for own in groups.values():
+            for w, n in own.items():
+                whole[w] = whole.get(w, 0) + n
+        p, q = {s: shares(own) for s, own in groups.items()}, shares(whole)
+        for s in groups:
+            pairs = [(-sum(f(p[s][w], p[o][w]) for w in terms), o.encode(), o) for o in groups if o != s]
+            best = [(-f(p[s][w], q[w]), w.encode(), w) for w in terms if groups[s].get(w, 0) > 0 and p[s][w] > q[w]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(best)[:ranks])):
+                out += [(lang, s, part, item, -v, k) for k, (v, _, item) in enumerate(found, 1)]
+    return out
+
+
+def nearest(rows, k=5, every=50):
+    """(query_id, rank, vec_id, score) of rows (vec_id, embedding)."""
+    fit = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    whole = [(i, [fit(math.floor(min(max(x * 256, -1e300), 1e300))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, v) in enumerate(whole):
+        if i is not None and i % every == 0:
+            found = sorted((-fit(sum(x * y for x, y in zip(v, w))), j is None, j or 0, b) for b, (j, w) in enumerate(whole) if b != a)
+            out += [(i, r, None if gone else j, -s) for r, (s, gone, j, _) in enumerate(found[:k], 1)]
+    return out
+
+
+def filter_orders(docs, labels):
+    """Rows of the interaction audit, each order applied to each document in turn. docs: (doc_id, text, source); labels: (doc_id, quality, toxic)."""
+    first = {}
+    for i, t, _ in docs:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    facts = []
+    for i, t, source in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and first[t] < i}
+        mine = [x for x in labels if x[0] == i and i is not None]
+        facts.append((source or "", {f for f, bad in fails.items() if bad}, any(x[1] == 1 for x in mine), any(x[2] == 1 for x in mine)))
+    out = []
+    for part in {f[0] for f in facts}:
+        own = [f for f in facts if f[0] == part]
+        removed, lines = {}, []
+        for order in itertools.permutations("ABCDE"):
+            left = own
+            for step, f in enumerate(order, 1):
+                gone = [x for x in left if f in x[1]]
+                left = [x for x in left if f not in x[1]]
+                removed[f] = removed.get(f, 0) + len(gone)
+                redundant = sum(f in x[1] for x in own) - len(gone)
+                lines.append((part, "".join(order), step, len(left), len(gone), redundant, sum(x[1] == {f} for x in own), sum(x[2] for x in gone), sum(x[3] for x in gone), f))
+        out += [(*x[:-1], removed[x[-1]]) for x in lines]
+    return out
