@@ -107,10 +107,10 @@ def about_centre(b: Column, factor) -> Column:
 
 
 def near_boundary(b: Column, w, h, margin=0.025) -> Column:
-    """The centre lies within the margin of an edge, strictly."""
+    """The centre lies within the margin of an edge, or just at it."""
     c = to_cxcywh(b)
     x, y = c["cx"] / w, c["cy"] / h
-    return (x < margin) | (x > 1 - margin) | (y < margin) | (y > 1 - margin)
+    return (x <= margin) | (x >= 1 - margin) | (y <= margin) | (y >= 1 - margin)
 
 
 def inside(b: Column, w, h, slack=0) -> Column:

@@ -104,3 +104,22 @@ def next_propagation(sessions: DataFrame, actions: DataFrame, key: str) -> DataF
     kind = F.when(F.col("last").isNull(), "propagation_full").when(again, F.col("last")).when(F.col("last").startswith("propagation"), "propagation_fetch").when(F.size("since") > 0, "propagation_partial").otherwise("propagation_fetch")
     objects = F.when(again, F.col("same")).when(~F.col("last").startswith("propagation") & (F.size("since") > 0), F.col("since"))
     return out.select(key, kind.alias("propagation"), objects.alias("objects"))
+
+
+def held_back_outputs(outputs: DataFrame, keys: Sequence[str], delay: int, look: int) -> DataFrame:
+    """keys, frame, released_at and objects of outputs(keys, frame, n_frames, last, objects, removed, suppressed, unconfirmed), whose frames leave late.
+
+    A frame leaves with the one `delay` - 1 frames on, or with the last one; without either it doesn't. It leaves without the objects that were removed until then,
+    those suppressed in it, and those unconfirmed `look` frames on, or in the video's last frame, if that frame was there by then. One run for each key.
+    """
+    in_order, whole = Window.partitionBy(*keys).orderBy("frame"), Window.partitionBy(*keys)
+    timed = outputs.withColumn("released_at", F.coalesce(F.lead("frame", max(delay, 1) - 1).over(in_order), F.max(F.when(F.col("last"), F.col("frame"))).over(whole))).where("released_at IS NOT NULL")
+    at = F.greatest(F.lit(0), F.least(F.col("frame") + look, F.col("n_frames") - 1)).alias("_at")
+    ahead = outputs.select(*keys, F.col("frame").alias("_at"), F.col("unconfirmed").alias("_ahead"))
+    gone = outputs.select(*keys, F.explode("removed").alias("_object"), "frame").groupBy(*keys, "_object").agg(F.min("frame").alias("_gone"))
+    both = timed.select(*keys, "frame", "released_at", "objects", "suppressed", at).join(ahead, [*keys, "_at"], "left")
+    each = both.select(*keys, "frame", "released_at", "suppressed", "_at", "_ahead", F.posexplode_outer("objects").alias("_k", "_object")).join(gone, [*keys, "_object"], "left")
+    listed = lambda c: F.coalesce(F.array_contains(c, F.col("_object")), F.lit(False))
+    hidden = listed("suppressed") | (listed("_ahead") & (F.col("_at") <= F.col("released_at"))) | F.coalesce(F.col("_gone") <= F.col("released_at"), F.lit(False))
+    left = each.groupBy(*keys, "frame", "released_at").agg(F.sort_array(F.collect_list(F.when(~hidden & F.col("_object").isNotNull(), F.struct("_k", "_object")))).alias("_left"))
+    return left.select(*keys, "frame", "released_at", F.transform("_left", lambda x: x["_object"]).alias("objects"))

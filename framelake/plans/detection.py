@@ -243,7 +243,7 @@ ORACLE_SQL = {
         {WIDTH} - (x0 + w) AS flip_x0, {WIDTH} - x0 AS flip_x1, (x0 + w) * 0.5 AS scale_x1, (y0 + h) * 0.25 AS scale_y1, x0 + 8 AS pad_x0, y0 + h + 4 AS pad_y1,
         round({_CLIP.format("x0 + w / 2 - w * 1.5 / 2", WIDTH)}, 6) AS grow_x0, round({_CLIP.format("y0 + h / 2 + h * 1.5 / 2", HEIGHT)}, 6) AS grow_y1 FROM objs""",
     "box_predicates": f"""WITH {OBJECTS_SQL}, c AS (SELECT *, (x0 + x0 + w) / 2 / {WIDTH} AS cx, (y0 + y0 + h) / 2 / {HEIGHT} AS cy FROM objs)
-        SELECT image_id, obj, (cx < 0.025 OR cx > 1 - 0.025 OR cy < 0.025 OR cy > 1 - 0.025) AS near_boundary, (x0 >= -10 AND y0 >= -10 AND x0 + w < {WIDTH} + 10 AND y0 + h < {HEIGHT} + 10) AS inside, (w > 20 AND h > 20) AS nonempty FROM c""",
+        SELECT image_id, obj, (cx <= 0.025 OR cx >= 1 - 0.025 OR cy <= 0.025 OR cy >= 1 - 0.025) AS near_boundary, (x0 >= -10 AND y0 >= -10 AND x0 + w < {WIDTH} + 10 AND y0 + h < {HEIGHT} + 10) AS inside, (w > 20 AND h > 20) AS nonempty FROM c""",
     "pair_overlap": f"""WITH {GT_SQL}, p AS (SELECT a.image_id, a.obj AS gt, b.obj AS dt, {INTER} AS i, {UNION} AS u, b.w * b.h AS ab, least(a.w * a.h, b.w * b.h) AS m,
             (greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)) AS hull FROM gt a JOIN dt b ON a.image_id = b.image_id)
         SELECT image_id, gt, dt, round(i / u, 6) AS iou, round(i / u - (hull - u) / hull, 6) AS giou, round(i / ab, 6) AS ioa, round(i / m, 6) AS iom FROM p WHERE i > 0""",

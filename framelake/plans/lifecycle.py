@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framelake.operators import lifecycle
+from framelake.operators import lifecycle, sequences
+from framelake.streaming import tracker
 
 from .tracking import _FRAMES_SQL, _frames
 from .views import GT_SQL, HEIGHT, WIDTH, detections, table
@@ -68,7 +69,36 @@ def next_propagations(spark, d):
     return lifecycle.next_propagation(sessions, actions, "session").select("session", "propagation", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"))
 
 
-QUERIES = {f.__name__: f for f in (memory_of_frames, memory_kept, duplicates_removed, objects_planned, outputs_built, passes, next_propagations)}
+def outputs_of_sessions(spark, d):
+    """The objects of a session's frames; some are removed for good, suppressed in a frame, or unconfirmed in it."""
+    f = _frames(spark, d)
+    some = lambda every: F.array_sort(F.collect_list(F.when(F.col("event_id") % every == 0, F.col("object"))))
+    own = f.groupBy("session", "frame").agg(F.array_sort(F.collect_list("object")).alias("objects"), some(97).alias("removed"), some(11).alias("suppressed"), some(5).alias("unconfirmed"))
+    n = F.max("frame").over(Window.partitionBy("session")) + 1
+    return own.withColumn("n_frames", n).withColumn("last", F.col("frame") == F.col("n_frames") - 1)
+
+
+def held_back(spark, d):
+    return lifecycle.held_back_outputs(outputs_of_sessions(spark, d), ["session"], 5, 2).withColumn("objects", F.array_join("objects", ","))
+
+
+def frames_to_plan(spark, d):
+    """Boxes in a unit image, on a grid of five places with jitter, so that they meet again in later frames of the video; a third of the frames see objects drift."""
+    o = sequences.frame_index(detections(spark, d), ["video_id"], ["day"])
+    x, y = F.col("part") % 5 / 5 + F.col("tax") / 200, F.col("category_id") % 2 / 2
+    det = F.struct((F.col("image_id") * 10 + F.col("obj")).alias("det"), F.least(F.col("score") / 2 + 0.5, F.lit(1.0)).alias("score"), x.alias("x0"), y.alias("y0"), (x + 0.2).alias("x1"), (y + 0.4).alias("y1"))
+    drift = F.array(F.struct(F.lit(0).cast("long").alias("object"), F.lit(0.1).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0.3).alias("x1"), F.lit(0.4).alias("y1")))
+    rows = o.groupBy(F.col("video_id").alias("session"), "frame").agg(F.array_sort(F.collect_list(det)).alias("detections"))
+    return rows.withColumn("frame", F.col("frame").cast("long")).withColumn("tracks", F.when(F.col("frame") % 3 == 2, drift))
+
+
+def planned_sessions(spark, d):
+    """What happens in each frame of a video, by kind."""
+    rules = tracker.Rules(near=0.3, strict=0.3, budget=8, delay=12, misses=3, repeats=2, start=4, most=6, recondition_every=4)
+    return tracker.plan_sessions(frames_to_plan(spark, d), rules).groupBy("session", "frame", "kind").agg(F.count("*").alias("n"), F.sum("object").alias("objects"))
+
+
+QUERIES = {f.__name__: f for f in (memory_of_frames, memory_kept, duplicates_removed, objects_planned, outputs_built, passes, next_propagations, held_back, planned_sessions)}
 
 _RUN = "('propagation_full', 'propagation_partial')"
 ORACLE_SQL = {
@@ -94,4 +124,11 @@ ORACLE_SQL = {
         j AS (SELECT CAST(c_custkey AS BIGINT) AS session, l.*, t1 IN {_RUN} AND NOT (coalesce(t2 IN {_RUN}, false) OR f1 IN (0, 3)) AS again FROM customer LEFT JOIN l ON l.session = c_custkey)
         SELECT session, CASE WHEN t1 IS NULL THEN 'propagation_full' WHEN again THEN t1 WHEN t1 LIKE 'propagation%' THEN 'propagation_fetch' WHEN since IS NOT NULL THEN 'propagation_partial' ELSE 'propagation_fetch' END AS propagation,
             CASE WHEN again THEN CAST(o1 AS VARCHAR) WHEN t1 NOT LIKE 'propagation%' THEN since END AS objects FROM j""",
+    "held_back": f"""WITH {_FRAMES_SQL}, o AS (SELECT session, frame, list(object) AS objects, list(object) FILTER (event_id % 97 = 0) AS rem, list(object) FILTER (event_id % 11 = 0) AS sup, list(object) FILTER (event_id % 5 = 0) AS unc FROM frames GROUP BY ALL),
+        t AS (SELECT *, max(frame) OVER (PARTITION BY session) AS top, coalesce(lead(frame, 4) OVER (PARTITION BY session ORDER BY frame), max(frame) OVER (PARTITION BY session)) AS released_at FROM o),
+        g AS (SELECT session, object, min(frame) AS gone FROM (SELECT session, frame, unnest(rem) AS object FROM o) GROUP BY ALL),
+        e AS (SELECT t.session, t.frame, t.released_at, t.top, t.sup, unnest(t.objects) AS object FROM t),
+        v AS (SELECT e.*, gone <= released_at OR list_contains(e.sup, e.object) OR (a.frame <= released_at AND list_contains(a.unc, e.object)) AS hidden
+              FROM e LEFT JOIN g ON g.session = e.session AND g.object = e.object LEFT JOIN o a ON a.session = e.session AND a.frame = least(e.frame + 2, e.top))
+        SELECT session, frame, released_at, coalesce(string_agg(object, ',' ORDER BY object) FILTER (NOT coalesce(hidden, false)), '') AS objects FROM v GROUP BY ALL""",
 }
