@@ -48,6 +48,11 @@ def binary_focal_cost(logit: Column, giou: Column | None = None, alpha: float =
     return -alpha * F.pow(1 - p, gamma) * log_p + (1 - alpha) * F.pow(p, gamma) * log_q
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of values at nine digits, as a whole number of 10^-9: it doesn't depend on the order of the rows."""
+    return F.sum(F.round(value * 1e9).cast("long"))
+
+
 def set_cost(pred: Column, target: Column, class_cost: Column, w_box: float = 1.0, w_class: float = 1.0, w_giou: float = 1.0) -> Column:
     return w_box * l1(pred, target) + w_class * class_cost - w_giou * boxes.giou(pred, target)
 
@@ -87,7 +92,7 @@ def best_of_masks(candidates: DataFrame, keys: Sequence[str], iou: str, score: s
 def box_losses(matched: DataFrame, keys: Sequence[str], pred: str, target: str, num_boxes: Column) -> DataFrame:
     """L1 and 1 - GIoU of matched pairs, summed and divided by the number of boxes."""
     p, t = F.col(pred), F.col(target)
-    return matched.groupBy(*keys).agg((F.sum(F.round(l1(p, t), 9)) / num_boxes).alias("loss_bbox"), (F.sum(F.round(1 - boxes.giou(p, t), 9)) / num_boxes).alias("loss_giou"))
+    return matched.groupBy(*keys).agg(*[(exact_sum(v) / 1e9 / num_boxes).alias(n) for v, n in ((l1(p, t), "loss_bbox"), (1 - boxes.giou(p, t), "loss_giou"))])
 
 
 def iou_losses(predicted: Column, inter: Column, union: Column, absolute: bool = False) -> Column:
@@ -99,7 +104,7 @@ def iou_losses(predicted: Column, inter: Column, union: Column, absolute: bool =
 def mean_mask_iou(pairs: DataFrame, keys: Sequence[str], inter: str, union: str, target_area: str) -> DataFrame:
     """Sum of IoUs over the number of targets that are not empty; 1 if all are."""
     n = F.sum(F.when(F.col(target_area) > 0, 1).otherwise(0))
-    total = F.sum(F.round(F.col(inter) / F.greatest(F.col(union), F.lit(1)), 9))
+    total = exact_sum(F.col(inter) / F.greatest(F.col(union), F.lit(1))) / 1e9
     return pairs.groupBy(*keys).agg(F.when(n == 0, 1.0).otherwise(total / F.greatest(n, F.lit(1))).alias("miou"))
 
 

@@ -52,12 +52,12 @@ def matched_valid_pairs(spark, d):
 def pair_costs(spark, d):
     p = _pairs(spark, d)
     logit, giou = F.col("logit"), boxes.giou(F.col("dt_box"), F.col("gt_box"))
-    return p.select("image_id", "gt", "dt", r6(matching.l1(F.col("dt_box"), F.col("gt_box"))).alias("l1"), r6(giou).alias("giou"), r6(matching.binary_focal_cost(logit)).alias("focal"), r6(matching.binary_focal_cost(logit, giou)).alias("stable"), r6(matching.focal_class_cost(matching.probability(logit))).alias("eps_focal"))
+    return p.select("image_id", "gt", "dt", F.round(matching.l1(F.col("dt_box"), F.col("gt_box")), 9).alias("l1"), r6(giou).alias("giou"), r6(matching.binary_focal_cost(logit)).alias("focal"), r6(matching.binary_focal_cost(logit, giou)).alias("stable"), r6(matching.focal_class_cost(matching.probability(logit))).alias("eps_focal"))
 
 
 def matched_losses(spark, d):
     """Losses over pairs of equal number in an image, as shares of the image."""
-    return matching.box_losses(_pairs(spark, d).where("gt = dt"), ["image_id"], "dt_box", "gt_box", F.lit(4.0)).select("image_id", r6(F.col("loss_bbox")).alias("loss_bbox"), r6(F.col("loss_giou")).alias("loss_giou"))
+    return matching.box_losses(_pairs(spark, d).where("gt = dt"), ["image_id"], "dt_box", "gt_box", F.lit(4.0)).select("image_id", F.round("loss_bbox", 11).alias("loss_bbox"), F.round("loss_giou", 11).alias("loss_giou"))
 
 
 def mask_losses(spark, d):
@@ -66,8 +66,8 @@ def mask_losses(spark, d):
     g = ground_truth(spark, d).select("image_id", "obj", box().alias("a"))
     t = detections(spark, d).select("image_id", "obj", box().alias("b"), "score")
     p = g.join(t, ["image_id", "obj"]).select("image_id", "score", boxes.intersection(F.col("a"), F.col("b")).alias("i"), boxes.union(F.col("a"), F.col("b")).alias("u"), boxes.area(F.col("a")).alias("ga"))
-    loss = p.groupBy("image_id").agg(F.sum(F.round(matching.iou_losses(F.col("score"), F.col("i"), F.col("u")), 9)).alias("squared"), F.sum(F.round(matching.iou_losses(F.col("score"), F.col("i"), F.col("u"), True), 9)).alias("absolute"))
-    return loss.join(matching.mean_mask_iou(p, ["image_id"], "i", "u", "ga"), "image_id").select("image_id", r6(F.col("squared")).alias("squared"), r6(F.col("absolute")).alias("absolute"), r6(F.col("miou")).alias("miou"))
+    loss = p.groupBy("image_id").agg((matching.exact_sum(matching.iou_losses(F.col("score"), F.col("i"), F.col("u"))) / 1e9).alias("squared"), (matching.exact_sum(matching.iou_losses(F.col("score"), F.col("i"), F.col("u"), True)) / 1e9).alias("absolute"))
+    return loss.join(matching.mean_mask_iou(p, ["image_id"], "i", "u", "ga"), "image_id").select("image_id", F.round("squared", 9).alias("squared"), F.round("absolute", 9).alias("absolute"), r6(F.col("miou")).alias("miou"))
 
 
 def best_masks(spark, d):
@@ -82,7 +82,7 @@ def uncertain_samples(spark, d):
 
 def memory_scores(spark, d):
     o = detections(spark, d)
-    return o.groupBy("image_id").agg(r6(F.avg(F.round(matching.memory_score(F.col("score") * 6 - 3, F.col("score")), 9))).alias("memory_score"))
+    return o.groupBy("image_id").agg(r6(matching.exact_sum(matching.memory_score(F.col("score") * 6 - 3, F.col("score"))) / 1e9 / F.count("*")).alias("memory_score"))
 
 
 def processed_outputs(spark, d):
@@ -140,15 +140,15 @@ ORACLE_SQL = {
     "matched_by_focal_cost": _matched_sql("focal"),
     "matched_with_repeats": _matched_sql("stable", 2),
     "matched_valid_pairs": _matched_sql("eps", valid="c.dt % 2 = 0"),
-    "pair_costs": f"WITH {_PAIRS_SQL} SELECT image_id, gt, dt, round(l1, 6) AS l1, round(giou, 6) AS giou, round(focal, 6) AS focal, round(stable, 6) AS stable, round(eps, 6) AS eps_focal FROM c",
-    "matched_losses": f"WITH {_PAIRS_SQL} SELECT image_id, round(sum(round(l1, 9)) / 4, 6) AS loss_bbox, round(sum(round(1 - giou, 9)) / 4, 6) AS loss_giou FROM c WHERE gt = dt GROUP BY 1",
+    "pair_costs": f"WITH {_PAIRS_SQL} SELECT image_id, gt, dt, round(l1, 9) AS l1, round(giou, 6) AS giou, round(focal, 6) AS focal, round(stable, 6) AS stable, round(eps, 6) AS eps_focal FROM c",
+    "matched_losses": f"WITH {_PAIRS_SQL} SELECT image_id, round(sum(CAST(round(l1 * 1e9) AS BIGINT)) / 1e9 / 4, 11) AS loss_bbox, round(sum(CAST(round((1 - giou) * 1e9) AS BIGINT)) / 1e9 / 4, 11) AS loss_giou FROM c WHERE gt = dt GROUP BY 1",
     "mask_losses": f"""WITH {GT_SQL}, a AS (SELECT {_WHOLE} FROM gt), b AS (SELECT {_WHOLE} FROM dt), p AS (SELECT a.image_id, b.score, {INTER} AS i, {_U} AS u, (a.x1 - a.x0) * (a.y1 - a.y0) AS ga FROM a JOIN b ON a.image_id = b.image_id AND a.obj = b.obj), v AS (SELECT *, score - i / greatest(u, 1) AS off FROM p)
-        SELECT image_id, round(sum(round(off * off, 9)), 6) AS squared, round(sum(round(abs(off), 9)), 6) AS absolute, round(CASE WHEN count(*) FILTER (ga > 0) = 0 THEN 1.0 ELSE sum(round(i / greatest(u, 1), 9)) / greatest(count(*) FILTER (ga > 0), 1) END, 6) AS miou FROM v GROUP BY 1""",
+        SELECT image_id, round(sum(CAST(round(off * off * 1e9) AS BIGINT)) / 1e9, 9) AS squared, round(sum(CAST(round(abs(off) * 1e9) AS BIGINT)) / 1e9, 9) AS absolute, round(CASE WHEN count(*) FILTER (ga > 0) = 0 THEN 1.0 ELSE sum(CAST(round(i / greatest(u, 1) * 1e9) AS BIGINT)) / 1e9 / greatest(count(*) FILTER (ga > 0), 1) END, 6) AS miou FROM v GROUP BY 1""",
     "best_masks": f"WITH {GT_SQL}, o AS (SELECT image_id, obj, greatest(round(score - 0.4, 2), 0.0) AS iou FROM dt) SELECT image_id, obj, iou FROM o QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY iou DESC, obj) = 1",
     "uncertain_samples": f"""WITH {GT_SQL}, o AS (SELECT category_id, image_id * 100 + obj AS id, -abs(round(score * 4 - 2, 3)) AS u FROM objs), r AS (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY u DESC, id) AS k FROM o),
         s AS (SELECT *, CASE WHEN k > 30 THEN CAST(CAST('0x' || substr(md5('500|' || category_id || '|' || id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 ELSE -1.0 END AS draw FROM r)
         SELECT category_id, id, k > 30 AS certain FROM s QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY draw, k) <= 40""",
-    "memory_scores": f"WITH {GT_SQL} SELECT image_id, round(avg(round(greatest(2 / (1 + exp(-(score * 6 - 3))) - 1, 0.0) * score, 9)), 6) AS memory_score FROM dt GROUP BY 1",
+    "memory_scores": f"WITH {GT_SQL} SELECT image_id, round(sum(CAST(round(greatest(2 / (1 + exp(-(score * 6 - 3))) - 1, 0.0) * score * 1e9) AS BIGINT)) / 1e9 / count(*), 6) AS memory_score FROM dt GROUP BY 1",
     "processed_outputs": f"""WITH {GT_SQL}, o AS (SELECT *, round(score * 4 - 2, 6) AS l0, round(tax / 4 - 1, 6) AS l1 FROM dt), b AS (SELECT *, greatest(l0, l1, -0.25) AS best FROM o), s AS (SELECT *, 1 / (1 + exp(-best)) / (1 + exp(-(image_id % 5 - 1))) AS p FROM b)
         SELECT image_id, obj, CAST(CASE best WHEN l0 THEN 0 WHEN l1 THEN 1 ELSE 2 END AS BIGINT) AS label, round(x0, 6) AS out_x0, round(y1, 6) AS out_y1, round(p, 9) AS probability FROM s WHERE p > 0.35""",
     "best_track_masks": f"WITH {GT_SQL} SELECT video_id, category_id, image_id, obj FROM dt QUALIFY row_number() OVER (PARTITION BY video_id, category_id, image_id ORDER BY score DESC, obj) = 1",
