@@ -2,8 +2,9 @@
 
 Each page is one row, so the work is a map over pages: the text blocks of a page are grouped by their root-to-leaf path of block tags; a path's text length and
 punctuation per block are its two ratios. Both are smoothed along the page, fused by product, and paths above a threshold are content. The content nodes then
-name a root (their `article` or `main`, else their common ancestor), whose blocks are the text. Blocks below boilerplate tags, classes, ids and roles never count;
-names that an article's own parts have too only lower the score of their paths inside one.
+name the roots (every `article` or `main` with a fair share of them, else the stretch from the first to the last), whose blocks are the text. Blocks below boilerplate
+tags, roles, and, outside articles, classes and ids never count. Inside an article a name is boilerplate only if no word of it says anything else; elements of other
+such names stand or fall by their paths, as a whole: at LOWERED of their score, most of their text must lie on paths above the threshold.
 """
 
 from __future__ import annotations
@@ -25,18 +26,23 @@ _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，；：！？、·،؛؟।]")
 #: Tags that hold no element of their own.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags within a block: they break no text and add nothing to a path.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+                    " annotation annotation-xml audio button canvas datalist map object select svg template video math mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Tags whose content is never markup, and no text of the page.
 _RAW = frozenset("script style textarea title noembed noframes xmp iframe".split())
-_DROPPED = frozenset("nav footer aside form menu menuitem noscript template head button select option datalist fieldset dialog canvas svg math object audio video map".split())
+_DROPPED = frozenset("nav footer aside form menu menuitem noscript template head button select option datalist fieldset dialog canvas svg annotation annotation-xml".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup"
     r"|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|widget|toolbar|header|masthead|topbar|footer|copyright|legal|related|recommended|share|sharing|social"
     r"|comments?|commentlist|replies|reply|disqus|respond|discussion|login|search|pagination|pager|tags?|skip)(?:$|[\s_-])",
     re.I,
 )
-#: Names that parts of an article have too: inside one, their text is judged by its path, at LOWERED of its score.
-_UNSURE = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|legal|related|recommended|share|sharing|social|discussion|replies|reply|search|tags?|skip)(?:$|[\s_-])", re.I)
+#: Words that make a name inside an article boilerplate, if its other words are of BESIDE or numbers. Other words of _NAMES name parts of articles too.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo cookie cookies consent gdpr popup modal overlay newsletter subscribe signup nav navbar navigation menu"
+    " breadcrumb breadcrumbs sidebar widget toolbar masthead topbar footer copyright comment comments commentlist disqus respond pagination pager".split()
+)
+_BESIDE = frozenset("alert area article bar block body bottom box button buttons container content entry form header inner item items left link links list main notice outer page panel post reply right section side site social text title top wp wrap wrapper".split())
 _HEADERS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 LOWERED = 0.5
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -63,14 +69,14 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool | None
     unsure = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(value) and not (inside_article and tag in _HEADINGS):
-            rest = value
-            if inside_article:
-                while rest != (rest := _UNSURE.sub(" ", rest)):
-                    unsure = True
-                rest = _HEADERS.sub(" ", rest)
-            if _NAMES.search(rest):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(value):
+            if not inside_article:
                 return True
+            for one in value.lower().split() if tag not in _HEADINGS else ():
+                words = {w for w in re.split("[_-]+", one) if w and not w.isdigit()}
+                if words & _SURE and words <= _SURE | _BESIDE:
+                    return True
+                unsure |= bool(_NAMES.search(_HEADERS.sub(" ", one)))
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -80,16 +86,16 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool | None
 
 @dataclass(frozen=True, slots=True)
 class _Open:
-    """An open element: the number of its tag path, whether a name in that path may be boilerplate, and its outermost article or main (0: none). Whatever the depth,
-    a block needs no more than its own element."""
+    """An open element: the number of its tag path, the outermost element around it whose name may be boilerplate, and its outermost article or main (0: none).
+    Whatever the depth, a block needs no more than its own element."""
 
     tag: str
     path: int
-    unsure: bool
+    unsure: int
     root: int
 
 
-_TOP = _Open("", 0, False, 0)
+_TOP = _Open("", 0, 0, 0)
 
 
 class _Stack:
@@ -109,7 +115,7 @@ class _Stack:
         above = self.top()
         path = self.paths.setdefault((above.path, tag, unsure), len(self.paths) + 1)  # elements of unsure names make paths of their own
         root = above.root or (self.number if tag in ("article", "main") else 0)
-        self.elements.append(_Open(tag, path, above.unsure or unsure, root))
+        self.elements.append(_Open(tag, path, above.unsure or (self.number if unsure else 0), root))
         self.count[tag] += 1
 
     def close(self, tags, scope=()) -> bool:
@@ -131,25 +137,31 @@ class _Stack:
 _P_SCOPE = frozenset("td th li article section div blockquote".split())
 
 
-def blocks(page: str) -> list[tuple[_Open, str]]:
-    """The text blocks of a page in order, each with the element that it stands in; what surely is boilerplate is left out."""
-    out: list[tuple[_Open, str]] = []
+def blocks(page: str) -> list[tuple[_Open, str, int]]:
+    """The text blocks of a page in order, each with the element that it stands in and how many characters of it, without white space, are links; what surely is
+    boilerplate is left out."""
+    out: list[tuple[_Open, str, int]] = []
     stack = _Stack()
     dropped: list[str] = []  # open elements from the first boilerplate one on
     n_dropped: Counter = Counter()
     text: list[str] = []
+    linked: list[str] = []
+    in_link = False
     at = 0
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
-        text.clear()
         if joined:
-            out.append((stack.top(), joined))
+            out.append((stack.top(), joined, sum(map(len, "".join(linked).split()))))
+        text.clear()
+        linked.clear()
 
     while True:
         m = _TAG.search(page, at)
         if not dropped and (piece := page[at : m.start() if m else len(page)]):
             text.append(html.unescape(piece))
+            if in_link:
+                linked.append(text[-1])
         if not m:
             break
         at = m.end()
@@ -189,6 +201,7 @@ def blocks(page: str) -> list[tuple[_Open, str]]:
             n_dropped[tag] += 1
             continue
         if tag in _INLINE:
+            in_link = not closing if tag == "a" else in_link
             continue
         flush()
         if closing:
@@ -216,15 +229,11 @@ def _smooth(values: list[float], radius: int) -> list[float]:
     return out
 
 
-def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
-    """The main text of a page: content blocks joined by newlines. radius: of the smoothing; share: of the mean fused ratio, that a path needs."""
-    found = blocks(page or "")
-    if not found:
-        return ""
+def content_paths(found: list[tuple[_Open, str, int]], radius: int, share: float) -> set[int]:
+    """The tag paths above the threshold: `share` of the page's mean fused ratio; at least the best one."""
     sums: dict[int, list[float]] = {}
-    paths = [at.path for at, _ in found]
-    unsure = {at.path for at, _ in found if at.unsure}
-    for path, (_, text) in zip(paths, found, strict=True):
+    paths = [at.path for at, _, _ in found]
+    for path, (_, text, _) in zip(paths, found, strict=True):
         of = sums.setdefault(path, [0, 0, 0])
         of[0] += 1
         of[1] += len(text)
@@ -235,24 +244,45 @@ def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
     by_path: dict[int, list[float]] = {}
     for path, value in zip(paths, fused, strict=True):
         by_path.setdefault(path, []).append(value)
+    unsure = {at.path for at, _, _ in found if at.unsure}
     score = {p: sum(v) / len(v) * (LOWERED if p in unsure else 1.0) for p, v in by_path.items()}
     least = share * sum(fused) / len(fused)
-    best = max(score, key=score.get)
-    content = {p for p, s in score.items() if s >= least} | {best}
-    chosen = [k for k, p in enumerate(paths) if p in content]
-    # The root: the article or main with most content; else what all content nodes share.
+    return {p for p, s in score.items() if s >= least} | {max(score, key=score.get)}
+
+
+def main_text(page: str | None, radius: int = 1, share: float = 0.3) -> str:
+    """The main text of a page: content blocks joined by newlines. radius: of the smoothing; share: of the mean fused ratio, that a path needs, and of the text of the
+    page's heaviest article, that another one needs."""
+    found = blocks(page or "")
+    if not found:
+        return ""
+    content = content_paths(found, radius, share)
+    # Elements of unsure names: their text on content paths, and all of it.
+    judged: dict[int, list[int]] = {}
     weight: dict[int, int] = {}
-    for k in chosen:
-        if root := found[k][0].root:
-            weight[root] = weight.get(root, 0) + len(found[k][1])
+    for at, text, _ in found:
+        held = judged.setdefault(at.unsure, [0, 0])
+        held[0] += len(text) * (at.path in content)
+        held[1] += len(text)
+        if at.root and at.path in content:
+            weight[at.root] = weight.get(at.root, 0) + len(text)
+    stays = {k for k, (on, of) in judged.items() if not k or 2 * on >= of}
     if weight:
-        root = max(weight, key=weight.get)
-        return "\n".join(text for at, text in found if at.root == root and (at.path in content or not at.unsure))
+        most = max(weight.values())
+        roots = {root for root, n in weight.items() if n >= share * most}
+        return "\n".join(text for at, text, _ in found if at.root in roots and at.unsure in stays)
+    chosen = [k for k, (at, _, _) in enumerate(found) if at.path in content]
     first, last = chosen[0], chosen[-1]
     while first and found[first - 1][0].tag in ("h1", "h2"):  # a heading right above the content
         first -= 1
-    # Between the first and the last content node, short blocks of any path belong to the text.
-    return "\n".join(text for _, text in found[first : last + 1])
+    # Between the first and the last content node, short blocks of any path belong to the text; paths that are mostly links only if they are content without the help
+    # of their neighbours.
+    alone = content_paths(found, 0, share)
+    links: dict[int, list[int]] = {}
+    for at, text, linked in found:
+        of = links.setdefault(at.path, [0, 0])
+        of[0], of[1] = of[0] + linked, of[1] + sum(map(len, text.split()))
+    return "\n".join(text for at, text, _ in found[first : last + 1] if at.path in alone or 2 * links[at.path][0] < links[at.path][1])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

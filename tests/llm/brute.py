@@ -71,6 +71,19 @@ def licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_windows(text, templates, threshold):
+    """Labels and score of all templates in all windows of a text."""
+    w = ALNUM.findall(lower(text))
+    labels, score = set(), 0.0
+    for template, label in templates.items():
+        own, n = set(template.split()), len(template.split())
+        most = max((len(own & set(w[i : i + n])) for i in range(max(1, len(w) - n + 1))), default=0) if own & set(w) else 0
+        if most >= math.ceil(threshold * len(own) - 1e-9):
+            labels.add(label)
+            score = max(score, most / len(own))
+    return ",".join(sorted(labels)), round(score, 9)
+
+
 def quality(text):
     text = text or ""
     w = WORD.findall(text)
@@ -250,3 +263,26 @@ def filter_orders(docs, labels):
                 lines.append((part, "".join(order), step, len(left), len(gone), redundant, sum(x[1] == {f} for x in own), sum(x[2] for x in gone), sum(x[3] for x in gone), f))
         out += [(*x[:-1], removed[x[-1]]) for x in lines]
     return out
+
+
+def content_paths(blocks, radius, share, lowered):
+    """The tag paths above the threshold, of (path, unsure, text) in order: each block takes its path's mean length and punctuation, both smoothed along the page."""
+    marks = set(".,;:!?¿¡…。，；：！？、·،؛؟।")
+    mean = lambda path, value: (lambda own: sum(own) / len(own))([value(t) for p, _, t in blocks if p == path])
+    length = [mean(p, len) for p, _, _ in blocks]
+    points = [mean(p, lambda t: sum(c in marks for c in t)) for p, _, _ in blocks]
+    width = max(radius, 1)
+
+    def smooth(values, i):
+        near = range(max(0, i - radius), min(len(values), i + radius + 1))
+        weights = [math.exp(-((j - i) ** 2) / (2 * width**2)) for j in near]
+        return sum(w * values[j] for w, j in zip(weights, near)) / sum(weights)
+
+    fused = [smooth(length, i) * (1 + smooth(points, i)) for i in range(len(blocks))]
+    score = {}
+    for path, unsure, _ in blocks:
+        own = [f for f, (p, _, _) in zip(fused, blocks) if p == path]
+        score[path] = sum(own) / len(own) * (lowered if unsure else 1)
+    least = share * sum(fused) / len(fused)
+    best = max(score.values())
+    return {p for p, s in score.items() if s >= least - 1e-9 * abs(least)} | {next(p for p, _, _ in blocks if score[p] == best)}

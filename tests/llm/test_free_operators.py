@@ -56,6 +56,56 @@ def test_names_and_values_inside_articles(inner, text):
     assert html_extract.main_text(page(f"<article><p>{LONG}</p>{inner}<p>{LONG}</p></article>")) == "\n".join(x for x in [LONG.strip(), text, LONG.strip()] if x)
 
 
+PROSE = f"<h2>Heading</h2><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("start", ['div class="cookie-recipe"', 'section id="widget-api"', 'section id="promotion"', 'section id="modal-verbs"', 'section id="login"', 'div class="comments-in-code"', 'section id="related"'])
+def test_names_of_parts_of_an_article_keep_their_prose(start):
+    """Words that boilerplate uses too; the part stays whole, heading and all. The same names around a few links go."""
+    tag = start.split()[0]
+    inside = lambda x: html_extract.main_text(page(f"<article><p>{LONG}</p><{start}>{x}</{tag}><p>{LONG}</p></article>"))
+    assert inside(PROSE) == "\n".join([LONG.strip(), "Heading", LONG.strip(), LONG.strip()])
+    assert inside("<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>") == "\n".join([LONG.strip()] * 2)
+
+
+@pytest.mark.parametrize("start", ['div class="wp-comments-area"', 'section id="comments"', 'div class="ad-300"', 'div class="cookie-notice box"', 'div class="post-newsletter"'])
+def test_names_that_say_nothing_else_go(start):
+    assert html_extract.main_text(page(f"<article><p>{LONG}</p><{start}>{PROSE}</{start.split()[0]}></article>")) == LONG.strip()
+
+
+def test_share_decides_about_unsure_parts():
+    """A part of an unsure name and middling length stays or goes by the threshold alone."""
+    part = f"<article><p>{LONG * 3}</p><section id='promotion'><p>{LONG}</p></section><p>{LONG * 3}</p></article>"
+    text = {share: html_extract.main_text(page(part), radius=0, share=share).count("\n") for share in (0.05, 0.3)}
+    assert text == {0.05: 2, 0.3: 1}
+
+
+def test_math_media_and_siblings():
+    assert html_extract.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be a number.</p></article>") == "Let x=1 be a number."
+    assert html_extract.main_text("<article><p>See <video src=x>the film</video> or <object data=y>the picture</object>.</p></article>") == "See the film or the picture."
+    two = [LONG.strip() + " one", LONG.strip() + " two"]
+    assert html_extract.main_text("".join(f"<article><p>{t}</p></article><div>x</div>" for t in two)) == "\n".join(two)
+    assert html_extract.main_text(f"<article><p>{LONG * 9}</p></article><article><p>Short teaser.</p></article>") == (LONG * 9).strip()
+
+
+def test_pages_without_articles_lose_link_paths():
+    assert html_extract.main_text(f"<div><p>{LONG}</p><div class=x><a>Buy now</a></div><h3>Next</h3><p>{LONG}</p></div>") == "\n".join([LONG.strip(), "Next", LONG.strip()])
+    assert html_extract.main_text("<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>") == "One\nTwo"
+
+
+def test_content_paths_by_definition():
+    """Ratios, smoothing, fusion and threshold against a plain version, over the test pages and the pages of the table."""
+    from pyarrow import dataset
+
+    real = dataset.dataset(f"{SF}/pages.parquet").to_table(columns=["html"]).column("html").to_pylist()
+    for html_page in [h for h, _ in PAGES] + real + [page(f"<article><p>{LONG}</p><section id='promotion'>{PROSE}<ul><li>a<li>b</ul></section><p>x.</article>")]:
+        found = html_extract.blocks(html_page or "")
+        if found:
+            for radius, share in ((1, 0.3), (0, 0.9), (3, 1.5)):
+                want = brute.content_paths([(at.path, bool(at.unsure), text) for at, text, _ in found], radius, share, html_extract.LOWERED)
+                assert html_extract.content_paths(found, radius, share) == want
+
+
 def test_extract_pages(spark):
     rows = [(k, f"u{k}", h, "x") for k, (h, _) in enumerate(PAGES)] + [(0, "u0", None, "x"), (None, None, "<p>a</p>", "x")]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
