@@ -3,14 +3,17 @@
 Blocks are the lines of a text or, with `windows`, at each place the run of as many words as the template has, over line breaks. A template matches a block that holds at least `threshold` of the template's distinct tokens. The join is exact: tokens have
 one global order, rarest in the corpus first; a block that reaches the threshold must hold one of a template's first `n - ceil(threshold * n) + 1` tokens (prefix
 filter), must have enough distinct tokens (length filter), and from the place of its first matching token on there must be enough left (positional filter).
-Templates are parameters of the query, bounded by MAX_TEMPLATE_TOKENS, and live in the plan; the corpus is read twice and never shuffled, except for the counts
-of the templates' tokens.
+Templates are parameters of the query and live in the plan, for windows as one table of constants that a single expression reads; the corpus is read twice and never
+shuffled, except for the counts of the templates' tokens.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +37,18 @@ TEMPLATES = {
     "all rights reserved no part of this publication may be reproduced": "proprietary",
 }
 THRESHOLD = 0.8
-#: Words that tell licenses apart: a window must hold all that its template has, and ends before any other.
+#: Words that tell licenses apart. A window that holds all that its template has, and its share of tokens before any other, makes the template a `nearest` one.
 NAMES = frozenset("mit apache bsd gnu gpl lesser lgpl affero agpl mozilla mpl cc nc noncommercial sa sharealike nd noderivatives noderivs".split())
-MAX_TEMPLATE_TOKENS = 5_000
+
+
+def whole_texts() -> dict[str, str]:
+    """The license texts of license_texts.txt and their labels."""
+    parts = [p.partition("\n") for p in Path(__file__).with_name("license_texts.txt").read_text().split("== ")[1:]]
+    return {" ".join(re.findall("[a-z0-9]+", text.lower())): label for label, _, text in parts}
 
 
 def _token_counts(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """How many words of the corpus are each of these tokens; at most MAX_TEMPLATE_TOKENS rows come to the driver."""
+    """How many words of the corpus are each of these tokens; no more rows come to the driver than it has tokens of templates."""
     words = docs.select(F.explode(F.filter(alnum_words(ascii_lower(F.col("text"))), lambda w: w.isin(tokens))).alias("token"))
     return dict(words.groupBy("token").count().collect())
 
@@ -58,51 +66,56 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(places, stands)).otherwise(F.array().cast("array<int>"))
 
 
-def _in_windows(text_words: Column, ordered: Mapping[str, list[str]], prefix: Mapping[str, list[str]], need: Mapping[str, int], labels: Mapping[str, str]) -> Column:
-    """(label, share) of each template, share its largest in any of its windows of the words, as far as it has reached the threshold."""
-
-    strings = lambda x: F.array(*map(F.lit, x))
-
-    def best(t: str, words: Column) -> Column:
-        own, names, others = ordered[t], sorted(NAMES & {*ordered[t]}), strings(sorted(NAMES - {*ordered[t]}))
-
-        def held(run: Column) -> Column:
-            count = F.size(F.array_intersect(strings(own), run))
-            return F.when(F.size(F.array_intersect(strings(names), run)) == len(names), count).otherwise(0) if names else count
+_FOUND = "array<struct<label:string,share:double,nearest:boolean>>"
 
-        def judged(w: Column) -> Column:
-            stop = F.array_min(F.transform(F.array_intersect(w, others), lambda x: F.array_position(w, x)))  # the first other name, from 1
-            return let(F.slice(w, F.lit(1), F.coalesce(stop.cast("int") - 1, F.size(w))), held)
 
-        def share(i: Column) -> Column:
-            return let(F.slice(words, i + 1, F.lit(len(t.split()))), lambda w: F.when(F.arrays_overlap(w, strings(prefix[t])), judged(w)).otherwise(0))
+def _in_windows(text_words: Column, ordered: Mapping[str, list[str]], prefix: Mapping[str, list[str]], need: Mapping[str, int], labels: Mapping[str, str]) -> Column:
+    """(label, share, nearest) of each template that reaches the threshold in a window of the words: share is its largest in any, nearest whether one with its names does."""
+    rows = [
+        {"own": ordered[t], "prefix": prefix[t], "names": sorted(NAMES & {*ordered[t]}), "others": sorted(NAMES - {*ordered[t]}), "need": need[t], "length": len(t.split()), "label": labels[t]}
+        for t in ordered
+    ]
+    strings = "array<string>"
+    templates = F.from_json(F.lit(json.dumps(rows)), f"array<struct<own:{strings},prefix:{strings},names:{strings},others:{strings},need:int,length:int,label:string>>")
+    first_tokens = sorted({w for p in prefix.values() for w in p})
 
-        # A window may begin at one of the template's words, with enough words to come (length filter); texts without a word of the prefix have none.
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(own) & (F.size(words) - i >= need[t]))
-        most = F.when(F.arrays_overlap(words, strings(prefix[t])), F.array_max(F.transform(places, share)))
-        return let(most, lambda n: F.when(n >= need[t], F.struct(F.lit(labels[t]).alias("label"), (n / F.lit(float(len(own)))).alias("share"))))
+    def counts(t: Column, window: Column) -> Column:
+        """Of the template's tokens, how many the window has, and how many before any other name, where it has all of the template's names there."""
+        stop = F.array_min(F.transform(F.array_intersect(window, t["others"]), lambda x: F.array_position(window, x)))  # from 1
+        before = lambda run: F.when(F.size(F.array_intersect(t["names"], run)) == F.size(t["names"]), F.size(F.array_intersect(t["own"], run))).otherwise(0)
+        named = let(F.slice(window, F.lit(1), F.coalesce(stop.cast("int") - 1, F.size(window))), before)
+        return F.struct(F.size(F.array_intersect(t["own"], window)).alias("n"), named.alias("named"))
+
+    def judged(t: Column, words: Column) -> Column:
+        # Prefix filter: a window that reaches the threshold holds one of the template's first tokens. Length filter: enough words must follow its begin.
+        hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t["prefix"], F.get(words, i)))
+        near = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(F.greatest(p - t["length"] + 1, F.lit(0)), p))))
+        begins = F.filter(near, lambda i: (F.size(words) - i >= t["need"]) & F.array_contains(t["own"], F.get(words, i)))
+        found = F.transform(begins, lambda i: let(F.slice(words, i + 1, t["length"]), lambda window: counts(t, window)))
+        most = let(found, lambda x: F.struct(F.array_max(F.transform(x, lambda c: c["n"])).alias("n"), F.array_max(F.transform(x, lambda c: c["named"])).alias("named")))
+        return let(most, lambda m: F.when(m["n"] >= t["need"], F.struct(t["label"].alias("label"), (m["n"] / F.size(t["own"]).cast("double")).alias("share"), (m["named"] >= t["need"]).alias("nearest"))))
 
     def of(words: Column) -> Column:
-        return F.array_compact(F.array(*[best(t, words) for t in ordered]))
+        firsts = F.array_distinct(F.filter(words, lambda w: w.isin(first_tokens)))
+        able = let(firsts, lambda f: F.filter(templates, lambda t: F.arrays_overlap(t["prefix"], f)))
+        return F.array_compact(F.transform(able, lambda t: judged(t, words)))
 
-    none = F.array().cast("array<struct<label:string,share:double>>")
+    none = F.array().cast(_FOUND)
     return let(text_words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(none)) if ordered else none
 
 
 def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
-    """n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text).
-
-    n_base: all places where a phrase's words stand in a row; first_word and last_word are null without any. labels: those of the phrases found, and of
-    the templates that a line of the text contains to the threshold, but of templates that one another's text would match only the nearest to the line (most of its
-    tokens, then the shorter; equally near ones all count); with windows, instead, those of all templates that some run of at most as many words as the template has,
-    over line breaks too, contains to the threshold, with all of the template's words in NAMES and no others of these; both columns are distinct, sorted and joined by commas. score: the largest containment
-    of a template that reaches the threshold, 1 if a phrase stands in the text, else 0. Null and empty texts: no words, no labels, score 0. Rows that repeat are
-    judged one by one; templates without words are ignored.
+    """n_words, n_base, first_word, last_word, base_labels, labels, score and nearest of each row of docs(doc_id, text).
+
+    n_base: all places where a phrase's words stand in a row; first_word and last_word are null without any. labels: those of the phrases found, and of all templates
+    that reach the threshold: with windows, in some run of at most as many words as the template has, over line breaks too; else in a line, where of templates that
+    one another's text would match only the nearest counts (most of its tokens, then the shorter; equally near ones all). nearest: those of the phrases, and of the
+    templates that reach the threshold in a window that holds all their names (NAMES), before any other name; without windows the same as labels. All label columns
+    are distinct, sorted and joined by commas. score: the largest containment of a template that reaches the threshold, 1 if a phrase stands in the text, else 0.
+    Null and empty texts: no words, no labels, score 0. Rows that repeat are judged one by one; templates without words are ignored.
     """
     sets = {t: sorted(set(t.split())) for t in templates if t.split()}
     tokens = sorted({w for s in sets.values() for w in s})
-    if len(tokens) > MAX_TEMPLATE_TOKENS:
-        raise ValueError(f"templates have {len(tokens)} distinct tokens; at most {MAX_TEMPLATE_TOKENS} can be searched at once")
     counts = _token_counts(docs, tokens) if tokens else {}
     order = sorted(tokens, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
@@ -158,8 +171,8 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
         shares = F.transform(F.filter("blocks", passes), lambda b: F.size(F.array_intersect(own, b["tokens"])) / F.lit(float(size)))
         return F.array_max(F.filter(shares, lambda s: s >= least / size - 1e-12))
 
-    found = F.array_compact(F.array(*[F.when(containment(t).isNotNull(), F.struct(F.lit(templates[t]).alias("label"), containment(t).alias("share"))) for t in ordered])) if ordered else F.array().cast("array<struct<label:string,share:double>>")
-    base = base.withColumn("places", places).withColumn("base_list", base_labels).withColumn("found", F.when(F.size("blocks") > 0, found).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    found = F.array().cast(_FOUND) if windows or not ordered else F.array_compact(F.array(*[F.when(containment(t).isNotNull(), F.struct(F.lit(templates[t]).alias("label"), containment(t).alias("share"), F.lit(True).alias("nearest"))) for t in ordered]))
+    base = base.withColumn("places", places).withColumn("base_list", base_labels).withColumn("found", F.when(F.size("blocks") > 0, found).otherwise(F.array().cast(_FOUND)))
     if windows:
         base = base.withColumn("found", _in_windows(F.when(maybe_block, alnum_words(ascii_lower(F.col("text")))).otherwise(F.array().cast("array<string>")), ordered, prefix, need, templates))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -172,4 +185,5 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
         joined(F.col("base_list")).alias("base_labels"),
         joined(F.concat("base_list", F.col("found.label"))).alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("found.share")), F.lit(0.0))).alias("score"),
+        joined(F.concat("base_list", F.transform(F.filter("found", lambda f: f["nearest"]), lambda f: f["label"]))).alias("nearest"),
     )

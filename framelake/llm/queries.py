@@ -46,7 +46,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), windows=True)
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES | licenses.whole_texts(), windows=True)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

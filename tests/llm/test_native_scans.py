@@ -132,5 +132,36 @@ def test_license_windows(spark):
         "": "",
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    got = {r.doc_id: r.labels for r in licenses.scan_licenses(df, phrases={"zzz": "z"}, windows=True).collect()}
-    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    got = {r.doc_id: r for r in licenses.scan_licenses(df, phrases={"zzz": "z"}, windows=True).collect()}
+    assert [got[k].nearest for k in range(len(cases))] == list(cases.values())
+    assert got[2].labels == got[3].labels == "mit" and got[2].score == 0.8  # four of the five tokens: at the threshold, whatever the name
+
+
+#: Each holds all tokens of its template, among words that name other licenses.
+NAMED = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software (SA) and associated documentation files",
+    "Licensed under the Creative Commons (CC) Attribution NonCommercial 4.0 International License",
+    "This source code form, unlike GNU code, is subject to the terms of the Mozilla Public License",
+    "All rights reserved. No part of this MIT Press publication may be reproduced",
+    "This work is licensed under the GNU GPL (General Public License) version 3",
+]
+
+
+def test_license_windows_are_exact(spark, rows):
+    """Every template that some window contains to the threshold is labelled, with the templates and texts of the query, against all windows of each text."""
+    templates = licenses.TEMPLATES | licenses.whole_texts()
+    texts = [t for _, t in rows] + NAMED + [f"{a}\n{b}" for a, b in zip(NAMED, NAMED[1:])] + [t.upper() for t in templates] + [" ".join(t.split()[::-1]) for t in templates]
+    texts += [" ".join(w for k, w in enumerate(t.split()) if k % 6) for t in templates] + [" x ".join(t.split()) for t in templates] + ["of the " * 2000 + NAMED[0] + " of the" * 2000]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), phrases={"zzz": "z"}, templates=templates, windows=True).collect()}
+    assert [got[k] for k in range(len(texts))] == [brute.license_windows(t, templates, licenses.THRESHOLD) for t in texts]
+    five = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string"), windows=True).collect()}
+    assert [label in five[k].split(",") for k, label in enumerate(["mit", "cc-by-nc", "mpl", "proprietary", "gpl"])] == [True] * 5
+
+
+def test_licenses_without_rows_and_with_many_templates(spark, docs):
+    """An empty table; more template tokens than the driver would want to plan one by one; a text of 5 MB."""
+    assert licenses.scan_licenses(docs.limit(0), windows=True).count() == 0
+    many = {" ".join(f"w{k}x{j}" for j in range(12)): f"l{k}" for k in range(600)}
+    df = spark.createDataFrame([(1, "a w7x0 w7x1 w7x2 w7x3 w7x4 w7x5 w7x6 w7x7 w7x8 w7x9"), (2, "word " * 1_000_000 + "released under the mit license"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.n_words) for r in licenses.scan_licenses(df, templates=many | licenses.TEMPLATES, windows=True).collect()}
+    assert got == {1: ("l7", 11), 2: ("mit", 1_000_005), 3: ("", 0)}
