@@ -9,7 +9,7 @@ and end with is cut off, and the rest is compared in a band of 2 * edits + 1 dia
 One word replaced, added or taken away is an edit of words: halves of the word sequence, in the same way, name the lines that can have such a neighbour; those meet
 under the hashes of their words without one of them, where each group's earliest line decides, so no pairs are made.
 
-Keys that very many lines share make no pairs: at one edit, their lines are compared by the hashes that they have without one of their characters.
+Keys that very many lines share make no pairs: at one edit, their lines are compared by the hashes that they have without one of their characters, in the same way.
 
 All is DataFrame expressions. Exact copies of a line are one row before lines meet, so a line that many documents share meets nothing more often than any other.
 """
@@ -96,14 +96,14 @@ def _word_keys(text: Column) -> list[Column]:
     return out
 
 
-def _word_patterns(texts: DataFrame, share: float) -> DataFrame:
-    """(line, first, key, side): the words without one of them, at its place among as many words (side 0) and as a whole (2), and the words themselves (1).
+def _patterns(texts: DataFrame, items: Column, fits: Column) -> DataFrame:
+    """(line, first, key, side): a line's items without one of them, at its place among as many (side 0) and as a whole (2), and all items (1), of texts(line, first, text).
 
-    A sequence's hash is the XOR of the hashes of its words with their places. That of the rest is made of what stands before a word and, one place earlier, behind it, by
-    running XORs, so the work is linear in the words of a line.
+    fits says which items may go, by `item` and `chars`, the length of the line. A sequence's hash is the XOR of the hashes of its items with their places. That of the
+    rest is made of what stands before an item and, one place earlier, behind it, by running XORs, so the work is linear in the items of a line.
     """
-    split = texts.select("line", "first", F.char_length("text").alias("chars"), F.posexplode(_words(F.col("text"))).alias("i", "word"))
-    own = split.select("line", "first", "i", (F.char_length("word") <= F.col("chars") * share).alias("fits"), F.xxhash64("i", "word").alias("h"), F.xxhash64(F.col("i") - 1, "word").alias("moved"))
+    split = texts.select("line", "first", F.char_length("text").alias("chars"), F.posexplode(items).alias("i", "item"))
+    own = split.select("line", "first", "i", fits.alias("fits"), F.xxhash64("i", "item").alias("h"), F.xxhash64(F.col("i") - 1, "item").alias("moved"))
     line = Window.partitionBy("line", "first")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = own.select("*", F.bit_xor("h").over(upto).alias("h_upto"), F.bit_xor("moved").over(upto).alias("moved_upto"), F.bit_xor("h").over(line).alias("h_all"), F.bit_xor("moved").over(line).alias("moved_all"), F.count("*").over(line).alias("n"))
@@ -115,6 +115,14 @@ def _word_patterns(texts: DataFrame, share: float) -> DataFrame:
     return made.select("line", "first", F.explode(F.concat(without, whole)).alias("p")).select("line", "first", "p.key", "p.side")
 
 
+def _word_patterns(texts: DataFrame, share: float) -> DataFrame:
+    return _patterns(texts, _words(F.col("text")), F.char_length("item") <= F.col("chars") * share)
+
+
+def _char_patterns(texts: DataFrame) -> DataFrame:
+    return _patterns(texts, F.split("text", ""), F.lit(True))
+
+
 #: For each word of a line, one of 64 bits is turned. An edit takes away or adds at most three words in all (a space that joins or parts two), so lines within
 #: `edits` edits differ in at most three times as many bits.
 _WORD_PARITY = "aggregate(split(text, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))"
@@ -191,17 +199,6 @@ def _texts(occurrences: DataFrame, ids: DataFrame) -> DataFrame:
     return occurrences.join(wanted, "line").groupBy("line", "text", "by_word").agg(F.min("place").alias("first"))
 
 
-def _char_patterns(text: Column) -> Column:
-    """As _word_patterns(), of characters instead of words: (key, side) of the text without one of them, at its place (0) and as a whole (2), and of the text (1)."""
-    n = F.char_length(text)
-
-    def without(i: Column) -> Column:
-        rest = F.xxhash64(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
-        return let(rest, lambda h: F.array(F.struct(F.xxhash64(n, i, h).alias("key"), F.lit(0).alias("side")), F.struct(h.alias("key"), F.lit(2).alias("side"))))
-
-    return F.concat(F.flatten(F.transform(F.sequence(F.lit(1), n), without)), F.array(F.struct(F.xxhash64(text).alias("key"), F.lit(1).alias("side"))))
-
-
 def _behind_by_a_pattern(patterns: DataFrame) -> DataFrame:
     """The lines of patterns(line, first, key, side) that meet an earlier one in a pattern: each key's earliest line decides, so no pairs are made."""
     made = written(patterns, "line-patterns")
@@ -218,17 +215,16 @@ def _sharing(keys: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False, crowded_key: int = CROWDED_KEY) -> DataFrame:
     """doc_id, mark and line_nos (from 0, in order) of the documents that lose lines."""
-    every = lines_of(docs, 1 if short_repeats else min_chars)
     text = F.col("text")
-    long = F.char_length(text) >= min_chars
-    occurrences = every.where(long)
     n_index = edits + 1
     exprs = {f"k{i}": k for i, k in enumerate([*_index_keys(text, edits), *_probe_keys(text, edits)])}
     keys = [*exprs]
     if word_share is not None:
         exprs |= zip(_WORD_KEYS, _word_keys(text))
-    keyed = every.select("place", "line", long.alias("long"), *[e.alias(name) for name, e in exprs.items()])
-    all_lines = written(keyed.groupBy("line", "long", *exprs).agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
+    # One pass over the texts makes the keys of all lines; where a line stands is read again from there.
+    found = lines_of(docs, 1 if short_repeats else min_chars)
+    every = written(found.select("doc_id", "mark", "place", "line_no", "line", (F.char_length(text) >= min_chars).alias("long"), *[e.alias(name) for name, e in exprs.items()]), "line-places")
+    all_lines = written(every.groupBy("line", "long", *exprs).agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
     distinct = all_lines.where("long")
 
     # Texts are fetched once, of the lines that share a key with another.
@@ -238,7 +234,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     if word_share is not None:
         ids = ids.unionByName(_sharing(of(_WORD_KEYS).drop("i")).select("line", F.lit(True).alias("by_word")))
     ids = written(ids.groupBy("line").agg(F.bool_or("by_word").alias("by_word")), "line-ids")
-    texts = written(_texts(occurrences, ids).withColumn("parity", F.expr(_WORD_PARITY)), "line-texts")
+    texts = written(_texts(lines_of(docs, min_chars), ids).withColumn("parity", F.expr(_WORD_PARITY)), "line-texts")
 
     # A key that many lines share would meet all of them with all of them. One edit is found without pairs: lines that share a text without one character.
     crowded = F.col("n") > crowded_key if edits == 1 else F.lit(False)
@@ -252,8 +248,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     behind = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("line"))
     if edits == 1:
         in_crowds = texts.join(sharing.where(crowded).select("line").distinct(), "line", "left_semi")
-        patterns = in_crowds.select("line", "first", F.explode(_char_patterns(text)).alias("p")).select("line", "first", "p.key", "p.side")
-        behind = behind.unionByName(_behind_by_a_pattern(patterns))
+        behind = behind.unionByName(_behind_by_a_pattern(_char_patterns(in_crowds)))
     if word_share is not None:
         behind = behind.unionByName(_behind_by_a_pattern(_word_patterns(texts.where("by_word"), word_share)))
     behind = behind.distinct().withColumn("near", F.lit(True))
@@ -278,9 +273,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     return joined.select("doc_id", "mark", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(nos).cast("long").alias("n_dropped"), F.array_join(nos.cast("array<string>"), ",").alias("dropped"))
 
 
-def without_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
-    """docs with the dropped lines taken out of text; all columns and rows stay."""
-    lost = dropped_lines(docs, edits, min_chars, short_repeats=short_repeats).select(F.col("doc_id").alias("_of_id"), F.col("mark").alias("_of_mark"), F.col("line_nos").alias("_line_nos"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_line_nos", i)), "\n")
-    joined = docs.withColumn("_mark", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_of_id")) & (F.col("_mark") == F.col("_of_mark")), "left")
-    return joined.withColumn("text", F.when(F.col("_line_nos").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+def without_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, word_share: float | None = None, short_repeats: bool = False) -> DataFrame:
+    """docs with the dropped lines taken out of text; all rows and columns stay, whatever their names."""
+    lost = dropped_lines(docs.select("doc_id", "text"), edits, min_chars, word_share, short_repeats).select(F.struct("doc_id", "mark", "line_nos").alias("lost"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, doc_id = F.col("row.text"), F.col("row.doc_id")
+    joined = rows.join(lost, doc_id.eqNullSafe(F.col("lost.doc_id")) & (F.xxhash64(text) == F.col("lost.mark")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("lost.line_nos", i)), "\n")
+    left = F.when(F.col("lost.line_nos").isNull(), text).otherwise(kept)
+    return joined.select(*[left.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -181,6 +181,37 @@ def lines(rows, edits, min_chars):
     return [(i, 0 if t is None else len(t.split("\n")), len(g), ",".join(map(str, sorted(g)))) for (i, t), g in zip(rows, gone)]
 
 
+def words_near(a, b, share):
+    """Whether two lines differ in one word at most, of no more than that share of the characters of each line that has it."""
+    a, b = sorted((a, b), key=lambda x: len(x.split()))
+    x, y = a.split(), b.split()
+    fits = lambda word, line: len(word) <= share * len(line)
+    if len(x) == len(y):
+        off = [k for k in range(len(x)) if x[k] != y[k]]
+        return not off or len(off) == 1 and fits(x[off[0]], a) and fits(y[off[0]], b)
+    return len(y) == len(x) + 1 and any(x == y[:k] + y[k + 1 :] and fits(y[k], b) for k in range(len(y)))
+
+
+def all_lines(rows, min_chars, share):
+    """As lines() at one edit, with one-word changes, and exact repeats of shorter lines, blank ones aside."""
+    blank = " \t\r\x0b\x0c"
+    every = [(float("inf") if i is None else i, k, x.strip(blank), r) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n"))]
+    first = {}
+    for i, k, x, _ in every:
+        first[x] = min(first.get(x, (i, k)), (i, k))
+    long = sorted((x for x in first if len(x) >= min_chars), key=lambda x: len(x.split()))
+    words = [x.split() for x in long]
+    behind = set()
+    for k, x in enumerate(long):
+        for j in range(k):
+            y = long[j]
+            near_words = len(words[k]) - len(words[j]) <= 1 and sum(a != b for a, b in zip(words[k], words[j])) + sum(a != b for a, b in zip(words[k][::-1], words[j][::-1])) <= len(words[k]) + 1 and words_near(x, y, share)
+            if near_words or near(x, y, 1):
+                behind.add(x if first[y] < first[x] else y)
+    gone = [sorted(k for i, k, x, r in every if r == row and x and (x in behind or first[x] < (i, k))) for row in range(len(rows))]
+    return [(i, 0 if t is None else len(t.split("\n")), len(g), ",".join(map(str, g))) for (i, t), g in zip(rows, gone)]
+
+
 #: Rows that any operator must stand: nulls, empty and odd texts, repeated rows.
 ODD_TEXTS = [
     None, "", " ", "\n\n", "one", "one two three four", "İstanbul ÉÈ Éa éa K x", "a  b\tc\x0bd\x0ce\r\nf", "a b c d e f g h i j " * 200,
