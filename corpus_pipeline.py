@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within an edit of an earlier line go; every document stays."""
-    return _counted(line_dedup.without_lines(docs))
+    """Lines within an edit, or a short word, of an earlier line go, and exact repeats of short ones; every document stays."""
+    return _counted(line_dedup.without_lines(docs, word_share=line_dedup.WORD_SHARE, short_repeats=True))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
