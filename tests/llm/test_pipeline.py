@@ -31,7 +31,7 @@ def test_pipeline(spark, rows):
     assert Counter((r.doc_id, r.text) for r in good) == want and len(good) > 100
 
     own = [(r.doc_id, r.text) for r in good]
-    cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if str(k) not in d.split(","))) for (i, t), (_, _, _, d) in zip(own, brute.lines(own, 1, 40))]
+    cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if str(k) not in d.split(","))) for (i, t), (_, _, _, d) in zip(own, brute.all_lines(own, 40, 0.25))]
     assert Counter((r.doc_id, r.text) for r in lines) == Counter(cut)
 
     own = [(r.doc_id, r.text) for r in lines]
