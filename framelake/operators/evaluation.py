@@ -159,3 +159,76 @@ def counted_above(scores: DataFrame, keys: Sequence[str], logit: str, presence:
     """How many of a group's detections have a probability, times the presence, above the threshold."""
     p = presence / (1 + F.exp(-F.col(logit)))
     return scores.groupBy(*keys).agg(F.sum(F.when(p > threshold, 1).otherwise(0)).alias("n_counted"))
+
+
+# ---- what costs average precision
+
+#: Error types, and what mending one does to a wrong detection: it becomes the hit that it missed (if no hit has its object yet), or goes.
+MENDED_TO_HIT = ("class", "box")
+ERRORS = (*MENDED_TO_HIT, "both", "double", "background", "missed")
+
+
+def error_types(gt: DataFrame, dt: DataFrame, pairs: DataFrame, hits: DataFrame, keys: Sequence[str], cls: str, near: float = 0.1, hit: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """dt with `error` and `mends` (the object a mended detection would hit, null for none), and gt with `missed`.
+
+    gt(keys, gt, cls), dt(keys, dt, cls, score), pairs(keys, gt, dt, iou) of overlapping ones of any class, hits(keys, gt, dt). A detection that is no hit has a `box`
+    error if it lies near an object of its class (from `near` to below `hit`, its nearest), else a `class` error if it reaches an object of another class, else is a
+    `double` of an object of its class that a hit has, else `background` if it is not even near any object, else wrong in `both`. An object is missed if no hit has
+    it and no box or class error lies on it.
+    """
+    own = lambda df, name: df.select(*keys, name, F.col(cls).alias(f"_{name}_cls"))
+    full = pairs.select(*keys, "gt", "dt", F.round("iou", 12).alias("iou")).join(own(gt, "gt"), [*keys, "gt"]).join(own(dt, "dt"), [*keys, "dt"])
+    full = full.join(hits.select(*keys, "gt", F.lit(True).alias("_used")), [*keys, "gt"], "left").withColumn("_same", F.col("_gt_cls") == F.col("_dt_cls"))
+    best = lambda cond: F.max(F.when(cond, F.struct("iou", (-F.col("gt")).alias("neg"))))
+    seen = full.groupBy(*keys, "dt").agg(best(F.col("_same")).alias("same"), best(~F.col("_same")).alias("other"), best(F.col("_same") & F.col("_used")).alias("used"), F.max("iou").alias("most"))
+    wrong = dt.join(hits.select(*keys, "dt"), [*keys, "dt"], "left_anti").join(seen, [*keys, "dt"], "left")
+    reach = lambda c: F.coalesce(F.col(f"{c}.iou") >= hit, F.lit(False))
+    kind = (
+        F.when((F.col("same.iou") >= near) & (F.col("same.iou") < hit), "box")
+        .when(reach("other"), "class")
+        .when(reach("used"), "double")
+        .when(F.coalesce(F.col("most"), F.lit(0.0)) < near, "background")
+        .otherwise("both")
+    )
+    on = F.when(F.col("error") == "box", -F.col("same.neg")).when(F.col("error") == "class", -F.col("other.neg"))
+    wrong = wrong.withColumn("error", kind).withColumn("_on", on)
+    taken = hits.select(*keys, F.col("gt").alias("_on"), F.lit(True).alias("_taken"))
+    free = wrong.join(taken, [*keys, "_on"], "left")
+    first = F.row_number().over(Window.partitionBy(*keys, "error", "_on").orderBy(F.desc("score"), "dt"))
+    mends = F.when(F.col("_on").isNotNull() & F.col("_taken").isNull() & (first == 1), F.col("_on"))
+    marked = free.withColumn("mends", mends).select(*dt.columns, "error", "mends", "_on")
+    all_dt = marked.unionByName(dt.join(hits.select(*keys, "dt"), [*keys, "dt"], "left_semi"), allowMissingColumns=True)
+    covered = hits.select(*keys, "gt").unionByName(marked.where("_on IS NOT NULL").select(*keys, F.col("_on").alias("gt"))).distinct().withColumn("_c", F.lit(True))
+    return all_dt.drop("_on"), gt.join(covered, [*keys, "gt"], "left").withColumn("missed", F.col("_c").isNull()).drop("_c")
+
+
+def precision_lost(gt: DataFrame, dt: DataFrame, keys: Sequence[str], cls: str) -> DataFrame:
+    """error, n and lost for each error type, `false_positive` and `false_negative`: how many there are, and how much the mean average precision gains if they are mended
+    and the ranking is evaluated again; and `none`, with the average precision itself.
+
+    gt and dt are those of error_types(). Mending a box or class error makes the best such detection of a free object its hit, in the object's class, and removes the
+    others; all other wrong detections go; missed objects are no longer asked for. Without wrong detections, or with all objects found, the last two.
+    """
+    to = gt.select(*keys, F.col("gt").alias("mends"), F.col(cls).alias("_to"))
+    hit, wrong = F.col("error").isNull(), F.col("error")
+    case = lambda name, takes_part, own, tp: F.when(takes_part, F.struct(F.lit(name).alias("case"), own.alias("cls"), tp.cast("int").alias("tp")))
+    plain = F.col(cls)
+    cases = [case(name, F.lit(True), plain, hit) for name in ("none", "missed", "false_negative")] + [case("false_positive", hit, plain, hit)]
+    for e in ERRORS[:-1]:
+        mended = ~hit & (wrong == e)
+        cases.append(case(e, hit | (wrong != e) | F.col("mends").isNotNull(), F.when(mended, F.col("_to")).otherwise(plain), hit | mended))
+    ranked = dt.join(to, [*keys, "mends"], "left").select("score", F.explode(F.array_compact(F.array(*cases))).alias("c")).select("score", "c.*")
+    found = dt.where(hit).groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("hits"))
+    asked = gt.groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("all"), F.count_if(~F.col("missed")).alias("seen")).join(found, "cls", "left").na.fill(0)
+    n_gt = F.when(F.col("case") == "missed", F.col("seen")).when(F.col("case") == "false_negative", F.col("hits")).otherwise(F.col("all"))
+    every = F.explode(F.array(*map(F.lit, ("none", *ERRORS, "false_positive", "false_negative")))).alias("case")
+    asked = asked.select("*", every).select("case", "cls", n_gt.alias("n_gt")).where("n_gt > 0")
+    ap = metrics.average_precision(ranked, asked, ["case", "cls"])
+    mean = asked.join(ap, ["case", "cls"], "left").groupBy("case").agg(F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 9).alias("ap"))
+    counts = dt.agg(*[F.count_if(wrong == e).alias(e) for e in ERRORS[:-1]], F.count("error").alias("false_positive"), F.count_if(hit).alias("hits"))
+    counts = counts.join(gt.agg(F.count_if("missed").alias("missed"), F.count("*").alias("all"))).withColumn("false_negative", F.col("all") - F.col("hits")).withColumn("none", F.lit(0).cast("long"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias("n")) for c in ("none", *ERRORS, "false_positive", "false_negative")])).alias("e")
+    base = mean.where("case = 'none'").select(F.col("ap").alias("_base"))
+    out = counts.select(pairs).select("e.*").join(mean, "case", "left").join(F.broadcast(base), how="left")  # one row each
+    gain = F.when(F.col("case") == "none", F.col("ap")).otherwise(F.coalesce("ap", F.lit(0.0)) - F.col("_base"))
+    return out.select(F.col("case").alias("error"), "n", F.round(gain, 6).alias("lost"))

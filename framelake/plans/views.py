@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -57,3 +57,32 @@ dt AS (SELECT * REPLACE (x0 + tax AS x0, y0 + tax / 2.0 AS y0), x0 + tax + w AS
 
 INTER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
 UNION = f"(a.w * a.h + b.w * b.h - {INTER})"
+
+
+#: Size of the images that ragged masks lie on.
+RAGGED_H, RAGGED_W = 48, 64
+
+
+def ragged_counts(x: Column, y: Column, width: Column, k: Column, t: Column) -> Column:
+    """Run lengths of a mask of one run a column: columns from x on, each beginning up to 4 pixels below y and 1 to 9 pixels long; for odd t every fifth column is empty."""
+    top = lambda i: y + (i * 3 + k) % 5
+    length = lambda i: F.when((i % 5 == 4) & (t % 2 == 1), F.lit(0)).otherwise(1 + (i * 7 + t) % 9)
+    rest = lambda i: RAGGED_H - top(i) - length(i) + F.when(i < width - 1, top(i + 1)).otherwise((RAGGED_W - x - width) * RAGGED_H)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), width - 1), lambda i: F.array(length(i).cast("int"), rest(i).cast("int"))))
+    return F.concat(F.array((x * RAGGED_H + top(F.lit(0))).cast("int")), pieces)
+
+
+def ragged(objects: DataFrame, moved: bool = False) -> DataFrame:
+    """image_id, obj, score and counts of a ragged mask for each object; moved: some of them a little to the side."""
+    x, y = F.col("part") % 40, F.col("video_id") % 25
+    if moved:
+        x, y = (F.col("part") + F.col("tax") % 3) % 40, (F.col("video_id") + F.col("tax") % 2) % 25
+    width = 3 + F.floor(F.col("w") / 2).cast("long") % 10
+    return objects.select("image_id", "obj", "score", ragged_counts(x, y, width, F.col("obj"), F.col("tax").cast("long")).alias("counts"))
+
+
+def ragged_sql(name: str, of: str, moved: bool = False) -> str:
+    """Columns (image_id, obj, score, x, y0, y1) of the ragged masks of a table."""
+    x, y = ("(part + tax % 3) % 40", "(video_id + tax % 2) % 25") if moved else ("part % 40", "video_id % 25")
+    return f"""{name} AS (SELECT *, y0 + n AS y1 FROM (SELECT image_id, obj, score, {x} + i AS x, {y} + (i * 3 + obj) % 5 AS y0, CASE WHEN i % 5 = 4 AND tax % 2 = 1 THEN 0 ELSE 1 + (i * 7 + tax) % 9 END AS n
+        FROM {of}, range(13) r(i) WHERE i < 3 + CAST(floor(w / 2) AS BIGINT) % 10) WHERE n > 0)"""
