@@ -163,6 +163,21 @@ def shared_pixels(a: pa.Array, b: pa.Array) -> pa.Array:
     return _whole(work, a, b)
 
 
+@F.arrow_udf(_RUNS)
+def union_of(lists: pa.Array, size: pa.Array) -> pa.Array:
+    """Run lengths of the union of a row's masks of `size` pixels each; of none, an empty mask."""
+
+    def work(lists: pa.Array, size: pa.Array) -> pa.Array:
+        spans, inner = _spans(lists.flatten())
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        base = np.concatenate([[0], np.cumsum(size.to_numpy().astype(np.int64))])
+        mask = np.searchsorted(inner, spans[0], "right") - 1
+        move = base[row[mask]] - inner[mask]
+        return _lists(_union(spans[0] + move, spans[1] + move, base), base)
+
+    return _whole(work, lists, size)
+
+
 def outside(counts: Column) -> Column:
     """Native: run lengths of the pixels that a mask lacks."""
     return F.when(F.get(counts, 0) == 0, F.slice(counts, 2, F.greatest(F.size(counts) - 1, F.lit(0)))).otherwise(F.concat(F.array(F.lit(0)), counts))
@@ -244,6 +259,31 @@ def components(counts: pa.Array, h: pa.Array) -> pa.Array:
     return _whole(work, counts, h)
 
 
+def _by_part(spans: Spans, base: np.ndarray, tall: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of columns on the line (start, end), with their row and the size of their part."""
+    row, x, y0, y1 = _columns(spans, base, tall)
+    root = _parts(row, x, y0, y1)
+    at = base[row] + x * tall[row]
+    return at + y0, at + y1, row, np.bincount(root, weights=y1 - y0, minlength=len(root)).astype(np.int64)[root]
+
+
+@F.arrow_udf(_RUNS)
+def cleaned(counts: pa.Array, h: pa.Array, most: pa.Array) -> pa.Array:
+    """Run lengths of a mask whose holes of up to `most` pixels are filled, and of which parts of up to `most` pixels, and of half of it at most, then go."""
+
+    def work(counts: pa.Array, h: pa.Array, most: pa.Array) -> pa.Array:
+        spans, base = _spans(counts)
+        tall, bound = (c.to_numpy().astype(np.int64) for c in (h, most))
+        start, end, row, size = _by_part(_where([spans], base, lambda x: ~x), base, tall)
+        hole = size <= bound[row]
+        filled = _union(np.concatenate([spans[0], start[hole]]), np.concatenate([spans[1], end[hole]]), base)
+        start, end, row, size = _by_part(filled, base, tall)
+        keep = (size > np.minimum(bound, _sums(filled, base) // 2)[row]) | (bound[row] <= 0)
+        return _lists(_union(start[keep], end[keep], base), base)
+
+    return _whole(work, counts, h, most)
+
+
 # ---- boundaries
 
 

@@ -65,38 +65,40 @@ def solve(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
 
 
-def optimal(pairs: DataFrame, keys: Sequence[str], value: str = "iou") -> DataFrame:
-    """keys, gt, dt and value of the one-to-one assignment with the largest total value in each group of pairs; absent pairs are worth 0 and are not returned."""
+def optimal(pairs: DataFrame, keys: Sequence[str], value: str = "iou", carry: str | None = None) -> DataFrame:
+    """keys, gt, dt and value of the one-to-one assignment with the largest total value in each group of pairs; absent pairs are worth 0 and are not returned. carry:
+    a number of each pair that comes along."""
+    along = carry or value
 
-    @F.pandas_udf("array<struct<gt:bigint,dt:bigint,value:double>>")
+    @F.pandas_udf("array<struct<gt:bigint,dt:bigint,value:double,carry:double>>")
     def assigned(groups: pd.Series) -> pd.Series:
         out = []
         for rows in groups:
             gts, dts = (sorted({r[k] for r in rows}) for k in ("gt", "dt"))
-            values = np.zeros((len(gts), len(dts)))
+            values, carried = np.zeros((2, len(gts), len(dts)))
             at_g, at_d = ({x: k for k, x in enumerate(v)} for v in (gts, dts))
             for r in rows:
-                values[at_g[r["gt"]], at_d[r["dt"]]] = r["value"]
-            out.append([{"gt": gts[i], "dt": dts[j], "value": values[i, j]} for i, j in solve(-values) if values[i, j] > 0])
+                values[at_g[r["gt"]], at_d[r["dt"]]], carried[at_g[r["gt"]], at_d[r["dt"]]] = r["value"], r["carry"]
+            out.append([{"gt": gts[i], "dt": dts[j], "value": values[i, j], "carry": carried[i, j]} for i, j in solve(-values) if values[i, j] > 0])
         return pd.Series(out)
 
-    row = F.struct(F.col("gt").cast("long").alias("gt"), F.col("dt").cast("long").alias("dt"), F.col(value).cast("double").alias("value"))
+    row = F.struct(F.col("gt").cast("long").alias("gt"), F.col("dt").cast("long").alias("dt"), F.col(value).cast("double").alias("value"), F.col(along).cast("double").alias("carry"))
     grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    return grouped.select(*keys, F.explode(assigned("_rows")).alias("_p")).select(*keys, F.col("_p.gt").alias("gt"), F.col("_p.dt").alias("dt"), F.col("_p.value").alias(value))
+    found = grouped.select(*keys, F.explode(assigned("_rows")).alias("_p"))
+    more = [F.col("_p.carry").alias(carry)] if carry else []
+    return found.select(*keys, F.col("_p.gt").alias("gt"), F.col("_p.dt").alias("dt"), F.col("_p.value").alias(value), *more)
 
 
 def one_to_many(pairs: DataFrame, keys: Sequence[str], k: int, alpha: float = 0.3, least: float = 0.4) -> DataFrame:
     """Pairs whose score * alpha + iou * (1 - alpha) is above the least, and among the target's k best (above its quantile 1 - k / n)."""
     metric = F.col("score") * alpha + F.col("iou") * (1 - alpha)
     scored = pairs.withColumn("metric", metric)
-    w = Window.partitionBy(*keys, "gt")
-    n = F.count("*").over(w)
-    ranked = scored.withColumn("_n", n).withColumn("_at", F.greatest(F.lit(0.0), 1 - F.lit(float(k)) / F.col("_n")) * (F.col("_n") - 1))
-    ordered = F.sort_array(F.collect_list("metric").over(w))
-    low = F.element_at(ordered, F.floor("_at").cast("int") + 1)
-    high = F.element_at(ordered, F.least(F.floor("_at") + 2, F.col("_n")).cast("int"))
-    cut = low + (high - low) * (F.col("_at") - F.floor("_at"))
-    return ranked.withColumn("_cut", cut).where((F.col("metric") > F.col("_cut")) & (F.col("metric") > least)).drop("_n", "_at", "_cut")
+    n = F.size("_all")
+    at = F.greatest(F.lit(0.0), 1 - F.lit(float(k)) / n) * (n - 1)
+    of_target = scored.groupBy(*keys, "gt").agg(F.sort_array(F.collect_list("metric")).alias("_all")).withColumn("_at", at)
+    low, high = F.get("_all", F.floor("_at").cast("int")), F.get("_all", F.least(F.floor("_at") + 1, n - 1).cast("int"))
+    cuts = of_target.select(*keys, "gt", (low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("_cut"))
+    return scored.join(cuts, [*keys, "gt"]).where((F.col("metric") > F.col("_cut")) & (F.col("metric") > least)).drop("_cut")
 
 
 def unmatched(side: DataFrame, pairs: DataFrame, keys: Sequence[str], name: str, threshold: float) -> DataFrame:

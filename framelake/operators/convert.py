@@ -30,9 +30,13 @@ def track_summaries(rows: DataFrame, keys: Sequence[str], score: str, label: str
 
 
 def dictionary_encoded(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the dense id, from 0 in order, of a column's value. The distinct values are few and go to every task only if Spark finds them small."""
-    ids = df.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
-    return df.join(ids, column)
+    """df with the dense id, from 0 in order, of a column's text; rows without one go. Values are ranked among those of the same first three characters, so the one
+    unpartitioned window sees a row for each such beginning."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_begin", F.substring(column, 1, 3))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = values.groupBy("_begin").agg(F.count("*").alias("n")).withColumn("_before", before).drop("n")
+    ranked = values.withColumn("_rank", F.row_number().over(Window.partitionBy("_begin").orderBy(column))).join(starts, "_begin")
+    return df.join(ranked.select(column, (F.col("_before") + F.col("_rank") - 1).cast("long").alias(name)), column)
 
 
 def best_annotator(scores: DataFrame, keys: Sequence[str], annotator: str, score: str) -> DataFrame:

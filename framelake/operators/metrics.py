@@ -86,7 +86,7 @@ def aligned_matches(sim: DataFrame, n_gt: DataFrame, n_dt: DataFrame, group: Seq
     potential = sim.withColumn("p", shared).groupBy(*group, "gt", "dt").agg(F.sum("p").alias("p"))
     aligned = potential.join(n_gt, [*group, "gt"]).join(n_dt, [*group, "dt"]).withColumn("align", F.col("p") / (F.col("n_gt") + F.col("n_dt") - F.col("p")))
     scored = sim.join(aligned.select(*group, "gt", "dt", "align"), [*group, "gt", "dt"]).withColumn("value", F.col("align") * F.col("iou"))
-    return optimal(scored, frame, "value").join(sim, [*frame, "gt", "dt"]).select(*frame, "gt", "dt", "iou")
+    return optimal(scored, frame, "value", carry="iou").select(*frame, "gt", "dt", "iou")
 
 
 def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:

@@ -85,14 +85,19 @@ def hotstart_removed(df: DataFrame, keys: Sequence[str], matched: str, delay: in
     return lost.where((F.col("lost") >= misses) & (F.col("born") > F.col("frame") - delay)).groupBy(*keys).agg(F.min("frame").alias("removed_at"))
 
 
-def least_loaded(df: DataFrame, keys: Sequence[str], order: str, workers: int) -> DataFrame:
-    """Items one by one, in order, each to the worker with least load, the first of equal ones. A native fold: the order of items decides."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("item"))))
+def least_loaded(df: DataFrame, keys: Sequence[str], order: str, workers: int, loads: DataFrame | None = None) -> DataFrame:
+    """keys, item and worker (from 0): items one by one, in order, each to the worker with least load, the first of equal ones. loads(keys, worker, load): what the
+    workers of a group have at the start; nothing without a row.
 
-    def step(s, r):
-        target = (F.array_position(s["load"], F.array_min(s["load"])) - 1).cast("int")
-        load = F.transform(s["load"], lambda v, i: v + F.when(i == target, 1).otherwise(0))
-        return F.struct(load.alias("load"), F.concat(s["out"], F.array(F.struct(r["item"].alias("item"), target.alias("worker")))).alias("out"))
-
-    start = F.struct(F.array_repeat(F.lit(0), workers).alias("load"), F.array().cast("array<struct<item:bigint,worker:int>>").alias("out"))
-    return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(F.aggregate("_rows", start, step, lambda s: s["out"])).alias("_o")).select(*keys, F.col("_o.item").alias("item"), F.col("_o.worker").cast("long").alias("worker"))
+    Each item adds one to a load, so worker w with start load s offers places at loads s, s + 1, ...; item n takes the n-th place by (load, worker), and no item has to
+    wait for the one before.
+    """
+    ranked = df.select(*keys, F.col(order).alias("item"), F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("_k"))
+    sizes = ranked.groupBy(*keys).agg(F.max("_k").alias("_n"))
+    every = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(workers - 1).cast("long"))).alias("worker"))
+    start = every.withColumn("load", F.lit(0).cast("long")) if loads is None else every.join(loads.select(*keys, "worker", "load"), [*keys, "worker"], "left").na.fill(0, ["load"])
+    least = start.withColumn("_least", F.min("load").over(Window.partitionBy(*keys)))
+    # A worker takes nothing beyond a load that even the least loaded one reaches only with all items.
+    places = least.where(F.col("load") < F.col("_least") + F.col("_n")).select(*keys, "worker", F.explode(F.sequence(F.col("load"), F.col("_least") + F.col("_n") - 1)).alias("_at"))
+    taken = places.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "worker"))).drop("_at")
+    return ranked.join(taken, [*keys, "_k"]).select(*keys, "item", "worker")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.functions import boxes, masks
+from framelake.functions import boxes, masks, runs
 from framelake.operators import assign, filters, metrics, suppress
 
 from .views import GT_SQL, HEIGHT, INTER, OBJECTS_SQL, UNION, WIDTH, detections, ground_truth, objects
@@ -166,11 +166,12 @@ def mask_table(spark, d):
 
 
 def mask_overlap(spark, d):
-    o = detections(spark, d).select("image_id", "obj", masks.box_mask(F.floor("x0"), F.floor("y0"), F.floor("x1"), F.floor("y1"), F.lit(HEIGHT), F.lit(WIDTH)).alias("counts"))
-    a, b = o.select("image_id", F.col("obj").alias("a"), F.col("counts").alias("ca")), o.select("image_id", F.col("obj").alias("b"), F.col("counts").alias("cb"))
-    both = a.join(b, "image_id").where("a < b").withColumn("inter", masks.mask_intersection("ca", "cb")).where("inter > 0")
-    union = masks.mask_area(F.col("ca")) + masks.mask_area(F.col("cb")) - F.col("inter")
-    return both.select("image_id", "a", "b", "inter", r6(F.col("inter") / F.greatest(union, F.lit(1))).alias("mask_iou"))
+    o = detections(spark, d).select("image_id", "obj", "x0", "y0", "x1", "y1", masks.box_mask(F.floor("x0"), F.floor("y0"), F.floor("x1"), F.floor("y1"), F.lit(HEIGHT), F.lit(WIDTH)).alias("counts"))
+    side = lambda n: o.select("image_id", *[F.col(c).alias(f"{c}_{n}") for c in ("obj", "x0", "y0", "x1", "y1", "counts")])
+    meet = (F.col("x0_a") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1_a")) & (F.col("y0_a") < F.col("y1_b")) & (F.col("y0_b") < F.col("y1_a"))  # boxes first: the others share nothing
+    both = side("a").join(side("b"), "image_id").where("obj_a < obj_b").where(meet).withColumn("inter", runs.shared_pixels("counts_a", "counts_b")).where("inter > 0")
+    union = masks.mask_area(F.col("counts_a")) + masks.mask_area(F.col("counts_b")) - F.col("inter")
+    return both.select("image_id", F.col("obj_a").alias("a"), F.col("obj_b").alias("b"), "inter", r6(F.col("inter") / F.greatest(union, F.lit(1))).alias("mask_iou"))
 
 
 def filtered_queries(spark, d):
@@ -193,7 +194,7 @@ def polygon_areas(spark, d):
 def image_semantic_masks(spark, d):
     """The union of an image's masks: its area."""
     o = detections(spark, d).withColumn("counts", masks.box_mask(F.floor("x0"), F.floor("y0"), F.floor("x1"), F.floor("y1"), F.lit(HEIGHT), F.lit(WIDTH)))
-    return o.groupBy("image_id").agg(F.collect_list("counts").alias("all")).select("image_id", masks.mask_area(masks.mask_union("all")).alias("area"))
+    return o.groupBy("image_id").agg(F.collect_list("counts").alias("all")).select("image_id", masks.mask_area(runs.union_of("all", F.lit(HEIGHT * WIDTH))).alias("area"))
 
 
 _MASKS_SQL = f"""{GT_SQL},

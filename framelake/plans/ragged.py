@@ -51,6 +51,12 @@ def mask_parts(spark, d):
     return o.select("image_id", "obj", F.posexplode("parts").alias("part", "p")).select("image_id", "obj", "part", F.col("p.size").alias("size"), masks.mask_area(F.col("p.counts")).alias("area"))
 
 
+def cleaned_masks(spark, d):
+    """What is left of each mask without its parts of up to 12 pixels, or up to half of it if that is less. No mask touches the border, so none has holes."""
+    o = ragged(detections(spark, d), down=1)
+    return o.select("image_id", "obj", masks.mask_area(runs.cleaned("counts", _h, F.lit(12))).alias("area"))
+
+
 def owned_pixels(spark, d):
     """What is left of each mask if every pixel goes to the best one of its image, and whether it shrank too far."""
     o = shapes.owned_masks(ragged(detections(spark, d)), ["image_id"], "counts", "score", "obj")
@@ -124,7 +130,7 @@ def precision_lost(spark, d):
     return evaluation.precision_lost(found, typed, ["image_id"], "category_id")
 
 
-QUERIES = {f.__name__: f for f in (ragged_overlaps, mask_algebra, error_samples, mask_parts, owned_pixels, outline_scores, region_and_outline, resized_masks, mapped_masks, rotated_overlaps, precision_lost)}
+QUERIES = {f.__name__: f for f in (ragged_overlaps, mask_algebra, error_samples, mask_parts, cleaned_masks, owned_pixels, outline_scores, region_and_outline, resized_masks, mapped_masks, rotated_overlaps, precision_lost)}
 
 _PX = lambda name: f"{name}_px AS (SELECT image_id, obj, score, x, y FROM (SELECT *, unnest(range(y0, y1)) AS y FROM {name}))"
 _BOTH_SQL = f"""{GT_SQL}, {ragged_sql("g", "gt")}, {ragged_sql("f", "dt", True)}, {_PX("g")}, {_PX("f")},
@@ -160,6 +166,9 @@ ORACLE_SQL = {
     "mask_parts": f"""WITH {GT_SQL}, {ragged_sql("m", "dt")}, p AS (SELECT *, sum(CASE WHEN x > px + 1 OR y0 > py1 OR y1 < py0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, obj ORDER BY x) AS part
             FROM (SELECT *, lag(x) OVER w AS px, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM m WINDOW w AS (PARTITION BY image_id, obj ORDER BY x)))
         SELECT image_id, obj, CAST(part AS INTEGER) AS part, CAST(sum(y1 - y0) AS BIGINT) AS size, CAST(sum(y1 - y0) AS BIGINT) AS area FROM p GROUP BY ALL""",
+    "cleaned_masks": f"""WITH {GT_SQL}, {ragged_sql("m", "dt", down=1)}, p AS (SELECT *, sum(CASE WHEN x > px + 1 OR y0 > py1 OR y1 < py0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, obj ORDER BY x) AS part
+            FROM (SELECT *, lag(x) OVER w AS px, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM m WINDOW w AS (PARTITION BY image_id, obj ORDER BY x))),
+        s AS (SELECT image_id, obj, part, sum(y1 - y0) AS n FROM p GROUP BY ALL) SELECT image_id, obj, CAST(sum(CASE WHEN n > least(12, all_ // 2) THEN n ELSE 0 END) AS BIGINT) AS area FROM (SELECT *, sum(n) OVER (PARTITION BY image_id, obj) AS all_ FROM s) GROUP BY ALL""",
     "owned_pixels": f"""WITH {GT_SQL}, {ragged_sql("m", "dt")}, {_PX("m")}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY score DESC, obj) AS k FROM m_px)
         SELECT image_id, obj, count(*) AS area, count(*) FILTER (k = 1) AS left, count(*) FILTER (k = 1) / count(*) < 0.3 AS suppressed FROM k GROUP BY ALL""",
     "outline_scores": f"""WITH {GT_SQL}, {ragged_sql("g", "gt")}, {ragged_sql("f", "dt", True)}, {_PX("g")}, {_PX("f")}, {_outline_sql("g")}, {_outline_sql("f")},

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.functions import scores, text
+from framelake.operators import filters
 
-from .views import table
+from .views import OBJECTS_SQL, objects, table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -41,7 +42,7 @@ def cascade_filter(spark, d):
 def exhaustive_only(spark, d):
     """Instance filter: only exhaustive queries. Pixel filter: unknown passes, false does not."""
     o = table(spark, d, "orders").withColumn("exhaustive", F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False))
-    return o.select(F.col("o_orderkey").alias("id"), F.coalesce("exhaustive", F.lit(False)).alias("instance_ok"), (~(F.col("exhaustive").isNotNull() & ~F.coalesce("exhaustive", F.lit(True)))).alias("pixel_ok"))
+    return o.select(F.col("o_orderkey").alias("id"), filters.exhaustive(F.col("exhaustive")).alias("instance_ok"), filters.pixel_exhaustive(F.col("exhaustive")).alias("pixel_ok"))
 
 
 def unknown_categories(spark, d):
@@ -123,7 +124,31 @@ def top_k_accuracy(spark, d):
     return hit.agg(r6(100 * F.avg("hit")).alias("accuracy"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (category_chunks, one_based_ids, cascade_filter, exhaustive_only, unknown_categories, dense_ids, filled_keys, round_robin_chunks, merged_results, canonical_phrases, decorated_queries, pruned_messages, message_counts, score_formulas, class_similarity, top_k_accuracy)}
+def _asked(spark, d):
+    """Categories of an image as its queries: a box prompt for some, a phrase, and what is known of their labels."""
+    o = objects(spark, d)
+    q = o.groupBy("image_id", "category_id").agg(F.max("rf").alias("rf"), F.sum("tax").alias("tax"), F.min("obj").alias("first"))
+    known = F.when(F.col("rf") == "R", True).when(F.col("rf") == "N", F.col("tax") % 2 == 0)
+    q = q.select("image_id", "category_id", F.when(F.col("tax") % 3 == 0, "geometric").otherwise("name").alias("phrase"), F.when(F.col("tax") % 2 == 0, F.col("tax")).alias("box"), known.alias("instance_exhaustive"), known.alias("pixel_exhaustive"), (F.col("tax") % 4).alias("stage"), "first")
+    targets = o.where("tax < 7").select("image_id", "category_id", F.when(F.col("tax") == 1, 0.0).otherwise(F.col("w")).alias("w"), "h", (F.col("w") * F.col("h") / 307200 - F.when(F.col("tax") == 2, 1.0).otherwise(0.0)).alias("area"), ((F.col("rf") == "R") & (F.col("obj") % 5 == 0)).alias("crowd"))
+    return q, targets
+
+
+def screened_queries(spark, d):
+    """The rules that each query fails."""
+    q, targets = _asked(spark, d)
+    return filters.screened(q, targets, ["image_id", "category_id"], 1).select("image_id", "category_id", F.array_join("failed", ",").alias("failed"))
+
+
+def remaining_queries(spark, d):
+    """Queries without a zero box or an empty target, or of stage 0, numbered anew; datapoints that have one of stage 0."""
+    q, targets = _asked(spark, d)
+    whole = q.join(q.where("stage = 0").select("image_id").distinct(), "image_id", "left_semi")
+    drop = F.arrays_overlap("failed", F.array(F.lit("zero_box"), F.lit("empty_target"))) & (F.col("stage") > 0)
+    return filters.without_queries(filters.screened(whole, targets, ["image_id", "category_id"], 1), drop, ["image_id"], "category_id", "stage").select("image_id", "category_id", "local_id", "stage")
+
+
+QUERIES = {f.__name__: f for f in (category_chunks, one_based_ids, cascade_filter, exhaustive_only, screened_queries, remaining_queries, unknown_categories, dense_ids, filled_keys, round_robin_chunks, merged_results, canonical_phrases, decorated_queries, pruned_messages, message_counts, score_formulas, class_similarity, top_k_accuracy)}
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^`{|}~"
 _COLLAPSE = "trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
@@ -155,3 +180,14 @@ ORACLE_SQL = {
         s AS (SELECT vec_id, label, cls, round(sum(CAST(v AS DOUBLE) * m), 9) AS s FROM e JOIN m ON e.i = m.i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cls) AS k FROM s),
         h AS (SELECT vec_id, max(CASE WHEN label = cls THEN 1 ELSE 0 END) AS hit FROM r WHERE k <= 2 GROUP BY 1) SELECT round(100 * avg(hit), 6) AS accuracy, count(*) AS n FROM h""",
 }
+
+_ASKED_SQL = f"""{OBJECTS_SQL}, q AS (SELECT image_id, category_id, max(rf) AS rf, sum(tax) AS tax FROM objs GROUP BY ALL),
+    a AS (SELECT image_id, category_id, CASE WHEN tax % 3 = 0 THEN 'geometric' ELSE 'name' END AS phrase, tax % 2 = 0 AS boxed, CASE rf WHEN 'R' THEN true WHEN 'N' THEN tax % 2 = 0 END AS known, CAST(tax % 4 AS BIGINT) AS stage FROM q),
+    t AS (SELECT image_id, category_id, count(*) AS n, bool_or(tax = 1) AS zero, bool_or(w * h / 307200 - CASE WHEN tax = 2 THEN 1.0 ELSE 0.0 END < 1e-6) AS empty, bool_or(rf = 'R' AND obj % 5 = 0) AS crowd FROM objs WHERE tax < 7 GROUP BY ALL),
+    f AS (SELECT a.*, coalesce(zero, false) AS zero, coalesce(empty, false) AS empty, coalesce(n, 0) > 1 AS many, coalesce(crowd, false) AS crowd, NOT coalesce(known, false) AS open, NOT coalesce(known, true) AS pixels, boxed AND phrase = 'geometric' AND coalesce(n, 0) = 0 AS bad FROM a LEFT JOIN t USING (image_id, category_id))"""
+ORACLE_SQL |= {
+    "screened_queries": f"""WITH {_ASKED_SQL} SELECT image_id, category_id, concat_ws(',', CASE WHEN zero THEN 'zero_box' END, CASE WHEN empty THEN 'empty_target' END, CASE WHEN many THEN 'too_many' END, CASE WHEN crowd THEN 'crowd' END,
+        CASE WHEN open THEN 'not_exhaustive' END, CASE WHEN pixels THEN 'pixel_not_exhaustive' END, CASE WHEN bad THEN 'invalid_geometric' END) AS failed FROM f""",
+    "remaining_queries": f"""WITH {_ASKED_SQL}, k AS (SELECT * FROM f WHERE image_id IN (SELECT image_id FROM f WHERE stage = 0) AND NOT ((zero OR empty) AND stage > 0))
+        SELECT image_id, category_id, row_number() OVER (PARTITION BY image_id ORDER BY category_id) - 1 AS local_id, dense_rank() OVER (PARTITION BY image_id ORDER BY stage) - 1 AS stage FROM k""",
+}

@@ -131,7 +131,11 @@ def strided_frames(spark, d):
 
 
 def least_loaded_workers(spark, d):
-    return sequences.least_loaded(_frames(spark, d), ["session"], "event_id", 3)
+    """Events of a session, over three workers with loads of 0 to 4 at the start; the third has none in every seventh session."""
+    f = _frames(spark, d)
+    loads = f.select("session").distinct().withColumn("worker", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).where("session % 7 <> 0 OR worker < 2")
+    loads = loads.withColumn("load", (F.col("session") * 3 + F.col("worker") * F.col("worker") * 2) % 5)
+    return sequences.least_loaded(f, ["session"], "event_id", 3, loads)
 
 
 def processing_range(spark, d):
@@ -180,7 +184,10 @@ ORACLE_SQL = {
         SELECT * FROM r WHERE rank <= 3""",
     "strided_frames": f"""WITH {_FRAMES_SQL}, n AS (SELECT *, max(frame) OVER (PARTITION BY session, object) + 1 AS len FROM frames),
         s AS (SELECT *, CAST(greatest(least(3, floor((len - 1) / 3)), 1) AS BIGINT) AS stride FROM n) SELECT session, object, frame, stride FROM s WHERE len >= 4 AND frame % stride = 0 AND frame / stride < 4""",
-    "least_loaded_workers": """SELECT user_id AS session, event_id AS item, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 3 AS BIGINT) AS worker FROM events""",
+    "least_loaded_workers": """WITH RECURSIVE e AS (SELECT user_id AS session, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+        w AS (SELECT session, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS worker, [session * 3 % 5, (session * 3 + 2) % 5, CASE WHEN session % 7 = 0 THEN 0 ELSE (session * 3 + 8) % 5 END] AS loads FROM (SELECT DISTINCT session FROM e)
+              UNION ALL SELECT w.session, e.k, e.item, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT), [loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN 1 ELSE 0 END FOR i IN [1, 2, 3]] FROM w JOIN e ON e.session = w.session AND e.k = w.k + 1)
+        SELECT session, item, worker FROM w WHERE k > 0""",
     "processing_range": f"""WITH {_FRAMES_SQL}, f AS (SELECT session, object, max(frame) AS last, CAST(floor(max(frame) / 2) AS BIGINT) AS start FROM frames GROUP BY ALL)
         SELECT session, object, 'forward' AS way, unnest(range(start, least(start + 5, last) + 1)) AS frame FROM f
         UNION ALL SELECT session, object, 'backward', unnest(range(greatest(start - 6, 0), start)) FROM f WHERE start > 0""",

@@ -72,17 +72,17 @@ def ragged_counts(x: Column, y: Column, width: Column, k: Column, t: Column) ->
     return F.concat(F.array((x * RAGGED_H + top(F.lit(0))).cast("int")), pieces)
 
 
-def ragged(objects: DataFrame, moved: bool = False) -> DataFrame:
-    """image_id, obj, score and counts of a ragged mask for each object; moved: some of them a little to the side."""
-    x, y = F.col("part") % 40, F.col("video_id") % 25
+def ragged(objects: DataFrame, moved: bool = False, down: int = 0) -> DataFrame:
+    """image_id, obj, score and counts of a ragged mask for each object; moved: some of them a little to the side; down: all of them so much lower."""
+    x, y = F.col("part") % 40, F.col("video_id") % 25 + down
     if moved:
         x, y = (F.col("part") + F.col("tax") % 3) % 40, (F.col("video_id") + F.col("tax") % 2) % 25
     width = 3 + F.floor(F.col("w") / 2).cast("long") % 10
     return objects.select("image_id", "obj", "score", ragged_counts(x, y, width, F.col("obj"), F.col("tax").cast("long")).alias("counts"))
 
 
-def ragged_sql(name: str, of: str, moved: bool = False) -> str:
+def ragged_sql(name: str, of: str, moved: bool = False, down: int = 0) -> str:
     """Columns (image_id, obj, score, x, y0, y1) of the ragged masks of a table."""
-    x, y = ("(part + tax % 3) % 40", "(video_id + tax % 2) % 25") if moved else ("part % 40", "video_id % 25")
+    x, y = ("(part + tax % 3) % 40", "(video_id + tax % 2) % 25") if moved else ("part % 40", f"video_id % 25 + {down}")
     return f"""{name} AS (SELECT *, y0 + n AS y1 FROM (SELECT image_id, obj, score, {x} + i AS x, {y} + (i * 3 + obj) % 5 AS y0, CASE WHEN i % 5 = 4 AND tax % 2 = 1 THEN 0 ELSE 1 + (i * 7 + tax) % 9 END AS n
         FROM {of}, range(13) r(i) WHERE i < 3 + CAST(floor(w / 2) AS BIGINT) % 10) WHERE n > 0)"""

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions import masks, rotated, runs
+from framelake.functions import masks, points, rotated, runs
 from framelake.operators import evaluation, shapes
 
 RUNS = pa.list_(pa.int32())
@@ -120,6 +120,19 @@ def test_error_points(spark):
     assert {tuple(p) for p in got[80:120]} == {(0, 0, 0)} and {tuple(p) for p in got[120:]} == {(int(x), int(y), 1) for y, x in zip(*np.nonzero(truth))}
 
 
+def test_unions_and_cleaning(spark, batches):
+    """Unions of any number of masks; holes and specks as in dense masks."""
+    for _, _, a, b in batches[:40]:
+        lists = pa.array([[masks.encode(x), masks.encode(y), masks.encode(x)] if k % 3 else [] for k, (x, y) in enumerate(zip(a, b))], pa.list_(RUNS))
+        want = [masks.encode(x | y if k % 3 else np.zeros_like(x)) for k, (x, y) in enumerate(zip(a, b))]
+        assert runs.union_of.func(lists, pa.array([x.size for x in a])).to_pylist() == want
+    rng = np.random.default_rng(6)
+    some = [rng.random((20, 22)) < p for p in (0, 0.2, 0.5, 0.7, 0.9, 1) for _ in range(6)]
+    df = spark.createDataFrame([(k, masks.encode(m), most) for k, m in enumerate(some) for most in (0, 1, 4, 30)], "k int, counts array<int>, most int")
+    for r in df.select("k", "most", runs.cleaned("counts", F.lit(20), "most").alias("c")).collect():
+        assert r.c == masks.encode(points.without_specks(some[r.k], r.most))
+
+
 def test_owners(spark):
     """Pixels of overlapping ragged masks go to the best, ties to the least name, as in a loop over pixels; an empty and a null mask."""
     rng = np.random.default_rng(3)
