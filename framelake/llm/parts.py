@@ -2,7 +2,8 @@
 
 The documents are dealt once into parts by a hash of (doc_id, text); all passes over the texts read that one shuffle again. A part posts each of its distinct
 hashes once, however many of its documents share it, so a hash that a third of all documents hold reaches its bucket in as many rows as there are parts.
-Buckets are ranges of hash values. Each part must fit a task's memory; there are PARTS_PER_TASK of them for each shuffle partition.
+Buckets are ranges of hash values. A part is held by a task as a whole, so there are as many as the bytes of all texts ask for at PART_BYTES each, and at least
+PARTS_PER_TASK for each shuffle partition; buckets grow with them.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 PARTS_PER_TASK = 4
+PART_BYTES = 64 << 20
 FINGERPRINT_BITS = 48
 _LAST = np.iinfo(np.int64).max
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """doc_id, text and part."""
-    n = PARTS_PER_TASK * shuffle_partitions(docs.sparkSession)
+def count(docs: DataFrame) -> int:
+    """How many parts docs(text) is dealt into."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(PARTS_PER_TASK * shuffle_partitions(docs.sparkSession), -(-total // PART_BYTES))
+
+
+def dealt(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text and part, one of n."""
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"))
 
 
@@ -32,8 +39,9 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - FINGERPRINT_BITS)
 
 
-def buckets(spark: SparkSession) -> int:
-    return shuffle_partitions(spark)
+def buckets(spark: SparkSession, n: int) -> int:
+    """How many buckets take what n parts post."""
+    return max(shuffle_partitions(spark), n // PARTS_PER_TASK)
 
 
 def bucket_cuts(ordered: np.ndarray, n: int, bits: int) -> np.ndarray:

@@ -45,8 +45,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that repeat a doc_id and text are equal occurrences, and neither is earlier. A null doc_id comes after all others; null texts have no words.
     """
     spark = docs.sparkSession
-    n_buckets = parts.buckets(spark)
-    dealt = parts.dealt(docs)
+    n_parts = parts.count(docs)
+    n_buckets = parts.buckets(spark, n_parts)
+    dealt = parts.dealt(docs, n_parts)
     binary = pa.binary()
 
     def first_level(t: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from framelake.llm import components, jaccard_join, line_dedup, substring
+from framelake.llm import components, jaccard_join, line_dedup, parts, substring
 
 from . import brute
 
@@ -84,6 +84,19 @@ def test_jaccard_of_nothing(docs):
     assert jaccard_join.link(docs.limit(0)).count() == 0
 
 
+def test_parts_grow_with_the_texts(spark, rows, docs, monkeypatch):
+    """Parts of 4 KB and as many buckets as they ask for: the same answers; without rows, the least number."""
+    assert parts.count(docs.limit(0)) == 4 * parts.PARTS_PER_TASK
+    monkeypatch.setattr(parts, "PART_BYTES", 4096)
+    n = parts.count(docs)
+    assert n == -(-sum(len((t or "").encode()) for _, t in rows) // 4096) > 50 and parts.buckets(spark, n) == n // 4
+    some = docs.where("doc_id < 60 OR doc_id >= 10000 OR doc_id IS NULL")
+    own = [(r.doc_id, r.text) for r in some.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, jaccard_join.link(some).collect()), key=str) == sorted(brute.jaccard(own), key=str)
+    got = Counter((r.doc_id, r.kept_text) for r in substring.dedup_substrings(some).collect())
+    assert got == Counter((i, " ".join(w for w, g in zip(words, gone) if not g)) for (i, _), (words, gone) in zip(own, brute.substrings(own)))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(500, 500), (7, 7), (300, 301), (301, 300)]
