@@ -51,8 +51,9 @@ def annotator_choice(spark, d):
 
 
 def running_averages(spark, d):
-    e = table(spark, d, "events").withColumn("value", F.round("value", 2)).withColumn("weight", (F.col("event_id") % 4 + 1).cast("double"))
-    return convert.running_mean(e, ["user_id"], ["ts", "event_id"], "value", "weight").select("event_id", r6(F.col("running_mean")).alias("running_mean"))
+    """Of values in whole cents: sums of whole numbers depend on no order, and the quotient is left as it is, for at any digit it may lie just between two numbers."""
+    e = table(spark, d, "events").withColumn("value", F.round(F.col("value") * 100).cast("long")).withColumn("weight", (F.col("event_id") % 4 + 1).cast("long"))
+    return convert.running_mean(e, ["user_id"], ["ts", "event_id"], "value", "weight").select("event_id", "running_mean")
 
 
 def capped_queries(spark, d):
@@ -83,7 +84,7 @@ ORACLE_SQL = {
     "annotator_choice": """WITH m AS (SELECT user_id, event_id % 3 AS annotator, round(avg(round(value, 2)), 6) AS v FROM events GROUP BY user_id, event_id % 3),
         s AS (SELECT user_id, annotator, CASE WHEN (user_id + annotator) % 11 <> 0 THEN v END AS score FROM m),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN score IS NULL THEN 1e300 ELSE score END DESC, annotator) AS k FROM s) SELECT user_id, annotator, score FROM r WHERE k = 1""",
-    "running_averages": """SELECT event_id, round(sum(round(value, 2) * (event_id % 4 + 1)) OVER w / sum(event_id % 4 + 1) OVER w, 6) AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "running_averages": """SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT) * (event_id % 4 + 1)) OVER w AS DOUBLE) / CAST(sum(event_id % 4 + 1) OVER w AS DOUBLE) AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "embedded_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "matching_names": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-z]* w.*t$')",
 }

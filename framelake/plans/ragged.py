@@ -13,12 +13,11 @@ from .views import GT_SQL, INTER, RAGGED_H, RAGGED_W, UNION, detections, ground_
 
 H, W = RAGGED_H, RAGGED_W
 r6 = lambda c: F.round(c, 6)
-_h, _w = F.lit(H), F.lit(W)  # noqa: E305
 
 
 def ragged_overlaps(spark, d):
     """Pairs of an image's masks that share pixels: their overlap by union, by the second mask, and by the smaller one."""
-    o = ragged(detections(spark, d)).withColumn("box", masks.mask_box("counts", _h))
+    o = ragged(detections(spark, d)).withColumn("box", masks.mask_box("counts", F.lit(H)))
     side = lambda n: o.select("image_id", F.col("obj").alias(n), F.col("counts").alias(f"c{n}"), F.col("box").alias(f"b{n}"))
     apart = lambda k: (F.get("ba", k) >= F.get("bb", k + 2)) | (F.get("bb", k) >= F.get("ba", k + 2))
     p = side("a").join(side("b"), "image_id").where("a < b").where(~(apart(0) | apart(1))).withColumn("inter", runs.shared_pixels("ca", "cb")).where("inter > 0")
@@ -41,20 +40,20 @@ def _pairs(spark, d):
 
 def error_samples(spark, d):
     """A pixel drawn where a found mask differs from the truth, with label 1 for a missed one; where they agree, one of the background."""
-    p = runs.error_point(F.col("truth"), F.col("found"), _h, uniform(620, F.col("image_id"), F.col("obj")))
+    p = runs.error_point(F.col("truth"), F.col("found"), F.lit(H), uniform(620, F.col("image_id"), F.col("obj")))
     return _pairs(spark, d).withColumn("p", p).select("image_id", "obj", F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("p.label").alias("label"))
 
 
 def mask_parts(spark, d):
     """The 8-connected parts of each mask, with their sizes."""
-    o = ragged(detections(spark, d)).withColumn("parts", runs.components("counts", _h))
+    o = ragged(detections(spark, d)).withColumn("parts", runs.components("counts", F.lit(H)))
     return o.select("image_id", "obj", F.posexplode("parts").alias("part", "p")).select("image_id", "obj", "part", F.col("p.size").alias("size"), masks.mask_area(F.col("p.counts")).alias("area"))
 
 
 def cleaned_masks(spark, d):
     """What is left of each mask without its parts of up to 12 pixels, or up to half of it if that is less. No mask touches the border, so none has holes."""
     o = ragged(detections(spark, d), down=1)
-    return o.select("image_id", "obj", masks.mask_area(runs.cleaned("counts", _h, F.lit(12))).alias("area"))
+    return o.select("image_id", "obj", masks.mask_area(runs.cleaned("counts", F.lit(H), F.lit(12))).alias("area"))
 
 
 def owned_pixels(spark, d):
@@ -66,15 +65,15 @@ def owned_pixels(spark, d):
 
 def outline_scores(spark, d):
     """F measures of the outlines of truth and found masks of one number."""
-    p = shapes.with_outline(_pairs(spark, d), "truth", _h, _w).withColumnsRenamed({"outline": "go", "near": "gn"})
-    p = shapes.with_outline(p, "found", _h, _w)
+    p = shapes.with_outline(_pairs(spark, d), "truth", F.lit(H), F.lit(W)).withColumnsRenamed({"outline": "go", "near": "gn"})
+    p = shapes.with_outline(p, "found", F.lit(H), F.lit(W))
     return p.select("image_id", "obj", masks.mask_area(F.col("go")).alias("n_outline"), masks.mask_area(F.col("gn")).alias("n_near"), r6(shapes.outline_f(F.col("outline"), F.col("near"), F.col("go"), F.col("gn"))).alias("f"))
 
 
 def region_and_outline(spark, d):
     """J, F and their mean for the one-to-one assignment of an image's masks."""
     f = ragged(detections(spark, d).where("score >= 0.3"), moved=True)
-    out = shapes.region_and_outline(ragged(ground_truth(spark, d).where("NOT iscrowd")), f, ["image_id"], _h, _w)
+    out = shapes.region_and_outline(ragged(ground_truth(spark, d).where("NOT iscrowd")), f, ["image_id"], F.lit(H), F.lit(W))
     return out.select("image_id", "n_gt", "n_dt", "n", *[r6(F.col(c)).alias(c) for c in ("j", "f", "jf")])
 
 
@@ -100,7 +99,7 @@ def mapped_masks(spark, d):
     """Masks of parts, four to a group, two to a frame, under the first of three drawn maps that keeps the first frame's masks in sight."""
     key = F.col("p_partkey").cast("long")
     o = table(spark, d, "part").select(F.floor(key / 4).cast("long").alias("grp"), F.floor(key % 4 / 2).cast("long").alias("frame"), key.alias("obj"), ragged_counts(key * 3 % 40, key * 7 % 25, 3 + F.col("p_size").cast("long") % 10, key % 6, key % 9).alias("counts"))
-    out = shapes.affine_masks(o, _tries(spark, d), ["grp"], "frame", _h, _w)
+    out = shapes.affine_masks(o, _tries(spark, d), ["grp"], "frame", F.lit(H), F.lit(W))
     return out.select("grp", "frame", "obj", "attempt", masks.mask_area(F.col("counts")).alias("area"), F.get("box", 0).cast("long").alias("x0"), F.get("box", 3).cast("long").alias("y1"))
 
 
