@@ -56,9 +56,11 @@ def _hota(sides: str) -> str:
 _COMBINED = """SELECT {0}, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, sum(tp) / greatest(1, sum(tp) + sum(fn) + sum(fp)) AS det_a, sum(ass_a * tp) / greatest(1, sum(tp)) AS ass_a, sum(loc_a * tp) / greatest(1, sum(tp)) AS loc_a FROM h GROUP BY ALL"""
 _PLAIN = f"{_tracked('g', 'gt')}, {_tracked('d', 'dt')}"
 _r = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
+# Shares of whole numbers may lie just between two numbers of six digits; of twelve they don't.
+_exact = lambda *names: ", ".join(f"round({n}, {12 if n.startswith('det') else 9}) AS {n}" for n in names)
 ORACLE_SQL = {
-    "hota_by_sequence": f"{_hota(_PLAIN)} SELECT seq, {_r('alpha')}, tp, fn, fp, {_r('det_a', 'ass_a', 'ass_re', 'ass_pr', 'loc_a', 'hota', 'owta')} FROM h",
-    "hota_combined": f"{_hota(_PLAIN)}, c AS ({_COMBINED.format('alpha')}) SELECT {_r('alpha')}, tp, fn, fp, {_r('det_a', 'ass_a')}, round(sqrt(det_a * ass_a), 6) AS hota, {_r('loc_a')} FROM c",
+    "hota_by_sequence": f"{_hota(_PLAIN)} SELECT seq, {_r('alpha')}, tp, fn, fp, {_exact('det_a', 'ass_a', 'ass_re', 'ass_pr', 'loc_a', 'hota', 'owta')} FROM h",
+    "hota_combined": f"{_hota(_PLAIN)}, c AS ({_COMBINED.format('alpha')}) SELECT {_r('alpha')}, tp, fn, fp, {_exact('det_a', 'ass_a')}, round(sqrt(det_a * ass_a), 9) AS hota, {_exact('loc_a')} FROM c",
 }
 
 _HULLS = lambda name, side: f"{name} AS (SELECT video_id * 10 + category_id AS seq, t, track AS {name}, x0, y0, x1, y1, x1 - x0 AS w, y1 - y0 AS h FROM hull WHERE side = '{side}')"
@@ -98,15 +100,6 @@ ORACLE_SQL |= {
     "teta_of_predictions": f"{_teta(_SUPPRESSED)} SELECT cls, {_r('loc_a', 'assoc_a', 'cls_a')}, {_TETA} FROM c",
 }
 
-_PHRASES = f"""WITH RECURSIVE {_TRACKS_SQL}, pv AS (SELECT (video_id, category_id) AS kk, gt, dt, iou AS value FROM ov), {_assigned("pv", "px")}, pm AS (SELECT ov.* FROM ov JOIN px ON px.kk = (ov.video_id, ov.category_id) AND px.gt = ov.gt AND px.dt = ov.dt),
-    nt AS (SELECT video_id, category_id, count(DISTINCT track) FILTER (side = 'g') AS num_gt, count(DISTINCT track) FILTER (side = 'd') AS num_dt FROM hull GROUP BY ALL),
-    every AS (SELECT CAST(s_suppkey AS BIGINT) AS video_id, c AS category_id, coalesce(num_gt, 0) AS num_gt, coalesce(num_dt, 0) AS num_dt FROM supplier CROSS JOIN range(8) r(c) LEFT JOIN nt ON nt.video_id = s_suppkey AND nt.category_id = c),
-    ic AS (SELECT every.*, thr, (SELECT count(*) FROM pm WHERE pm.video_id = every.video_id AND pm.category_id = every.category_id AND round(iou * 100, 6) >= thr) AS tp FROM every CROSS JOIN (SELECT unnest(range(50, 100, 5)) AS thr))"""
-ORACLE_SQL |= {
-    "video_phrase_rows": f"""{_PHRASES} SELECT video_id, category_id, CAST(thr AS INTEGER) AS thr, tp, num_dt - tp AS fp, num_gt - tp AS fn, round(CASE WHEN num_gt + num_dt = 0 THEN 1.0 ELSE 2 * tp / (num_gt + num_dt) END, 6) AS f1 FROM ic""",
-    "video_gated_f1": _PHRASES + evaluation.ORACLE_SQL["gated_f1"][len(evaluation._ASSIGNED_SQL) :],
-}
-
 _LEVELS = evaluation._levels_sql(100)
 _LEVELS = _LEVELS[_LEVELS.index("c AS (SELECT image_id, category_id, band") :].replace("FROM gt, bands", "FROM tg, bands")
 _BANDS = evaluation.evaluation.TRACK_AREAS
