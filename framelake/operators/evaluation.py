@@ -26,43 +26,73 @@ def _bands(areas: dict[str, tuple[float, float]]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.lit(a).alias("low"), F.lit(b).alias("high")) for n, (a, b) in areas.items()])).alias("_band")
 
 
-def greedy_states(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, dt, score and ignored of each detection that is matched: pairs(keys, dt, score, gt, iou, ignored, crowd) that reach the threshold.
+def _greedy(rows: Column) -> Column:
+    """The rows (neg, dt, ignored, neg_iou, gt, crowd and more, in order) that are taken in turn.
 
     Best score first, each detection takes the free ground truth of highest IoU, one that is ignored only if no other is left; crowds are never used up.
     """
-    row = F.struct((-F.col("score")).alias("neg"), "dt", "ignored", (-F.round("iou", 12)).alias("neg_iou"), "gt", "crowd")
-    ordered = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    taken = "array<struct<dt:bigint,score:double,ignored:boolean>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("gts"), F.lit(None).cast("bigint").alias("last"), F.array().cast(taken).alias("out"))
+    start = F.struct(F.array().cast("array<bigint>").alias("gts"), F.lit(None).cast("bigint").alias("last"), F.slice(rows, 1, 0).alias("out"))
 
     def step(s: Column, r: Column) -> Column:
         free = ~r["dt"].eqNullSafe(s["last"]) & (r["crowd"] | ~F.array_contains(s["gts"], r["gt"]))
-        hit = F.struct(r["dt"].alias("dt"), (-r["neg"]).alias("score"), r["ignored"].alias("ignored"))
-        return F.when(free, F.struct(F.concat(s["gts"], F.array(r["gt"])).alias("gts"), r["dt"].alias("last"), F.concat(s["out"], F.array(hit)).alias("out"))).otherwise(s)
+        return F.when(free, F.struct(F.concat(s["gts"], F.array(r["gt"])).alias("gts"), r["dt"].alias("last"), F.concat(s["out"], F.array(r)).alias("out"))).otherwise(s)
 
-    return ordered.select(*keys, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("_h")).select(*keys, "_h.*")
+    return F.aggregate(rows, start, step, lambda s: s["out"])
 
 
-def precision_recall(gt: DataFrame, dt: DataFrame, pairs: DataFrame, group: Sequence[str], category: str, areas: dict = AREAS, most: int = 100) -> DataFrame:
-    """ap and recall of each category, band and threshold: gt(group, category, gt, area, crowd), dt(group, category, dt, area, score), pairs(group, category, gt, dt, score, iou).
+def best_detections(dt: DataFrame, keys: Sequence[str], most: int = 100) -> DataFrame:
+    """The `most` detections of highest score of each group, of equal ones the least numbers."""
+    return dt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "dt"))).where(F.col("_k") <= most).drop("_k")
+
+
+def precision_recall(gt: DataFrame, dt: DataFrame, pairs: DataFrame, group: Sequence[str], category: str, areas: dict = AREAS) -> DataFrame:
+    """ap and recall of each category, band and threshold: gt(category, area, crowd), dt(category, area, score) of best_detections(), and pairs(group, category, gt, gt_area,
+    crowd, dt, dt_area, score, iou) of them.
 
     group and category together name what is matched at a time. Crowds and ground truth outside the band are ignored, and so are detections that match them, and
-    unmatched ones outside the band. Of each group and category only the `most` best detections count, which is the metric's own limit. Detections of equal score count
-    together. Categories without ground truth in a band have no row.
+    unmatched ones outside the band. Detections of equal score count together. Categories without ground truth in a band have no row.
+
+    Pairs are collected by group once, for all bands and thresholds. Where no ground truth and no detection has two, each pair is a hit as far as its overlap reaches, and
+    counts by score, that reach and its bands; only the others are folded, for each band and threshold.
     """
     keys = [*group, category]
-    best = dt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "dt"))).where(F.col("_k") <= most).drop("_k")
+    names = list(areas)
     bands = [F.col("_band.band").alias("band"), F.col("_band.low").alias("low"), F.col("_band.high").alias("high")]
-    levels = F.explode(F.array(*map(F.lit, metrics.THRESHOLDS))).alias("thr")
-    truth = gt.select(*keys, "gt", "crowd", F.col("area").alias("gt_area"))
-    near = pairs.where(F.round(F.col("iou") * 100, 6) >= metrics.THRESHOLDS[0]).join(best.select(*keys, "dt"), [*keys, "dt"], "left_semi").join(truth, [*keys, "gt"])
-    near = near.select("*", _bands(areas)).select("*", *bands).withColumn("ignored", F.col("crowd") | ~_in_band(F.col("gt_area")))
-    near = near.select(*keys, "band", "dt", "score", "gt", "iou", "ignored", "crowd", levels).where(F.round(F.col("iou") * 100, 6) >= F.col("thr"))
-    hits = greedy_states(near, [*keys, "band", "thr"]).join(best.select(*keys, "dt", "area"), [*keys, "dt"]).join(F.broadcast(_band_table(dt, areas)), "band")
-    inside = F.when(_in_band(F.col("area")), 1).otherwise(0)
-    hit = hits.groupBy(category, "band", "thr", "score").agg(F.sum(F.when(F.col("ignored"), 0).otherwise(1)).alias("tp"), F.sum(F.when(F.col("ignored"), -inside).otherwise(1 - inside)).alias("more"))
-    own = best.select(category, "score", "area", _bands(areas)).select("*", *bands).where(_in_band(F.col("area"))).groupBy(category, "band", "score").agg(F.count("*").alias("n")).select("*", levels)
+    thresholds = F.array(*map(F.lit, metrics.THRESHOLDS))
+    levels = F.explode(thresholds).alias("thr")
+    reach = F.size(F.filter(thresholds, lambda t: F.round(F.col("iou") * 100, 6) >= t))
+    within = lambda area, band: (area >= F.lit(areas[band][0])) & (area <= F.lit(areas[band][1]))
+    flags = lambda of: sum((F.when(of(n), 1 << k).otherwise(0) for k, n in enumerate(names)), F.lit(0))
+    near = pairs.where(F.round(F.col("iou") * 100, 6) >= metrics.THRESHOLDS[0])
+    row = F.struct(
+        (-F.col("score")).alias("neg"), "dt", (-F.round("iou", 12)).alias("neg_iou"), "gt", "crowd", reach.alias("reach"),
+        flags(lambda n: F.col("crowd") | ~within(F.col("gt_area"), n)).alias("ignored"), flags(lambda n: within(F.col("dt_area"), n)).alias("inside"),
+    )
+    grouped = near.groupBy(*keys).agg(F.collect_list(row).alias("rows"))
+    rows = F.col("rows")
+    plain = (F.size(F.array_distinct(rows["gt"])) == F.size(rows)) & (F.size(F.array_distinct(rows["dt"])) == F.size(rows))
+    # Hits: those of plain groups at all bands (-1) and as many thresholds as they reach, those of folded ones at one band and threshold.
+    bit = lambda flags, k: F.call_function("shiftright", flags, k).bitwiseAND(F.lit(1)) == 1
+    hit = lambda r, band, thr: F.struct(band.alias("band"), thr.alias("thr"), (-r["neg"]).alias("score"), r["reach"].alias("reach"), r["ignored"].alias("ignored"), r["inside"].alias("inside"))
+
+    def folded(case: Column) -> Column:
+        band, thr = F.floor(case / len(metrics.THRESHOLDS)).cast("int"), case % len(metrics.THRESHOLDS)
+        skipped = lambda r: F.struct(r["neg"], r["dt"], bit(r["ignored"], band).alias("skip"), r["neg_iou"], r["gt"], r["crowd"], r["reach"], r["ignored"], r["inside"])
+        taken = _greedy(F.array_sort(F.transform(F.filter(rows, lambda r: r["reach"] > thr), skipped)))
+        return F.transform(taken, lambda r: hit(r, band, thr))
+
+    cases = F.sequence(F.lit(0), F.lit(len(names) * len(metrics.THRESHOLDS) - 1))
+    hits = F.when(plain, F.transform(rows, lambda r: hit(r, F.lit(-1), F.lit(-1)))).otherwise(F.flatten(F.transform(cases, folded)))
+    counted = grouped.select(category, F.explode(hits).alias("h")).groupBy(category, "h").agg(F.count("*").alias("c")).select(category, "h.*", "c")
+    counted = counted.withColumnsRenamed({"band": "_k", "thr": "_i"})
+    every = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(k).alias("k"), bit(F.col("ignored"), F.lit(k)).alias("ignored"), bit(F.col("inside"), F.lit(k)).cast("int").alias("inside")) for k, n in enumerate(names)])
+    spread = counted.select("*", F.explode(F.filter(every, lambda b: (F.col("_k") == -1) | (F.col("_k") == b["k"]))).alias("b"))
+    spread = spread.select(category, "score", "c", "_i", "reach", "b", F.posexplode(thresholds).alias("i", "thr")).where((F.col("_i") == F.col("i")) | ((F.col("_i") == -1) & (F.col("i") < F.col("reach"))))
+    inside = F.col("b.inside")
+    hit = spread.groupBy(category, F.col("b.band").alias("band"), "thr", "score").agg(
+        F.sum(F.when(F.col("b.ignored"), 0).otherwise(F.col("c"))).alias("tp"), F.sum(F.when(F.col("b.ignored"), -inside).otherwise(1 - inside) * F.col("c")).alias("more")
+    )
+    own = dt.select(category, "score", "area", _bands(areas)).select("*", *bands).where(_in_band(F.col("area"))).groupBy(category, "band", "score").agg(F.count("*").alias("n")).select("*", levels)
     by_score = own.join(hit, [category, "band", "thr", "score"], "full").na.fill(0, ["n", "tp", "more"]).withColumn("n", F.col("n") + F.col("more")).where("n > 0")
     n_gt = gt.where(~F.col("crowd")).select(category, "area", _bands(areas)).select("*", *bands).where(_in_band(F.col("area"))).groupBy(category, "band").agg(F.count("*").alias("n_gt")).select("*", levels)
     at = [category, "band", "thr"]
@@ -72,10 +102,6 @@ def precision_recall(gt: DataFrame, dt: DataFrame, pairs: DataFrame, group: Sequ
     return out.select(*at, F.coalesce("ap", F.lit(0.0)).alias("ap"), (F.coalesce("tp", F.lit(0)) / F.col("n_gt")).alias("recall"))
 
 
-def _band_table(df: DataFrame, areas: dict) -> DataFrame:
-    return df.sparkSession.createDataFrame([(n, a, b) for n, (a, b) in areas.items()], "band string, low double, high double")
-
-
 def summary(by_level: DataFrame) -> DataFrame:
     """Means over categories (and thresholds) of precision_recall(): ap, ap50, ap75 and ar of each band."""
     at = lambda t: F.avg(F.when(F.col("thr") == t, F.col("ap")))

@@ -70,46 +70,62 @@ ALPHAS = [k / 20 for k in range(1, 20)]
 _CLOSE = 2.220446049250313e-16
 
 
-def _track_sizes(gt: DataFrame, trk: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return gt.groupBy(*group, "gt").agg(F.count("*").alias("n_gt")), trk.groupBy(*group, "dt").agg(F.count("*").alias("n_dt"))
+def _beside(gt: DataFrame, trk: DataFrame, sim: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """gt(seq, t, gt), trk(seq, t, dt) and sim(seq, t, gt, dt, iou) as one table with a `kind`, shuffled once, by seq: what follows are windows and groups inside sequences.
+
+    more: columns of gt and trk that come along.
+    """
+    kind = lambda df, name: df.withColumn("kind", F.lit(name))
+    rows = kind(gt.select("seq", "t", "gt", *more), "g").unionByName(kind(trk.select("seq", "t", "dt", *more), "d"), allowMissingColumns=True)
+    return rows.unionByName(kind(sim.select("seq", "t", "gt", "dt", "iou"), "s"), allowMissingColumns=True).repartition("seq")
 
 
-def aligned_matches(sim: DataFrame, n_gt: DataFrame, n_dt: DataFrame, group: Sequence[str]) -> DataFrame:
-    """group, t, gt, dt and iou of each frame's assignment of the largest alignment * overlap: sim(group, t, gt, dt, iou) of overlapping pairs.
+def aligned_matches(sim: DataFrame, group: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """group, t, gt, dt, iou and carry of each frame's assignment of the largest alignment * overlap: sim(group, t, gt, dt, iou, n_gt, n_dt) of overlapping pairs.
 
-    The alignment of two tracks adds up, over all frames of the group, their overlap over what both share with others, divided by the frames of both.
+    The alignment of two tracks adds up, over all frames of the group, their overlap over what both share with others, divided by the frames of both (n_gt, n_dt).
     """
     frame = [*group, "t"]
     rows = F.sum("iou").over(Window.partitionBy(*frame, "gt"))
     columns = F.sum("iou").over(Window.partitionBy(*frame, "dt"))
-    shared = F.when(rows + columns - F.col("iou") > 1e-12, F.col("iou") / (rows + columns - F.col("iou"))).otherwise(0.0)
-    potential = sim.withColumn("p", shared).groupBy(*group, "gt", "dt").agg(F.sum("p").alias("p"))
-    aligned = potential.join(n_gt, [*group, "gt"]).join(n_dt, [*group, "dt"]).withColumn("align", F.col("p") / (F.col("n_gt") + F.col("n_dt") - F.col("p")))
-    scored = sim.join(aligned.select(*group, "gt", "dt", "align"), [*group, "gt", "dt"]).withColumn("value", F.col("align") * F.col("iou"))
-    return optimal(scored, frame, "value", carry="iou").select(*frame, "gt", "dt", "iou")
+    either = rows + columns - F.col("iou")
+    shared = F.when(either > 1e-12, F.col("iou") / either).otherwise(0.0)
+    p = F.sum("p").over(Window.partitionBy(*group, "gt", "dt"))
+    scored = sim.withColumn("p", shared).withColumn("p", p).withColumn("value", F.col("p") / (F.col("n_gt") + F.col("n_dt") - F.col("p")) * F.col("iou"))
+    return optimal(scored, frame, "value", carry=["iou", *carry]).select(*frame, "gt", "dt", "iou", *carry)
+
+
+def _reach(alphas: Sequence[float]) -> Column:
+    """How many of the alphas, from the least on, an overlap reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, alphas)), lambda a: F.col("iou") >= a - _CLOSE))
 
 
 def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:
     """HOTA and its parts for each sequence and alpha: gt(seq, t, gt), trk(seq, t, dt), sim(seq, t, gt, dt, iou) of overlapping pairs.
 
-    Matches are those of aligned_matches(); one counts at an alpha if its overlap reaches it.
+    Matches are those of aligned_matches(); one counts at an alpha if its overlap reaches it. Matches of two tracks are counted by how far they reach, and spread over alphas only after that.
     """
-    n_gt, n_dt = _track_sizes(gt, trk, ["seq"])
-    matched = aligned_matches(sim, n_gt, n_dt, ["seq"])
-    levels = F.explode(F.array(*map(F.lit, ALPHAS))).alias("alpha")
-    hits = matched.select("*", levels).where(F.col("iou") >= F.col("alpha") - _CLOSE)
-    pair = hits.groupBy("seq", "alpha", "gt", "dt").agg(F.count("*").alias("c"), F.sum(F.round("iou", 12)).alias("loc"))
-    pair = pair.join(n_gt, ["seq", "gt"]).join(n_dt, ["seq", "dt"])
+    n = lambda kind, track: F.count_if(F.col("kind") == kind).over(Window.partitionBy("seq", track))
+    all_rows = _beside(gt, trk, sim)
+    known = all_rows.withColumn("n_gt", n("g", "gt")).withColumn("n_dt", n("d", "dt")).where("kind = 's' AND n_gt > 0 AND n_dt > 0")
+    matched = aligned_matches(known, ["seq"], ["n_gt", "n_dt"])
+    reached = matched.withColumn("reach", _reach(ALPHAS)).groupBy("seq", "gt", "dt", "n_gt", "n_dt", "reach").agg(F.count("*").alias("c"), F.sum(F.round("iou", 12)).alias("loc"))
+    far = Window.partitionBy("seq", "gt", "dt").orderBy(F.desc("reach"))
+    steps = reached.withColumn("c", F.sum("c").over(far)).withColumn("loc", F.sum("loc").over(far)).withColumn("next", F.coalesce(F.lead("reach").over(far), F.lit(0)))
     c = F.col("c")
-    per = pair.groupBy("seq", "alpha").agg(
+    # One step holds for the alphas from the next shorter reach to its own.
+    by_step = steps.where("reach > 0").groupBy("seq", "reach", "next").agg(
         F.sum("c").alias("tp"),
         F.sum("loc").alias("loc"),
         F.sum(c * c / (F.col("n_gt") + F.col("n_dt") - c)).alias("ass_a"),
         F.sum(c * c / F.col("n_gt")).alias("ass_re"),
         F.sum(c * c / F.col("n_dt")).alias("ass_pr"),
     )
-    totals = n_gt.groupBy("seq").agg(F.sum("n_gt").alias("gt")).join(n_dt.groupBy("seq").agg(F.sum("n_dt").alias("dt")), "seq", "full")
-    every = totals.select("seq", F.coalesce("gt", F.lit(0)).alias("gt"), F.coalesce("dt", F.lit(0)).alias("dt"), levels).join(per, ["seq", "alpha"], "left").na.fill(0)
+    levels = F.posexplode(F.array(*map(F.lit, ALPHAS))).alias("_k", "alpha")
+    per = by_step.select("*", levels).where("_k >= next AND _k < reach").groupBy("seq", "alpha").agg(*[F.sum(x).alias(x) for x in ("tp", "loc", "ass_a", "ass_re", "ass_pr")])
+    rows = gt.select("seq", F.lit(1).alias("gt"), F.lit(0).alias("dt")).unionByName(trk.select("seq", F.lit(0).alias("gt"), F.lit(1).alias("dt")))
+    totals = rows.groupBy("seq").agg(F.sum("gt").alias("gt"), F.sum("dt").alias("dt"))
+    every = totals.select("seq", "gt", "dt", levels).drop("_k").join(per, ["seq", "alpha"], "left").na.fill(0)
     tp = F.col("tp")
     one = F.greatest(tp, F.lit(1))
     out = every.select(
@@ -127,27 +143,37 @@ def teta(gt: DataFrame, trk: DataFrame, sim: DataFrame, near: float = 0.5) -> Da
 
     Each class's ground truth is matched within its sequence to tracks of any class. Localisation counts at alphas 0 to 0.95, where a track is a false positive if it
     lies near (IoU `near`) ground truth of the class and is not matched; classification counts matches at alphas from 0.5 on, a wrong class being a false positive of
-    the class that was predicted. Association is that of HOTA, weighted by true positives over sequences.
+    the class that was predicted. Association is that of HOTA, weighted by true positives over sequences. All is counted by how far matches reach before it is spread over alphas.
     """
     group = ["cls", "seq"]
-    own = sim.join(gt.select("seq", "t", "gt", "cls"), ["seq", "t", "gt"])
-    met = own.select("cls", "seq", "t", "dt").distinct()
-    n_gt, n_dt = _track_sizes(gt, met, group)
-    levels = F.explode(F.array(*[F.lit(k / 20) for k in range(20)])).alias("alpha")
-    predicted = trk.select("seq", "t", "dt", F.col("cls").alias("predicted"))
-    hits = aligned_matches(own, n_gt, n_dt, group).join(predicted, ["seq", "t", "dt"]).select("*", levels).where(F.col("iou") >= F.col("alpha") - _CLOSE)
-    close = own.where(F.col("iou") >= near).select(*group, "t", "dt").distinct().select("*", levels)
-    false = close.join(hits.select(*group, "t", "dt", "alpha"), [*group, "t", "dt", "alpha"], "left_anti").groupBy("cls", "alpha").agg(F.count("*").alias("loc_fp"))
-    right = F.when(F.col("cls") == F.col("predicted"), 1).otherwise(0)
-    pair = hits.groupBy(*group, "alpha", "gt", "dt").agg(F.count("*").alias("c"), F.sum(right).alias("right")).join(n_gt, [*group, "gt"]).join(n_dt, [*group, "dt"])
+    alphas = [k / 20 for k in range(20)]
+    levels = F.posexplode(F.array(*map(F.lit, alphas))).alias("_k", "alpha")
+    of = lambda kind, *at: F.max(F.when(F.col("kind") == kind, F.col("cls"))).over(Window.partitionBy("seq", "t", *at))
+    all_rows = _beside(gt, trk, sim, ["cls"])
+    known = all_rows.withColumn("predicted", of("d", "dt")).withColumn("cls", F.when(F.col("kind") == "s", of("g", "gt")).otherwise(F.col("cls")))
+    known = known.withColumn("n_gt", F.count_if(F.col("kind") == "g").over(Window.partitionBy(*group, "gt"))).where("kind = 's' AND cls IS NOT NULL AND n_gt > 0")
+    first = F.row_number().over(Window.partitionBy(*group, "dt", "t").orderBy("gt")) == 1
+    own = known.withColumn("_first", first).withColumn("n_dt", F.count_if("_first").over(Window.partitionBy(*group, "dt")))
+    own = own.withColumn("near", F.max(F.col("iou") >= near).over(Window.partitionBy(*group, "dt", "t")))
+    hits = aligned_matches(own, group, ["n_gt", "n_dt", "predicted", "near"]).where("predicted IS NOT NULL").withColumn("reach", _reach(alphas))
+    # A near track is a false positive at all alphas, less those that its match reaches.
+    close = own.where("_first AND near").groupBy("cls").agg(F.count("*").alias("close"))
+    near_hits = hits.groupBy("cls", "reach").agg(F.count_if("near").alias("n")).select("cls", "reach", "n", levels).where("_k < reach").groupBy("cls", "alpha").agg(F.sum("n").alias("near_tp"))
+    wrong = hits.where("cls <> predicted").groupBy(F.col("predicted").alias("cls"), "reach").agg(F.count("*").alias("n")).select("cls", "reach", "n", levels)
+    wrong = wrong.where((F.col("_k") < F.col("reach")) & (F.col("alpha") >= 0.5 - _CLOSE)).groupBy("cls", "alpha").agg(F.sum("n").alias("cls_fp"))
+    right = F.count_if(F.col("cls") == F.col("predicted"))
+    pair = hits.groupBy(*group, "gt", "dt", "n_gt", "n_dt", "reach").agg(F.count("*").alias("c"), right.alias("right"))
+    far = Window.partitionBy(*group, "gt", "dt").orderBy(F.desc("reach"))
+    steps = pair.withColumn("c", F.sum("c").over(far)).withColumn("right", F.sum("right").over(far)).withColumn("next", F.coalesce(F.lead("reach").over(far), F.lit(0)))
     c = F.col("c")
-    per = pair.groupBy("cls", "alpha").agg(
+    per = steps.where("reach > 0").groupBy("cls", "reach", "next").agg(
         F.sum("c").alias("loc_tp"), F.sum("right").alias("cls_tp"),
         F.sum(c * c / (F.col("n_gt") + F.col("n_dt") - c)).alias("a"), F.sum(c * c / F.col("n_gt")).alias("re"), F.sum(c * c / F.col("n_dt")).alias("pr"),
     )
-    wrong = hits.where((F.col("cls") != F.col("predicted")) & (F.col("alpha") >= 0.5 - _CLOSE)).groupBy(F.col("predicted").alias("cls"), "alpha").agg(F.count("*").alias("cls_fp"))
-    total = gt.groupBy("cls").agg(F.count("*").alias("n")).select("cls", "n", levels)
-    every = total.join(per, ["cls", "alpha"], "left").join(false, ["cls", "alpha"], "left").join(wrong, ["cls", "alpha"], "left").na.fill(0)
+    per = per.select("*", levels).where("_k >= next AND _k < reach").groupBy("cls", "alpha").agg(*[F.sum(x).alias(x) for x in ("loc_tp", "cls_tp", "a", "re", "pr")])
+    total = gt.groupBy("cls").agg(F.count("*").alias("n")).select("cls", "n", levels).drop("_k")
+    every = total.join(per, ["cls", "alpha"], "left").join(close, "cls", "left").join(near_hits, ["cls", "alpha"], "left").join(wrong, ["cls", "alpha"], "left").na.fill(0)
+    every = every.withColumn("loc_fp", F.col("close") - F.col("near_tp"))
     tp, fn, fp = F.col("loc_tp"), F.col("n") - F.col("loc_tp"), F.col("loc_fp")
     one = lambda x: F.greatest(F.lit(1), x)
     cls_fn = tp - F.col("cls_tp")
