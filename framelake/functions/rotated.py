@@ -1,9 +1,13 @@
-"""Rotated boxes: centre, size, and a counter-clockwise angle in degrees in an image whose y grows downwards. All native: polygons are arrays of corners."""
+"""Rotated boxes: centre, size, and a counter-clockwise angle in degrees in an image whose y grows downwards. Polygons are arrays of corners; what two boxes share is
+cut a batch of pairs at a time."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _let(value: Column, body) -> Column:
@@ -28,34 +32,47 @@ def area(polygon: Column) -> Column:
     return F.abs(F.aggregate(turn, F.lit(0.0), lambda a, v: a + v)) / 2
 
 
-def _side(edge: Column, p: Column) -> Column:
-    """Positive where p lies inside of an edge."""
-    a, b = edge["a"], edge["b"]
-    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-
-
-def _cut(polygon: Column, edge: Column) -> Column:
-    """The part of a convex polygon inside of an edge: its corners there, and the places where its sides cross the edge."""
-
-    def step(p: Column, i: Column) -> Column:
-        q = F.get(polygon, (i + 1) % F.size(polygon))
-
-        def points(ends: Column) -> Column:
-            p, q, sp, sq = ends["p"], ends["q"], ends["sp"], ends["sq"]
-            share = sp / (sp - sq)
-            crossing = _point(p["x"] + (q["x"] - p["x"]) * share, p["y"] + (q["y"] - p["y"]) * share)
-            none = F.slice(F.array(p), 1, 0)
-            return F.concat(F.when(sp >= 0, F.array(p)).otherwise(none), F.when((sp >= 0) != (sq >= 0), F.array(crossing)).otherwise(none))
-
-        return _let(F.struct(p.alias("p"), q.alias("q"), _side(edge, p).alias("sp"), _side(edge, q).alias("sq")), points)
-
-    return F.flatten(F.transform(polygon, step))
-
-
-def intersection(a: Column, b: Column) -> Column:
-    """Area that two boxes, given by their corners, share: one is cut at the four edges of the other."""
-    edges = F.transform(b, lambda p, i: F.struct(p.alias("a"), F.get(b, (i + 1) % 4).alias("b")))
-    return area(F.aggregate(edges, a, _cut))
+def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of convex polygons (rows of n corners) inside of an edge each, from a to b: their corners there, and the places where their sides cross the edge."""
+    k = np.arange(x.shape[1])
+    own, after = k < n[:, None], np.where(k + 1 < n[:, None], k + 1, 0)
+    (ax, ay), (bx, by) = (tuple(v[:, None] for v in e) for e in (a, b))
+    side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    inside = ~(side < 0)
+    nx, ny, other, there = (np.take_along_axis(v, after, axis=1) for v in (x, y, side, inside))
+    with np.errstate(all="ignore"):
+        share = side / (side - other)
+        cx, cy = x + (nx - x) * share, y + (ny - y) * share
+    stays, crosses = own & inside, own & (inside != there)
+    size = stays.astype(np.int64) + crosses
+    at = np.cumsum(size, axis=1) - size
+    total = size.sum(axis=1)
+    out = np.zeros((2, len(x), max(1, int(total.max(initial=0)))))
+    for flag, where, values in ((stays, at, (x, y)), (crosses, at + stays, (cx, cy))):
+        row, col = np.nonzero(flag)
+        for axis in range(2):
+            out[axis, row, where[row, col]] = values[axis][row, col]
+    return out[0], out[1], total
+
+
+@F.arrow_udf(T.DoubleType())
+def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Area that two boxes, given by their corners, share: one is cut at the four edges of the other. Null if one is null."""
+    valid = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
+    corner = lambda p, c: p.filter(pa.array(valid)).flatten().field(c).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 4)
+    x, y, ex, ey = corner(a, 0), corner(a, 1), corner(b, 0), corner(b, 1)
+    n = np.full(len(x), 4)
+    for k in range(4):
+        j = (k + 1) % 4
+        x, y, n = _cut(x, y, n, (ex[:, k], ey[:, k]), (ex[:, j], ey[:, j]))
+    twice = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        j = np.where(k + 1 < n, min(k + 1, x.shape[1] - 1), 0)
+        rows = np.arange(len(x))
+        twice += np.where(k < n, x[:, k] * y[rows, j] - x[rows, j] * y[:, k], 0.0)
+    out = np.zeros(len(valid))
+    out[valid] = np.abs(twice) / 2
+    return pa.array(out, mask=~valid)
 
 
 def iou(a: Column, b: Column, area_a: Column, area_b: Column) -> Column:

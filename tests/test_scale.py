@@ -24,3 +24,8 @@ def test_hota_spreads_over_alphas_after_counting(spark):
     for name in ("hota_combined", "hota_by_sequence", "phrase_hota", "teta_by_class", "teta_of_predictions"):
         found = _exchanges(QUERIES[name](spark, SF))
         assert not [x for x in found if "alpha" in x and x & {"gt", "dt"}], name
+
+
+def test_owners_of_many_groups_share_a_call(spark):
+    plan = QUERIES["owned_pixels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "ArrowEvalPython" in plan
