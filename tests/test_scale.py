@@ -29,3 +29,8 @@ def test_hota_spreads_over_alphas_after_counting(spark):
 def test_owners_of_many_groups_share_a_call(spark):
     plan = QUERIES["owned_pixels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" not in plan and "ArrowEvalPython" in plan
+
+
+def test_rotated_boxes_are_cut_by_batches(spark):
+    plan = QUERIES["rotated_overlaps"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "across" in plan
