@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,22 +93,30 @@ def boundary(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(_RUNS)
-def box_mask(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """Runs of a filled box with integer corners, ends exclusive, clipped to the image."""
-
-    def runs(a, b, c, d, height, width):
-        a, b, c, d = max(0, int(a)), max(0, int(b)), min(int(width), int(c)), min(int(height), int(d))
-        if c <= a or d <= b:
-            return [int(height) * int(width)]
-        if d - b == height:
-            counts = [a * height, (c - a) * height, (width - c) * height]
-        else:
-            counts = [a * height + b] + [d - b, height - (d - b)] * (c - a)
-            counts[-1] = width * height - sum(counts[:-1])
-        return [int(x) for x in (counts if counts[-1] else counts[:-1])]
-
-    return pd.Series([runs(*r) for r in zip(x0, y0, x1, y1, h, w, strict=True)])
+@F.arrow_udf(_RUNS)
+def box_mask(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+    """Runs of a filled box with integer corners, ends exclusive, clipped to the image; a batch at a time."""
+    from . import runs
+
+    def work(*columns: pa.Array) -> pa.Array:
+        a, b, c, d, tall, wide = (np.trunc(v.to_numpy(zero_copy_only=False)).astype(np.int64) for v in columns)
+        a, b, c, d = np.maximum(a, 0), np.maximum(b, 0), np.minimum(c, wide), np.minimum(d, tall)
+        some, whole = (c > a) & (d > b), d - b == tall
+        n = np.where(some, np.where(whole, 1, c - a), 0)  # runs of ones
+        on, off = np.where(whole, (c - a) * tall, d - b), tall - (d - b)
+        lead = np.where(some, a * tall + np.where(whole, 0, b), tall * wide)
+        rest = np.where(some, tall * wide - lead - n * on - np.maximum(n - 1, 0) * off, 0)
+        size = 1 + 2 * n - (some & (rest == 0))
+        first = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(n)), size)
+        k = np.arange(len(row)) - first[row]
+        values = np.where(k % 2 == 1, on[row], off[row])
+        values[first] = lead
+        tail = some & (rest > 0)
+        values[(first + size - 1)[tail]] = rest[tail]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, pa.int32()))
+
+    return runs._whole(work, x0, y0, x1, y1, h, w)
 
 
 @F.pandas_udf(T.StringType())
@@ -126,9 +135,36 @@ def mask_intersection(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterato
         yield pd.Series([intersection(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-@F.pandas_udf(_RUNS)
-def mask_box(counts: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([bounds(c, int(k)) for c, k in zip(counts, h, strict=True)])
+@F.arrow_udf(_RUNS)
+def mask_box(counts: pa.Array, h: pa.Array) -> pa.Array:
+    """x0, y0, x1, y1 with exclusive ends; null for an empty mask. A batch at a time."""
+    from . import runs
+
+    def work(counts: pa.Array, h: pa.Array) -> pa.Array:
+        (start, end), base = runs._spans(counts)
+        row = np.searchsorted(base, start, "right") - 1
+        tall = h.to_numpy(zero_copy_only=False).astype(np.int64)
+        high = tall[row]
+        start, last = start - base[row], end - 1 - base[row]
+        across = last // high > start // high
+        some, first = np.unique(row, return_index=True)
+        out = np.zeros((len(tall), 4), np.int64)
+        if len(some):
+            least, most = (lambda v: np.minimum.reduceat(v, first)), (lambda v: np.maximum.reduceat(v, first))
+            sides = least(start // high), least(np.where(across, 0, start % high)), most(last // high) + 1, most(np.where(across, high, last % high + 1))
+            out[some] = np.stack(sides, axis=1)
+        empty = ~np.isin(np.arange(len(tall)), some)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(tall) + 1) * 4, pa.int32()), pa.array(out.ravel(), pa.int32()), mask=pa.array(empty))
+
+    return runs._whole(work, counts, h)
+
+
+@F.arrow_udf(T.LongType())
+def pixels(counts: pa.Array) -> pa.Array:
+    """As mask_area(), a batch at a time; not for use inside lambdas."""
+    from . import runs
+
+    return runs._whole(lambda c: pa.array(runs._sums(*runs._spans(c))), counts)
 
 
 def mask_area(counts):

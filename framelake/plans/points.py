@@ -36,10 +36,10 @@ def drawn_pixels(spark, d):
     """A pixel drawn evenly from each mask, and whether a place drawn in its image lies on it."""
     o = _masks(spark, d)
     key = [F.col("image_id"), F.col("obj")]
-    area = masks.mask_area(F.col("counts"))
-    p = points.pixel(F.col("counts"), F.floor(uniform(600, *key) * area), F.lit(H))
+    area = masks.pixels("counts")
+    p = points.nth_pixel(F.col("counts"), F.floor(uniform(600, *key) * area), F.lit(H))
     x, y = F.floor(F.col("a") - 10 + uniform(601, *key) * 60).cast("long"), F.floor(F.col("b") - 10 + uniform(602, *key) * 60).cast("long")
-    return o.select("image_id", "obj", p["x"].alias("px"), p["y"].alias("py"), points.covers(F.col("counts"), F.greatest(x, F.lit(0)), F.greatest(y, F.lit(0)), F.lit(H)).alias("covered"))
+    return o.select("image_id", "obj", p["x"].alias("px"), p["y"].alias("py"), points.has_pixel(F.col("counts"), F.greatest(x, F.lit(0)), F.greatest(y, F.lit(0)), F.lit(H)).alias("covered"))
 
 
 def inner_pixels(spark, d):

@@ -1,7 +1,12 @@
 """What queries send between tasks and how they reach their rows: plans and results that would grow faster than the tables."""
 
 import re
+import time
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from framelake.functions import masks, points
 from framelake.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +39,45 @@ def test_owners_of_many_groups_share_a_call(spark):
 def test_rotated_boxes_are_cut_by_batches(spark):
     plan = QUERIES["rotated_overlaps"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "across" in plan
+
+
+def test_batches_of_masks_equal_single_masks(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        h, w = (int(v) for v in rng.integers(1, 9, 2))
+        m = rng.random((h, w)) < rng.choice([0.0, 0.3, 0.8, 1.0])
+        if k % 3 == 0:  # boxes, at borders too
+            m[:] = False
+            y, x = sorted(rng.integers(0, h + 1, 2)), sorted(rng.integers(0, w + 1, 2))
+            m[y[0] : y[1], x[0] : x[1]] = True
+        rows.append((k, masks.encode(m), h, w, int(rng.integers(0, 12)), int(rng.integers(0, w)), int(rng.integers(0, h)), 1 + k % 2))
+    df = spark.createDataFrame(rows, "id long, counts array<int>, h int, w int, k long, x long, y long, n int")
+    box = masks.mask_box("counts", "h")
+    got = df.select("*", box.alias("box"), points.inner_points("counts", "h", "w", "n").alias("inner"), points.nth_pixel("counts", "k", "h").alias("p"), points.has_pixel("counts", "x", "y", "h").alias("on"), masks.pixels("counts").alias("area"))
+    for r in got.collect():
+        m = masks.decode(r.counts, r.h, r.w)
+        assert r.box == masks.bounds(r.counts, r.h)
+        assert [p.asDict() for p in r.inner] == points._inner(r.counts, r.h, r.w, r.n)
+        found = np.flatnonzero(m.T.ravel())
+        assert (r.p and (r.p.x, r.p.y)) == ((found[r.k] // r.h, found[r.k] % r.h) if r.k < len(found) else None)
+        assert r.on == m[r.y, r.x] and r.area == m.sum()
+
+
+def test_box_masks_of_a_batch(spark):
+    rows = [(a, b, c, d, h, w) for h, w in ((3, 4), (5, 2)) for a in (-1, 0, 1, 2) for b in (-2, 0, 1) for c in (0, 1, 2, 4, 9) for d in (1, 3, 5, 9)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, h int, w int")
+    for r in df.withColumn("counts", masks.box_mask("a", "b", "c", "d", "h", "w")).collect():
+        m = np.zeros((r.h, r.w), bool)
+        m[max(r.b, 0) : max(r.d, 0), max(r.a, 0) : max(r.c, 0)] = True
+        assert r.counts == masks.encode(m)
+
+
+def test_pixels_are_found_by_batches(spark):
+    for name in ("drawn_pixels", "inner_pixels"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "aggregate(" not in plan and "box_mask" in plan
+    many = spark.range(20000).select(points.inner_points(masks.box_mask(F.lit(1), F.lit(1), F.lit(401), F.lit(401), F.lit(402), F.lit(402)), F.lit(402), F.lit(402), F.lit(1)).alias("p"))
+    began = time.perf_counter()
+    assert many.distinct().first().p == [(200, 200)]
+    assert time.perf_counter() - began < 120  # distances of all their pixels take hours
