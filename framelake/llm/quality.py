@@ -209,8 +209,11 @@ def good_documents(docs: DataFrame, paths: tuple[str, str, str] | None = None, b
         cuts = _Cuts(*paths)
         for b in batches:
             if b.num_rows:
-                own = pa.Table.from_batches(_measure(iter([b]), lambda: cuts)).drop_columns(["doc_id"]).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*b.columns, *(c.chunk(0) for c in own.columns)], [*b.schema.names, *(f"measured {n}" for n in own.column_names)])
+                at = 0
+                for own in _measure(iter([b]), lambda: cuts):  # part by part, so that neither side holds a second batch
+                    part = b.slice(at, own.num_rows)
+                    at += own.num_rows
+                    yield pa.RecordBatch.from_arrays([*part.columns, *own.columns[1:]], [*part.schema.names, *(f"measured {n}" for n in own.schema.names[1:])])
 
     held = docs.mapInArrow(beside, T.StructType([*docs.schema.fields, *(T.StructField(f"measured {f.name}", f.dataType) for f in schema.fields)]))
     row = held.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`measured {f.name}`").alias(f.name) for f in schema.fields])
