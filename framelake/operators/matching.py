@@ -168,11 +168,25 @@ def shrunk(before: Column, after: Column, threshold: float = 0.3) -> Column:
 def remaining_areas(rects: DataFrame, keys: Sequence[str], score: str, name: str) -> DataFrame:
     """area and left of each object of rects(keys, name, score, x0, y0, x1, y1 as whole pixels): how much of it remains if every pixel goes to its best object.
 
-    Native: the corners of a group cut it into cells; each cell has one owner. Cells are at most (2 n)^2 for n objects of a group.
+    Native: a group's objects, best first, are one array; from each goes what the better ones that meet it cover of it, in strips between their sides.
     """
-    edges = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.collect_list(a), F.collect_list(b))))
-    grid = rects.groupBy(*keys).agg(edges("x0", "x1").alias("xs"), edges("y0", "y1").alias("ys"))
-    cells = grid.select(*keys, "ys", F.posexplode("xs").alias("i", "cx0"), "xs").select(*keys, "cx0", F.get("xs", F.col("i") + 1).alias("cx1"), F.posexplode("ys").alias("j", "cy0"), "ys").select(*keys, "cx0", "cx1", "cy0", F.get("ys", F.col("j") + 1).alias("cy1")).where("cx1 IS NOT NULL AND cy1 IS NOT NULL")
-    claims = rects.join(cells, list(keys)).where("x0 <= cx0 AND cx1 <= x1 AND y0 <= cy0 AND cy1 <= y1")
-    own = pixel_owners(claims, [*keys, "cx0", "cy0"], score, name).groupBy(*keys, name).agg(F.sum((F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0"))).alias("left"))
-    return rects.join(own, [*keys, name], "left").withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).withColumn("left", F.coalesce("left", F.lit(0)))
+    rest = [c for c in rects.columns if c not in keys]
+    row = F.struct(F.col(score).isNull().alias("_none"), (-F.col(score)).alias("_neg"), F.col(name).alias("_name"), F.struct(*rest).alias("own"))
+    each = rects.groupBy(*keys).agg(F.sort_array(F.collect_list(row))["own"].alias("_all")).select(*keys, F.posexplode("_all").alias("_k", "_r"), "_all")
+    meets = lambda r, o: (o["x0"] < r["x1"]) & (r["x0"] < o["x1"]) & (o["y0"] < r["y1"]) & (r["y0"] < o["y1"])
+    most, least = F.greatest, F.least
+    r = F.col("_r")
+    cut = lambda o: F.struct(*[f(o[c], r[c]).cast("long").alias(c) for c, f in (("y0", most), ("y1", least), ("x0", most), ("x1", least))])
+    better = F.transform(F.filter("_all", lambda o, i: (i < F.col("_k")) & meets(r, o)), cut)
+    each = each.select(*keys, "_r", F.sort_array(better).alias("_b"))
+    sides = F.sort_array(F.array_distinct(F.concat(F.col("_b.x0"), F.col("_b.x1"))))
+    zero = F.lit(0).cast("long")
+    step = lambda s, o: F.struct(F.greatest(s["to"], o["y1"]).alias("to"), (s["sum"] + F.greatest(o["y1"] - F.greatest(o["y0"], s["to"]), zero)).alias("sum"))
+    start = F.struct(F.get("_b", 0)["y0"].alias("to"), zero.alias("sum"))
+    high = lambda a, b: F.aggregate(F.filter("_b", lambda o: (o["x0"] <= a) & (o["x1"] >= b)), start, step, lambda s: s["sum"])
+    strips = F.zip_with(F.slice("_sides", 1, F.size("_sides") - 1), F.slice("_sides", 2, F.size("_sides") - 1), lambda a, b: (b - a) * high(a, b))
+    one = F.get("_b", 0)
+    covered = F.when(F.size("_b") == 0, zero).when(F.size("_b") == 1, (one["x1"] - one["x0"]) * (one["y1"] - one["y0"])).otherwise(F.aggregate(strips, zero, lambda s, v: s + v))
+    area = (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    left = F.when((r["x1"] > r["x0"]) & (r["y1"] > r["y0"]), area - covered).otherwise(F.lit(0))
+    return each.withColumn("_sides", F.when(F.size("_b") > 1, sides)).select(*keys, *[r[c].alias(c) for c in rest], area.alias("area"), left.alias("left"))

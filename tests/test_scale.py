@@ -6,7 +6,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelake.functions import masks, points
+from framelake.functions import masks, points, runs
+from framelake.operators import matching
 from framelake.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,53 @@ def test_pixels_are_found_by_batches(spark):
     began = time.perf_counter()
     assert many.distinct().first().p == [(200, 200)]
     assert time.perf_counter() - began < 120  # distances of all their pixels take hours
+
+
+def _plan(spark, name):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_stay_in_the_call_that_makes_them(spark):
+    assert "aggregate(" not in _plan(spark, "mask_table") and "aggregate(" not in _plan(spark, "image_semantic_masks")
+    assert "Join" not in _plan(spark, "ragged_overlaps")  # an image's masks are compared in one row
+    assert _plan(spark, "error_samples").count("ArrowEvalPython") == 1
+
+
+def test_unions_and_overlaps_of_lists_of_masks(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(200):
+        h, w = (int(v) for v in rng.integers(1, 8, 2))
+        rows.append((k, h, w, [masks.encode(rng.random((h, w)) < rng.choice([0.0, 0.2, 0.7, 1.0])) for _ in range(int(rng.integers(0, 6)))]))
+    rows.append((200, 3, 3, None))
+    df = spark.createDataFrame(rows, "id long, h int, w int, lists array<array<int>>")
+    got = df.select("*", runs.union_area("lists").alias("area"), runs.overlaps("lists").alias("pairs"), F.transform("lists", lambda c: c).alias("same")).collect()
+    for r in got:
+        if r.lists is None:
+            assert r.area is None and r.pairs is None
+            continue
+        m = [masks.decode(c, r.h, r.w) for c in r.lists]
+        assert r.area == (np.any(m, axis=0).sum() if m else 0)
+        want = [(a, b, int((m[a] & m[b]).sum()), int(m[a].sum()), int(m[b].sum())) for a in range(len(m)) for b in range(a + 1, len(m)) if (m[a] & m[b]).any()]
+        assert [tuple(p) for p in r.pairs] == want
+    one = df.select("h", F.explode("lists").alias("c")).select("h", "c", masks.measured("c", "h").alias("m"), masks.mask_box("c", F.col("h")).alias("box"), masks.pixels("c").alias("n")).collect()
+    assert all(r.m.area == r.n and ([r.m.x0, r.m.y0, r.m.x1, r.m.y1] == (r.box or [None] * 4)) for r in one)
+
+
+def test_remaining_areas_join_nothing(spark):
+    assert "Join" not in _plan(spark, "remaining_masks")
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        for n in range(int(rng.integers(1, 9))):
+            x, y = (int(v) for v in rng.integers(0, 10, 2))
+            rows.append((k, n, None if rng.random() < 0.1 else float(rng.integers(0, 3)), x, y, x + int(rng.integers(0, 8)), y + int(rng.integers(0, 8))))
+    df = spark.createDataFrame(rows, "image long, obj long, score double, x0 long, y0 long, x1 long, y1 long")
+    got = {(r.image, r.obj): (r.area, r.left) for r in matching.remaining_areas(df, ["image"], "score", "obj").collect()}
+    assert len(got) == len(rows)
+    taken = {}
+    for image, obj, score, x0, y0, x1, y1 in sorted(rows, key=lambda r: (r[0], r[2] is None, -(r[2] or 0), r[1])):
+        free = taken.setdefault(image, np.ones((20, 20), bool))
+        left = int(free[y0:y1, x0:x1].sum())
+        free[y0:y1, x0:x1] = False
+        assert got[image, obj] == ((x1 - x0) * (y1 - y0), left)
