@@ -56,12 +56,30 @@ def _where(sides: Sequence[Spans], base: np.ndarray, rule: Callable[..., np.ndar
 
 
 def _union(start: np.ndarray, end: np.ndarray, base: np.ndarray) -> Spans:
-    """Spans that cover what any of the given ones, in any order and overlapping, covers."""
+    """Spans that cover what any of the given ones, in any order and overlapping, covers; none of them crosses rows."""
     some = end > start
-    start, end = np.sort(start[some]), np.sort(end[some])
-    edges = np.unique(np.concatenate([base, start, end]))
-    deep = np.searchsorted(start, edges[:-1], "right") > np.searchsorted(end, edges[:-1], "right")
-    return _where([(edges[:-1][deep], edges[1:][deep])], base, lambda x: x)
+    start, end = start[some], end[some]
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, far = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > far[:-1]]) | (base[np.searchsorted(base, start)] == start) & np.concatenate([[True], start[1:] != start[:-1]]))
+    return start[first], far[np.concatenate([first[1:] - 1, [len(start) - 1]])]
+
+
+def _covered(start: np.ndarray, end: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Pixels that each of n rows' spans cover together. Spans stand on the line, those of one row beside those of no other."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    reached = np.maximum.accumulate(np.concatenate([[0], end[:-1]])) if len(end) else end
+    return np.bincount(row[order], weights=np.maximum(end - np.maximum(start, reached), 0), minlength=n).astype(np.int64)
+
+
+def _placed_spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Start and end of the spans of all lists' masks within their masks, the mask of each, and how many masks there are."""
+    (start, end), base = _spans(lists.flatten())
+    mask = np.searchsorted(base, start, "right") - 1
+    return start - base[mask], end - base[mask], mask, len(base) - 1
 
 
 def _lists(spans: Spans, base: np.ndarray) -> pa.Array:
@@ -178,32 +196,110 @@ def union_of(lists: pa.Array, size: pa.Array) -> pa.Array:
     return _whole(work, lists, size)
 
 
+@F.arrow_udf(T.LongType())
+def union_area(lists: pa.Array) -> pa.Array:
+    """Pixels of the union of a row's masks, which all have one size."""
+
+    def work(lists: pa.Array) -> pa.Array:
+        start, end, mask, _ = _placed_spans(lists)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[mask]
+        move = row * int(end.max(initial=0))
+        return pa.array(_covered(start + move, end + move, row, len(lists)))
+
+    return _whole(work, lists)
+
+
+_PAIR_LIST = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a", "b")] + [T.StructField(n, T.LongType()) for n in ("inter", "area_a", "area_b")]))
+#: Pairs of masks that are compared at once.
+_PAIRS = 1 << 17
+
+
+@F.arrow_udf(_PAIR_LIST)
+def overlaps(lists: pa.Array) -> pa.Array:
+    """Each two masks of a row, of one size, that share pixels: their places in the row, a before b, the pixels that they share, and those that each has."""
+
+    def work(lists: pa.Array) -> pa.Array:
+        start, end, mask, n = _placed_spans(lists)
+        size = int(end.max(initial=0))
+        spans = np.bincount(mask, minlength=n)
+        first = np.cumsum(spans) - spans
+        area = np.bincount(mask, weights=end - start, minlength=n).astype(np.int64)
+        lengths = lists.value_lengths().to_numpy().astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        row = np.repeat(np.arange(len(lists)), lengths)
+        some = spans > 0
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        low[some], high[some] = start[first[some]], end[(first + spans - 1)[some]]
+        later = (begin + lengths)[row] - 1 - np.arange(n)
+        done = np.cumsum(later)
+        found = []
+        at = 0
+        while at < n:  # masks with their pairs, in blocks
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _PAIRS, "right")))
+            k = later[at:to]
+            a = np.repeat(np.arange(at, to), k)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            meet = (low[a] < high[b]) & (low[b] < high[a])
+            a, b = a[meet], b[meet]
+            starts, ends, pairs = [], [], []
+            for side in (a, b):
+                pair = np.repeat(np.arange(len(side)), spans[side])
+                own = np.arange(len(pair)) - (np.cumsum(spans[side]) - spans[side])[pair] + first[side][pair]
+                starts.append(start[own] + pair * size)
+                ends.append(end[own] + pair * size)
+                pairs.append(pair)
+            inter = area[a] + area[b] - _covered(*(np.concatenate(v) for v in (starts, ends, pairs)), len(a))
+            found.append(np.stack([v[inter > 0] for v in (a, b, inter)]))
+            at = to
+        a, b, inter = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        ends = np.cumsum(np.bincount(row[a], minlength=len(lists)))
+        columns = [pa.array(a - begin[row[a]], pa.int32()), pa.array(b - begin[row[b]], pa.int32()), pa.array(inter), pa.array(area[a]), pa.array(area[b])]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays(columns, ["a", "b", "inter", "area_a", "area_b"]))
+
+    return _whole(work, lists)
+
+
 def outside(counts: Column) -> Column:
     """Native: run lengths of the pixels that a mask lacks."""
     return F.when(F.get(counts, 0) == 0, F.slice(counts, 2, F.greatest(F.size(counts) - 1, F.lit(0)))).otherwise(F.concat(F.array(F.lit(0)), counts))
 
 
+@F.arrow_udf(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("label", T.IntegerType())]))
+def _error_point(truth: pa.Array, found: pa.Array, h: pa.Array, draw: pa.Array) -> pa.Array:
+    def work(truth: pa.Array, found: pa.Array, h: pa.Array, draw: pa.Array) -> pa.Array:
+        (t, f), base = _sides(truth, found)
+        n = len(base) - 1
+        edges = np.unique(np.concatenate([base, *t, *f]))
+        left, size = edges[:-1], np.diff(edges)
+        row = np.searchsorted(base, left, "right") - 1
+        is_truth, is_found = _inside(t, left), _inside(f, left)
+        parts = [is_found & ~is_truth, is_truth & ~is_found, ~is_truth]
+        have = [np.bincount(row[on], weights=size[on], minlength=n).astype(np.int64) for on in parts]
+        wrong = have[0] + have[1]
+        k = np.floor(draw.to_numpy(zero_copy_only=False) * np.where(wrong > 0, wrong, have[2])).astype(np.int64)
+        label = (wrong > 0) & (k >= have[0])
+        k = np.where(label, k - have[0], k)
+        place = np.zeros(n, np.int64)
+        for on, own, mine in zip(parts, have, (~label & (wrong > 0), label, wrong == 0), strict=True):
+            rows = np.flatnonzero(mine & (k >= 0) & (k < own))
+            until = np.cumsum(size[on])
+            target = (np.cumsum(own) - own)[rows] + k[rows]
+            cell = np.searchsorted(until, target, "right")
+            place[rows] = left[on][cell] + target - (until - size[on])[cell] - base[rows]
+        tall = h.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.StructArray.from_arrays([pa.array(place // tall), pa.array(place % tall), pa.array(label.astype(np.int32))], ["x", "y", "label"])
+
+    return _whole(work, truth, found, h, draw)
+
+
 def error_point(truth: Column, found: Column, h: Column, draw: Column) -> Column:
     """x, y and label of a pixel drawn evenly where a found mask (null: empty) differs from the truth: label 1 where it misses, 0 where it exceeds.
 
-    If they agree, the pixel is drawn from the background, with label 0; without background it is (0, 0). draw: from 0 to below 1.
+    If they agree, the pixel is drawn from the background, with label 0; without background it is (0, 0). draw: from 0 to below 1. A batch at a time.
     """
-    from . import masks, points
-
     size = F.aggregate(truth, F.lit(0).cast("long"), lambda a, c: a + c)
-    found = F.coalesce(found, F.array(size.cast("int")))
-    excess, missed, ground = without(found, truth), without(truth, found), outside(truth)
-    parts = F.array(*[F.struct(masks.mask_area(m).alias("n"), m.alias("runs")) for m in (excess, missed, ground)])
-
-    def drawn(p: Column) -> Column:
-        n0, n1, n2 = (p[k]["n"] for k in range(3))
-        k = F.floor(draw * F.when(n0 + n1 > 0, n0 + n1).otherwise(n2)).cast("long")
-        label = (n0 + n1 > 0) & (k >= n0)
-        runs = F.when(n0 + n1 == 0, p[2]["runs"]).when(label, p[1]["runs"]).otherwise(p[0]["runs"])
-        at = points.pixel(runs, F.when(label, k - n0).otherwise(k), h)
-        return F.struct(F.coalesce(at["x"], F.lit(0).cast("long")).alias("x"), F.coalesce(at["y"], F.lit(0).cast("long")).alias("y"), label.cast("int").alias("label"))
-
-    return F.get(F.transform(F.array(parts), drawn), 0)
+    zero = F.lit(0).cast("long")
+    return F.coalesce(_error_point(truth, F.coalesce(found, F.array(size.cast("int"))), h, draw), F.struct(zero.alias("x"), zero.alias("y"), F.lit(None).cast("int").alias("label")))
 
 
 # ---- parts
