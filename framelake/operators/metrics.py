@@ -108,13 +108,19 @@ def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:
     n = lambda kind, track: F.count_if(F.col("kind") == kind).over(Window.partitionBy("seq", track))
     all_rows = _beside(gt, trk, sim)
     known = all_rows.withColumn("n_gt", n("g", "gt")).withColumn("n_dt", n("d", "dt")).where("kind = 's' AND n_gt > 0 AND n_dt > 0")
-    matched = aligned_matches(known, ["seq"], ["n_gt", "n_dt"])
-    reached = matched.withColumn("reach", _reach(ALPHAS)).groupBy("seq", "gt", "dt", "n_gt", "n_dt", "reach").agg(F.count("*").alias("c"), F.sum(F.round("iou", 12)).alias("loc"))
-    far = Window.partitionBy("seq", "gt", "dt").orderBy(F.desc("reach"))
+    rows = gt.select("seq", F.lit(1).alias("gt"), F.lit(0).alias("dt")).unionByName(trk.select("seq", F.lit(0).alias("gt"), F.lit(1).alias("dt")))
+    return hota_of_pairs(known, rows.groupBy("seq").agg(F.sum("gt").alias("gt"), F.sum("dt").alias("dt")))
+
+
+def hota_of_pairs(known: DataFrame, totals: DataFrame, keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """As hota(), from known(seq, t, gt, dt, iou, n_gt, n_dt) of overlapping pairs with the frames of both tracks, and totals(seq, gt, dt) of objects. keys: columns that name a sequence."""
+    matched = aligned_matches(known, keys, ["n_gt", "n_dt"])
+    reached = matched.withColumn("reach", _reach(ALPHAS)).groupBy(*keys, "gt", "dt", "n_gt", "n_dt", "reach").agg(F.count("*").alias("c"), F.sum(F.round("iou", 12)).alias("loc"))
+    far = Window.partitionBy(*keys, "gt", "dt").orderBy(F.desc("reach"))
     steps = reached.withColumn("c", F.sum("c").over(far)).withColumn("loc", F.sum("loc").over(far)).withColumn("next", F.coalesce(F.lead("reach").over(far), F.lit(0)))
     c = F.col("c")
     # One step holds for the alphas from the next shorter reach to its own.
-    by_step = steps.where("reach > 0").groupBy("seq", "reach", "next").agg(
+    by_step = steps.where("reach > 0").groupBy(*keys, "reach", "next").agg(
         F.sum("c").alias("tp"),
         F.sum("loc").alias("loc"),
         F.sum(c * c / (F.col("n_gt") + F.col("n_dt") - c)).alias("ass_a"),
@@ -122,14 +128,12 @@ def hota(gt: DataFrame, trk: DataFrame, sim: DataFrame) -> DataFrame:
         F.sum(c * c / F.col("n_dt")).alias("ass_pr"),
     )
     levels = F.posexplode(F.array(*map(F.lit, ALPHAS))).alias("_k", "alpha")
-    per = by_step.select("*", levels).where("_k >= next AND _k < reach").groupBy("seq", "alpha").agg(*[F.sum(x).alias(x) for x in ("tp", "loc", "ass_a", "ass_re", "ass_pr")])
-    rows = gt.select("seq", F.lit(1).alias("gt"), F.lit(0).alias("dt")).unionByName(trk.select("seq", F.lit(0).alias("gt"), F.lit(1).alias("dt")))
-    totals = rows.groupBy("seq").agg(F.sum("gt").alias("gt"), F.sum("dt").alias("dt"))
-    every = totals.select("seq", "gt", "dt", levels).drop("_k").join(per, ["seq", "alpha"], "left").na.fill(0)
+    per = by_step.select("*", levels).where("_k >= next AND _k < reach").groupBy(*keys, "alpha").agg(*[F.sum(x).alias(x) for x in ("tp", "loc", "ass_a", "ass_re", "ass_pr")])
+    every = totals.select(*keys, "gt", "dt", levels).drop("_k").join(per, [*keys, "alpha"], "left").na.fill(0)
     tp = F.col("tp")
     one = F.greatest(tp, F.lit(1))
     out = every.select(
-        "seq", "alpha", tp, (F.col("gt") - tp).alias("fn"), (F.col("dt") - tp).alias("fp"),
+        *keys, "alpha", tp, (F.col("gt") - tp).alias("fn"), (F.col("dt") - tp).alias("fp"),
         (tp / F.greatest(F.lit(1), F.col("gt") + F.col("dt") - tp)).alias("det_a"),
         (tp / F.greatest(F.lit(1), F.col("gt"))).alias("det_re"), (tp / F.greatest(F.lit(1), F.col("dt"))).alias("det_pr"),
         (F.col("ass_a") / one).alias("ass_a"), (F.col("ass_re") / one).alias("ass_re"), (F.col("ass_pr") / one).alias("ass_pr"),

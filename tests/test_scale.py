@@ -132,3 +132,10 @@ def test_remaining_areas_join_nothing(spark):
         left = int(free[y0:y1, x0:x1].sum())
         free[y0:y1, x0:x1] = False
         assert got[image, obj] == ((x1 - x0) * (y1 - y0), left)
+
+
+def test_tracks_of_phrases_are_sent_once(spark):
+    for name in ("phrase_track_overlap", "video_phrase_rows", "video_gated_f1", "phrase_average_precision", "phrase_hota"):
+        found = _exchanges(QUERIES[name](spark, SF))
+        assert {"video_id", "category_id"} in found, name
+        assert not [x for x in found if "video_id" in x and x & {"t", "track"}], (name, found)
