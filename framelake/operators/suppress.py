@@ -14,20 +14,32 @@ from pyspark.sql import functions as F
 from framelake.functions import boxes
 
 
-def greedy_suppress(df: DataFrame, keys: Sequence[str], threshold: float, strict: bool = True, overlap=boxes.iou, score: str = "score", tie: str = "obj", box: Sequence[str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
-    """The rows of df(keys, score, tie, box) that survive greedy suppression, best score first, ties by `tie`.
-
-    strict: a box goes if its overlap with a kept one is above the threshold (as detectors do); else if it reaches it (as evaluations do).
-    """
+def _folded(df: DataFrame, keys: Sequence[str], threshold: float, strict: bool, overlap, score: str, tie: str, box: Sequence[str]) -> DataFrame:
+    """keys, the group's `rows` (neg, tie, box), best first, and those of them that are `kept`."""
     row = F.struct((-F.col(score)).alias("neg"), F.col(tie).alias("tie"), boxes.box(*box).alias("box"))
     ordered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     beats = (lambda v: v > threshold) if strict else (lambda v: v >= threshold)
     none = F.array().cast("array<struct<neg:double,tie:bigint,box:struct<x0:double,y0:double,x1:double,y1:double>>>")
     kept = F.aggregate("rows", none, lambda kept, r: F.when(F.exists(kept, lambda k: beats(overlap(k["box"], r["box"]))), kept).otherwise(F.concat(kept, F.array(r))))
-    survivors = ordered.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.tie").alias(tie))
+    return ordered.select(*keys, "rows", kept.alias("kept"))
+
+
+def greedy_suppress(df: DataFrame, keys: Sequence[str], threshold: float, strict: bool = True, overlap=boxes.iou, score: str = "score", tie: str = "obj", box: Sequence[str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
+    """The rows of df(keys, score, tie, box) that survive greedy suppression, best score first, ties by `tie`.
+
+    strict: a box goes if its overlap with a kept one is above the threshold (as detectors do); else if it reaches it (as evaluations do).
+    """
+    folded = _folded(df, keys, threshold, strict, overlap, score, tie, box)
+    survivors = folded.select(*keys, F.explode("kept").alias("k")).select(*keys, F.col("k.tie").alias(tie))
     return df.join(survivors, [*keys, tie], "left_semi")
 
 
+def greedy_marked(df: DataFrame, keys: Sequence[str], threshold: float, strict: bool = True, overlap=boxes.iou, score: str = "score", tie: str = "obj", box: Sequence[str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
+    """keys, tie, box (a struct) and kept of each row of df: as greedy_suppress(), but what goes stays in the table, and rows are not joined to their survivors."""
+    each = _folded(df, keys, threshold, strict, overlap, score, tie, box).select(*keys, F.col("kept.tie").alias("_kept"), F.explode("rows").alias("r"))
+    return each.select(*keys, F.col("r.tie").alias(tie), F.col("r.box").alias("box"), F.array_contains("_kept", F.col("r.tie")).alias("kept"))
+
+
 def greedy_suppress_pairs(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], score: str, name: str) -> DataFrame:
     """nodes(keys, name, score) with `kept`: greedy suppression, best score first, where what overlaps too much is listed in pairs(keys, a, b), in either order.
 

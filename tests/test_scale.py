@@ -150,3 +150,7 @@ def test_small_assignments_equal_large_ones(spark):
             assert assign._few(c.tolist()) == assign._many(c)
     for name in ("optimal_assignment", "gated_f1", "image_match_counts"):
         assert _plan(spark, name).split("ArrowEvalPython")[-1].count("Join") == 0, name  # no join makes the pairs
+
+
+def test_suppressed_frames_are_not_joined_to_their_survivors(spark):
+    assert "Join" not in _plan(spark, "frame_suppression")
