@@ -26,6 +26,11 @@ def corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Colu
     return F.array(at(-w / 2, -h / 2), at(w / 2, -h / 2), at(w / 2, h / 2), at(-w / 2, h / 2))
 
 
+def turned(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
+    """A box for met(): its corners are computed there, as corners() does."""
+    return F.struct(cx.alias("x"), cy.alias("y"), w.alias("w"), h.alias("h"), F.cos(F.radians(angle)).alias("cos"), F.sin(F.radians(angle)).alias("sin"), F.hypot(w, h).alias("across"))
+
+
 def area(polygon: Column) -> Column:
     """Of a convex polygon whose corners stand in turn; fewer than three corners have none."""
     turn = F.transform(polygon, lambda p, i: _let(F.get(polygon, (i + 1) % F.size(polygon)), lambda q: p["x"] * q["y"] - q["x"] * p["y"]))
@@ -60,7 +65,13 @@ def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
     """Area that two boxes, given by their corners, share: one is cut at the four edges of the other. Null if one is null."""
     valid = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
     corner = lambda p, c: p.filter(pa.array(valid)).flatten().field(c).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 4)
-    x, y, ex, ey = corner(a, 0), corner(a, 1), corner(b, 0), corner(b, 1)
+    out = np.zeros(len(valid))
+    out[valid] = _shared(corner(a, 0), corner(a, 1), corner(b, 0), corner(b, 1))
+    return pa.array(out, mask=~valid)
+
+
+def _shared(x: np.ndarray, y: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
+    """Area that the boxes of each row share, given by their four corners."""
     n = np.full(len(x), 4)
     for k in range(4):
         j = (k + 1) % 4
@@ -70,9 +81,56 @@ def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
         j = np.where(k + 1 < n, min(k + 1, x.shape[1] - 1), 0)
         rows = np.arange(len(x))
         twice += np.where(k < n, x[:, k] * y[rows, j] - x[rows, j] * y[:, k], 0.0)
-    out = np.zeros(len(valid))
-    out[valid] = np.abs(twice) / 2
-    return pa.array(out, mask=~valid)
+    return np.abs(twice) / 2
+
+
+_MET = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("iou", T.DoubleType())]))
+#: Pairs of boxes that are looked at at once.
+_PAIRS = 1 << 16
+
+
+@F.arrow_udf(_MET)
+def met(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Each box of one list and box of another that share area, by their places in the lists of a row, with their intersection over union. Boxes are those of turned();
+    a null list is empty."""
+    n_a, n_b = (np.diff(offsets) for offsets in map(_offsets, (a, b)))
+    left, right = _boxes(a), _boxes(b)
+    # One line for each box of the first lists: it meets n_b boxes of the second ones, from `start` on.
+    row = np.repeat(np.arange(len(a)), n_a)
+    width, start = n_b[row], (np.cumsum(n_b) - n_b)[row]
+    done = np.concatenate([[0], np.cumsum(width)])
+    found = []
+    for at in range(0, int(done[-1]), _PAIRS):
+        k = np.arange(at, min(at + _PAIRS, done[-1]))
+        i = np.searchsorted(done, k, "right") - 1
+        j = start[i] + k - done[i]
+        apart = (left["x"][i] - right["x"][j]) ** 2 + (left["y"][i] - right["y"][j]) ** 2
+        near = apart <= ((left["across"][i] + right["across"][j]) / 2 + 1) ** 2  # beyond half of both diagonals nothing is shared
+        near &= (left["area"][i] > 0) & (right["area"][j] > 0)
+        i, j = i[near], j[near]
+        both = _shared(left["px"][i], left["py"][i], right["px"][j], right["py"][j])
+        some = both > 0
+        i, j, both = i[some], j[some], both[some]
+        found.append((i, j, both / (left["area"][i] + right["area"][j] - both)))
+    i, j, value = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[i], minlength=len(a)))])
+    places = ((i - (np.cumsum(n_a) - n_a)[row[i]]).astype(np.int32), (j - start[i]).astype(np.int32))
+    pairs = pa.StructArray.from_arrays([pa.array(places[0]), pa.array(places[1]), pa.array(value)], names=["a", "b", "iou"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Where the lists of a column begin and end once they are laid end to end."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+
+
+def _boxes(lists: pa.Array) -> dict[str, np.ndarray]:
+    """Centres, areas, diagonals and corners of all boxes of a column, laid end to end."""
+    flat = lists.flatten()
+    x, y, w, h, c, s, across = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in ("x", "y", "w", "h", "cos", "sin", "across"))
+    at = [(x + c * dx + s * dy, y - s * dx + c * dy) for dx, dy in ((-w / 2, -h / 2), (w / 2, -h / 2), (w / 2, h / 2), (-w / 2, h / 2))]
+    px, py = (np.stack(v, axis=1) for v in zip(*at, strict=True))
+    return {"x": x, "y": y, "area": w * h, "across": across, "px": px, "py": py}
 
 
 def iou(a: Column, b: Column, area_a: Column, area_b: Column) -> Column:

@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelake.functions import masks, points, runs
+from framelake.functions import masks, points, rotated, runs
 from framelake.operators import assign, matching
 from framelake.plans.catalogue import QUERIES
 
@@ -154,3 +154,19 @@ def test_small_assignments_equal_large_ones(spark):
 
 def test_suppressed_frames_are_not_joined_to_their_survivors(spark):
     assert "Join" not in _plan(spark, "frame_suppression")
+
+
+def test_rotated_boxes_of_an_image_meet_in_one_row(spark):
+    assert "Join" not in _plan(spark, "rotated_overlaps")
+    rng = np.random.default_rng(10)
+    box = lambda: (*(float(v) for v in rng.uniform(-6, 6, 2)), *(float(v) for v in rng.integers(0, 7, 2)), float(rng.integers(0, 9) * 45))
+    rows = [(k, [box() for _ in range(rng.integers(0, 6))], [box() for _ in range(rng.integers(0, 6))]) for k in range(200)] + [(200, None, [box()]), (201, [box()], None)]
+    side = "array<struct<x: double, y: double, w: double, h: double, t: double>>"
+    df = spark.createDataFrame(rows, f"k long, a {side}, b {side}").repartition(2)
+    of = lambda r: [r[c] for c in ("x", "y", "w", "h", "t")]
+    turned = df.select("k", *[F.transform(c, lambda r: rotated.turned(*of(r))).alias(c) for c in "ab"])
+    got = {(r.k, r.p.a, r.p.b): r.p.iou for r in turned.select("k", F.explode(rotated.met("a", "b")).alias("p")).collect()}
+    each = df.select("k", F.posexplode("a").alias("i", "a"), "b").select("k", "i", "a", F.posexplode("b").alias("j", "b"))
+    iou = rotated.iou(rotated.corners(*of(F.col("a"))), rotated.corners(*of(F.col("b"))), F.col("a.w") * F.col("a.h"), F.col("b.w") * F.col("b.h"))
+    want = {(r.k, r.i, r.j): r.v for r in each.select("k", "i", "j", iou.alias("v")).collect() if r.v > 0}
+    assert len(want) > 100 and got == want
