@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .crossed import crossed, lengths
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
@@ -85,25 +87,17 @@ def _shared(x: np.ndarray, y: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.
 
 
 _MET = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("iou", T.DoubleType())]))
-#: Pairs of boxes that are looked at at once.
-_PAIRS = 1 << 16
 
 
 @F.arrow_udf(_MET)
 def met(a: pa.Array, b: pa.Array) -> pa.Array:
     """Each box of one list and box of another that share area, by their places in the lists of a row, with their intersection over union. Boxes are those of turned();
     a null list is empty."""
-    n_a, n_b = (np.diff(offsets) for offsets in map(_offsets, (a, b)))
-    left, right = _boxes(a), _boxes(b)
-    # One line for each box of the first lists: it meets n_b boxes of the second ones, from `start` on.
+    n_a, n_b = lengths(a), lengths(b)
     row = np.repeat(np.arange(len(a)), n_a)
-    width, start = n_b[row], (np.cumsum(n_b) - n_b)[row]
-    done = np.concatenate([[0], np.cumsum(width)])
+    left, right = _boxes(a), _boxes(b)
     found = []
-    for at in range(0, int(done[-1]), _PAIRS):
-        k = np.arange(at, min(at + _PAIRS, done[-1]))
-        i = np.searchsorted(done, k, "right") - 1
-        j = start[i] + k - done[i]
+    for i, j in crossed(n_a, n_b):
         apart = (left["x"][i] - right["x"][j]) ** 2 + (left["y"][i] - right["y"][j]) ** 2
         near = apart <= ((left["across"][i] + right["across"][j]) / 2 + 1) ** 2  # beyond half of both diagonals nothing is shared
         near &= (left["area"][i] > 0) & (right["area"][j] > 0)
@@ -114,16 +108,11 @@ def met(a: pa.Array, b: pa.Array) -> pa.Array:
         found.append((i, j, both / (left["area"][i] + right["area"][j] - both)))
     i, j, value = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     ends = np.concatenate([[0], np.cumsum(np.bincount(row[i], minlength=len(a)))])
-    places = ((i - (np.cumsum(n_a) - n_a)[row[i]]).astype(np.int32), (j - start[i]).astype(np.int32))
+    places = ((i - (np.cumsum(n_a) - n_a)[row[i]]).astype(np.int32), (j - (np.cumsum(n_b) - n_b)[row[i]]).astype(np.int32))
     pairs = pa.StructArray.from_arrays([pa.array(places[0]), pa.array(places[1]), pa.array(value)], names=["a", "b", "iou"])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
 
 
-def _offsets(lists: pa.Array) -> np.ndarray:
-    """Where the lists of a column begin and end once they are laid end to end."""
-    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
-
-
 def _boxes(lists: pa.Array) -> dict[str, np.ndarray]:
     """Centres, areas, diagonals and corners of all boxes of a column, laid end to end."""
     flat = lists.flatten()

@@ -8,8 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from framelake.functions.crossed import crossed, lengths
 
 from . import assign, metrics
 
@@ -245,6 +250,81 @@ def error_types(gt: DataFrame, dt: DataFrame, pairs: DataFrame, hits: DataFrame,
     return all_dt.drop("_on"), gt.join(covered, [*keys, "gt"], "left").withColumn("missed", F.col("_c").isNull()).drop("_c")
 
 
+_JUDGED = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("is_gt", T.BooleanType()), ("cls", T.LongType()), ("score", T.DoubleType()), ("error", T.StringType()), ("to", T.LongType()), ("missed", T.BooleanType()))]))
+
+
+@F.arrow_udf(_JUDGED)
+def judged(gts: pa.Array, dts: pa.Array) -> pa.Array:
+    """The objects and detections of a group as rows for tally(), with the errors of error_types() at its usual bounds after the greedy matches of each class at 0.5.
+
+    gts: structs of number, cls, x0, y0, x1, y1; dts: the same and score; numbers and classes are whole. `to` is the class of the object that a detection mends.
+    """
+    n_g, n_d = lengths(gts), lengths(dts)
+    field = lambda lists, name, kind: lists.flatten().field(name).to_numpy(zero_copy_only=False).astype(kind)
+    (g, d), (gn, dn), (gc, dc) = ([field(v, c, np.float64) for c in ("x0", "y0", "x1", "y1")] for v in (gts, dts)), (field(v, "number", np.int64) for v in (gts, dts)), (field(v, "cls", np.int64) for v in (gts, dts))
+    given = dts.flatten().field("score")
+    score = given.fill_null(np.inf).to_numpy(zero_copy_only=False).astype(np.float64)
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    area_g, area_d = area(g), area(d)
+    kept = []
+    for i, j in crossed(n_g, n_d):
+        inter = np.maximum(np.minimum(g[2][i], d[2][j]) - np.maximum(g[0][i], d[0][j]), 0) * np.maximum(np.minimum(g[3][i], d[3][j]) - np.maximum(g[1][i], d[1][j]), 0)
+        meet = inter > 0
+        i, j, inter = i[meet], j[meet], inter[meet]
+        kept.append((i, j, inter / (area_g[i] + area_d[j] - inter)))
+    i, j, raw = (np.concatenate(v) for v in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    iou, same = np.round(raw, 12), gc[i] == dc[j]
+
+    row_g, row_d = np.repeat(np.arange(len(gts)), n_g), np.repeat(np.arange(len(dts)), n_d)
+    used, hit = np.zeros(len(gn), bool), np.zeros(len(dn), bool)
+    able = np.flatnonzero(same & (np.round(raw * 100, 6) >= 50))
+    for k in able[np.lexsort((gn[i[able]], -iou[able], dn[j[able]], -score[j[able]], row_d[j[able]]))].tolist():
+        if not used[i[k]] and not hit[j[k]]:
+            used[i[k]] = hit[j[k]] = True
+
+    order = np.lexsort((-gn[i], iou, j))
+
+    def best(which):
+        """Of each detection: the highest overlap, 0 for none, and its object, the least of equal ones."""
+        k = order[which[order]]
+        last = k[np.append(j[k][1:] != j[k][:-1], True)] if len(k) else k
+        value, on = np.zeros(len(dn)), np.full(len(dn), -1)
+        value[j[last]], on[j[last]] = iou[last], i[last]
+        return value, on
+
+    (own, own_on), (other, other_on), (double, _) = best(same), best(~same), best(same & used[i])
+    most = np.maximum(own, other)
+    kind = np.select([hit, (own >= 0.1) & (own < 0.5), other >= 0.5, double >= 0.5, most < 0.1], [-1, 1, 0, 3, 4], 2)  # places in ERRORS
+    on = np.select([kind == 1, kind == 0], [own_on, other_on], -1)
+    lies = np.flatnonzero(on >= 0)
+    lies = lies[np.lexsort((dn[lies], np.where(np.isnan(score[lies]), -np.inf, -np.where(given.is_null().to_numpy(zero_copy_only=False)[lies], -np.inf, score[lies])), on[lies], kind[lies]))]
+    first = np.ones(len(lies), bool)
+    first[1:] = (on[lies][1:] != on[lies][:-1]) | (kind[lies][1:] != kind[lies][:-1])
+    mends = lies[first & ~used[on[lies]]]
+    to, is_to = np.zeros(len(dn), np.int64), np.zeros(len(dn), bool)
+    to[mends], is_to[mends] = gc[on[mends]], True
+    missed = ~used
+    missed[on[lies]] = False
+
+    place = np.argsort(np.concatenate([row_g, row_d]), kind="stable")
+    n, n_dt = len(gn), len(dn)
+    columns = [
+        pa.array(np.arange(n + n_dt) < n),
+        pa.array(np.concatenate([gc, dc])),
+        pa.concat_arrays([pa.nulls(n, pa.float64()), given.cast(pa.float64())]),
+        pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(ERRORS[:-1]).take(pa.array(kind, mask=kind < 0))]),
+        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(to, mask=~is_to)]),
+        pa.concat_arrays([pa.array(missed), pa.nulls(n_dt, pa.bool_())]),
+    ]
+    rows = pa.StructArray.from_arrays(columns, names=[f.name for f in _JUDGED.elementType]).take(pa.array(place))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_g + n_d)]).astype(np.int32)), rows)
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """How many objects and detections are alike: rows(is_gt, cls, score, error, to, missed), as judged() makes them. Whoever asks for it twice shares its one shuffle."""
+    return rows.groupBy("is_gt", "cls", "score", "error", "to", "missed").agg(F.count("*").alias("n"))
+
+
 def precision_lost(gt: DataFrame, dt: DataFrame, keys: Sequence[str], cls: str) -> DataFrame:
     """error, n and lost for each error type, `false_positive` and `false_negative`: how many there are, and how much the mean average precision gains if they are mended
     and the ranking is evaluated again; and `none`, with the average precision itself.
@@ -252,25 +332,35 @@ def precision_lost(gt: DataFrame, dt: DataFrame, keys: Sequence[str], cls: str)
     gt and dt are those of error_types(). Mending a box or class error makes the best such detection of a free object its hit, in the object's class, and removes the
     others; all other wrong detections go; missed objects are no longer asked for. Without wrong detections, or with all objects found, the last two.
     """
-    to = gt.select(*keys, F.col("gt").alias("mends"), F.col(cls).alias("_to"))
-    hit, wrong = F.col("error").isNull(), F.col("error")
-    case = lambda name, takes_part, own, tp: F.when(takes_part, F.struct(F.lit(name).alias("case"), own.alias("cls"), tp.cast("int").alias("tp")))
-    plain = F.col(cls)
-    cases = [case(name, F.lit(True), plain, hit) for name in ("none", "missed", "false_negative")] + [case("false_positive", hit, plain, hit)]
-    for e in ERRORS[:-1]:
-        mended = ~hit & (wrong == e)
-        cases.append(case(e, hit | (wrong != e) | F.col("mends").isNotNull(), F.when(mended, F.col("_to")).otherwise(plain), hit | mended))
-    ranked = dt.join(to, [*keys, "mends"], "left").select("score", F.explode(F.array_compact(F.array(*cases))).alias("c")).select("score", "c.*")
-    found = dt.where(hit).groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("hits"))
-    asked = gt.groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("all"), F.count_if(~F.col("missed")).alias("seen")).join(found, "cls", "left").na.fill(0)
-    n_gt = F.when(F.col("case") == "missed", F.col("seen")).when(F.col("case") == "false_negative", F.col("hits")).otherwise(F.col("all"))
-    every = F.explode(F.array(*map(F.lit, ("none", *ERRORS, "false_positive", "false_negative")))).alias("case")
-    asked = asked.select("*", every).select("case", "cls", n_gt.alias("n_gt")).where("n_gt > 0")
-    ap = metrics.average_precision(ranked, asked, ["case", "cls"])
+    to = gt.select(*keys, F.col("gt").alias("mends"), F.col(cls).alias("to"))
+    none = lambda kind: F.lit(None).cast(kind)
+    own = gt.select(F.lit(True).alias("is_gt"), F.col(cls).alias("cls"), none("double").alias("score"), none("string").alias("error"), F.when(F.lit(False), F.col(cls)).alias("to"), "missed")
+    found = dt.join(to, [*keys, "mends"], "left").select(F.lit(False).alias("is_gt"), F.col(cls).alias("cls"), F.col("score").cast("double").alias("score"), "error", "to", none("boolean").alias("missed"))
+    return precision_lost_of(tally(own.unionByName(found)))
+
+
+def precision_lost_of(tallied: DataFrame) -> DataFrame:
+    """As precision_lost(), from tally(). Rows are told apart by conditions in sums: a filter would be pushed below the shuffle of the tally, and each use then make its own."""
+    is_gt, hit, wrong, n, zero = F.col("is_gt"), ~F.col("is_gt") & F.col("error").isNull(), F.col("error"), F.col("n"), F.lit(0).cast("long")
+    every = ("none", *ERRORS, "false_positive", "false_negative")
+
+    def case(name):
+        """What a row is in a case: found, or asked for."""
+        mended = ~is_gt & F.coalesce(wrong == name, F.lit(False))
+        takes_part = {"missed": ~is_gt, "none": ~is_gt, "false_negative": ~is_gt, "false_positive": hit}.get(name, ~is_gt & (~mended | F.col("to").isNotNull()))
+        asked = {"missed": is_gt & ~F.col("missed"), "false_negative": hit}.get(name, is_gt)
+        some = lambda c: F.when(c, n).otherwise(zero)
+        return F.struct(F.lit(name).alias("case"), F.when(mended & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("cls")).alias("cls"), some(takes_part & (hit | mended)).alias("tp"), some(takes_part).alias("n"), some(asked).alias("asked"))
+
+    each = tallied.select("score", F.explode_outer(F.array(*map(case, every))).alias("c")).select("score", "c.*")
+    by_score = each.groupBy("case", "cls", "score").agg(*[F.sum(c).alias(c) for c in ("tp", "n", "asked")])
+    asked = by_score.groupBy("case", "cls").agg(F.sum("asked").alias("n_gt")).where("n_gt > 0")
+    ap = metrics.interpolated_precision(by_score.where("n > 0"), asked, ["case", "cls"])
     mean = asked.join(ap, ["case", "cls"], "left").groupBy("case").agg(F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 9).alias("ap"))
-    counts = dt.agg(*[F.count_if(wrong == e).alias(e) for e in ERRORS[:-1]], F.count("error").alias("false_positive"), F.count_if(hit).alias("hits"))
-    counts = counts.join(gt.agg(F.count_if("missed").alias("missed"), F.count("*").alias("all"))).withColumn("false_negative", F.col("all") - F.col("hits")).withColumn("none", F.lit(0).cast("long"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias("n")) for c in ("none", *ERRORS, "false_positive", "false_negative")])).alias("e")
+    count = lambda c: F.coalesce(F.sum(F.when(c, n).otherwise(zero)), zero)
+    of = {"none": zero, "missed": count(is_gt & F.col("missed")), "false_positive": count(wrong.isNotNull()), "false_negative": count(is_gt) - count(hit)} | {e: count(wrong == e) for e in ERRORS[:-1]}
+    counts = tallied.agg(*[of[c].alias(c) for c in every])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias("n")) for c in every])).alias("e")
     base = mean.where("case = 'none'").select(F.col("ap").alias("_base"))
     out = counts.select(pairs).select("e.*").join(mean, "case", "left").join(F.broadcast(base), how="left")  # one row each
     gain = F.when(F.col("case") == "none", F.col("ap")).otherwise(F.coalesce("ap", F.lit(0.0)) - F.col("_base"))

@@ -6,8 +6,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelake.functions import masks, points, rotated, runs
-from framelake.operators import assign, matching
+from framelake.functions import boxes, masks, points, rotated, runs
+from framelake.operators import assign, evaluation, matching, metrics
 from framelake.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +170,30 @@ def test_rotated_boxes_of_an_image_meet_in_one_row(spark):
     iou = rotated.iou(rotated.corners(*of(F.col("a"))), rotated.corners(*of(F.col("b"))), F.col("a.w") * F.col("a.h"), F.col("b.w") * F.col("b.h"))
     want = {(r.k, r.i, r.j): r.v for r in each.select("k", "i", "j", iou.alias("v")).collect() if r.v > 0}
     assert len(want) > 100 and got == want
+
+
+def test_errors_of_a_group_are_judged_in_its_row(spark):
+    plan = _plan(spark, "precision_lost")
+    assert "image_id" not in "".join(x for x in plan.splitlines() if "Join" in x)  # objects, detections and their pairs are not joined
+    rng = np.random.default_rng(11)
+    sides = {"g": [], "d": []}
+    for k in range(150):
+        for name, rows in sides.items():
+            for n in range(int(rng.integers(0, 7))):
+                x, y = (float(v) for v in rng.integers(0, 8, 2))
+                rows.append((k, n, int(rng.integers(0, 2)), x, y, x + float(rng.integers(5, 8)), y + float(rng.integers(5, 8)), float(rng.integers(0, 4)) / 4))
+    columns = ["x0", "y0", "x1", "y1"]
+    g, d = (spark.createDataFrame(sides[n], "i long, number long, cls long, x0 double, y0 double, x1 double, y1 double, score double") for n in "gd")
+    grouped = lambda df, n: df.groupBy("i").agg(F.collect_list(F.struct("number", "cls", *columns, "score")).alias(n))
+    rows = grouped(g, "g").join(grouped(d, "d"), "i", "full").repartition(2).select(F.explode(evaluation.judged("g", "d")).alias("r")).select("r.*")
+    gt, dt = g.select("i", F.col("number").alias("gt"), "cls", boxes.box(*columns).alias("gb")), d.select("i", F.col("number").alias("dt"), "cls", "score", boxes.box(*columns).alias("db"))
+    pairs = gt.drop("cls").join(dt.drop("cls", "score"), "i").withColumn("iou", boxes.iou(F.col("gb"), F.col("db"))).where("iou > 0")
+    same = pairs.join(gt.select("i", "gt", "cls"), ["i", "gt"]).join(dt.select("i", "dt", "cls", "score"), ["i", "dt", "cls"])
+    typed, found = evaluation.error_types(gt.drop("gb"), dt.drop("db"), pairs, metrics.greedy_matches(same, ["i", "cls"], 50), ["i"], "cls")
+    own = evaluation.tally(rows).collect()
+    assert sum(r.n for r in own if r.is_gt) == len(sides["g"]) and sum(r.n for r in own if r.missed) == found.where("missed").count() > 0
+    of = gt.select("i", F.col("gt").alias("mends"), F.col("cls").alias("to"))
+    want = typed.join(of, ["i", "mends"], "left").groupBy("cls", "score", "error", "to").count().collect()
+    assert {(r.cls, r.score, r.error, r.to): r.n for r in own if not r.is_gt} == {(r["cls"], r["score"], r["error"], r["to"]): r["count"] for r in want}
+    assert {r.error for r in want} == {None, *evaluation.ERRORS[:-1]}
+    assert sorted(evaluation.precision_lost_of(evaluation.tally(rows)).collect()) == sorted(evaluation.precision_lost(found, typed, ["i"], "cls").collect())
