@@ -11,10 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .state import keyed
+from .state import keyed_frames
 
 Box = tuple[float, float, float, float]
 
@@ -22,6 +25,9 @@ _OBJECT = "born long, lost long, alive long, run long, confirmed boolean, occlud
 OUT = "session long, frame long, kind string, object long, det long, value double"
 #: Later than any frame: an object that is removed before it was ever looked at.
 _ALWAYS = 1 << 40
+#: Events that are given back at once.
+_EVENTS = 50_000
+_DET, _SEEN = ("det", "score", "x0", "y0", "x1", "y1"), ("object", "x0", "y0", "x1", "y1")
 
 
 @dataclass(frozen=True)
@@ -74,6 +80,8 @@ def _area(b: Box) -> float:
 
 
 def iou(a: Box, b: Box) -> float:
+    if a[0] >= b[2] or b[0] >= a[2] or a[1] >= b[3] or b[1] >= a[3]:
+        return 0.0
     both = _area((max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])))
     return both / (_area(a) + _area(b) - both) if both > 0 else 0.0
 
@@ -89,43 +97,53 @@ def plan_frame(rules: Rules, frame: int, detections: list[tuple[int, float, Box]
         if name in objects:
             objects[name].move(box)
     names = sorted(objects)
-    overlap = {(d, o): iou(box, objects[o].box) for d, _, box in detections for o in names}
+    boxes = {o: objects[o].box for o in names}
+    overlap = {(d, o): iou(box, own) for d, _, box in detections for o, own in boxes.items()}
     events: list[tuple] = []
-    empty = [o for o in names if not _area(objects[o].box)]
-    lost = [o for o in names if _area(objects[o].box) and all(overlap[d, o] < rules.strict for d, _, _ in detections)]
-    of_det = {d: [o for o in names if overlap[d, o] >= rules.near] for d, _, _ in detections}
-    matched = {o for own in of_det.values() for o in own}
-    events += [("matched", o, d, overlap[d, o]) for d, own in of_det.items() for o in own]
-
-    fresh = [(d, score, box) for d, score, box in detections if score >= rules.new_score and not of_det[d]]
-    events += [("candidate", None, d, score) for d, score, _ in fresh]
-    inside = [x for x in fresh if all(rules.margin < (a + b) / 2 < 1 - rules.margin for a, b in zip(x[2][:2], x[2][2:], strict=True))]
-    room = max(rules.budget - len(names), 0)
-    taken = sorted(sorted(inside, key=lambda x: (-x[1], x[0]))[:room])
-    added = {largest + 1 + k: x for k, x in enumerate(taken)}
-    events += [("new", o, d, score) for o, (d, score, _) in added.items()]
-
-    for o in names:
+    empty = [o for o, own in boxes.items() if own[2] <= own[0] or own[3] <= own[1]]
+    seen = {o for (_, o), v in overlap.items() if v >= rules.strict}
+    lost = [o for o in names if o not in seen and o not in empty]
+    of_det: dict[int, list[int]] = {d: [] for d, _, _ in detections}
+    for (d, o), v in overlap.items():
+        if v >= rules.near:
+            of_det[d].append(o)
+            events.append(("matched", o, d, v))
+    matched = {e[1] for e in events}
+
+    fresh = [x for x in detections if x[1] >= rules.new_score and not of_det[x[0]]]
+    added = {}
+    if fresh:
+        events += [("candidate", None, d, score) for d, score, _ in fresh]
+        low, high = rules.margin, 1 - rules.margin
+        inside = [x for x in fresh if low < (x[2][0] + x[2][2]) / 2 < high and low < (x[2][1] + x[2][3]) / 2 < high]
+        room = max(rules.budget - len(names), 0)
+        if len(inside) > room:
+            inside = sorted(inside, key=lambda x: (-x[1], x[0]))[:room]
+        added = {largest + 1 + k: x for k, x in enumerate(sorted(inside))}
+        events += [("new", o, d, score) for o, (d, score, _) in added.items()]
+
+    for o in matched:
+        objects[o].alive = min(rules.most, objects[o].alive + 1)
+    for o in lost:
         t = objects[o]
-        if o in matched:
-            t.alive = min(rules.most, t.alive + 1)
-        if o in lost:
-            t.alive, t.lost = max(rules.least, t.alive - 1), t.lost + 1
-    events += [("lost", o, None, None) for o in lost] + [("empty", o, None, None) for o in empty]
+        t.alive, t.lost = max(rules.least, t.alive - 1), t.lost + 1
+        events.append(("lost", o, None, None))
+    events += [("empty", o, None, None) for o in empty]
     age = lambda o: (objects[o].born - frame if rules.reverse else frame - objects[o].born)
     removed = {o for o in names if objects[o].lost >= rules.misses and age(o) < rules.delay}
     events += [("removed_lost", o, None, None) for o in sorted(removed)]
     if rules.suppress_later:
-        events += [("suppressed", o, None, None) for o in names if o not in removed and objects[o].lost and objects[o].alive <= 0]
+        events += [("suppressed", o, None, None) for o in names if objects[o].lost and objects[o].alive <= 0 and o not in removed]
     for own in of_det.values():
         if len(own) > 1:
             first = max(own, key=lambda o: (age(o), -o))
             for o in own:
                 if o != first:
                     pairs[first, o] = pairs.get((first, o), 0) + 1
-    doubled = {o for (_, o), times in pairs.items() if o not in removed and times >= rules.repeats and age(o) < rules.delay}
-    events += [("removed_double", o, None, None) for o in sorted(doubled)]
-    removed |= doubled
+    if pairs:
+        doubled = {o for (_, o), times in pairs.items() if o not in removed and times >= rules.repeats and age(o) < rules.delay}
+        events += [("removed_double", o, None, None) for o in sorted(doubled)]
+        removed |= doubled
 
     if rules.recondition_every and frame % rules.recondition_every == 0:
         sure = {}
@@ -140,16 +158,18 @@ def plan_frame(rules: Rules, frame: int, detections: list[tuple[int, float, Box]
 
     if rules.hide_overlap:
         last = {o: (_ALWAYS if o in removed else -1) if objects[o].occluded is None else objects[o].occluded for o in names}
+        ever = any(v > -1 for v in last.values())
         later = lambda a, b: (last[a] < last[b] if rules.reverse else last[a] > last[b]) and last[b] > -1
-        hidden = {o for a in names for b in names if a != b and iou(objects[a].box, objects[b].box) >= rules.hide_overlap for o in [a] if later(a, b)}
+        hidden = {a for a in names for b in names if ever and a != b and later(a, b) and iou(objects[a].box, objects[b].box) >= rules.hide_overlap}
         events += [("hidden", o, None, None) for o in sorted(hidden)]
         for o in names:
             objects[o].occluded = frame if o in hidden or o in empty else last[o]
 
     for o in removed:
         del objects[o]
-    for key in [k for k in pairs if removed & {*k}]:
-        del pairs[key]
+    if removed:
+        for key in [k for k in pairs if removed & {*k}]:
+            del pairs[key]
     for o, (_, _, box) in added.items():
         objects[o] = Tracked(frame, 0, rules.start, 0, False, None, *box)
     for o in sorted(objects):
@@ -162,6 +182,38 @@ def plan_frame(rules: Rules, frame: int, detections: list[tuple[int, float, Box]
     return events, max([largest, *added])
 
 
+def _packed(frames: DataFrame) -> DataFrame:
+    """Frames as arrays of numbers: frame, and for detections and tracks how many each has, their numbers, and all their values in turn. A table's frames come as one row a
+    session, so that what goes between Spark and Python does not cost by the frame."""
+    def side(name, number, *values):
+        members = F.coalesce(F.col(name), F.array().cast(frames.schema[name].dataType))
+        return [F.transform(members, lambda x: x[number]).alias(f"{name}_id"), F.flatten(F.transform(members, lambda x: F.array(*[x[v] for v in values]))).alias(f"{name}_values")]
+
+    own = frames.select("session", "frame", *side("detections", *_DET), *side("tracks", *_SEEN))
+    each = F.struct(*[c for c in own.columns if c != "session"])
+    rows = own.select("session", F.array(each).alias("f")) if frames.isStreaming else own.groupBy("session").agg(F.collect_list(each).alias("f"))
+    of = lambda name: [F.transform(f"f.{name}_id", lambda x: F.size(x)).alias(f"{name}_n"), F.flatten(f"f.{name}_id").alias(f"{name}_id"), F.flatten(f"f.{name}_values").alias(f"{name}_values")]
+    return rows.select("session", F.col("f.frame").alias("frame"), *of("detections"), *of("tracks"))
+
+
+def _unpacked(row: Any) -> Iterator[tuple]:
+    """frame, [(det, score, box)] and [(object, box)] of each frame of a row of _packed()."""
+    of = lambda name: (getattr(row, f"{name}_{c}").tolist() for c in ("n", "id", "values"))
+    (n_det, det, v), (n_seen, seen, w) = of("detections"), of("tracks")
+    found = [(d, v[k], (v[k + 1], v[k + 2], v[k + 3], v[k + 4])) for d, k in zip(det, range(0, len(v), 5), strict=True)]
+    known = [(o, (w[k], w[k + 1], w[k + 2], w[k + 3])) for o, k in zip(seen, range(0, len(w), 4), strict=True)]
+    i = j = 0
+    for frame, n, m in zip(row.frame.tolist(), n_det, n_seen, strict=True):
+        yield frame, found[i : i + n], known[j : j + m]
+        i, j = i + n, j + m
+
+
+def _frame_of(session: Any, events: list[tuple]) -> pd.DataFrame:
+    frame, kind, o, d, value = zip(*events, strict=True)
+    whole = lambda v: pd.arrays.IntegerArray(np.array([0 if x is None else x for x in v], np.int64), np.array([x is None for x in v]))
+    return pd.DataFrame({"session": [session] * len(events), "frame": frame, "kind": kind, "object": whole(o), "det": whole(d), "value": np.array(value, np.float64)})
+
+
 class _Planner(StatefulProcessor):
     def __init__(self, rules: Rules) -> None:
         self.rules = rules
@@ -171,22 +223,26 @@ class _Planner(StatefulProcessor):
         self.pairs = handle.getMapState("pairs", "first long, double long", "times long")
         self.counters = handle.getValueState("counters", "largest long, frame long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         objects = {k[0]: Tracked(*v) for k, v in self.objects.iterator()}
         pairs = {tuple(k): v[0] for k, v in self.pairs.iterator()}
         largest, last = self.counters.get() if self.counters.exists() else (-1, None)
         known, known_pairs = {o: Tracked(**vars(t)) for o, t in objects.items()}, dict(pairs)
-        for r in sorted(rows, key=lambda r: -r["frame"] if self.rules.reverse else r["frame"]):
-            frame = r["frame"]
+        given = [r for part in rows for row in part.itertuples(index=False) for r in _unpacked(row)]
+        given.sort(key=lambda r: -r[0] if self.rules.reverse else r[0])
+        events: list[tuple] = []
+        for frame, found, seen in given:
             if last is not None and (frame >= last if self.rules.reverse else frame <= last):
-                yield Row(session=key[0], frame=frame, kind="late", object=None, det=None, value=None)
+                events.append((frame, "late", None, None, None))
                 continue
-            found = sorted((d["det"], d["score"], (d["x0"], d["y0"], d["x1"], d["y1"])) for d in r["detections"] or [])
-            seen = {t["object"]: (t["x0"], t["y0"], t["x1"], t["y1"]) for t in r["tracks"] or []}
-            events, largest = plan_frame(self.rules, frame, found, seen, objects, pairs, largest)
+            own, largest = plan_frame(self.rules, frame, sorted(found), dict(seen), objects, pairs, largest)
             last = frame
-            for kind, o, d, value in events:
-                yield Row(session=key[0], frame=frame, kind=kind, object=o, det=d, value=value)
+            events += [(frame, *e) for e in own]
+            if len(events) >= _EVENTS:
+                yield _frame_of(key[0], events)
+                events = []
+        if events:
+            yield _frame_of(key[0], events)
         for o in known.keys() - objects.keys():
             self.objects.removeKey((o,))
         for o, t in objects.items():
@@ -210,4 +266,4 @@ def plan_sessions(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
     tracker sees objects by their numbers here; a box without area is an empty mask, and objects without a row stay where they were. Null arrays are empty. The
     frames of one micro-batch are put in order; a frame that does not lie behind the last one of its session gives one row of kind `late` and changes nothing.
     """
-    return keyed(frames, ["session"], _Planner(rules), OUT)
+    return keyed_frames(_packed(frames), ["session"], _Planner(rules), OUT)

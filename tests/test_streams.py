@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,12 @@ def test_action_log_equals_batch(spark, tmp_path):
             s: (p, sorted(set(o or [])) if p != "propagation_partial" else o) for s, (p, o) in want.items()
         }
     assert got[99, 900] == ("propagation_full", None)
+
+
+def test_the_frames_of_a_table_go_to_the_planner_as_one_row_a_session(spark):
+    frames = plans.frames_to_plan(spark, SF)
+    packed = tracker._packed(frames).collect()
+    assert len(packed) == frames.select("session").distinct().count() < frames.count()
+    got = {(r.session, f): (sorted(d), o) for r in packed for f, d, o in tracker._unpacked(type("Row", (), {c: np.array(r[c]) for c in packed[0].asDict()}))}
+    box = lambda x: (x.x0, x.y0, x.x1, x.y1)
+    assert got == {(r.session, r.frame): (sorted((d.det, d.score, box(d)) for d in r.detections), [(t.object, box(t)) for t in r.tracks or []]) for r in frames.collect()}
