@@ -18,10 +18,16 @@ RANGE = 4096
 
 def numbered(df: DataFrame, name: str, key: str, *order: str, first: int = 1) -> DataFrame:
     """df with a gapless number from `first` in the order of a whole-number key >= 0, then `order`. Rows are numbered within ranges of the key, ranges within ranges of
-    ranges, so the one unpartitioned window sees a row for RANGE * RANGE keys."""
-    ranged = df.withColumn("_range", F.floor(F.col(key) / RANGE)).withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(key, *order)))
+    ranges, so the one unpartitioned window sees a row for RANGE * RANGE keys.
+
+    Rows and the counts of ranges come from the same ranked rows: all columns take part in the ranks (which settles ties too), and neither ranges nor blocks are ever null (else joins would
+    filter one of them), so both need the same of df, and it is computed and shuffled once. Columns that have no order (maps) can't take part; with them df is computed twice.
+    """
+    rest = [c for c in df.columns if c not in (key, *order) and "map<" not in df.schema[c].dataType.simpleString()]
+    part = lambda c: F.coalesce(F.floor(F.col(c) / RANGE), F.lit(-1).cast("long"))
+    ranged = df.withColumn("_range", part(key)).withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(key, *order, *rest)))
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_block", F.floor(F.col("_range") / RANGE))
+    counts = ranged.groupBy("_range").agg(F.max("_rank").alias("n")).withColumn("_block", part("_range"))
     blocks = counts.groupBy("_block").agg(F.sum("n").alias("n")).withColumn("_start", before("n", Window.orderBy("_block"))).drop("n")
     starts = counts.withColumn("_in", before("n", Window.partitionBy("_block").orderBy("_range"))).join(blocks, "_block").select("_range", (F.col("_start") + F.col("_in")).alias("_before"))
     return ranged.join(starts, "_range").withColumn(name, (F.col("_before") + F.col("_rank") - 1 + first).cast("long")).drop("_range", "_rank", "_before")
@@ -119,12 +125,19 @@ def masks_to_rows(predictions: DataFrame, keys: Sequence[str], height: str, widt
 def tracks_to_images(tracks: DataFrame, images: DataFrame, *order: str) -> DataFrame:
     """A row per track and frame of tracks(video_id, track_id, category_id, score, bboxes, areas): frames without a box, or with an all-zero one, are skipped; the frame's
     image comes from images(image_id, video_id, frame), and a missing one fails the job; an area that is missing or 0 is w * h. Ids go from 1 in order of image."""
-    long = tracks.select("video_id", "track_id", "category_id", "score", F.posexplode(F.arrays_zip("bboxes", "areas")).alias("frame", "v"))
-    box = F.col("v.bboxes")
-    long = long.where(box.isNotNull() & F.exists(box, lambda x: x != 0)).withColumn("frame", F.col("frame").cast("long"))
-    placed = required(long, images.select("image_id", "video_id", "frame"), ["video_id", "frame"], "image")
-    area = F.coalesce(F.nullif(F.col("v.areas"), F.lit(0.0)), F.get(box, 2) * F.get(box, 3))
-    out = placed.select("image_id", "video_id", "frame", "track_id", "category_id", "score", box.alias("bbox"), area.alias("area"))
+    shown = lambda box: box.isNotNull() & F.exists(box, lambda x: x != 0)
+    known = images.groupBy("video_id").agg(F.collect_list(F.struct("frame", "image_id")).alias("_images"))
+    held = tracks.join(known, "video_id", "left")  # by video, not by frame: tracks that lie by video stay where they are, and boxes are not sent
+    frames = F.array_compact(F.transform("bboxes", lambda box, k: F.when(shown(box), k.cast("long"))))
+    empty = F.array().cast("array<bigint>")
+    missing = F.array_except(F.coalesce(frames, empty), F.coalesce("_images.frame", empty))
+    said = F.concat(F.lit("no image for "), F.concat_ws(", ", F.col("video_id").cast("string"), F.get(missing, 0).cast("string")))
+    held = held.where(F.when(F.size(missing) == 0, True).otherwise(F.raise_error(said).cast("boolean")))
+    long = held.select("video_id", "track_id", "category_id", "score", "bboxes", "areas", F.explode_outer("_images").alias("_i"))  # explode() would filter tracks without images before they are checked
+    at = F.when(F.col("_i.frame") < F.size("bboxes"), F.col("_i.frame")).cast("int")
+    long = long.select("video_id", "_i.frame", "_i.image_id", "track_id", "category_id", "score", F.get("bboxes", at).alias("bbox"), F.get("areas", at).alias("area")).where(shown(F.col("bbox")))
+    area = F.coalesce(F.nullif("area", F.lit(0.0)), F.get("bbox", 2) * F.get("bbox", 3))
+    out = long.select("image_id", "video_id", "frame", "track_id", "category_id", "score", "bbox", area.alias("area"))
     return numbered(out, "id", "image_id", "track_id", *order)
 
 

@@ -52,7 +52,7 @@ def image_steps(spark, d):
 def _tracks(spark, d):
     """Tracks of a customer's videos: the objects' numbers, an array with a place for each image."""
     o = objects(spark, d).join(_images(spark, d).select("image_id", F.col("video_id").alias("video"), "frame"), "image_id")
-    own = o.groupBy("video", "obj").agg(F.map_from_entries(F.collect_list(F.struct("frame", F.struct(F.array("x0", "y0", "w", "h").alias("bbox"), (F.col("w") * F.col("h") * (F.col("tax") % 2)).alias("area"))))).alias("at"), F.max(F.round("score", 2)).alias("score"), F.min("category_id").alias("category_id"), F.max("frame").alias("last"))
+    own = o.repartition("video").groupBy("video", "obj").agg(F.map_from_entries(F.collect_list(F.struct("frame", F.struct(F.array("x0", "y0", "w", "h").alias("bbox"), (F.col("w") * F.col("h") * (F.col("tax") % 2)).alias("area"))))).alias("at"), F.max(F.round("score", 2)).alias("score"), F.min("category_id").alias("category_id"), F.max("frame").alias("last"))
     at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda t: F.try_element_at("at", t))
     return own.select(F.col("video").alias("video_id"), F.col("obj").alias("track_id"), "category_id", "score", F.transform(at, lambda x: x["bbox"]).alias("bboxes"), F.transform(at, lambda x: x["area"]).alias("areas"))
 

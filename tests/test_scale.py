@@ -4,10 +4,11 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import boxes, masks, points, rotated, runs
-from framelake.operators import assign, evaluation, matching, metrics
+from framelake.operators import assign, evaluation, matching, metrics, records
 from framelake.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -197,3 +198,28 @@ def test_errors_of_a_group_are_judged_in_its_row(spark):
     assert {(r.cls, r.score, r.error, r.to): r.n for r in own if not r.is_gt} == {(r["cls"], r["score"], r["error"], r["to"]): r["count"] for r in want}
     assert {r.error for r in want} == {None, *evaluation.ERRORS[:-1]}
     assert sorted(evaluation.precision_lost_of(evaluation.tally(rows)).collect()) == sorted(evaluation.precision_lost(found, typed, ["i"], "cls").collect())
+
+
+def test_tracks_of_videos_are_numbered_from_one_shuffle(spark):
+    assert not [x for x in _exchanges(QUERIES["tracks_as_images"](spark, SF)) if "frame" in x]  # boxes are not sent to the frames of their videos
+    seen = spark.sparkContext.accumulator(0)
+
+    def kept(k):
+        seen.add(1)
+        return k % 3 > 0
+
+    df = spark.range(20000, numPartitions=2).select((F.col("id") * 7 % 20011).alias("key"), F.lit("x").alias("more")).where(F.udf(kept, "boolean")("key"))
+    got = sorted((r.key, r.n) for r in records.numbered(df, "n", "key").collect())
+    assert [n for _, n in got] == list(range(1, len(got) + 1)) and got and seen.value == 20000  # rows and counts of ranges have one source
+
+
+def test_tracks_to_images_by_hand(spark):
+    kind = "video_id long, track_id long, category_id long, score double, bboxes array<array<double>>, areas array<double>"
+    box = [1.0, 2.0, 3.0, 4.0]
+    tracks = [(1, 5, 0, 0.5, [box, None, [0.0] * 4, box], [7.0, None, 1.0]), (2, 6, 0, 0.5, None, None), (3, 7, 0, 0.5, [], []), (4, 8, 0, 0.5, [None, box], [None, 0.0])]
+    images = spark.createDataFrame([(10, 1, 3), (11, 1, 0), (12, 1, 9), (20, 4, 1), (21, 4, 1)], "image_id long, video_id long, frame long")
+    got = records.tracks_to_images(spark.createDataFrame(tracks, kind), images).select("id", "image_id", "frame", "track_id", "area").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, 3, 5, 12.0), (2, 11, 0, 5, 7.0), (3, 20, 1, 8, 12.0), (4, 21, 1, 8, 12.0)]
+    for video in (1, 9):
+        with pytest.raises(Exception, match=f"no image for {video}, 1"):
+            records.tracks_to_images(spark.createDataFrame([(video, 1, 0, 0.5, [None, box], [None, None])], kind), images).collect()
