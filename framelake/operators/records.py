@@ -319,10 +319,16 @@ def scored_tracks(near: DataFrame, assigned: DataFrame, tracks: DataFrame, exhau
 
     near(video_id, category_id, track_id) and assigned (the same) name the ground truth's category, tracks the predicted one; exhaustive(video_id, category_id).
     """
-    key = ["video_id", "track_id"]
-    other = near.select("video_id", "category_id", "track_id").distinct().join(assigned.select(*key, F.col("category_id").alias("_c")).distinct(), key, "left").groupBy("video_id", "category_id", "track_id")
-    kept = other.agg(F.max(F.when(F.col("_c") != F.col("category_id"), 1).otherwise(0)).alias("_other")).where("_other = 0").drop("_other")
-    if exhaustive is None:
-        return kept
-    own = tracks.select("video_id", "category_id", "track_id").distinct().join(exhaustive.select("video_id", "category_id").distinct(), ["video_id", "category_id"], "left_semi")
-    return kept.unionByName(own).distinct()
+    mark = lambda df, **marks: df.select("video_id", "category_id", "track_id", *[F.lit(marks.get(c, False)).alias(c) for c in ("near", "assigned", "own")])
+    rows = mark(near, near=True).unionByName(mark(assigned, assigned=True))
+    if exhaustive is not None:
+        rows = rows.unionByName(mark(tracks.join(exhaustive.select("video_id", "category_id").distinct(), ["video_id", "category_id"], "left_semi"), own=True))
+    return marked_tracks(rows).where("kept OR own").select("video_id", "category_id", "track_id")
+
+
+def marked_tracks(rows: DataFrame) -> DataFrame:
+    """video_id, category_id, track_id, kept and own of scored_tracks(), once for each: kept for those near the category that no other one is assigned, own for those of a
+    category with exhaustive labels. rows(video_id, category_id, track_id, near, assigned, own) with marks; they are shuffled once."""
+    each = rows.repartition("video_id", "track_id").groupBy("video_id", "category_id", "track_id").agg(*[F.max(c).alias(c) for c in ("near", "assigned", "own")])
+    others = F.count_if("assigned").over(Window.partitionBy("video_id", "track_id")) - F.col("assigned").cast("long")
+    return each.withColumn("kept", F.col("near") & (others == 0)).select("video_id", "category_id", "track_id", "kept", "own")

@@ -223,3 +223,13 @@ def test_tracks_to_images_by_hand(spark):
     for video in (1, 9):
         with pytest.raises(Exception, match=f"no image for {video}, 1"):
             records.tracks_to_images(spark.createDataFrame([(video, 1, 0, 0.5, [None, box], [None, None])], kind), images).collect()
+
+
+def test_scored_tracks_are_marked_in_one_pass(spark):
+    assert "Join" not in _plan(spark, "scored_categories")
+    rows = lambda *r: spark.createDataFrame(r, "video_id long, category_id long, track_id long")
+    near, assigned = rows((1, 1, 5), (1, 2, 5), (1, 3, 6), (2, 1, 5), (1, 4, 7), (1, 4, 7)), rows((1, 2, 5), (1, 4, 7))
+    tracks, full = rows((1, 1, 5), (1, 1, 8), (1, 1, 8), (1, 9, 6), (2, 1, 5)), spark.createDataFrame([(1, 1), (1, 1)], "video_id long, category_id long")
+    found = lambda *more: sorted(map(tuple, records.scored_tracks(near, assigned, tracks, *more).collect()))
+    assert found() == [(1, 2, 5), (1, 3, 6), (1, 4, 7), (2, 1, 5)]
+    assert found(full) == [(1, 1, 5), (1, 1, 8), (1, 2, 5), (1, 3, 6), (1, 4, 7), (2, 1, 5)]
