@@ -196,9 +196,11 @@ def class_agnostic(rows: DataFrame, keep: str = "orig_category_id") -> DataFrame
 
 def dense_relabelled(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """A column's values numbered from 0 in order within each group; a value that stands twice in a frame of it fails the job: rows(keys, t, name)."""
-    twice = F.count("*").over(Window.partitionBy(*keys, "t", name)) > 1
+    here = Window.partitionBy(*keys).orderBy(name, "t")  # the one order that both need: equal values of a frame stand side by side
+    twice = (F.lag(name).over(here) == F.col(name)) & (F.lag("t").over(here) == F.col("t"))
     number = (F.dense_rank().over(Window.partitionBy(*keys).orderBy(name)) - 1).cast("long")
-    return rows.withColumn(name, F.when(twice, F.raise_error(F.lit(f"{name} stands twice in a frame")).cast("long")).otherwise(number))
+    checked = F.when(F.col("_twice"), F.raise_error(F.lit(f"{name} stands twice in a frame")).cast("long"))
+    return rows.withColumn("_twice", twice).withColumn(name, checked.otherwise(number)).drop("_twice")
 
 
 def text_filtered(queries: DataFrame, phrase: str, excluded: Sequence[str]) -> DataFrame:

@@ -111,7 +111,7 @@ def positive_detections(spark, d):
 
 def relabelled_tracks(spark, d):
     o = objects(spark, d).withColumn("track", F.col("part") * 8 + F.row_number().over(Window.partitionBy("video_id", "image_id", "part").orderBy("obj")))
-    return records.dense_relabelled(o.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), "track"), ["seq"], "track").groupBy("seq").agg(F.count("*").alias("n"), F.countDistinct("track").alias("n_tracks"), F.max("track").alias("last"))
+    return records.dense_relabelled(o.select(F.col("video_id").alias("seq"), F.col("image_id").alias("t"), "track"), ["seq"], "track").groupBy("seq").agg(F.count("*").alias("n"), (F.max("track") + 1).alias("n_tracks"), F.max("track").alias("last"))  # the numbers have no gaps
 
 
 def prompted_queries(spark, d):

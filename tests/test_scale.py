@@ -233,3 +233,9 @@ def test_scored_tracks_are_marked_in_one_pass(spark):
     found = lambda *more: sorted(map(tuple, records.scored_tracks(near, assigned, tracks, *more).collect()))
     assert found() == [(1, 2, 5), (1, 3, 6), (1, 4, 7), (2, 1, 5)]
     assert found(full) == [(1, 1, 5), (1, 1, 8), (1, 2, 5), (1, 3, 6), (1, 4, 7), (2, 1, 5)]
+
+
+def test_relabelled_tracks_are_sorted_once_after_they_are_sent(spark):
+    plan = _plan(spark, "relabelled_tracks")
+    assert plan.count("Sort [") == 3  # objects, their numbers, and tracks of a sequence
+    assert not [x for x in plan.splitlines() if "HashAggregate(keys" in x and "track" in x.split("functions")[0]]  # no map of all tracks
