@@ -82,6 +82,20 @@ def _placed_spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return start - base[mask], end - base[mask], mask, len(base) - 1
 
 
+def _levels(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of spans that may overlap, in order, and how many spans lie over the stretch from each to the next."""
+    keys = np.sort(np.concatenate([2 * start + 1, 2 * end]))
+    places = keys >> 1
+    last = np.concatenate([places[1:] != places[:-1], np.ones(min(1, len(places)), bool)])
+    return places[last], np.cumsum(2 * (keys & 1) - 1)[last]
+
+
+def _stretches(places: np.ndarray, on: np.ndarray) -> Spans:
+    """Spans of the stretches of _levels() that are on; the last one never is."""
+    turns = places[np.flatnonzero(np.diff(on, prepend=False))]
+    return turns[0::2], turns[1::2]
+
+
 def _lists(spans: Spans, base: np.ndarray) -> pa.Array:
     """Run lengths of each row."""
     start, end = spans
@@ -383,19 +397,42 @@ def cleaned(counts: pa.Array, h: pa.Array, most: pa.Array) -> pa.Array:
 # ---- boundaries
 
 
-def _boundary(spans: Spans, base: np.ndarray, h: np.ndarray, w: np.ndarray) -> Spans:
-    row, x, y0, y1 = _columns(spans, base, h)
-    right, below, corner = (_placed(row, x - dx, y0 - dy, y1 - dy, base, h, w) for dx, dy in ((1, 0), (0, 1), (1, 1)))
-    size = np.diff(base) > 0
-    last = _placed(np.flatnonzero(size), (w - 1)[size], np.zeros(size.sum(), np.int64), h[size], base, h, w)
-    n = np.where(size, w, 0)
-    rows = np.repeat(np.arange(len(w)), n)
-    bottom = _placed(rows, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), h[rows] - 1, h[rows], base, h, w)
+def _gapped(base: np.ndarray) -> np.ndarray:
+    """Where rows begin on a line with a free place behind each, so that spans of two rows never touch."""
+    return base + np.arange(len(base))
 
-    def differs(m: np.ndarray, e: np.ndarray, s: np.ndarray, se: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
-        return np.where(end, np.where(low, False, m ^ s), np.where(low, m ^ e, (m ^ e) | (m ^ s) | (m ^ se)))
 
-    return _where([spans, right, below, corner, last, bottom], base, differs)
+def _boundary(spans: Spans, base: np.ndarray, line: np.ndarray, h: np.ndarray, w: np.ndarray) -> Spans:
+    """Spans on the line `line` of the pixels where a mask, and it moved left, up, and both, are not all alike. Moved masks keep their last row or column."""
+    row, x, y0, y1 = _columns(spans, base, h)
+    tall = h[row]
+    edge = line[row] + x * tall
+    up0, up1 = np.maximum(y0 - 1, 0), y1 - (y1 < tall)
+    start, end = np.concatenate([edge + y0, edge + up0]), np.concatenate([edge + y1, edge + up1])
+    back = np.concatenate([np.where(x > 0, tall, 0)] * 2)
+    some, last = np.concatenate([x > 0] * 2), np.concatenate([x == w[row] - 1] * 2)
+    start, end = (np.concatenate([v, (v - back)[some], v[last]]) for v in (start, end))
+    places, cover = _levels(start, end)
+    return _stretches(places, (cover > 0) & (cover < 4))
+
+
+def _dilated(spans: Spans, line: np.ndarray, h: np.ndarray, w: np.ndarray, by: np.ndarray) -> Spans:
+    """Spans of what lies within `by` rows and columns of spans; both stand on a line with gaps."""
+    row, x, y0, y1 = _columns(spans, line, h)
+    at, reach = line[row] + x * h[row], by[row]
+    n = 2 * reach + 1
+    piece = np.repeat(np.arange(len(row)), n)
+    k = np.arange(len(piece)) - (np.cumsum(n) - n)[piece] - reach[piece]
+    some = (x[piece] + k >= 0) & (x[piece] + k < w[row[piece]])
+    piece, k = piece[some], k[some]
+    move = k * h[row[piece]]
+    places, cover = _levels((at + np.maximum(y0 - reach, 0))[piece] + move, (at + np.minimum(y1 + reach, h[row]))[piece] + move)
+    return _stretches(places, cover > 0)
+
+
+def _ungapped(spans: Spans, line: np.ndarray) -> Spans:
+    row = np.searchsorted(line, spans[0], "right") - 1
+    return spans[0] - row, spans[1] - row
 
 
 @F.arrow_udf(_RUNS)
@@ -404,7 +441,8 @@ def boundary(counts: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
 
     def work(counts: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         spans, base = _spans(counts)
-        return _lists(_boundary(spans, base, h.to_numpy().astype(np.int64), w.to_numpy().astype(np.int64)), base)
+        line = _gapped(base)
+        return _lists(_ungapped(_boundary(spans, base, line, h.to_numpy().astype(np.int64), w.to_numpy().astype(np.int64)), line), base)
 
     return _whole(work, counts, h, w)
 
@@ -415,16 +453,86 @@ def dilated(counts: pa.Array, h: pa.Array, w: pa.Array, reach: pa.Array) -> pa.A
 
     def work(counts: pa.Array, h: pa.Array, w: pa.Array, reach: pa.Array) -> pa.Array:
         spans, base = _spans(counts)
+        line = _gapped(base)
+        row = np.searchsorted(base, spans[0], "right") - 1
         tall, wide, by = (c.to_numpy().astype(np.int64) for c in (h, w, reach))
-        row, x, y0, y1 = _columns(spans, base, tall)
-        y0, y1, n = y0 - by[row], y1 + by[row], 2 * by[row] + 1
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row, x, y0, y1 = (np.repeat(v, n) for v in (row, x, y0, y1))
-        return _lists(_placed(row, x + k - by[row], y0, y1, base, tall, wide), base)
+        return _lists(_ungapped(_dilated((spans[0] + row, spans[1] + row), line, tall, wide, by), line), base)
 
     return _whole(work, counts, h, w, reach)
 
 
+#: Masks that are outlined at once: their edges then stay in the cache.
+_ROWS = 1 << 10
+
+
+class _Masks:
+    """Spans within their masks, mask by mask, and the pixels and the size of each mask. line: where masks begin, the last place of each being free or not."""
+
+    def __init__(self, spans: Spans, line: np.ndarray):
+        n = len(line) - 1
+        mask = np.searchsorted(line, spans[0], "right") - 1
+        self.start, self.end = spans[0] - line[mask], spans[1] - line[mask]
+        self.spans = np.bincount(mask, minlength=n)
+        self.first = np.cumsum(self.spans) - self.spans
+        self.pixels = np.bincount(mask, weights=spans[1] - spans[0], minlength=n).astype(np.int64)
+        self.size = np.diff(line)
+
+    def boxes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and first free (place, y) of each mask of height h; masks without pixels have boxes that meet nothing."""
+        mask = np.repeat(np.arange(len(self.spans)), self.spans)
+        tall = h[mask]
+        across = (self.end - 1) // tall > self.start // tall
+        low, high = np.full((2, len(self.spans)), np.iinfo(np.int64).max), np.zeros((2, len(self.spans)), np.int64)
+        for k, (a, b) in enumerate(((self.start, self.end), (np.where(across, 0, self.start % tall), np.where(across, tall, (self.end - 1) % tall + 1)))):
+            np.minimum.at(low[k], mask, a)
+            np.maximum.at(high[k], mask, b)
+        return low, high
+
+    def of(self, masks: np.ndarray, stride: int) -> Spans:
+        """The spans of some masks, each on a stretch of its own of so many places."""
+        n = self.spans[masks]
+        at = np.repeat(np.arange(len(masks)), n)
+        own = np.arange(len(at)) - (np.cumsum(n) - n)[at] + self.first[masks][at]
+        return self.start[own] + at * stride, self.end[own] + at * stride
+
+
+def _shared(one: _Masks, a: np.ndarray, two: _Masks, b: np.ndarray, stride: int) -> np.ndarray:
+    """Pixels that mask a[k] of the one and mask b[k] of the other share, for each k."""
+    places, cover = _levels(*(np.concatenate(v) for v in zip(one.of(a, stride), two.of(b, stride), strict=True)))
+    both = np.flatnonzero(cover == 2)
+    return np.bincount(places[both] // stride, weights=places[both + 1] - places[both], minlength=len(a)).astype(np.int64)
+
+
+def _outlines(counts: pa.Array, h: np.ndarray, w: np.ndarray, by: np.ndarray) -> tuple[_Masks, _Masks, _Masks]:
+    """Masks, their boundaries, and what lies near these."""
+    spans, base = _spans(counts)
+    line = _gapped(base)
+    outline = _boundary(spans, base, line, h, w)
+    return _Masks(spans, base), _Masks(outline, line), _Masks(_dilated(outline, line, h, w, by), line)
+
+
+_OUTLINES = T.StructType([T.StructField(n, T.LongType()) for n in ("truth", "found", "truth_near", "found_near", "found_hits", "truth_hits")])
+
+
+@F.arrow_udf(_OUTLINES)
+def outlines(truth: pa.Array, found: pa.Array, h: pa.Array, w: pa.Array, reach: pa.Array) -> pa.Array:
+    """Pixels of the boundaries of two masks of one size, of what lies within `reach` rows and columns of these, and of each boundary those that lie near the other one."""
+
+    def part(truth: pa.Array, found: pa.Array, tall: np.ndarray, wide: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+        (m, t, t_near), (o, f, f_near) = (_outlines(c, tall, wide, by) for c in (truth, found))
+        if (m.size != o.size).any():
+            raise ValueError("masks of different sizes")
+        rows, stride = np.arange(len(tall)), int(m.size.max(initial=0)) + 1
+        return [t.pixels, f.pixels, t_near.pixels, f_near.pixels, _shared(f, rows, t_near, rows, stride), _shared(t, rows, f_near, rows, stride)]
+
+    def work(truth: pa.Array, found: pa.Array, *sizes: pa.Array) -> pa.Array:
+        sizes = [c.to_numpy().astype(np.int64) for c in sizes]
+        done = [part(truth[k : k + _ROWS], found[k : k + _ROWS], *(v[k : k + _ROWS] for v in sizes)) for k in range(0, max(1, len(truth)), _ROWS)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done, strict=True)], _OUTLINES.names)
+
+    return _whole(work, truth, found, h, w, reach)
+
+
 # ---- rasters
 
 

@@ -239,3 +239,34 @@ def test_relabelled_tracks_are_sorted_once_after_they_are_sent(spark):
     plan = _plan(spark, "relabelled_tracks")
     assert plan.count("Sort [") == 3  # objects, their numbers, and tracks of a sequence
     assert not [x for x in plan.splitlines() if "HashAggregate(keys" in x and "track" in x.split("functions")[0]]  # no map of all tracks
+
+
+def _some_masks(rng, h, w):
+    """Random, empty and full masks, and boxes at the borders."""
+    m = rng.random((h, w)) < rng.choice([0.0, 0.2, 0.6, 1.0])
+    if rng.random() < 0.4:
+        y, x = sorted(rng.integers(0, h + 1, 2)), sorted(rng.integers(0, w + 1, 2))
+        m = np.zeros((h, w), bool)
+        m[y[0] : y[1], x[0] : x[1]] = True
+    return m
+
+
+def test_outlines_of_a_pair_are_counted_in_one_call(spark):
+    plan = _plan(spark, "outline_scores")
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and plan.count("FileScan") == 1
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for k in range(1500):  # more than one part of a batch
+        h, w, reach = (int(v) for v in rng.integers(1, 8, 3))
+        t, f = _some_masks(rng, h, w), _some_masks(rng, h, w)
+        rows.append((k, masks.encode(t), masks.encode(f), h, w, reach))
+        lines = [masks.boundary(m) for m in (t, f)]
+        ys, xs = np.mgrid[:h, :w]
+        near = [np.any([(abs(ys - y) <= reach) & (abs(xs - x) <= reach) for y, x in zip(*np.nonzero(b))], axis=0) & np.ones((h, w), bool) if b.any() else np.zeros((h, w), bool) for b in lines]
+        want[k] = tuple(int(m.sum()) for m in (*lines, *near, lines[1] & near[0], lines[0] & near[1]))
+    rows.append((1500, None, [4], 2, 2, 1))
+    df = spark.createDataFrame(rows, "k long, t array<int>, f array<int>, h int, w int, reach int").repartition(1)
+    got = {r.k: r.n for r in df.select("k", runs.outlines("t", "f", "h", "w", "reach").alias("n")).collect()}
+    assert got.pop(1500) is None and {k: tuple(n) for k, n in got.items()} == want
+    with pytest.raises(Exception, match="masks of different sizes"):
+        spark.createDataFrame([([4], [6], 2, 2, 1)], "t array<int>, f array<int>, h int, w int, reach int").select(runs.outlines("t", "f", "h", "w", "reach")).collect()
