@@ -90,9 +90,8 @@ def _rows_of(begin: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 _STATE = "doc_id {id}, n long, node long, merged binary, far binary"
 
 
-def _searched(docs: DataFrame, words: int, t: Fraction, long_list: int, n_parts: int) -> DataFrame:
+def _searched(docs: DataFrame, words: int, t: Fraction, long_list: int, n_parts: int, n_buckets: int) -> DataFrame:
     """Of each row: doc_id, n (its shingles), node (its class), and, for one row of each class and part that can link: hashes to merge and far ones, in hash order."""
-    n_buckets = parts.buckets(docs.sparkSession, n_parts)
     dealt = parts.dealt(docs, n_parts)
     binary = pa.binary()
     id_type = dict(docs.dtypes)["doc_id"]
@@ -387,10 +386,8 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     Texts are lower-cased (A-Z); sets with fewer words than a shingle are one shingle, sets without words are empty and link with nothing. Links are Jaccard similarity
     >= threshold, compared in integers. Rows that repeat a doc_id link as any others. A null doc_id with links takes the least doc_id it reaches, else null.
     """
-    spark = docs.sparkSession
-    n_parts = parts.count(docs)
-    n_buckets = parts.buckets(spark, n_parts)
-    state = written(_searched(docs, words, threshold, long_list, n_parts), "shingle-state")
+    n_parts, n_buckets = parts.small(docs)
+    state = written(_searched(docs, words, threshold, long_list, n_parts, n_buckets), "shingle-state")
     nodes = state.where("merged is not null").select("node", F.col("n").cast("int").alias("n"), (F.octet_length("far") / 8).cast("int").alias("aside"), ((F.octet_length("merged") + F.octet_length("far")) / 8).cast("int").alias("common"), "merged", "far")
 
     hubs = _postings(nodes.withColumn("component", F.col("node")), ["merged", "far"], n_buckets).groupBy("bucket").applyInArrow(_meet_hubs(n_buckets), _MEETING)

@@ -25,8 +25,17 @@ _LAST = np.iinfo(np.int64).max
 
 def count(docs: DataFrame) -> int:
     """How many parts docs(text) is dealt into."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(PARTS_PER_TASK * shuffle_partitions(docs.sparkSession), -(-total // PART_BYTES))
+    return max(PARTS_PER_TASK * shuffle_partitions(docs.sparkSession), -(-_bytes(docs) // PART_BYTES))
+
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def small(docs: DataFrame) -> tuple[int, int]:
+    """How many parts, and how many buckets, if each is to take a quarter of PART_BYTES at most: a bucket of so many texts' hashes, too, is held by a task."""
+    n, least = -(-4 * _bytes(docs) // PART_BYTES), shuffle_partitions(docs.sparkSession)
+    return max(PARTS_PER_TASK * least, n), max(least, n)
 
 
 def dealt(docs: DataFrame, n: int) -> DataFrame:

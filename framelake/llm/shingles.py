@@ -18,24 +18,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text whose letters are hashed at once; a letter takes some 50 bytes meanwhile.
+HASHED_BYTES = 1 << 20
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, in order, and how many words each text has."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    found, before, n, at = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64), 0, 0
+    while at < len(buffer):
+        to = _word_end(buffer, at + HASHED_BYTES)
+        hashes, starts = _hashed(buffer[at:to])
+        own = slice(*np.searchsorted(ends, [at, to], "right"))
+        before[own] = n + np.searchsorted(starts, ends[own] - at)
+        found.append(hashes)
+        n, at = n + len(hashes), to
+    return np.concatenate(found), np.diff(before, prepend=0)
+
+
+def _word_end(buffer: np.ndarray, at: int) -> int:
+    """The first place from `at` on that no word goes over: a space, or the end."""
+    while at < len(buffer):
+        space = _SPACE[buffer[at : at + 4096]]
+        if space.any():
+            return at + int(space.argmax())
+        at += 4096
+    return len(buffer)
+
+
+def _hashed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in a buffer, and where they start."""
     space = _SPACE[buffer]
     word = ~space
     start = word.copy()
     start[1:] &= space[:-1]
     starts = np.flatnonzero(start)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), starts
     at = np.flatnonzero(word)
     number = np.cumsum(start)[at] - 1
     place = at - starts[number]
     powers = np.cumprod(np.full(int(place.max()) + 1, _STEP))
-    sums = np.add.reduceat(_BYTE[buffer[at]] * powers[place], np.flatnonzero(place == 0))
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
-    return mix(sums), counts
+    return mix(np.add.reduceat(_BYTE[buffer[at]] * powers[place], np.flatnonzero(place == 0))), starts
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

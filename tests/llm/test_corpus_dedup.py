@@ -218,3 +218,29 @@ def test_lines_that_differ_in_a_word_and_short_repeats(spark, rows):
     got = line_dedup.dedup_lines(df, 1, 30, word_share=0.25, short_repeats=True).drop("mark").collect()
     assert Counter(map(tuple, got)) == want
     assert sum(n for _, _, n, _ in want) > 60 and Counter(map(tuple, line_dedup.dedup_lines(df, 1, 30).drop("mark").collect())) != want
+
+
+def test_large_parts_are_hashed_piece_by_piece(spark, monkeypatch):
+    """Words at the ends of pieces, texts of nothing but spaces, and words longer than a piece hash as in one piece; what a part holds is a few times its words, not fifty times its letters."""
+    import tracemalloc
+
+    from framelake.llm import shingles
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ab \n\t") for _ in range(rng.randrange(0, 40))).encode() for _ in range(200)] + [b"", b" ", b"x" * 9000 + b" y", b"z" * 5000]
+    whole = shingles.word_hashes(texts)
+    assert whole[1].tolist() == [len(t.split()) for t in texts]
+    for size in (1, 7, 64, 4096):
+        monkeypatch.setattr(shingles, "HASHED_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(shingles.word_hashes(texts), whole))
+    monkeypatch.undo()
+    assert [len(x) for x in shingles.word_hashes([])] == [0, 0]
+    long = [b"words of some length " * 5000] * 80  # 8 MB
+    tracemalloc.start()
+    shingles.word_hashes(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    monkeypatch.setattr(parts, "PART_BYTES", 4096)
+    docs = spark.createDataFrame([(k, "x" * 1000) for k in range(100)], "doc_id long, text string")
+    assert parts.small(docs) == (98, 98) and parts.small(docs.limit(0)) == (16, 4)  # buckets keep to the bytes as well
