@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .assign import optimal
+from .assign import optimal, picked
 
 #: IoU thresholds in hundredths; comparisons stay exact.
 THRESHOLDS = list(range(50, 100, 5))
@@ -147,41 +151,160 @@ def teta(gt: DataFrame, trk: DataFrame, sim: DataFrame, near: float = 0.5) -> Da
 
     Each class's ground truth is matched within its sequence to tracks of any class. Localisation counts at alphas 0 to 0.95, where a track is a false positive if it
     lies near (IoU `near`) ground truth of the class and is not matched; classification counts matches at alphas from 0.5 on, a wrong class being a false positive of
-    the class that was predicted. Association is that of HOTA, weighted by true positives over sequences. All is counted by how far matches reach before it is spread over alphas.
+    the class that was predicted. Association is that of HOTA, weighted by true positives over sequences. All is counted by how far matches reach before it is spread over alphas, in one pass.
     """
-    group = ["cls", "seq"]
-    alphas = [k / 20 for k in range(20)]
-    levels = F.posexplode(F.array(*map(F.lit, alphas))).alias("_k", "alpha")
     of = lambda kind, *at: F.max(F.when(F.col("kind") == kind, F.col("cls"))).over(Window.partitionBy("seq", "t", *at))
     all_rows = _beside(gt, trk, sim, ["cls"])
     known = all_rows.withColumn("predicted", of("d", "dt")).withColumn("cls", F.when(F.col("kind") == "s", of("g", "gt")).otherwise(F.col("cls")))
-    known = known.withColumn("n_gt", F.count_if(F.col("kind") == "g").over(Window.partitionBy(*group, "gt"))).where("kind = 's' AND cls IS NOT NULL AND n_gt > 0")
-    first = F.row_number().over(Window.partitionBy(*group, "dt", "t").orderBy("gt")) == 1
-    own = known.withColumn("_first", first).withColumn("n_dt", F.count_if("_first").over(Window.partitionBy(*group, "dt")))
-    own = own.withColumn("near", F.max(F.col("iou") >= near).over(Window.partitionBy(*group, "dt", "t")))
-    hits = aligned_matches(own, group, ["n_gt", "n_dt", "predicted", "near"]).where("predicted IS NOT NULL").withColumn("reach", _reach(alphas))
-    # A near track is a false positive at all alphas, less those that its match reaches.
-    close = own.where("_first AND near").groupBy("cls").agg(F.count("*").alias("close"))
-    near_hits = hits.groupBy("cls", "reach").agg(F.count_if("near").alias("n")).select("cls", "reach", "n", levels).where("_k < reach").groupBy("cls", "alpha").agg(F.sum("n").alias("near_tp"))
-    wrong = hits.where("cls <> predicted").groupBy(F.col("predicted").alias("cls"), "reach").agg(F.count("*").alias("n")).select("cls", "reach", "n", levels)
-    wrong = wrong.where((F.col("_k") < F.col("reach")) & (F.col("alpha") >= 0.5 - _CLOSE)).groupBy("cls", "alpha").agg(F.sum("n").alias("cls_fp"))
-    right = F.count_if(F.col("cls") == F.col("predicted"))
-    pair = hits.groupBy(*group, "gt", "dt", "n_gt", "n_dt", "reach").agg(F.count("*").alias("c"), right.alias("right"))
-    far = Window.partitionBy(*group, "gt", "dt").orderBy(F.desc("reach"))
-    steps = pair.withColumn("c", F.sum("c").over(far)).withColumn("right", F.sum("right").over(far)).withColumn("next", F.coalesce(F.lead("reach").over(far), F.lit(0)))
-    c = F.col("c")
-    per = steps.where("reach > 0").groupBy("cls", "reach", "next").agg(
-        F.sum("c").alias("loc_tp"), F.sum("right").alias("cls_tp"),
-        F.sum(c * c / (F.col("n_gt") + F.col("n_dt") - c)).alias("a"), F.sum(c * c / F.col("n_gt")).alias("re"), F.sum(c * c / F.col("n_dt")).alias("pr"),
-    )
-    per = per.select("*", levels).where("_k >= next AND _k < reach").groupBy("cls", "alpha").agg(*[F.sum(x).alias(x) for x in ("loc_tp", "cls_tp", "a", "re", "pr")])
-    total = gt.groupBy("cls").agg(F.count("*").alias("n")).select("cls", "n", levels).drop("_k")
-    every = total.join(per, ["cls", "alpha"], "left").join(close, "cls", "left").join(near_hits, ["cls", "alpha"], "left").join(wrong, ["cls", "alpha"], "left").na.fill(0)
-    every = every.withColumn("loc_fp", F.col("close") - F.col("near_tp"))
+    known = known.where("kind = 'g' OR kind = 's' AND cls IS NOT NULL")
+    return teta_of_pairs(known.select("cls", "seq", "t", "gt", "dt", "iou", "predicted", (F.col("kind") == "g").cast("int").alias("objects")), near)
+
+
+#: Alphas of TETA: localisation counts at all of them, classification from the one of _HIGH on.
+_TETA_ALPHAS = np.arange(20) / 20
+_HIGH = int(np.argmax(_TETA_ALPHAS >= 0.5 - _CLOSE))
+_TALLIES = ("n", "loc_tp", "cls_tp", "a", "re", "pr", "loc_fp", "cls_fp")
+#: Rows that are counted at once, as far as a class's sequence ends there.
+_COUNTED = 1 << 17
+
+
+def _places(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row, the same where all columns are the same, and the first row of each."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Whole numbers that tell a column's values apart; null is a value."""
+    if not pa.types.is_integer(column.type) or column.null_count:
+        column = column.combine_chunks().dictionary_encode("encode").indices
+    return column.to_numpy().astype(np.int64)
+
+
+def _units(batches: Iterable[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that no group of the named columns is cut by."""
+    held, n, least = [], 0, _COUNTED
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(n, bool)
+        for name in names:
+            last = t[name][-1]
+            same &= (pc.equal(t[name], last).fill_null(False) if last.is_valid else t[name].is_null()).to_numpy()
+        cut = n - int(same.sum())
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), n - cut
+        least = max(_COUNTED, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _assigned(frame: np.ndarray, gt: np.ndarray, dt: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which pairs the assignments of all frames take. gt and dt: numbers of the frames' objects."""
+    several = np.zeros(int(frame.max(initial=-1)) + 1, bool)
+    for own in (gt, dt):
+        several[frame[np.bincount(own)[own] > 1]] = True
+    taken = ~several[frame] & (value > 0)
+    rows = np.flatnonzero(several[frame])
+    rows = rows[np.argsort(frame[rows], kind="stable")]
+    cuts = np.flatnonzero(np.diff(frame[rows], prepend=-1, append=-1)) if len(rows) else rows
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        own = rows[begin:end]
+        taken[own[picked(gt[own].tolist(), dt[own].tolist(), value[own].tolist())]] = True
+    return taken
+
+
+def _teta_tallies(t: pa.Table, near: float, classes: dict) -> dict[str, np.ndarray]:
+    """Counts and sums by class and alpha of whole sequences of classes; classes: the number of each class, which grows."""
+    both = pa.chunked_array([*t["cls"].chunks, *t["predicted"].chunks]).combine_chunks().dictionary_encode("encode")
+    code = np.array([classes.setdefault(x, len(classes)) for x in both.dictionary.to_pylist()], np.int64)[both.indices.to_numpy()]
+    cls, predicted = code[: len(t)], code[len(t) :]
+    n_classes, n_levels = len(classes), len(_TETA_ALPHAS)
+    named = t["cls"].is_valid().to_numpy()
+    seq, frame, gt, dt = (_numbers(t[c]) for c in ("seq", "t", "gt", "dt"))
+    objects = t["objects"].to_numpy().astype(np.int64)
+    out = {c: np.zeros((n_classes, n_levels)) for c in _TALLIES}
+    out["n"] += np.bincount(cls, weights=objects, minlength=n_classes)[:, None]
+    track, _ = _places(cls, seq, gt)
+    n_gt = np.bincount(track, weights=objects)[track]
+    own = np.flatnonzero(t["dt"].is_valid().to_numpy() & named & (n_gt > 0))
+    iou = t["iou"].to_numpy()[own]
+    cls, predicted, seq, frame, gt, dt, n_gt = (v[own] for v in (cls, predicted, seq, frame, gt, dt, n_gt))
+    known = t["predicted"].is_valid().to_numpy()[own]
+    at_gt, _ = _places(cls, seq, frame, gt)
+    at_dt, first = _places(cls, seq, frame, dt)
+    found, _ = _places(cls, seq, dt)
+    n_dt = np.bincount(found[first], minlength=len(own))[found]
+    close = np.bincount(at_dt, weights=iou >= near, minlength=len(own))[at_dt] > 0
+    either = np.bincount(at_gt, weights=iou)[at_gt] + np.bincount(at_dt, weights=iou)[at_dt] - iou
+    pair, _ = _places(cls, seq, gt, dt)
+    p = np.bincount(pair, weights=np.where(either > 1e-12, iou / np.where(either > 1e-12, either, 1.0), 0.0))[pair]
+    taken = _assigned(_places(cls, seq, frame)[0], at_gt, at_dt, p / (n_gt + n_dt - p) * iou)
+    out["loc_fp"] += np.bincount(cls[first], weights=close[first], minlength=n_classes)[:, None]  # less those that a match reaches, below
+    hit = np.flatnonzero(taken & known)
+    cls, predicted, pair, n_gt, n_dt, close = (v[hit] for v in (cls, predicted, pair, n_gt, n_dt, close))
+    reach = np.searchsorted(_TETA_ALPHAS - _CLOSE, iou[hit], "right")
+    reached = np.arange(n_levels + 1)[:, None] > np.arange(n_levels)  # by reach and alpha
+    by_reach = lambda of, some: np.bincount((of * (n_levels + 1) + reach)[some], minlength=n_classes * (n_levels + 1)).reshape(n_classes, -1) @ reached
+    out["loc_fp"] -= by_reach(cls, close)
+    out["cls_fp"] += by_reach(predicted, cls != predicted)
+    out["cls_fp"][:, :_HIGH] = 0
+    # Matches of two tracks, farthest first: each step of their reach holds for the alphas down to the next one's.
+    order = np.lexsort((-reach, pair))
+    cls, predicted, pair, n_gt, n_dt, reach = (v[order] for v in (cls, predicted, pair, n_gt, n_dt, reach))
+    begin = np.flatnonzero(np.diff(pair, prepend=-1))
+    size = np.diff(np.concatenate([begin, [len(pair)]]))
+    right = np.concatenate([[0], np.cumsum(cls == predicted)])
+    step = np.flatnonzero((np.diff(pair, append=-1) != 0) | (np.diff(reach, append=-1) != 0))
+    c = (np.arange(len(pair)) - np.repeat(begin, size) + 1)[step].astype(float)
+    right = right[step + 1] - right[np.repeat(begin, size)[step]]
+    cls, pair, n_gt, n_dt, reach = (v[step] for v in (cls, pair, n_gt, n_dt, reach))
+    after = np.where(np.diff(pair, append=-1) == 0, np.concatenate([reach[1:], [0]])[: len(reach)], 0)
+    cell = (cls * (n_levels + 1) + reach) * (n_levels + 1) + after
+    between = (reached[:, None] & ~reached[None]).reshape(-1, n_levels)  # by reach, the next reach, and alpha
+    for name, value in (("loc_tp", c), ("cls_tp", right), ("a", c * c / (n_gt + n_dt - c)), ("re", c * c / n_gt), ("pr", c * c / n_dt)):
+        out[name] += np.bincount(cell, weights=value, minlength=n_classes * (n_levels + 1) ** 2).reshape(n_classes, -1) @ between
+    return out
+
+
+def teta_of_pairs(rows: DataFrame, near: float = 0.5) -> DataFrame:
+    """As teta(), from rows(cls, seq, t, gt, dt, iou, predicted, objects): overlapping pairs with the class of either side, and ground truth without any (null dt).
+
+    cls is that of the ground truth; predicted is null where dt is no track of its frame; objects says how many objects of the ground truth the row stands for: of the rows of one object
+    in a frame, one has 1. Rows of a sequence's class lie in one partition. There they are sorted once, and counted in tables of some sequences each; a task holds one sequence's class.
+    """
+    kind = f"cls {rows.schema['cls'].dataType.simpleString()}, level int, {', '.join(f'{c} double' for c in _TALLIES)}"
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: dict = {}
+        sums = {c: np.zeros((0, len(_TETA_ALPHAS))) for c in _TALLIES}
+        for table in _units(batches, ["cls", "seq"]):
+            for c, v in _teta_tallies(table, near, classes).items():
+                v[: len(sums[c])] += sums[c]
+                sums[c] = v
+        names = list(classes)
+        level = np.tile(np.arange(len(_TETA_ALPHAS), dtype=np.int32), len(names))
+        keys = pa.array([x for x in names for _ in _TETA_ALPHAS], kind_of_class)
+        yield pa.RecordBatch.from_arrays([keys, pa.array(level), *(pa.array(sums[c].ravel()) for c in _TALLIES)], ["cls", "level", *_TALLIES])
+
+    kind_of_class = to_arrow_type(rows.schema["cls"].dataType)
+    tallies = rows.select("cls", "seq", "t", "gt", "dt", F.col("iou").cast("double").alias("iou"), "predicted", "objects").sortWithinPartitions("cls", "seq").mapInArrow(counted, kind)
+    every = tallies.groupBy("cls", "level").agg(*[F.sum(c).alias(c) for c in _TALLIES]).where("n > 0")
     tp, fn, fp = F.col("loc_tp"), F.col("n") - F.col("loc_tp"), F.col("loc_fp")
     one = lambda x: F.greatest(F.lit(1), x)
     cls_fn = tp - F.col("cls_tp")
-    high = F.col("alpha") >= 0.5 - _CLOSE
+    high = F.col("level") >= _HIGH
     mean = lambda x: F.avg(x)
     out = every.groupBy("cls").agg(
         mean(tp / one(tp + fn + fp)).alias("loc_a"), mean(tp / one(tp + fn)).alias("loc_re"), mean(tp / one(tp + fp)).alias("loc_pr"),

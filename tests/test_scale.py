@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +304,32 @@ def _pairings(n, m):
     from itertools import permutations
 
     return [list(zip(range(n), p)) for p in permutations(range(m), n)] if n <= m else [[(i, j) for j, i in enumerate(p)] for p in permutations(range(n), m)]
+
+
+def test_teta_is_counted_in_one_pass(spark):
+    plan = _plan(spark, "teta_by_class")
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("MapInArrow") == 1
+    assert _exchanges(QUERIES["teta_by_class"](spark, SF)).count({"image_id"}) == 1
+    rows = [(c, s, t) for c, s, n in ((None, 1, 2), (None, 2, 1), ("a", 1, 7), ("a", 2, 1), ("b", 1, 3)) for t in range(n)]
+    batches = [pa.RecordBatch.from_pydict({k: [r[i] for r in rows[a : a + 2]] for i, k in enumerate(("cls", "seq", "t"))}, pa.schema({"cls": pa.string(), "seq": pa.int64(), "t": pa.int64()})) for a in range(0, len(rows), 2)]
+    for least in (1, 3, 100):
+        old, metrics._COUNTED = metrics._COUNTED, least
+        try:
+            found = [[tuple(r.values()) for r in t.to_pylist()] for t in metrics._units(batches, ["cls", "seq"])]
+        finally:
+            metrics._COUNTED = old
+        assert [r for t in found for r in t] == rows and all(a[-1][:2] != b[0][:2] for a, b in zip(found, found[1:])) and (least > 1 or len(found) > 1)
+
+
+def test_teta_of_odd_tables(spark):
+    """Ground truth alone, tracks alone, pairs of unknown objects, null classes, and frames that need an assignment."""
+    make = lambda rows, name: spark.createDataFrame(rows, f"seq long, t long, {name} long, cls string")
+    sims = lambda rows: spark.createDataFrame(rows, "seq long, t long, gt long, dt long, iou double")
+    gt = [(1, t, k, "a") for t in range(3) for k in (1, 2)] + [(2, 0, 1, "b"), (3, 0, 1, None)]
+    dt = [(1, t, k, "a" if k == 5 else "c") for t in range(3) for k in (5, 6)] + [(3, 0, 5, "b")]
+    sim = [(1, t, g, d, 0.9 if (g, d) in ((1, 5), (2, 6)) else 0.6) for t in range(3) for g in (1, 2) for d in (5, 6)] + [(3, 0, 1, 5, 0.8), (1, 7, 1, 5, 0.8), (1, 0, 9, 5, 0.1)]
+    got = {r.cls: r for r in metrics.teta(make(gt, "gt"), make(dt, "dt"), sims(sim)).collect()}
+    assert set(got) == {"a", "b", None} and got["b"].teta == got[None].teta == 0
+    levels = 19 / 20  # 0.9 is reached by all but 0.95
+    assert (got["a"].loc_re, got["a"].assoc_a) == (pytest.approx(levels), pytest.approx(levels)) and got["a"].cls_re == pytest.approx(0.5 * 9 / 10)
+    assert metrics.teta(make([], "gt"), make(dt, "dt"), sims([])).count() == 0
